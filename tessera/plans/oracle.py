@@ -212,3 +212,157 @@ def spans_view(entities=None, threshold=0.7, name="spans", src="documents", id_c
 
 def ctes_sql(ctes: list[tuple[str, str]], body: str, *views: str) -> str:
     return with_views(body, *views, extra=ctes)
+
+
+# ---------------------------------------------------------------------------
+# policy rules and masks in DuckDB (twins of functions/policy.py, masks.py)
+# ---------------------------------------------------------------------------
+
+def lst(values) -> str:
+    return "[" + ", ".join(q(v) for v in values) + "]"
+
+
+def sql_has_name(t: str) -> str:
+    return f"(list_contains({t}, 'PERSON') OR (list_contains({t}, 'FIRST_NAME') AND list_contains({t}, 'LAST_NAME')))"
+
+
+def sql_any(t: str, values) -> str:
+    return f"list_has_any({t}, {lst(values)})"
+
+
+def sql_sensitive(t: str) -> str:
+    from ..functions import policy as P
+    return sql_any(t, P.SENSITIVE_TYPES)
+
+
+def sql_cred(t: str) -> str:
+    from ..functions import policy as P
+    return f"({sql_any(t, P.LOGIN_TYPES)} AND {sql_any(t, P.SECRET_TYPES)})"
+
+
+def sql_trigger(t: str) -> str:
+    return f"(({sql_has_name(t)} AND {sql_sensitive(t)}) OR {sql_cred(t)})"
+
+
+def sql_components(t: str) -> str:
+    from ..functions import policy as P
+    n = sql_has_name(t)
+    parts = [f"CASE WHEN {sql_cred(t)} THEN 'CREDS' END",
+             f"CASE WHEN {n} AND {sql_any(t, P.SSN_TYPES)} THEN 'PII-SSN' END",
+             f"CASE WHEN {n} AND {sql_any(t, P.FINANCIAL_TYPES)} THEN 'PII-FIN' END",
+             f"CASE WHEN {n} AND {sql_any(t, P.GOV_ID_TYPES)} THEN 'PII-GOV' END",
+             f"CASE WHEN {n} AND {sql_any(t, P.HEALTH_TYPES)} THEN 'PII-MED' END"]
+    specific = f"len(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL))"
+    gen = f"CASE WHEN {n} AND {sql_sensitive(t)} AND {specific} = 0 THEN 'PII-GEN' END"
+    return f"list_filter([{', '.join(parts + [gen])}], lambda x: x IS NOT NULL)"
+
+
+def sql_label(t: str) -> str:
+    c = sql_components(t)
+    return f"(CASE WHEN len({c}) > 1 THEN 'HIGH-RISK' WHEN len({c}) = 1 THEN ({c})[1] ELSE 'UNKNOWN' END)"
+
+
+def sql_reasons(t: str) -> str:
+    return (f"list_filter([CASE WHEN {sql_has_name(t)} AND {sql_sensitive(t)} THEN 'personal_info_with_sensitive_data' END, "
+            f"CASE WHEN {sql_cred(t)} THEN 'credential_pair' END], lambda x: x IS NOT NULL)")
+
+
+def sql_set_tier(t: str) -> str:
+    from ..functions import policy as P
+    return (f"(CASE WHEN {sql_any(t, P.RESTRICTED)} THEN 3 WHEN {sql_any(t, P.CONFIDENTIAL)} THEN 2 "
+            f"WHEN {sql_any(t, P.INTERNAL)} THEN 1 ELSE 0 END)")
+
+
+def sql_type_tier(x: str) -> str:
+    from ..functions import policy as P
+    return (f"(CASE WHEN {x} IN ({', '.join(q(v) for v in P.RESTRICTED)}) THEN 3 "
+            f"WHEN {x} IN ({', '.join(q(v) for v in P.CONFIDENTIAL)}) THEN 2 "
+            f"WHEN {x} IN ({', '.join(q(v) for v in P.INTERNAL)}) THEN 1 ELSE 0 END)")
+
+
+def sql_pick(values, idx: str) -> str:
+    return f"({lst(values)})[{idx} + 1]"
+
+
+def sql_display(x: str, names: dict) -> str:
+    whens = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in names.items())
+    return f"(CASE {x} {whens} ELSE {x} END)"
+
+
+def _inl(values) -> str:
+    return ", ".join(q(v) for v in values)
+
+
+def _words_sql(x: str) -> str:
+    return f"list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')"
+
+
+def sql_mask_strict(x: str, t: str) -> str:
+    from ..functions import policy as P
+    dom = f"substr({x}, strpos({x}, '@') + 1)"
+    user = f"split_part({x}, '@', 1)"
+    w = _words_sql(x)
+    return f"""(CASE
+  WHEN {t} IN ({_inl(P.SENSITIVE_TYPES)}) THEN CASE WHEN length({x}) > 4 THEN '****' || right({x}, 4) ELSE '****' END
+  WHEN {t} IN ('EMAIL_ADDRESS', 'USERNAME') THEN CASE
+     WHEN strpos({x}, '@') > 0 THEN CASE WHEN length({user}) > 2 THEN left({x}, 1) || '***@' || {dom} ELSE '***@' || {dom} END
+     WHEN length({x}) > 4 THEN left({x}, 1) || '***' || right({x}, 1) ELSE '****' END
+  WHEN {t} IN ('PERSON', 'FIRST_NAME', 'LAST_NAME') THEN CASE
+     WHEN len({w}) > 1 THEN array_to_string(list_transform({w}, lambda p: left(p, 1) || '.'), ' ')
+     WHEN length({x}) > 0 THEN left({x}, 1) || '.' ELSE '****' END
+  ELSE CASE WHEN length({x}) > 4 THEN left({x}, 1) || '***' || right({x}, 1) ELSE '****' END END)"""
+
+
+def sql_mask_tiered(x: str, t: str) -> str:
+    from ..functions import policy as P
+    n = f"length({x})"
+    w = _words_sql(x)
+    user = f"split_part({x}, '@', 1)"
+    dom = f"substr({x}, strpos({x}, '@') + 1)"
+    return f"""(CASE
+  WHEN {x} IS NULL OR {n} = 0 THEN ''
+  WHEN {t} IN ({_inl(P.TIER_FULL_MASK)}) THEN '********'
+  WHEN {t} IN ('PERSON', 'FIRST_NAME', 'LAST_NAME') THEN CASE
+     WHEN len({w}) = 1 THEN CASE WHEN {n} <= 2 THEN left({x}, 1) || '*' ELSE left({x}, 1) || repeat('*', {n} - 1) END
+     ELSE array_to_string(list_transform({w}, lambda p: CASE WHEN length(p) <= 1 THEN p
+            ELSE left(p, 1) || repeat('*', length(p) - 1) END), ' ') END
+  WHEN {t} IN ({_inl(P.TIER_LAST4_MASK)}) THEN CASE WHEN {n} <= 4 THEN repeat('*', {n})
+     ELSE repeat('*', {n} - 4) || right({x}, 4) END
+  WHEN {t} = 'EMAIL_ADDRESS' AND strpos({x}, '@') > 0 THEN
+     (CASE WHEN length({user}) <= 2 THEN {user} ELSE left({user}, 1) || repeat('*', length({user}) - 2) || right({user}, 1) END)
+     || '@' || {dom}
+  ELSE CASE WHEN {n} <= 2 THEN {x} ELSE left({x}, 1) || repeat('*', {n} - 2) || right({x}, 1) END END)"""
+
+
+def sql_mask_simple(x: str, t: str) -> str:
+    from ..functions import policy as P
+    parts = f"string_split({x}, '@')"
+    digits = f"regexp_replace({x}, '[^0-9]', '', 'g')"
+    w = _words_sql(x)
+    return f"""(CASE
+  WHEN {t} IN ({_inl(P.SIMPLE_LAST4_MASK)}) THEN CASE WHEN length({x}) > 4 THEN '****' || right({x}, 4) ELSE '****' END
+  WHEN {t} = 'EMAIL_ADDRESS' THEN CASE WHEN len({parts}) = 2 THEN
+       CASE WHEN length({parts}[1]) > 2 THEN left({parts}[1], 2) || '***@' || {parts}[2] ELSE '***@' || {parts}[2] END
+     ELSE '***@***' END
+  WHEN {t} = 'PHONE_NUMBER' THEN CASE WHEN length({digits}) >= 4 THEN '***-***-' || right({digits}, 4) ELSE '***-***-****' END
+  WHEN {t} = 'PERSON' THEN CASE WHEN len({w}) > 1 THEN left({w}[1], 1) || '. ' || {w}[-1] ELSE {x} END
+  ELSE CASE WHEN length({x}) > 4 THEN left({x}, 1) || '***' || right({x}, 1) ELSE '****' END END)"""
+
+
+LEDGER_FE = """
+SELECT f.file_id, f.job_id, f.file_path, f.file_type, e.result_id, e.entity_type, e.start_index, e.end_index,
+       e.score, e.text
+FROM t_entities e
+JOIN (SELECT file_id, min(result_id) AS result_id FROM t_results GROUP BY file_id) r ON e.result_id = r.result_id
+JOIN t_files f ON r.file_id = f.file_id
+WHERE f.status = 'completed' AND e.score >= 0.7"""
+
+LEDGER_FS = """
+SELECT file_id, file_path, list_sort(list(DISTINCT entity_type)) AS types, count(*) AS entity_count
+FROM fe GROUP BY file_id, file_path"""
+
+
+def ledger_sql(body: str, *more: tuple[str, str]) -> str:
+    """Body over ``fe`` (entities >= 0.7 of completed files) and ``fs`` (sets)."""
+    return with_views(body, "t_files", "t_results", "t_entities",
+                      extra=[("fe", LEDGER_FE), ("fs", LEDGER_FS), *more])

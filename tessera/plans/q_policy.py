@@ -1 +1,248 @@
-"""Queries registered in later steps."""
+"""Policy queries.
+
+Two inputs: the ledger testbed (entities of completed files) and spans
+detected in ``documents``.  Reports are flat rows (one per file or per
+entity); the nested JSON form is a sink (``sources/reports.py``).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import masks as M
+from ..functions import policy as P
+from ..operators import classify as C
+from ..operators import detect as D
+from ..plans.testbed import Testbed
+from ..sources.tables import read_table
+from . import oracle as O
+from .registry import register
+
+
+def _fe(spark, sf, threshold=P.HIGH_CONFIDENCE_THRESHOLD):
+    tb = Testbed(spark, sf)
+    return C.ledger_entities(tb.files, tb.results, tb.entities, threshold)
+
+
+def _joined(col):
+    return F.array_join(col, ",")
+
+
+# ---------------------------------------------------------------- documents
+def _doc_sets(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    spans = D.detect_arrays(docs)
+    # the type set comes straight from the span array of the same row: no shuffle
+    types = F.array_sort(F.array_distinct(F.transform("entities", lambda s: s["entity_type"])))
+    return spans.where(F.size("entities") > 0).select(
+        "doc_id", types.alias("entity_types"), F.size("entities").cast("long").alias("entity_count"))
+
+
+_DOC_SETS_SQL = ("SELECT doc_id, list_sort(list(DISTINCT entity_type)) AS types, count(*) AS entity_count "
+                 "FROM spans GROUP BY doc_id")
+
+
+@register("doc_tier", O.with_views(
+    f"""SELECT doc_id, {O.sql_set_tier('types')} AS tier,
+          {O.sql_pick(P.TIER_NAMES, O.sql_set_tier('types'))} AS tier_name,
+          entity_count, array_to_string(types, ',') AS entity_types, {O.sql_label('types')} AS breach_label
+        FROM ds""", extra=O.spans_view() + [("ds", _DOC_SETS_SQL)]))
+def doc_tier(spark, sf):
+    """Flagship: detect -> per-document type set -> tier and breach label.
+
+    The set is built from the span array of the document row, so the whole
+    query is a single narrow projection over the documents scan."""
+    s = _doc_sets(spark, sf)
+    t = F.col("entity_types")
+    tier = P.set_tier(t)
+    return s.select("doc_id", tier.alias("tier"), P.tier_name(tier).alias("tier_name"), "entity_count",
+                    _joined(t).alias("entity_types"), P.breach_label(t).alias("breach_label"))
+
+
+@register("doc_breach", O.with_views(
+    f"""SELECT doc_id, entity_count, array_to_string(types, ',') AS entity_types, {O.sql_label('types')} AS classification,
+          array_to_string({O.sql_reasons('types')}, ',') AS breach_reasons
+        FROM ds WHERE {O.sql_trigger('types')}""", extra=O.spans_view() + [("ds", _DOC_SETS_SQL)]))
+def doc_breach(spark, sf):
+    """C4 over detected documents: documents that trigger notification."""
+    s = C.with_breach(_doc_sets(spark, sf)).where("breach_trigger")
+    return s.select("doc_id", "entity_count", _joined(F.col("entity_types")).alias("entity_types"),
+                    "classification", _joined(F.col("breach_reasons")).alias("breach_reasons"))
+
+
+# ---------------------------------------------------------------- ledger
+@register("file_entity_sets", O.ledger_sql(
+    "SELECT file_id, file_path, array_to_string(types, ',') AS entity_types, entity_count FROM fs"))
+def file_entity_sets(spark, sf):
+    """Entity type set and count per file (entities >= 0.7)."""
+    s = C.entity_sets(_fe(spark, sf))
+    return s.select("file_id", "file_path", _joined(F.col("entity_types")).alias("entity_types"), "entity_count")
+
+
+@register("breach_trigger", O.ledger_sql(f"SELECT file_id, {O.sql_trigger('types')} AS breach_trigger FROM fs"))
+def breach_trigger(spark, sf):
+    """C1 per file."""
+    s = C.entity_sets(_fe(spark, sf))
+    return s.select("file_id", P.breach_trigger(F.col("entity_types")).alias("breach_trigger"))
+
+
+@register("breach_label", O.ledger_sql(f"SELECT file_id, {O.sql_label('types')} AS classification FROM fs"))
+def breach_label(spark, sf):
+    """C2 per file (UNKNOWN when no component applies)."""
+    s = C.entity_sets(_fe(spark, sf))
+    return s.select("file_id", P.breach_label(F.col("entity_types")).alias("classification"))
+
+
+@register("breach_reasons", O.ledger_sql(
+    f"SELECT file_id, array_to_string({O.sql_reasons('types')}, ',') AS breach_reasons FROM fs"))
+def breach_reasons(spark, sf):
+    """C3 per file."""
+    s = C.entity_sets(_fe(spark, sf))
+    return s.select("file_id", _joined(P.breach_reasons(F.col("entity_types"))).alias("breach_reasons"))
+
+
+@register("breach_files", O.ledger_sql(
+    f"""SELECT file_id, file_path, entity_count, array_to_string(types, ',') AS entity_types,
+          {O.sql_label('types')} AS classification FROM fs WHERE {O.sql_trigger('types')}"""))
+def breach_files(spark, sf):
+    """C4: triggering files with count, types and label."""
+    b = C.breach_files(_fe(spark, sf))
+    return b.select("file_id", "file_path", "entity_count", _joined(F.col("entity_types")).alias("entity_types"),
+                    "classification")
+
+
+@register("breach_report", O.ledger_sql(
+    f"""SELECT fe.file_path, {O.sql_label('fs.types')} AS classification, fe.entity_type,
+          {O.sql_display('fe.entity_type', P.STRICT_DISPLAY_NAMES)} AS category,
+          {O.sql_mask_strict('fe.text', 'fe.entity_type')} AS masked_text, fe.score AS confidence
+        FROM fe JOIN fs ON fe.file_id = fs.file_id WHERE {O.sql_trigger('fs.types')}"""))
+def breach_report(spark, sf):
+    """C5 (flat): every entity of every triggering file, masked (A9), with
+    the file's label; the JSON record is this grouped by file and type."""
+    fe = _fe(spark, sf)
+    b = C.breach_files(fe).select("file_id", "classification")
+    return fe.join(b, "file_id").select(
+        "file_path", "classification", "entity_type",
+        P.display_name(F.col("entity_type"), P.STRICT_DISPLAY_NAMES).alias("category"),
+        M.mask_strict(F.col("text"), F.col("entity_type")).alias("masked_text"), F.col("score").alias("confidence"))
+
+
+@register("classified_files", O.ledger_sql(
+    f"""SELECT file_id, file_path, {O.sql_set_tier('types')} AS tier,
+          {O.sql_pick(P.TIER_NAMES, O.sql_set_tier('types'))} AS tier_name, entity_count,
+          array_to_string(types, ',') AS entity_types FROM fs"""))
+def classified_files(spark, sf):
+    """Tier per file."""
+    c = C.classified_files(_fe(spark, sf))
+    return c.select("file_id", "file_path", "tier", "tier_name", "entity_count",
+                    _joined(F.col("entity_types")).alias("entity_types"))
+
+
+@register("tier_min", O.ledger_sql(
+    f"SELECT file_id, file_path, {O.sql_set_tier('types')} AS tier FROM fs WHERE {O.sql_set_tier('types')} >= 2"))
+def tier_min(spark, sf):
+    """Files at or above a minimum tier (2 = confidential)."""
+    return C.classified_files(_fe(spark, sf), min_tier=2).select("file_id", "file_path", "tier")
+
+
+@register("tier_report", O.ledger_sql(
+    f"""SELECT fe.file_path, {O.sql_pick(P.TIER_KEYS, O.sql_set_tier('fs.types'))} AS classification,
+          fe.entity_type, {O.sql_display('fe.entity_type', P.TIER_DISPLAY_NAMES)} AS category,
+          {O.sql_mask_tiered('fe.text', 'fe.entity_type')} AS masked_text, fe.score AS confidence
+        FROM fe JOIN fs ON fe.file_id = fs.file_id"""))
+def tier_report(spark, sf):
+    """C8 (flat): every entity with its file's tier key, masked (A10)."""
+    fe = _fe(spark, sf)
+    c = C.with_tier(C.entity_sets(fe)).select("file_id", "classification")
+    return fe.join(c, "file_id").select(
+        "file_path", "classification", "entity_type",
+        P.display_name(F.col("entity_type"), P.TIER_DISPLAY_NAMES).alias("category"),
+        M.mask_tiered(F.col("text"), F.col("entity_type")).alias("masked_text"), F.col("score").alias("confidence"))
+
+
+@register("simple_highrisk", O.ledger_sql(
+    f"""SELECT file_path, entity_type, {O.sql_display('entity_type', P.SIMPLE_CATEGORIES)} AS category,
+          score AS confidence, {O.sql_mask_simple('text', 'entity_type')} AS masked_text
+        FROM fe WHERE entity_type IN ({', '.join(O.q(t) for t in P.SIMPLE_CATEGORIES)})"""))
+def simple_highrisk(spark, sf):
+    """Policy-typed entities >= 0.7 with category and simple mask."""
+    s = C.simple_highrisk(_fe(spark, sf))
+    return s.select("file_path", "entity_type", "category", F.col("score").alias("confidence"),
+                    F.col("masked").alias("masked_text"))
+
+
+@register("policy_hits", O.ledger_sql(
+    f"""SELECT file_id, array_to_string(list_sort(list_intersect(types, {O.lst(P.SENSITIVE_TYPES)})), ',') AS sensitive_hits,
+          array_to_string(list_sort(list_intersect(types, {O.lst(P.RESTRICTED)})), ',') AS restricted_hits FROM fs"""))
+def policy_hits(spark, sf):
+    """Intersection of each file's set with the policy sets."""
+    s = C.entity_sets(_fe(spark, sf))
+    t = F.col("entity_types")
+    return s.select("file_id",
+                    _joined(F.array_sort(F.array_intersect(t, P._arr(P.SENSITIVE_TYPES)))).alias("sensitive_hits"),
+                    _joined(F.array_sort(F.array_intersect(t, P._arr(P.RESTRICTED)))).alias("restricted_hits"))
+
+
+@register("category_counts", O.ledger_sql(
+    f"""SELECT file_path, {O.sql_display('entity_type', P.STRICT_DISPLAY_NAMES)} AS category, count(*) AS n
+        FROM fe GROUP BY 1, 2"""))
+def category_counts(spark, sf):
+    """Entities per (file, category)."""
+    return C.category_counts(_fe(spark, sf))
+
+
+@register("breach_summary", O.ledger_sql(
+    f"""SELECT 'label' AS kind, {O.sql_label('types')} AS name, count(*) AS files FROM fs
+          WHERE {O.sql_trigger('types')} GROUP BY 2
+        UNION ALL
+        SELECT 'component' AS kind, c AS name, count(*) AS files
+          FROM (SELECT unnest({O.sql_components('types')}) AS c FROM fs WHERE {O.sql_trigger('types')}) x GROUP BY 2"""))
+def breach_summary(spark, sf):
+    """Triggering files per label and per component."""
+    return C.breach_summary(C.breach_files(_fe(spark, sf)))
+
+
+@register("tier_summary", O.ledger_sql(
+    f"""SELECT {O.sql_set_tier('types')} AS tier, {O.sql_pick(P.TIER_NAMES, O.sql_set_tier('types'))} AS tier_name,
+          count(*) AS files FROM fs GROUP BY 1, 2"""))
+def tier_summary(spark, sf):
+    """Classified files per tier."""
+    return C.tier_summary(C.classified_files(_fe(spark, sf)))
+
+
+@register("tier_types", O.ledger_sql(
+    f"""SELECT tier, array_to_string(list_sort(list(DISTINCT t)), ',') AS types FROM (
+          SELECT {O.sql_set_tier('types')} AS tier, unnest(types) AS t FROM fs) x
+        WHERE {O.sql_type_tier('t')} = tier GROUP BY tier"""))
+def tier_types(spark, sf):
+    """Union of a tier's own types over its files."""
+    t = C.tier_types(C.classified_files(_fe(spark, sf)))
+    return t.select("tier", _joined(F.col("types")).alias("types"))
+
+
+@register("display_names", O.with_views(
+    f"""SELECT entity_type, {O.sql_display('entity_type', P.TIER_DISPLAY_NAMES)} AS display_name,
+          {O.sql_type_tier('entity_type')} AS tier, count(*) AS n FROM t_entities GROUP BY 1""", "t_entities"))
+def display_names(spark, sf):
+    """Dimension lookup with the key itself as default, per entity type."""
+    e = Testbed(spark, sf).entities
+    g = e.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+    return g.select("entity_type", P.display_name(F.col("entity_type")).alias("display_name"),
+                    P.type_tier(F.col("entity_type")).alias("tier"), "n")
+
+
+def _mask_query(key, fn, sql_fn, doc):
+    body = (f"SELECT file_id, start_index, entity_type, text, {sql_fn('text', 'entity_type')} AS masked "
+            f"FROM t_entities")
+
+    def build(spark, sf):
+        e = Testbed(spark, sf).entities
+        return e.select("file_id", "start_index", "entity_type", "text",
+                        fn(F.col("text"), F.col("entity_type")).alias("masked"))
+    build.__doc__ = doc
+    register(key, O.with_views(body, "t_entities"))(build)
+
+
+_mask_query("mask_strict", M.mask_strict, O.sql_mask_strict, "A9 over every entity row.")
+_mask_query("mask_tiered", M.mask_tiered, O.sql_mask_tiered, "A10 over every entity row.")
+_mask_query("mask_simple", M.mask_simple, O.sql_mask_simple, "A11 over every entity row.")
