@@ -10,9 +10,10 @@ and RE2 (no look-around, no back-references, no ``\\b``):
 * cue lane — ``label [:=#] value``; the value is the last group of the
   pattern, so the label never enters the span.
 
-A span must not run into a letter or digit: the character after it is
-checked (``tail_guard``), and a consuming guard ``(?:^|[^A-Za-z0-9])`` before
-it.  Scores are ours: 0.85 for a cue or a specific shape, 0.95 for a passed
+A span must not run into a letter or digit: the characters before the match
+(``head_edge``; for cues, before the label: no letter) and after it
+(``tail_guard``) are checked on the candidates, not with a consuming guard
+in the pattern, which would make Java's matcher slow.  Scores are ours: 0.85 for a cue or a specific shape, 0.95 for a passed
 strong checksum, 0.5 for a bare number whose checksum is weak, +0.3 when a
 context word occurs in the 40 characters before the span, capped at 1.0.
 The default threshold 0.7 therefore means "checked or cued".
@@ -30,9 +31,13 @@ from . import checksums as ck
 # ---------------------------------------------------------------------------
 # fixed values (patterns, scores, context words) — our design
 # ---------------------------------------------------------------------------
-GUARD = "(?:^|[^A-Za-z0-9])"
-NUM_TOKEN = GUARD + "([0-9](?:[0-9.-]*[0-9])?)"
-CODE_TOKEN = GUARD + "([A-Z][A-Z0-9]{7,33})"
+# Patterns start with a plain character class (no leading alternation), which
+# keeps Java's matcher fast; the "not inside a longer word" rule is checked
+# on the characters before and after each match instead.
+NUM_TOKEN = "[0-9](?:[0-9.-]*[0-9])?"
+CODE_TOKEN = "[A-Z][A-Z0-9]{7,33}"
+TOKEN_EDGE = "^[A-Za-z0-9]$"   # a token may not touch one of these
+LABEL_EDGE = "^[A-Za-z]$"      # a cue label may not follow one of these
 
 SHAPE_SCORE = 0.85
 STRONG_CHECK_SCORE = 0.95
@@ -54,12 +59,13 @@ class Recognizer:
     context: str | None = None      # lower-case alternation of cue words
     prefilter: str | None = None    # cheap rlike on the whole text
     tail_guard: bool = True
+    head_edge: str | None = TOKEN_EDGE   # class the char before the match may not be
     tags: tuple = field(default_factory=tuple)
 
 
 def _cue(labels: str, value: str, sep: str = "[:#=]") -> str:
     """label words, optional 'number/no/#', a separator, then the value group."""
-    return ("(?:^|[^A-Za-z])(?i:" + labels + ")(?i: (?:number|no\\.?|num|#|id))?\\s*"
+    return ("(?i:" + labels + ")(?i: (?:number|no\\.?|num|#|id))?\\s*"
             + sep + "\\s*\"?(" + value + ")")
 
 
@@ -95,13 +101,13 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
     # shape lane -----------------------------------------------------------
     Recognizer("EMAIL_ADDRESS", "email",
                pattern="[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}",
-               prefilter="@", tail_guard=False),
+               prefilter="@", tail_guard=False, head_edge=None),
     Recognizer("PHONE_NUMBER", "phone",
-               pattern=GUARD + "((?:\\+[0-9]{1,2}[ .-])?(?:\\([0-9]{3}\\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})",
-               group=1, prefilter="[0-9]{3}[ .-][0-9]{4}", context="phone|tel|call|mobile|cell|fax"),
+               pattern="(?:\\+[0-9]{1,2}[ .-])?(?:\\([0-9]{3}\\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
+               prefilter="[0-9]{3}[ .-][0-9]{4}", context="phone|tel|call|mobile|cell|fax"),
     Recognizer("ADDRESS", "address",
-               pattern=GUARD + "([0-9]{1,6} (?:[A-Z][A-Za-z]+ ){1,4}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Blvd))",
-               group=1, prefilter="(Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Blvd)"),
+               pattern="[0-9]{1,6} (?:[A-Z][A-Za-z]+ ){1,4}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Blvd)",
+               prefilter="(Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Blvd)"),
     # cue lane -------------------------------------------------------------
     Recognizer("ACCESS_CODE", "cue_access",
                pattern="(?i:token|access code|api key|apikey|secret key)\\s*[:=]\\s*\"?([A-Za-z0-9_-]{6,})",
@@ -165,6 +171,14 @@ MARKER_TERMS = (
 )
 
 
+def head_edge(lane: str, recs: list[Recognizer]) -> str | None:
+    if lane.startswith("cue_"):
+        return LABEL_EDGE
+    if lane in LANE_PATTERN:
+        return TOKEN_EDGE
+    return recs[0].head_edge
+
+
 def by_type() -> dict[str, Recognizer]:
     return {r.entity_type: r for r in RECOGNIZERS}
 
@@ -186,7 +200,7 @@ def lanes(recs: list[Recognizer]) -> dict[str, list[Recognizer]]:
 
 def lane_pattern(lane: str, recs: list[Recognizer]) -> tuple[str, int]:
     if lane in LANE_PATTERN:
-        return LANE_PATTERN[lane], 1
+        return LANE_PATTERN[lane], 0
     r = recs[0]
     return r.pattern, r.group
 

@@ -28,6 +28,7 @@ RAW_SPAN = T.StructType([
     T.StructField("start", T.IntegerType()),
     T.StructField("end", T.IntegerType()),
     T.StructField("text", T.StringType()),
+    T.StructField("mstart", T.IntegerType()),
 ])
 
 SPAN = T.StructType([
@@ -44,34 +45,40 @@ def _col(c) -> Column:
 
 
 def regex_spans(text, pattern: str, group: int = 0) -> Column:
-    """array<struct<start int, end int, text string>> of every match.
+    """array<struct<start, end, text, mstart>> of every match.
 
-    ``text`` is a column or column name; ``pattern`` a Java/RE2-compatible
-    regex that never matches the empty string.
+    ``start``/``end``/``text`` describe the span (the group, when asked
+    for); ``mstart`` is where the whole match begins, so callers can check
+    the character before a label.  Two passes over the text (split and
+    extract); a group is re-extracted from each short match string, which
+    gives the same group because patterns have no look-around.
     """
     t = _col(text)
     gaps = F.split(t, pattern, -1)
     whole = F.regexp_extract_all(t, F.lit(pattern), 0)
     zipped = F.arrays_zip(gaps.alias("g"), whole.alias("m"))
-    if group:
-        part = F.regexp_extract_all(t, F.lit(pattern), group)
-        zipped = F.arrays_zip(gaps.alias("g"), whole.alias("m"), part.alias("v"))
     empty = F.array().cast(T.ArrayType(RAW_SPAN))
     init = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
 
     def step(acc, x):
         begin = acc["pos"] + F.length(x["g"])
         stop = begin + F.length(x["m"])
-        value = x["v"] if group else x["m"]
+        value = F.regexp_extract(x["m"], pattern, group) if group else x["m"]
         span = F.struct((stop - F.length(value)).cast("int").alias("start"),
                         stop.cast("int").alias("end"),
-                        value.alias("text"))
+                        value.alias("text"),
+                        begin.cast("int").alias("mstart"))
         out = F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span)))
         return F.struct(stop.alias("pos"), out.alias("out"))
 
     return F.aggregate(zipped, init, step, lambda acc: acc["out"])
 
 
+def prev_char(text, start_col: Column) -> Column:
+    """The character right before a position ('' at the start of the text)."""
+    return F.when(start_col <= 0, F.lit("")).otherwise(F.substr(_col(text), start_col, F.lit(1)))
+
+
 def next_char(text, end_col: Column) -> Column:
     """The character right after a span ('' at the end of the text)."""
     return F.substr(_col(text), end_col + 1, F.lit(1))

@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import recognizers as R
-from ..functions.spans import SPAN, before, next_char, regex_spans
+from ..functions.spans import SPAN, before, next_char, prev_char, regex_spans
+from .parallel import spread
 
 DEFAULT_THRESHOLD = 0.7
-EMPTY_SPANS = F.array().cast(T.ArrayType(SPAN))
+
+
+def _empty() -> Column:
+    return F.array().cast(T.ArrayType(SPAN))
 
 
 def _score(text: Column, rec: R.Recognizer, c: Column) -> Column:
@@ -42,17 +46,36 @@ def _label(text: Column, rec: R.Recognizer, c: Column) -> Column:
 def lane_spans(text: Column, lane: str, recs: list[R.Recognizer]) -> Column:
     pattern, group = R.lane_pattern(lane, recs)
     cands = regex_spans(text, pattern, group)
+    edge = R.head_edge(lane, recs)
+    if edge:
+        cands = F.filter(cands, lambda c: ~prev_char(text, c["mstart"]).rlike(edge))
     if lane in R.LANE_PATTERN or recs[0].tail_guard:
-        cands = F.filter(cands, lambda c: ~next_char(text, c["end"]).rlike("^[A-Za-z0-9]$"))
+        cands = F.filter(cands, lambda c: ~next_char(text, c["end"]).rlike(R.TOKEN_EDGE))
     labelled = F.flatten(F.transform(
         cands, lambda c: F.filter(F.array(*[_label(text, r, c) for r in recs]), lambda s: s.isNotNull())))
     pre = R.lane_prefilter(lane, recs)
     if pre:
-        labelled = F.when(text.rlike(pre), labelled).otherwise(EMPTY_SPANS)
+        labelled = F.when(text.rlike(pre), labelled).otherwise(_empty())
     return labelled
 
 
+_SPANS_CACHE: dict = {}
+
+
 def spans_column(text, entities=None, threshold: float | None = DEFAULT_THRESHOLD) -> Column:
+    """Cached :func:`build_spans_column` (building the expression tree costs
+    thousands of py4j calls; the tree itself is reusable within a session)."""
+    from pyspark import SparkContext
+    if not isinstance(text, str):
+        return build_spans_column(text, entities, threshold)
+    key = (id(SparkContext._active_spark_context), text,
+           None if entities is None else tuple(sorted(entities)), threshold)
+    if key not in _SPANS_CACHE:
+        _SPANS_CACHE[key] = build_spans_column(text, entities, threshold)
+    return _SPANS_CACHE[key]
+
+
+def build_spans_column(text, entities=None, threshold: float | None = DEFAULT_THRESHOLD) -> Column:
     """array<struct<entity_type,start,end,score,text>> for one text column.
 
     ``entities`` prunes recognizers (and so regex passes) from the plan;
@@ -62,11 +85,11 @@ def spans_column(text, entities=None, threshold: float | None = DEFAULT_THRESHOL
     t = F.col(text) if isinstance(text, str) else text
     recs = R.select(entities)
     parts = [lane_spans(t, lane, rs) for lane, rs in R.lanes(recs).items()]
-    allspans = F.concat(*parts) if parts else EMPTY_SPANS
+    allspans = F.concat(*parts) if parts else _empty()
     if threshold is not None:
         allspans = F.filter(allspans, lambda s: s["score"] >= F.lit(float(threshold)))
     blank = F.coalesce(F.length(F.trim(t)), F.lit(0)) == 0
-    allspans = F.when(blank, EMPTY_SPANS).otherwise(allspans)
+    allspans = F.when(blank, _empty()).otherwise(allspans)
     return F.array_sort(allspans, lambda a, b: _cmp(a, b))
 
 
@@ -81,7 +104,7 @@ def _cmp(a: Column, b: Column) -> Column:
 def detect_arrays(df: DataFrame, text_col: str = "text", id_cols=("doc_id",), entities=None,
                   threshold: float | None = DEFAULT_THRESHOLD, out_col: str = "entities") -> DataFrame:
     """One sorted span array per input row ([] for blank text)."""
-    return df.select(*id_cols, spans_column(text_col, entities, threshold).alias(out_col))
+    return spread(df, id_cols).select(*id_cols, spans_column(text_col, entities, threshold).alias(out_col))
 
 
 def detect_entities(df: DataFrame, text_col: str = "text", id_cols=("doc_id",), entities=None,
@@ -95,7 +118,7 @@ def doc_entity_counts(df: DataFrame, text_col: str = "text", id_cols=("doc_id",)
                       threshold: float | None = DEFAULT_THRESHOLD) -> DataFrame:
     """Per-document entity count and text length (code points)."""
     spans = spans_column(text_col, entities, threshold)
-    return df.select(*id_cols, F.size(spans).alias("entity_count"),
+    return spread(df, id_cols).select(*id_cols, F.size(spans).alias("entity_count"),
                      F.length(text_col).cast("long").alias("text_length"))
 
 
@@ -151,7 +174,7 @@ def _terms_by_regex(df, terms, text_col, id_cols, score):
         c = regex_spans(t, _terms_regex(grouped[etype]), 1)
         c = F.filter(c, lambda s: ~next_char(t, s["end"]).rlike("^[A-Za-z0-9]$"))
         parts.append(F.transform(c, _as_span(etype, score)))
-    arr = F.concat(*parts) if parts else EMPTY_SPANS
+    arr = F.concat(*parts) if parts else _empty()
     return df.select(*id_cols, F.explode(arr).alias("s")).select(*id_cols, "s.*")
 
 

@@ -161,17 +161,23 @@ def lane_ctes(lane: str, recs: list[R.Recognizer], src: str, id_cols: tuple[str,
     pre = R.lane_prefilter(lane, recs)
     ids = ", ".join(id_cols)
     where = f"WHERE regexp_matches(text, {q(pre)})" if pre else ""
-    m = (f"SELECT {ids}, text, g, m, v, unnest(range(1, len(m) + 1)) AS k FROM ("
+    m = (f"SELECT {ids}, text, g, m, unnest(range(1, len(m) + 1)) AS k FROM ("
          f"SELECT {ids}, text, string_split_regex(text, {q(pattern)}) AS g, "
-         f"regexp_extract_all(text, {q(pattern)}, 0) AS m, regexp_extract_all(text, {q(pattern)}, {group}) AS v "
-         f"FROM {src} {where}) x")
+         f"regexp_extract_all(text, {q(pattern)}, 0) AS m FROM {src} {where}) x")
     endexpr = ("coalesce(list_sum(list_transform(g[1:k], lambda s: length(s))), 0) + "
                "coalesce(list_sum(list_transform(m[1:k], lambda s: length(s))), 0)")
-    c = (f"SELECT {ids}, text, CAST(e - length(v[k]) AS INT) AS start, CAST(e AS INT) AS \"end\", v[k] AS tok "
-         f"FROM (SELECT *, {endexpr} AS e FROM {lane}_m) y")
-    guard = lane in R.LANE_PATTERN or recs[0].tail_guard
-    if guard:
-        c = f"SELECT * FROM ({c}) z WHERE NOT regexp_matches(substr(text, \"end\" + 1, 1), '^[A-Za-z0-9]$')"
+    val = f"regexp_extract(m[k], {q(pattern)}, {group})" if group else "m[k]"
+    c = (f"SELECT {ids}, text, CAST(e - length(v) AS INT) AS start, CAST(e AS INT) AS \"end\", v AS tok, "
+         f"CAST(e - length(m[k]) AS INT) AS mstart "
+         f"FROM (SELECT *, {endexpr} AS e, {val} AS v FROM {lane}_m) y")
+    edge = R.head_edge(lane, recs)
+    conds = []
+    if edge:
+        conds.append(f"NOT regexp_matches(CASE WHEN mstart <= 0 THEN '' ELSE substr(text, mstart, 1) END, {q(edge)})")
+    if lane in R.LANE_PATTERN or recs[0].tail_guard:
+        conds.append(f"NOT regexp_matches(substr(text, \"end\" + 1, 1), {q(R.TOKEN_EDGE)})")
+    if conds:
+        c = f"SELECT * FROM ({c}) z WHERE " + " AND ".join(conds)
     return [(f"{lane}_m", m), (f"{lane}_c", c)]
 
 

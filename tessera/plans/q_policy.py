@@ -8,6 +8,7 @@ entity); the nested JSON form is a sink (``sources/reports.py``).
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import masks as M
 from ..functions import policy as P
@@ -24,6 +25,12 @@ def _fe(spark, sf, threshold=P.HIGH_CONFIDENCE_THRESHOLD):
     return C.ledger_entities(tb.files, tb.results, tb.entities, threshold)
 
 
+def one_type():
+    from pyspark.sql import types as T
+    return T.StructType([T.StructField("entity_types", T.ArrayType(T.StringType())),
+                         T.StructField("entity_count", T.LongType())])
+
+
 def _joined(col):
     return F.array_join(col, ",")
 
@@ -32,10 +39,14 @@ def _joined(col):
 def _doc_sets(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     spans = D.detect_arrays(docs)
-    # the type set comes straight from the span array of the same row: no shuffle
+    # The type set comes straight from the span array of the same row: no
+    # shuffle.  The non-empty test sits inside a generator (0 or 1 rows per
+    # document), so Catalyst cannot push it below the detector and evaluate
+    # the detector twice.
     types = F.array_sort(F.array_distinct(F.transform("entities", lambda s: s["entity_type"])))
-    return spans.where(F.size("entities") > 0).select(
-        "doc_id", types.alias("entity_types"), F.size("entities").cast("long").alias("entity_count"))
+    one = F.struct(types.alias("entity_types"), F.size("entities").cast("long").alias("entity_count"))
+    rows = F.when(F.size("entities") > 0, F.array(one)).otherwise(F.array().cast(T.ArrayType(one_type())))
+    return spans.select("doc_id", F.inline(rows))
 
 
 _DOC_SETS_SQL = ("SELECT doc_id, list_sort(list(DISTINCT entity_type)) AS types, count(*) AS entity_count "
