@@ -270,17 +270,26 @@ def span_islands(spans: DataFrame, id_cols=("doc_id",)) -> DataFrame:
                     F.col("b.score").alias("score"), "n_spans"))
 
 
-def span_overlaps(spans: DataFrame, id_cols=("doc_id",)) -> DataFrame:
+def span_overlaps(spans: DataFrame, id_cols=("doc_id",), bucket: int = 1024) -> DataFrame:
     """Pairs of spans of different type that share characters.
 
-    A range self-join on the document key: equi-join on ``doc_id`` plus the
-    interval predicate.  The pair count per document is bounded by the
-    spans of that document that actually overlap (no all-pairs product is
-    emitted: the predicate is evaluated in the join).
+    A bucketed range join: each span is listed under the fixed-width
+    position buckets it covers, the equi-join key is (doc, bucket), and a
+    pair is kept only in the bucket where its overlap begins, so it appears
+    once.  Work per key is bounded by the spans of one bucket, not by the
+    spans of a whole document, and no pair is formed across buckets.
     """
-    a = spans.select(*id_cols, *[F.col(c).alias("a_" + c) for c in ("entity_type", "start", "end")])
-    b = spans.select(*id_cols, *[F.col(c).alias("b_" + c) for c in ("entity_type", "start", "end")])
-    cond = [a[c] == b[c] for c in id_cols] + [
-        a["a_start"] < b["b_end"], b["b_start"] < a["a_end"], a["a_entity_type"] < b["b_entity_type"]]
-    return a.join(b, cond).select(*[a[c] for c in id_cols], "a_entity_type", "a_start", "a_end",
-                                  "b_entity_type", "b_start", "b_end")
+    first = F.floor(F.col("start") / bucket)
+    last = F.floor(F.greatest(F.col("end") - 1, F.col("start")) / bucket)
+
+    def side(p):
+        return spans.select(*id_cols, F.col("entity_type").alias(p + "entity_type"),
+                            F.col("start").alias(p + "start"), F.col("end").alias(p + "end"),
+                            F.explode(F.sequence(first, last)).alias("_bk"))
+
+    a, b = side("a_"), side("b_")
+    j = a.join(b, [*id_cols, "_bk"])
+    keep = ((F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end"))
+            & (F.col("a_entity_type") < F.col("b_entity_type"))
+            & (F.col("_bk") == F.floor(F.greatest(F.col("a_start"), F.col("b_start")) / bucket)))
+    return j.where(keep).select(*id_cols, "a_entity_type", "a_start", "a_end", "b_entity_type", "b_start", "b_end")
