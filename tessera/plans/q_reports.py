@@ -1 +1,232 @@
-"""Queries registered in later steps."""
+"""Source and sink queries (S1-S14) and report texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import policy as P
+from ..operators import classify as C
+from ..operators import detect as D
+from ..operators import ledger as L
+from ..operators import summary as SM
+from ..session import scratch_path
+from ..sources import listing as LS
+from ..sources import metrics as MX
+from ..sources import reports as RP
+from ..sources import sinks as SK
+from ..sources import text as TX
+from ..sources.tables import read_table
+from . import oracle as O
+from .registry import register
+from .testbed import Testbed
+
+AS_OF = "1999-01-01 00:00:00"
+
+
+def _tb(spark, sf):
+    return Testbed(spark, sf)
+
+
+def _fe(spark, sf):
+    tb = _tb(spark, sf)
+    return C.ledger_entities(tb.files, tb.results, tb.entities, 0.7)
+
+
+def _scratch(spark, sf, name):
+    tag = sf.rstrip("/").split("/")[-1]
+    return scratch_path(spark, f"tessera-{name}-{tag}")
+
+
+@register("src_listing")
+def src_listing(spark, sf):
+    """Recursive listing of the data folder (content pruned), filtered
+    by extension, with size and the lower-case type."""
+    df = LS.list_files(spark, sf, extensions=[".parquet"], glob="*.parquet")
+    return df.select(L.basename(F.col("file_path")).alias("name"), "file_size", "file_type")
+
+
+@register("src_file_list", O.with_views(
+    """SELECT l.job_id, l.file_path, NOT EXISTS (SELECT 1 FROM t_files k WHERE k.status = 'completed'
+         AND k.job_id = l.job_id AND k.file_path = l.file_path) AS is_new
+       FROM t_files l WHERE l.file_path IN (SELECT file_path FROM t_files WHERE coalesce(error_message, '') <> 'No such file')
+         AND lower(regexp_extract(regexp_extract(l.file_path, '[^/]*$', 0), '^\\.*[^.].*(\\.[^.]*)$', 1))
+             IN ('.csv', '.doc', '.docx', '.eml', '.htm', '.html', '.json', '.markdown', '.md', '.msg', '.pdf',
+                 '.ppt', '.pptx', '.rtf', '.tsv', '.txt', '.xls', '.xlsx', '.xml')""", "t_files"))
+def src_file_list(spark, sf):
+    """Explicit file list -> drop missing and unsupported, flag new ones
+    (not yet completed in the ledger)."""
+    f = _tb(spark, sf).files
+    listed = f.select("job_id", "file_path")
+    exists = f.where(F.coalesce(F.col("error_message"), F.lit("")) != "No such file").select("file_path")
+    done = f.where(F.col("status") == "completed")
+    return LS.file_list_source(listed, exists, done)
+
+
+@register("src_text", """SELECT doc_id, trim(text) AS text FROM documents WHERE length(trim(text)) > 0""")
+def src_text(spark, sf):
+    """Trimmed, non-blank text rows."""
+    return TX.text_rows(read_table(spark, sf, "documents"))
+
+
+_HTML_SQL = """trim(regexp_replace(regexp_replace(
+  replace(replace(replace(replace(replace(replace(replace(
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+      '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'),
+      '(?s)<!--.*?-->', ' ', 'g'),
+      '(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/title)[^>]*>', chr(10), 'g'),
+      '<[^>]*>', ' ', 'g'),
+    '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'),
+  '[ \\t\\r\\f]+', ' ', 'g'), ' *\\n[ \\n]*', chr(10), 'g'))"""
+
+
+@register("html_to_text", f"SELECT page_id, {_HTML_SQL} AS text FROM pages")
+def html_to_text(spark, sf):
+    """Markup to text on the pages table."""
+    p = read_table(spark, sf, "pages")
+    return p.select("page_id", TX.html_to_text(F.col("html")).alias("text"))
+
+
+@register("detect_pages", O.with_views(
+    'SELECT page_id, entity_type, start, "end", score, text FROM spans',
+    extra=O.spans_view(None, 0.7, src="ptext", id_cols=("page_id",),
+                       src_sql=f"SELECT page_id, {_HTML_SQL} AS text FROM pages")))
+def detect_pages(spark, sf):
+    """S6 + D1: detection on the text of web pages."""
+    p = read_table(spark, sf, "pages").select("page_id", TX.html_to_text(F.col("html")).alias("text"))
+    return D.detect_entities(p, id_cols=("page_id",))
+
+
+@register("detect_conversations", O.with_views(
+    'SELECT conv_id, turn, entity_type, start, "end", score, text FROM spans',
+    extra=O.spans_view(None, 0.7, src="conversations", id_cols=("conv_id", "turn"))))
+def detect_conversations(spark, sf):
+    """D1 on conversation turns (key = conversation, turn)."""
+    c = read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return D.detect_entities(c, id_cols=("conv_id", "turn"))
+
+
+@register("src_json_report", O.ledger_sql(
+    "SELECT file_path, entity_type, score FROM fe"))
+def src_json_report(spark, sf):
+    """S8 -> S3 round trip: export the ledger (entities >= 0.7) as JSON
+    lines, read it back with an explicit schema and explode to entities."""
+    tb = _tb(spark, sf)
+    done = tb.files.where(F.col("status") == "completed")
+    rec = RP.nested_records(tb.jobs, done, tb.results, tb.entities, threshold=0.7)
+    path = _scratch(spark, sf, "report")
+    RP.write_report(rec, path)
+    back = RP.read_report_lines(spark, path)
+    return RP.report_entities(back).select("file_path", "entity_type", "score")
+
+
+@register("export_nested", O.with_views(
+    """SELECT f.file_path, f.status, CAST(coalesce(c.n, 0) AS INT) AS n_entities, j.command_line
+       FROM t_files f JOIN t_jobs j ON f.job_id = j.job_id
+       LEFT JOIN (SELECT result_id, count(*) AS n FROM t_entities GROUP BY result_id) c ON c.result_id = f.file_id
+         AND f.file_id IN (SELECT file_id FROM t_results) WHERE f.job_id = 2""",
+    "t_files", "t_results", "t_entities", "t_jobs"))
+def export_nested(spark, sf):
+    """Nested export of one job; each file's entity list may be split
+    over salted parts, so counts are summed per file."""
+    tb = _tb(spark, sf)
+    rec = RP.nested_records(tb.jobs.where(F.col("job_id") == 2), tb.files.where(F.col("job_id") == 2),
+                            tb.results, tb.entities)
+    return rec.groupBy("file_path", "status", "command_line").agg(
+        F.sum(F.size("entities")).cast("int").alias("n_entities"))
+
+
+@register("export_filtered", O.ledger_sql(
+    """SELECT job_id, count(DISTINCT file_path) AS files, count(*) AS entities, round(avg(score), 6) AS avg_score
+       FROM fe GROUP BY job_id"""))
+def export_filtered(spark, sf):
+    """Threshold-filtered export (completed files with results, entities
+    >= 0.7) with its processing header, summarised per job."""
+    tb = _tb(spark, sf)
+    done = tb.files.where(F.col("status") == "completed").join(tb.results.select("file_id"), "file_id", "left_semi")
+    rec = RP.nested_records(tb.jobs, done, tb.results, tb.entities, threshold=0.7, mask=False)
+    ex = rec.select("job_id", "file_path", F.explode("entities").alias("e"))
+    return ex.groupBy("job_id").agg(F.count_distinct("file_path").alias("files"), F.count(F.lit(1)).alias("entities"),
+                                    F.round(F.avg("e.score"), 6).alias("avg_score"))
+
+
+@register("src_metrics_jsonl", O.with_views(
+    """SELECT host, disk_read_mb_s, worker_change FROM (
+         SELECT job_id AS host, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER w AS dt,
+           4096 / (epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER w) / 1048576.0 AS disk_read_mb_s,
+           CAST(event_id % 5 + 1 - lag(event_id % 5 + 1) OVER w AS INT) AS worker_change
+         FROM t_log WINDOW w AS (PARTITION BY job_id ORDER BY epoch_us(ts) / 1e6)) x WHERE dt > 0""", "t_log"))
+def src_metrics_jsonl(spark, sf):
+    """S7 + W4: metric samples written as JSON lines, read back with an
+    explicit nested schema, then per-host rates between samples."""
+    samples = MX.metrics_from_log(_tb(spark, sf).log)
+    path = _scratch(spark, sf, "metrics")
+    samples.write.mode("overwrite").json(path)
+    r = MX.metric_rates(MX.read_metrics(spark, path))
+    return r.select("host", "disk_read_mb_s", "worker_change")
+
+
+@register("sink_results", O.with_views(
+    """SELECT entity_type, count(*) AS n FROM spans GROUP BY entity_type""", extra=O.spans_view(None, 0.7)))
+def sink_results(spark, sf):
+    """Append results + entities (partitioned by type) and read the
+    entity table back, counted per partition."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    spans = D.detect_arrays(docs)
+    base = _scratch(spark, sf, "sink")
+    SK.write_results(SK.results_from_spans(spans), SK.entities_from_spans(spans), base, mode="overwrite")
+    back = spark.read.parquet(f"{base}/entities")
+    return back.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("output_path", O.with_views(
+    """SELECT file_id,
+         '/out/' || substr(regexp_extract(file_path, '[^/]*$', 0), 1, length(regexp_extract(file_path, '[^/]*$', 0))
+           - length(regexp_extract(regexp_extract(file_path, '[^/]*$', 0), '^\\.*[^.].*(\\.[^.]*)$', 1))) || '.json' AS json_path,
+         regexp_extract(file_path, '^(.*)/[^/]*$', 1) || '/' || substr(regexp_extract(file_path, '[^/]*$', 0), 1,
+           length(regexp_extract(file_path, '[^/]*$', 0))
+           - length(regexp_extract(regexp_extract(file_path, '[^/]*$', 0), '^\\.*[^.].*(\\.[^.]*)$', 1))) || '.txt' AS beside_path,
+         '/out/' || regexp_replace(file_path, '^/corpus/', '') AS mirror_path
+       FROM t_files""", "t_files"))
+def output_path(spark, sf):
+    """Output paths: into a folder with a new extension, beside the
+    input with the default .txt, and mirrored relative to the scan root."""
+    f = _tb(spark, sf).files
+    p = F.col("file_path")
+    return f.select("file_id", SK.output_path(p, "/out", "json").alias("json_path"),
+                    SK.output_path(p, None).alias("beside_path"),
+                    SK.relative_output(p, "/corpus", "/out").alias("mirror_path"))
+
+
+@register("copy_manifest", O.ledger_sql(
+    f"""SELECT file_path, tier, '/clone/' || {O.sql_pick(P.TIER_NAMES, 'tier')} || '/' ||
+          CASE WHEN n = 0 THEN base ELSE substr(base, 1, length(base) - length(ext)) || '_' || n || ext END AS target_path
+        FROM (SELECT file_path, tier, base, ext,
+                row_number() OVER (PARTITION BY tier, base ORDER BY file_path) - 1 AS n
+              FROM (SELECT file_path, {O.sql_set_tier('types')} AS tier, regexp_extract(file_path, '[^/]*$', 0) AS base,
+                      regexp_extract(regexp_extract(file_path, '[^/]*$', 0), '^\\.*[^.].*(\\.[^.]*)$', 1) AS ext
+                    FROM fs) a WHERE tier >= 2) b"""))
+def copy_manifest(spark, sf):
+    """Copy plan of classified files (tier >= 2) into tier folders,
+    with _1, _2 ... suffixes for repeated basenames."""
+    c = C.classified_files(_fe(spark, sf))
+    return SK.copy_manifest(c, "/clone", min_tier=2)
+
+
+@register("report_lines")
+def report_lines(spark, sf):
+    """The detailed strict-policy report as ordered line rows."""
+    return SM.breach_report_lines(_fe(spark, sf))
+
+
+@register("exec_summary_breach")
+def exec_summary_breach(spark, sf):
+    """Strict-policy executive summary lines (as_of fixed)."""
+    tb = _tb(spark, sf)
+    return SM.breach_summary_lines(spark, tb.files, tb.jobs, _fe(spark, sf), AS_OF)
+
+
+@register("exec_summary_tier")
+def exec_summary_tier(spark, sf):
+    """Tier-policy executive summary lines (min tier 1, as_of fixed)."""
+    tb = _tb(spark, sf)
+    return SM.tier_summary_lines(spark, tb.files, tb.jobs, _fe(spark, sf), AS_OF)
