@@ -13,6 +13,8 @@ def spread(df: DataFrame, keys=("doc_id",)) -> DataFrame:
     per-row regex workload on one core.  Hashing on the document key is
     deterministic, so a retried task sees the same rows.
     """
+    if df.isStreaming:
+        return df  # a stream's partitions come from its source files
     spark = df.sparkSession
     slots = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= slots:

@@ -1 +1,89 @@
-"""Queries registered in later steps."""
+"""Streaming queries (K1-K9): each drains the available files of a driver
+table through a real stream (fresh checkpoint) and returns the sink."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..streaming import streams as S
+from . import oracle as O
+from .registry import register
+
+
+@register("stream_detect", O.with_views('SELECT doc_id, entity_type, start, "end", score, text FROM spans',
+                                        extra=O.spans_view(None, 0.7)))
+def stream_detect(spark, sf):
+    """K1: incremental detection stream over the documents files."""
+    return S.stream_detect(spark, sf)
+
+
+@register("stream_sink", O.with_views("SELECT entity_type, count(*) AS n FROM spans GROUP BY entity_type",
+                                      extra=O.spans_view(None, 0.7)))
+def stream_sink(spark, sf):
+    """K2: foreachBatch sink writing results + entities per batch id."""
+    return S.stream_sink(spark, sf).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("stream_dedup", """SELECT DISTINCT o_custkey % 3 + 1 AS job_id,
+    concat('/corpus/job', o_custkey % 3 + 1, '/d', o_orderkey % 7, '/f', o_orderkey) AS file_path FROM orders""")
+def stream_dedup(spark, sf):
+    """K3: register-once dedup of (job, path) within a watermark."""
+    return S.stream_dedup(spark, sf).select("job_id", "file_path")
+
+
+@register("stream_per_hour", """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+    count(*) AS events, round(sum(value), 6) AS value FROM events GROUP BY 1""")
+def stream_per_hour(spark, sf):
+    """K4: tumbling hourly windows on event time."""
+    return S.stream_per_hour(spark, sf)
+
+
+@register("stream_sliding", """SELECT strftime(make_timestamp(b * 300000000), '%Y-%m-%d %H:%M:%S') AS window_start,
+    count(*) AS events FROM (SELECT epoch_us(ts) // 300000000 - k AS b FROM events, range(6) r(k)) x GROUP BY b""")
+def stream_sliding(spark, sf):
+    """K5: 30-minute windows sliding by 5 minutes."""
+    return S.stream_sliding(spark, sf)
+
+
+@register("stream_sessions", """SELECT job_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start,
+    strftime(max(ts) + INTERVAL '2' HOUR, '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS events
+  FROM (SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL '2' HOUR THEN 1 ELSE 0 END)
+          OVER (PARTITION BY job_id ORDER BY ts, event_id) AS sid
+        FROM (SELECT event_id, user_id AS job_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev
+              FROM events) a) b GROUP BY job_id, sid""")
+def stream_sessions(spark, sf):
+    """K6: per-job activity sessions (2 h gap)."""
+    return S.stream_sessions(spark, sf)
+
+
+@register("stream_stalled", """SELECT o_orderkey AS file_id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS started,
+    'timeout' AS reason FROM orders
+  WHERE o_orderstatus = 'P' AND o_orderkey % 2 = 1
+    AND o_orderdate + INTERVAL '300' SECOND < (SELECT max(t) - INTERVAL '10' MINUTE FROM (
+      SELECT o_orderdate AS t FROM orders
+      UNION ALL SELECT o_orderdate + (o_orderkey % 3600) * INTERVAL '1' SECOND FROM orders
+        WHERE NOT (o_orderstatus = 'P' AND o_orderkey % 2 = 1)) e)""")
+def stream_stalled(spark, sf):
+    """K7: stateful stalled-item detection with event-time timers: a file
+    whose start is older than 300 s of event time without an end event."""
+    r = S.stream_stalled(spark, sf)
+    return r.select("file_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "reason")
+
+
+@register("stream_late", """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS events,
+    (SELECT count(*) FROM events) AS input_rows FROM events
+  WHERE date_trunc('hour', ts) + INTERVAL '1' HOUR <= (SELECT max(ts) FROM events) GROUP BY 1""")
+def stream_late(spark, sf):
+    """K8: rows behind the watermark dropped and counted."""
+    return S.stream_late(spark, sf)
+
+
+@register("stream_rates", O.with_views(
+    """SELECT job_id, event_id, dt, round((value - prev_value) / dt, 6) AS rate FROM (
+         SELECT job_id, event_id, value, lag(value) OVER w AS prev_value,
+           date_diff('microsecond', lag(ts) OVER w, ts) / 1e6 AS dt
+         FROM t_log WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)) x WHERE dt > 0""", "t_log"))
+def stream_rates(spark, sf):
+    """K9: sample rates on a stream (foreachBatch + carried last sample)."""
+    r = S.stream_rates(spark, sf)
+    return r.select("job_id", "event_id", "dt", F.round("rate", 6).alias("rate"))
