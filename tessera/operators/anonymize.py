@@ -149,7 +149,7 @@ def audit(df: DataFrame, text_col: str = "text", spans_col: str = "entities", me
     d = d.withColumn("_orig", F.transform("_isl", lambda x: F.substr(t, x["start"] + 1, x["end"] - x["start"])))
     z = F.arrays_zip(F.col("_isl").alias("isl"), F.col("_new").alias("new"), F.col("_shift").alias("shift"),
                      F.col("_orig").alias("orig"))
-    ex = d.select(*id_cols, F.posexplode(z).alias("pos", "z"))
+    ex = d.select(*id_cols, F.posexplode_outer(z).alias("pos", "z")).where(F.col("z").isNotNull())
     x = F.col("z.isl")
     return ex.select(*id_cols, "pos", x["entity_type"].alias("entity_type"), x["start"].alias("start"),
                      x["end"].alias("end"), (x["start"] + F.col("z.shift")).alias("new_start"),

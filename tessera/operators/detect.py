@@ -109,9 +109,14 @@ def detect_arrays(df: DataFrame, text_col: str = "text", id_cols=("doc_id",), en
 
 def detect_entities(df: DataFrame, text_col: str = "text", id_cols=("doc_id",), entities=None,
                     threshold: float | None = DEFAULT_THRESHOLD) -> DataFrame:
-    """Long form ``(id..., entity_type, start, end, score, text)``."""
+    """Long form ``(id..., entity_type, start, end, score, text)``.
+
+    ``explode_outer`` + a null filter instead of ``explode``: for a plain
+    explode Catalyst infers ``size(array) > 0`` and pushes it below the
+    projection, which would evaluate the whole detector two more times."""
     arr = detect_arrays(df, text_col, id_cols, entities, threshold, "_spans")
-    return arr.select(*id_cols, F.explode("_spans").alias("s")).select(*id_cols, "s.*")
+    return (arr.select(*id_cols, F.explode_outer("_spans").alias("s")).where(F.col("s").isNotNull())
+            .select(*id_cols, "s.*"))
 
 
 def doc_entity_counts(df: DataFrame, text_col: str = "text", id_cols=("doc_id",), entities=None,
@@ -175,7 +180,8 @@ def _terms_by_regex(df, terms, text_col, id_cols, score):
         c = F.filter(c, lambda s: ~next_char(t, s["end"]).rlike("^[A-Za-z0-9]$"))
         parts.append(F.transform(c, _as_span(etype, score)))
     arr = F.concat(*parts) if parts else _empty()
-    return df.select(*id_cols, F.explode(arr).alias("s")).select(*id_cols, "s.*")
+    return (df.select(*id_cols, F.explode_outer(arr).alias("s")).where(F.col("s").isNotNull())
+            .select(*id_cols, "s.*"))
 
 
 WORD = "[A-Za-z0-9]+"

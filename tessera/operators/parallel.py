@@ -13,11 +13,14 @@ def spread(df: DataFrame, keys=("doc_id",)) -> DataFrame:
     per-row regex workload on one core.  Hashing on the document key is
     deterministic, so a retried task sees the same rows.
     """
-    if df.isStreaming:
-        return df  # a stream's partitions come from its source files
     spark = df.sparkSession
     slots = spark.sparkContext.defaultParallelism
+    cols = [k for k in keys if k in df.columns]
+    if df.isStreaming:
+        # A micro-batch's partitions are its file splits, unknown up front.
+        # Detection costs ~100x more per byte than a shuffle, so always
+        # balance the batch over the task slots.
+        return df.repartition(slots, *cols) if cols else df.repartition(slots)
     if df.rdd.getNumPartitions() >= slots:
         return df
-    cols = [k for k in keys if k in df.columns]
     return df.repartition(slots, *cols) if cols else df.repartition(slots)

@@ -46,7 +46,7 @@ def _doc_sets(spark, sf):
     types = F.array_sort(F.array_distinct(F.transform("entities", lambda s: s["entity_type"])))
     one = F.struct(types.alias("entity_types"), F.size("entities").cast("long").alias("entity_count"))
     rows = F.when(F.size("entities") > 0, F.array(one)).otherwise(F.array().cast(T.ArrayType(one_type())))
-    return spans.select("doc_id", F.inline(rows))
+    return spans.select("doc_id", F.inline_outer(rows)).where(F.col("entity_types").isNotNull())
 
 
 _DOC_SETS_SQL = ("SELECT doc_id, list_sort(list(DISTINCT entity_type)) AS types, count(*) AS entity_count "
