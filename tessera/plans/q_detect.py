@@ -94,3 +94,31 @@ def supported_entities(spark, sf):
     cat = D.supported_entities(spark)
     counts = D.detect_entities(_docs(spark, sf)).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n_found"))
     return cat.join(F.broadcast(counts), "entity_type", "left").fillna(0, ["n_found"])
+
+
+def _base_score_sql() -> str:
+    whens = " ".join(f"WHEN {O.q(r.entity_type)} THEN CAST({float(r.score)!r} AS DOUBLE)" for r in D.R.RECOGNIZERS)
+    return f"CASE entity_type {whens} END"
+
+
+@register("score_context", O.with_views(
+    f"""SELECT doc_id, entity_type, start, "end", {_base_score_sql()} AS base_score, score,
+          score > {_base_score_sql()} AS boosted FROM spans""", extra=O.spans_view(None, None)))
+def score_context(spark, sf):
+    """Base score of each candidate and the score after the context cue
+    (a cue word in the 40 characters before the span adds 0.3, cap 1.0)."""
+    base = F.create_map(*[x for r in D.R.RECOGNIZERS for x in (F.lit(r.entity_type), F.lit(float(r.score)))])
+    s = D.detect_entities(_docs(spark, sf), threshold=None)
+    b = F.element_at(base, F.col("entity_type"))
+    return s.select("doc_id", "entity_type", "start", "end", b.alias("base_score"), "score",
+                    (F.col("score") > b).alias("boosted"))
+
+
+@register("detect_terms")
+def detect_terms(spark, sf):
+    """Dictionary recognizer; LOCATION terms are the nation and region
+    names of the given tables (a bounded, size-checked term table)."""
+    n = read_table(spark, sf, "nation").select(F.lit("LOCATION").alias("entity_type"), F.col("n_name").alias("term"))
+    r = read_table(spark, sf, "region").select(F.lit("LOCATION").alias("entity_type"), F.col("r_name").alias("term"))
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return D.detect_terms(docs, n.unionByName(r))

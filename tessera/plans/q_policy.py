@@ -257,3 +257,28 @@ def _mask_query(key, fn, sql_fn, doc):
 _mask_query("mask_strict", M.mask_strict, O.sql_mask_strict, "A9 over every entity row.")
 _mask_query("mask_tiered", M.mask_tiered, O.sql_mask_tiered, "A10 over every entity row.")
 _mask_query("mask_simple", M.mask_simple, O.sql_mask_simple, "A11 over every entity row.")
+
+
+@register("join_ent_res_file", O.with_views(
+    """SELECT f.file_path, e.entity_type, e.start_index, e.score FROM t_entities e
+       JOIN t_results r ON e.result_id = r.result_id JOIN t_files f ON r.file_id = f.file_id
+       WHERE f.job_id = 1""", "t_files", "t_results", "t_entities"))
+def join_ent_res_file(spark, sf):
+    """Entities ⨝ results ⨝ files (inner) for one job, any score."""
+    tb = Testbed(spark, sf)
+    e = C.ledger_entities(tb.files, tb.results, tb.entities, None, job_id=1, completed_only=False)
+    return e.select("file_path", "entity_type", "start_index", "score")
+
+
+@register("load_nested", O.ledger_sql(
+    """SELECT file_path, count(*) AS n_entities, max(score) AS max_score,
+         array_to_string(list_sort(list(DISTINCT entity_type)), ',') AS entity_types FROM fe GROUP BY file_path"""))
+def load_nested(spark, sf):
+    """Completed files ⨝ results ⨝ entities (>= 0.7) as one set-based
+    join (the reference's per-file lookups removed), nested per file."""
+    fe = _fe(spark, sf)
+    nested = fe.groupBy("file_path").agg(F.collect_list(F.struct("entity_type", "score")).alias("entities"))
+    return nested.select("file_path", F.size("entities").cast("long").alias("n_entities"),
+                         F.array_max(F.transform("entities", lambda e: e["score"])).alias("max_score"),
+                         F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["entity_type"]))),
+                                      ",").alias("entity_types"))
