@@ -171,6 +171,22 @@ MARKER_TERMS = (
 )
 
 
+def lane_guard(lane: str) -> str:
+    """Cheap literal test implied by every pattern of a lane group: a text
+    without it cannot match, so the group's regex passes are skipped.
+
+    * cue lanes all need one of ``: = #`` after the label;
+    * number, phone and address lanes need a digit;
+    * e-mail needs an ``@``."""
+    if lane.startswith("cue_"):
+        return "sep"
+    if lane in ("num", "phone", "address"):
+        return "digit"
+    if lane == "email":
+        return "at"
+    return "none"
+
+
 def head_edge(lane: str, recs: list[Recognizer]) -> str | None:
     if lane.startswith("cue_"):
         return LABEL_EDGE

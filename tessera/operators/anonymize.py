@@ -29,8 +29,9 @@ ISLAND = T.StructType([
 
 def validate(method: str, operators: dict | None = None, key: str | None = None) -> None:
     """Unknown methods (and encrypt without a key) fail before any job runs."""
+    from ..functions.plugins import CUSTOM_OPERATORS
     for m in [method, *((operators or {}).values())]:
-        if m not in METHODS:
+        if m not in METHODS and m not in CUSTOM_OPERATORS:
             raise ValueError(f"Invalid anonymization method: {m}. Must be one of {list(METHODS)}")
         if m == "encrypt" and not key:
             raise ValueError("encrypt needs a key of 16, 24 or 32 bytes")
@@ -88,6 +89,9 @@ def replacement(method: str, span_text: Column, etype: Column, key: str | None =
         return F.sha2(span_text, 256)
     if method == "encrypt":
         return F.base64(F.aes_encrypt(span_text, F.lit(key), F.lit("ECB")))
+    from ..functions.plugins import CUSTOM_OPERATORS
+    if method in CUSTOM_OPERATORS:
+        return CUSTOM_OPERATORS[method](span_text, etype)
     raise ValueError(method)
 
 

@@ -84,7 +84,14 @@ def build_spans_column(text, entities=None, threshold: float | None = DEFAULT_TH
     """
     t = F.col(text) if isinstance(text, str) else text
     recs = R.select(entities)
-    parts = [lane_spans(t, lane, rs) for lane, rs in R.lanes(recs).items()]
+    groups: dict[str, list[Column]] = {}
+    for lane, rs in R.lanes(recs).items():
+        groups.setdefault(R.lane_guard(lane), []).append(lane_spans(t, lane, rs))
+    parts = []
+    for guard, cols in groups.items():
+        arr = F.concat(*cols) if len(cols) > 1 else cols[0]
+        g = _guard(t, guard)
+        parts.append(arr if g is None else F.when(g, arr).otherwise(_empty()))
     allspans = F.concat(*parts) if parts else _empty()
     if threshold is not None:
         allspans = F.filter(allspans, lambda s: s["score"] >= F.lit(float(threshold)))
@@ -93,6 +100,16 @@ def build_spans_column(text, entities=None, threshold: float | None = DEFAULT_TH
     return F.array_sort(allspans, lambda a, b: _cmp(a, b))
 
 
+def _guard(t: Column, guard: str) -> Column | None:
+    if guard == "sep":
+        return t.contains(":") | t.contains("=") | t.contains("#")
+    if guard == "digit":
+        return t.rlike("[0-9]")
+    if guard == "at":
+        return t.contains("@")
+    return None
+
+
 def _cmp(a: Column, b: Column) -> Column:
     """Order spans by (start, end, entity_type)."""
     return (F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1)

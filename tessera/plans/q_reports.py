@@ -212,7 +212,43 @@ def copy_manifest(spark, sf):
     return SK.copy_manifest(c, "/clone", min_tier=2)
 
 
-@register("report_lines")
+def _report_lines_sql():
+    cat = O.sql_display("entity_type", P.STRICT_DISPLAY_NAMES)
+    mask = O.sql_mask_strict("s.text", "s.entity_type")
+    t = "b.types"
+    reasons = (f"list_filter([CASE WHEN {O.sql_has_name(t)} AND {O.sql_sensitive(t)} THEN "
+               f"'  - Contains personally identifiable information AND sensitive data' END, "
+               f"CASE WHEN {O.sql_cred(t)} THEN "
+               f"'  - Contains credential pair (username/email + password/access code)' END], lambda x: x IS NOT NULL)")
+    sep = "-" * 80
+    return O.ledger_sql(f"""
+SELECT file_rank, ord, line FROM (
+  SELECT file_rank, 0 AS ord, 'File: ' || file_path AS line FROM b
+  UNION ALL SELECT file_rank, 1, 'Number of entities: ' || entity_count FROM b
+  UNION ALL SELECT file_rank, 2, 'Classification: ' || label FROM b
+  UNION ALL SELECT file_rank, 9, 'Entity types:' FROM b
+  UNION ALL SELECT file_rank, 99, 'Breach notification trigger reason:' FROM b
+  UNION ALL SELECT file_rank, 999, 'Sample entities (max 3 per type):' FROM b
+  UNION ALL SELECT file_rank, 999999, '{sep}' FROM b
+  UNION ALL SELECT file_rank, CAST(100 + k - 1 AS INT), r FROM (
+      SELECT file_rank, unnest({reasons}) AS r, generate_subscripts({reasons}, 1) AS k FROM b) x
+  UNION ALL SELECT file_rank, CAST(cr + 9 AS INT), '  - ' || category || ': ' || n FROM c
+  UNION ALL SELECT file_rank, CAST(1000 + cr * 10 AS INT), '  ' || category || ':' FROM c
+  UNION ALL SELECT s.file_rank, CAST(1000 + c.cr * 10 + s.sn AS INT),
+      '    - ' || {mask} || ' (confidence: ' || printf('%.2f', s.score) || ')'
+    FROM s JOIN c ON s.file_rank = c.file_rank AND s.category = c.category WHERE s.sn <= 3
+) u""", ("b", f"""SELECT file_id, file_path, entity_count, types, {O.sql_label('types')} AS label,
+        row_number() OVER (ORDER BY entity_count DESC, file_path) AS file_rank
+      FROM fs WHERE {O.sql_trigger('types')}"""),
+        ("e", f"SELECT fe.*, b.file_rank, {cat} AS category FROM fe JOIN b ON fe.file_id = b.file_id"),
+        ("c", """SELECT file_rank, category, count(*) AS n,
+        row_number() OVER (PARTITION BY file_rank ORDER BY count(*) DESC, category) AS cr
+      FROM e GROUP BY file_rank, category"""),
+        ("s", """SELECT *, row_number() OVER (PARTITION BY file_rank, category
+        ORDER BY start_index, end_index, entity_type, text, score) AS sn FROM e"""))
+
+
+@register("report_lines", _report_lines_sql())
 def report_lines(spark, sf):
     """The detailed strict-policy report as ordered line rows."""
     return SM.breach_report_lines(_fe(spark, sf))
