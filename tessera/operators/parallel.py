@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame, keys=("doc_id",)) -> DataFrame:
@@ -24,3 +25,35 @@ def spread(df: DataFrame, keys=("doc_id",)) -> DataFrame:
     if df.rdd.getNumPartitions() >= slots:
         return df
     return df.repartition(slots, *cols) if cols else df.repartition(slots)
+
+
+def ranked(df: DataFrame, order_cols: list[str], partition_cols: list[str] | tuple = (), out: str = "rn",
+           parts: int | None = None) -> DataFrame:
+    """Exact 1-based ``row_number`` over ``order_cols`` (within each
+    ``partition_cols`` group) without putting a group in one task.
+
+    Rows are range-partitioned on (group, order); each range partition
+    numbers its own rows; the rows of earlier range partitions of the same
+    group are added from a count table with one row per (partition, group)
+    seen, which is bounded by partitions + groups.  ``order_cols`` must be a
+    total order (add a unique key to break ties): equal sort keys always land
+    in the same range partition.
+    """
+    spark = df.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = list(partition_cols)
+    r = df.repartitionByRange(n, *keys, *order_cols).withColumn("_pid", F.spark_partition_id())
+    # Range bounds come from sampling, so two reads of ``r`` could split the
+    # rows differently.  A reliable checkpoint (in spark.checkpoint.dir, which
+    # survives a lost executor, unlike a cache) fixes one partitioning that
+    # both the numbering and the count table read.
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    r = r.checkpoint(eager=True)
+    local = Window.partitionBy("_pid", *keys).orderBy(*order_cols)
+    r = r.withColumn("_local", F.row_number().over(local))
+    counts = r.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return r.join(offsets, ["_pid", *keys]).withColumn(out, F.col("_local") + F.col("_off")) \
+        .drop("_pid", "_local", "_off")

@@ -62,12 +62,13 @@ def last_samples(samples: DataFrame, key: str, ts: str, n: int = 10) -> DataFram
 def running_rate(files: DataFrame, every: int = 5) -> DataFrame:
     """Running count of completed files per job and the rate so far,
     reported every ``every`` files."""
-    done = files.where(F.col("status") == "completed")
-    w = Window.partitionBy("job_id").orderBy("process_end", "file_id")
-    r = done.select("job_id", "file_id", "process_end",
-                    F.row_number().over(w).alias("processed"),
-                    F.first("process_end").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("first_end"))
-    r = r.where(F.col("processed") % every == 0)
+    from .parallel import ranked
+    done = files.where(F.col("status") == "completed").select("job_id", "file_id", "process_end")
+    # a job may hold most of the files: the running count is a distributed
+    # rank, and the first finish a partial aggregate, not a per-job window
+    r = ranked(done, ["process_end", "file_id"], ["job_id"], out="processed")
+    first = done.groupBy("job_id").agg(F.min("process_end").alias("first_end"))
+    r = r.where(F.col("processed") % every == 0).join(first, "job_id")
     elapsed = seconds_between(F.col("first_end"), F.col("process_end"))
     return r.select("job_id", "file_id", "processed", elapsed.alias("elapsed_seconds"),
                     F.when(elapsed > 0, F.col("processed") * 3600.0 / elapsed).otherwise(F.lit(0.0))

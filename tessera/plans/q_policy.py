@@ -276,9 +276,13 @@ def join_ent_res_file(spark, sf):
 def load_nested(spark, sf):
     """Completed files ⨝ results ⨝ entities (>= 0.7) as one set-based
     join (the reference's per-file lookups removed), nested per file."""
-    fe = _fe(spark, sf)
-    nested = fe.groupBy("file_path").agg(F.collect_list(F.struct("entity_type", "score")).alias("entities"))
-    return nested.select("file_path", F.size("entities").cast("long").alias("n_entities"),
-                         F.array_max(F.transform("entities", lambda e: e["score"])).alias("max_score"),
-                         F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["entity_type"]))),
-                                      ",").alias("entity_types"))
+    from ..sources import reports as RP
+    tb = Testbed(spark, sf)
+    done = tb.files.where(F.col("status") == "completed")
+    # nested per (file, salted part): a file's entity list is split, never
+    # collected whole into one task; the per-file view merges the parts
+    rec = RP.nested_records(tb.jobs, done, tb.results, tb.entities, threshold=0.7, mask=False)
+    ex = rec.select("file_path", F.explode("entities").alias("e"))
+    return ex.groupBy("file_path").agg(
+        F.count(F.lit(1)).alias("n_entities"), F.max("e.score").alias("max_score"),
+        F.array_join(F.array_sort(F.collect_set("e.entity_type")), ",").alias("entity_types"))

@@ -352,10 +352,12 @@ def samples3(spark, sf):
 def samples5_more(spark, sf):
     """Top five by confidence per (file, type) and how many more."""
     fe = _fe(spark, sf)
-    w = Window.partitionBy("file_id", "entity_type")
-    r = fe.withColumn("rn", F.row_number().over(w.orderBy(F.desc("score"), "start_index", "text"))) \
-        .withColumn("n_more", F.greatest(F.count(F.lit(1)).over(w) - 5, F.lit(0)))
-    return r.where(F.col("rn") <= 5).select("file_path", "entity_type", "rn",
+    # the group size comes from a partial aggregate; the top five use a
+    # window group limit, so a hot (file, type) never sits in one task whole
+    n = fe.groupBy("file_id", "entity_type").agg(F.greatest(F.count(F.lit(1)) - 5, F.lit(0)).alias("n_more"))
+    w = Window.partitionBy("file_id", "entity_type").orderBy(F.desc("score"), "start_index", "text")
+    r = fe.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 5).join(n, ["file_id", "entity_type"])
+    return r.select("file_path", "entity_type", "rn",
                                            M.mask_tiered(F.col("text"), F.col("entity_type")).alias("masked_text"),
                                            F.col("score").alias("confidence"), "n_more")
 
@@ -367,10 +369,12 @@ def samples5_more(spark, sf):
 def rank_files(spark, sf):
     """Files by entity count (desc) and by tier (desc) then path.
     A global order is a range-partitioned sort; ranks use one window each."""
-    c = C.with_tier(C.entity_sets(_fe(spark, sf)))
-    return c.select("file_path", "entity_count", "tier",
-                    F.row_number().over(Window.orderBy(F.desc("entity_count"), "file_path")).alias("rank_by_count"),
-                    F.row_number().over(Window.orderBy(F.desc("tier"), "file_path")).alias("rank_by_tier"))
+    from ..operators.parallel import ranked
+    c = C.with_tier(C.entity_sets(_fe(spark, sf))).select("file_path", "entity_count", "tier")
+    c = c.withColumn("_nc", -F.col("entity_count")).withColumn("_nt", -F.col("tier"))
+    c = ranked(c, ["_nc", "file_path"], out="rank_by_count")
+    c = ranked(c, ["_nt", "file_path"], out="rank_by_tier")
+    return c.select("file_path", "entity_count", "tier", "rank_by_count", "rank_by_tier")
 
 
 @register("type_order", O.ledger_sql(

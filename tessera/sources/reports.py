@@ -62,6 +62,8 @@ def nested_records(jobs: DataFrame, files: DataFrame, results: DataFrame, entiti
                    parts: int = DEFAULT_PARTS) -> DataFrame:
     """Per-file records with job header, file fields, metadata map
     (bad JSON -> NULL map, Q9) and the entity list (masked by default)."""
+    # only the results and entities of the exported files are aggregated
+    results = results.join(files.select("file_id"), "file_id", "left_semi")
     r = results.groupBy("file_id").agg(F.min_by(F.struct("result_id", "processing_time", "metadata"),
                                                 F.col("result_id")).alias("r"))
     r = r.select("file_id", F.col("r.result_id").alias("result_id"), F.col("r.processing_time").alias("rt"),
@@ -73,7 +75,7 @@ def nested_records(jobs: DataFrame, files: DataFrame, results: DataFrame, entiti
     rec = f.select("job_id", "file_id", "result_id", "file_path", "file_type", "file_size", "status",
                    F.coalesce(F.col("rt"), F.col("processing_time")).alias("processing_time"), "metadata")
     if include_entities:
-        e = entities
+        e = entities.join(r.select("result_id"), "result_id", "left_semi")
         if threshold is not None:
             e = e.where(F.col("score") >= F.lit(float(threshold)))
         txt = M.mask_tiered(F.col("text"), F.col("entity_type")) if mask else F.col("text")
