@@ -277,16 +277,22 @@ def span_islands(spans: DataFrame, id_cols=("doc_id",)) -> DataFrame:
 
     An island's label is the highest score, then the longest span, then the
     earliest start, then the type name.  Order-independent, so SQL can check
-    it.  Window over (doc) ordered by start: a span opens a new island when
-    its start is >= the max end seen before it.
+    it.  A span opens a new island when its start is >= the largest end seen
+    before it; both running values (max end, island count) are two-level
+    prefix scans, so a document holding a third of all spans is still spread
+    over every task.  (One document id column is expected.)
     """
-    w = Window.partitionBy(*id_cols).orderBy("start", "end", "entity_type")
-    prev_end = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("_new", F.when(prev_end.isNull() | (F.col("start") >= prev_end), 1).otherwise(0))
-    marked = marked.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    from .parallel import prefix_scan
+    key = list(id_cols)
+    order = ["start", "end", "entity_type", "_tie"]
+    s = spans.withColumn("_tie", F.xxhash64(*spans.columns))
+    s = prefix_scan(s, order, key, maxes={"end": "_prev_end"}, inclusive=False)
+    s = s.withColumn("_new", F.when(F.col("_prev_end").isNull() | (F.col("start") >= F.col("_prev_end")), 1)
+                     .otherwise(0))
+    s = prefix_scan(s, order, key, sums={"_new": "island"})
     best = F.max(F.struct(F.col("score"), (F.col("end") - F.col("start")).alias("len"),
                           (-F.col("start")).alias("neg_start"), F.col("entity_type")))
-    return (marked.groupBy(*id_cols, "island")
+    return (s.groupBy(*id_cols, "island")
             .agg(F.min("start").alias("start"), F.max("end").alias("end"), best.alias("b"),
                  F.count(F.lit(1)).alias("n_spans"))
             .select(*id_cols, "island", F.col("b.entity_type").alias("entity_type"), "start", "end",

@@ -27,33 +27,72 @@ def spread(df: DataFrame, keys=("doc_id",)) -> DataFrame:
     return df.repartition(slots, *cols) if cols else df.repartition(slots)
 
 
-def ranked(df: DataFrame, order_cols: list[str], partition_cols: list[str] | tuple = (), out: str = "rn",
-           parts: int | None = None) -> DataFrame:
-    """Exact 1-based ``row_number`` over ``order_cols`` (within each
-    ``partition_cols`` group) without putting a group in one task.
-
-    Rows are range-partitioned on (group, order); each range partition
-    numbers its own rows; the rows of earlier range partitions of the same
-    group are added from a count table with one row per (partition, group)
-    seen, which is bounded by partitions + groups.  ``order_cols`` must be a
-    total order (add a unique key to break ties): equal sort keys always land
-    in the same range partition.
-    """
+def _range_split(df: DataFrame, keys: list, order_cols: list, parts: int | None) -> DataFrame:
     spark = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = list(partition_cols)
     r = df.repartitionByRange(n, *keys, *order_cols).withColumn("_pid", F.spark_partition_id())
     # Range bounds come from sampling, so two reads of ``r`` could split the
     # rows differently.  A reliable checkpoint (in spark.checkpoint.dir, which
     # survives a lost executor, unlike a cache) fixes one partitioning that
-    # both the numbering and the count table read.
+    # both the local scan and the carry table read.
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
-    r = r.checkpoint(eager=True)
-    local = Window.partitionBy("_pid", *keys).orderBy(*order_cols)
-    r = r.withColumn("_local", F.row_number().over(local))
-    counts = r.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    return r.checkpoint(eager=True)
+
+
+def prefix_scan(df: DataFrame, order_cols: list[str], partition_cols: list[str] | tuple = (),
+                sums: dict[str, str] | None = None, maxes: dict[str, str] | None = None,
+                inclusive: bool = True, parts: int | None = None) -> DataFrame:
+    """Running sums / maxima over ``order_cols`` within each group, computed
+    in two levels so that no group is processed by one task.
+
+    ``sums`` / ``maxes`` map an input column to an output column.  Rows are
+    range-partitioned on (group, order); each range partition scans its own
+    rows; the totals of the earlier range partitions of a group come from a
+    table with one row per (partition, group) and are carried in.  With
+    ``inclusive=False`` the current row is left out (a running max of the
+    rows before it, NULL for the first row of a group).
+    """
+    sums, maxes = sums or {}, maxes or {}
+    keys = list(partition_cols)
+    r = _range_split(df, keys, order_cols, parts)
+    frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
+    local = Window.partitionBy("_pid", *keys).orderBy(*order_cols).rowsBetween(*frame)
+    for c, o in sums.items():
+        r = r.withColumn("_ls_" + o, F.sum(c).over(local))
+    for c, o in maxes.items():
+        r = r.withColumn("_lm_" + o, F.max(c).over(local))
+    tot = r.groupBy("_pid", *keys).agg(*[F.sum(c).alias("_ts_" + o) for c, o in sums.items()],
+                                        *[F.max(c).alias("_tm_" + o) for c, o in maxes.items()])
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return r.join(offsets, ["_pid", *keys]).withColumn(out, F.col("_local") + F.col("_off")) \
-        .drop("_pid", "_local", "_off")
+    carry = tot.select("_pid", *keys,
+                       *[F.coalesce(F.sum("_ts_" + o).over(before), F.lit(0)).alias("_cs_" + o) for o in sums.values()],
+                       *[F.max("_tm_" + o).over(before).alias("_cm_" + o) for o in maxes.values()])
+    out = r.join(carry, ["_pid", *keys])
+    for o in sums.values():
+        out = out.withColumn(o, F.col("_cs_" + o) + F.coalesce(F.col("_ls_" + o), F.lit(0)))
+    for o in maxes.values():
+        out = out.withColumn(o, F.greatest(F.col("_cm_" + o), F.col("_lm_" + o)))
+    drop = ["_pid"] + [p + o for o in sums.values() for p in ("_ls_", "_cs_")] + \
+        [p + o for o in maxes.values() for p in ("_lm_", "_cm_")]
+    return out.drop(*drop)
+
+
+def ranked(df: DataFrame, order_cols: list[str], partition_cols: list[str] | tuple = (), out: str = "rn",
+           parts: int | None = None) -> DataFrame:
+    """Exact 1-based ``row_number`` over ``order_cols`` (within each
+    ``partition_cols`` group) without putting a group in one task: a
+    running sum of ones through :func:`prefix_scan`.  ``order_cols`` must be
+    a total order (add a unique key to break ties): equal sort keys always
+    land in the same range partition."""
+    return prefix_scan(df.withColumn("_one", F.lit(1)), order_cols, partition_cols, sums={"_one": out},
+                       parts=parts).drop("_one").withColumn(out, F.col(out).cast("int"))
+
+
+def lagged(df: DataFrame, key: str, order_cols: list[str], cols: list[str]) -> DataFrame:
+    """``lag(col)`` per key for each of ``cols`` (``prev_<col>``) as an
+    equi-join on (key, rank - 1): the hot key's rows are spread over every
+    task instead of one window partition."""
+    r = ranked(df, order_cols, [key], out="_rn")
+    prev = r.select(key, (F.col("_rn") + 1).alias("_rn"), *[F.col(c).alias("prev_" + c) for c in cols])
+    return r.join(prev, [key, "_rn"], "left").drop("_rn")

@@ -44,10 +44,9 @@ def recent_rate(files: DataFrame, as_of: Column, minutes: int = 60) -> DataFrame
 def sample_rates(samples: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     """Rate of change between consecutive samples of a key; no row when
     the time step is not positive."""
-    w = Window.partitionBy(key).orderBy(ts, "event_id")
-    prev_ts = F.lag(ts).over(w)
-    prev_v = F.lag(value).over(w)
-    s = samples.select(key, "event_id", ts, value, prev_ts.alias("prev_ts"), prev_v.alias("prev_value"))
+    from .parallel import lagged
+    s = lagged(samples.select(key, "event_id", ts, value), key, [ts, "event_id"], [ts, value])
+    s = s.withColumnRenamed("prev_" + ts, "prev_ts").withColumnRenamed("prev_" + value, "prev_value")
     dt = F.timestamp_diff("MICROSECOND", F.col("prev_ts"), F.col(ts)) / F.lit(1e6)
     s = s.withColumn("dt", dt).where(F.col("dt") > 0)
     return s.select(key, "event_id", "dt", ((F.col(value) - F.col("prev_value")) / F.col("dt")).alias("rate"))
