@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,15 +40,18 @@ def read_metrics_stream(spark: SparkSession, path: str) -> DataFrame:
 def metric_rates(m: DataFrame, key: str = "host") -> DataFrame:
     """MB/s of disk and network and the worker-count change between
     consecutive samples of a host; no row when the time step is <= 0."""
-    w = Window.partitionBy(key).orderBy("timestamp_epoch")
-
-    def d(c):
-        return F.col(c) - F.lag(c).over(w)
-
+    from ..operators.parallel import lagged
+    cols = ["timestamp_epoch", "rb", "wb", "ns", "nr", "workers"]
     s = m.select(key, "timestamp_epoch",
                  F.col("system.disk.read_bytes").alias("rb"), F.col("system.disk.write_bytes").alias("wb"),
                  F.col("system.network.bytes_sent").alias("ns"), F.col("system.network.bytes_recv").alias("nr"),
                  F.size("processes.worker_processes").alias("workers"))
+    # lag as an equi-join on (host, rank - 1): a busy host is not one task
+    s = lagged(s, key, ["timestamp_epoch"], cols)
+
+    def d(c):
+        return F.col(c) - F.col("prev_" + c)
+
     s = s.select(key, "timestamp_epoch", d("timestamp_epoch").alias("dt"), d("rb").alias("drb"),
                  d("wb").alias("dwb"), d("ns").alias("dns"), d("nr").alias("dnr"), d("workers").alias("worker_change"))
     s = s.where(F.col("dt") > 0)
@@ -62,10 +65,10 @@ def metric_rates(m: DataFrame, key: str = "host") -> DataFrame:
 def metrics_from_log(log: DataFrame) -> DataFrame:
     """Metric samples derived from a processing log (one sample per event:
     cumulative byte counters per host), in the S7 record shape."""
-    w = Window.partitionBy("job_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    base = log.select("job_id", "ts", "event_id", "value",
-                      F.sum(F.lit(4096)).over(w).alias("rb"), F.sum((F.col("value") * 1000).cast("long")).over(w)
-                      .alias("ns"))
+    from ..operators.parallel import prefix_scan
+    base = log.select("job_id", "ts", "event_id", "value", F.lit(4096).cast("long").alias("b"),
+                      (F.col("value") * 1000).cast("long").alias("n"))
+    base = prefix_scan(base, ["ts", "event_id"], ["job_id"], sums={"b": "rb", "n": "ns"})
     epoch = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
     return base.select(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), epoch.alias("timestamp_epoch"),

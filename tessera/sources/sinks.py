@@ -7,7 +7,7 @@ funnelled through the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import policy as P
@@ -71,8 +71,10 @@ def copy_manifest(classified: DataFrame, clone_dir: str, min_tier: int | None =
     b = basename(F.col("file_path"))
     c = c.withColumn("_base", b).withColumn("_stem", stem(F.col("file_path"))) \
         .withColumn("_ext", F.regexp_extract(b, "^\\.*[^.].*(\\.[^.]*)$", 1))
-    w = Window.partitionBy("tier", "_base").orderBy("file_path")
-    c = c.withColumn("_n", F.row_number().over(w) - 1)
+    from ..operators.parallel import ranked
+    # numbering inside a (tier, basename) group is a distributed rank, so a
+    # basename shared by a third of all files is still spread over tasks
+    c = ranked(c, ["file_path"], ["tier", "_base"], out="_n").withColumn("_n", F.col("_n") - 1)
     name = F.when(F.col("_n") == 0, F.col("_base")).otherwise(
         F.concat(F.col("_stem"), F.lit("_"), F.col("_n").cast("string"), F.col("_ext")))
     folder = P.tier_name(F.col("tier"))
