@@ -124,13 +124,48 @@ def detect_arrays(df: DataFrame, text_col: str = "text", id_cols=("doc_id",), en
     return spread(df, id_cols).select(*id_cols, spans_column(text_col, entities, threshold).alias(out_col))
 
 
+CHUNK_CHARS = 200_000
+CHUNK_MARGIN = 1024
+
+
+def chunk_texts(df: DataFrame, text_col: str = "text", id_cols=("doc_id",), size: int = CHUNK_CHARS,
+                margin: int = CHUNK_MARGIN) -> DataFrame:
+    """Cut texts longer than ``size`` into rows ``(id..., _chunk, _offset,
+    _lo, _hi, text)``: chunk k covers ``[k*size - margin, (k+1)*size + margin)``
+    and owns the spans starting in ``[k*size, (k+1)*size)``.  Shorter texts
+    are one chunk with offset 0 (unchanged).  Matches shorter than the
+    margin (and their 40-character context) are found exactly as on the whole
+    text; a long text becomes many rows that Spark spreads over tasks."""
+    n = F.length(F.col(text_col))
+    last = F.greatest((F.ceil(n / F.lit(size)) - 1).cast("int"), F.lit(0))
+    c = df.select(*id_cols, text_col, F.explode(F.sequence(F.lit(0), last)).alias("_chunk"))
+    lo = F.col("_chunk") * size
+    off = F.greatest(lo - margin, F.lit(0))
+    return c.select(*id_cols, "_chunk", off.alias("_offset"), lo.alias("_lo"), (lo + size).alias("_hi"),
+                    F.substr(F.col(text_col), off + 1, lo + size + margin - off).alias(text_col))
+
+
 def detect_entities(df: DataFrame, text_col: str = "text", id_cols=("doc_id",), entities=None,
-                    threshold: float | None = DEFAULT_THRESHOLD) -> DataFrame:
+                    threshold: float | None = DEFAULT_THRESHOLD, chunk_chars: int | None = CHUNK_CHARS) -> DataFrame:
     """Long form ``(id..., entity_type, start, end, score, text)``.
 
+    Long texts are cut into overlapping chunks first (:func:`chunk_texts`),
+    so the per-row work is bounded and a huge document is spread over tasks.
     ``explode_outer`` + a null filter instead of ``explode``: for a plain
     explode Catalyst infers ``size(array) > 0`` and pushes it below the
     projection, which would evaluate the whole detector two more times."""
+    if chunk_chars:
+        ch = chunk_texts(df, text_col, id_cols, chunk_chars)
+        keys = (*id_cols, "_chunk")
+        arr = spread(ch, keys).select(*keys, "_offset", "_lo", "_hi",
+                                      spans_column(text_col, entities, threshold).alias("_spans"))
+        ex = arr.select(*id_cols, "_offset", "_lo", "_hi", F.explode_outer("_spans").alias("s")) \
+            .where(F.col("s").isNotNull())
+        st = F.col("s.start") + F.col("_offset")
+        return ex.where((st >= F.col("_lo")) & (st < F.col("_hi"))).select(
+            *id_cols, F.col("s.entity_type").alias("entity_type"), st.cast("int").alias("start"),
+            (F.col("s.end") + F.col("_offset")).cast("int").alias("end"), F.col("s.score").alias("score"),
+            F.col("s.text").alias("text"))
     arr = detect_arrays(df, text_col, id_cols, entities, threshold, "_spans")
     return (arr.select(*id_cols, F.explode_outer("_spans").alias("s")).where(F.col("s").isNotNull())
             .select(*id_cols, "s.*"))

@@ -132,3 +132,17 @@ def test_overlap_pairs_bucketed_equal_bruteforce(spark):
     want = sorted((a[0], a[1], a[2], a[3], b[1], b[2], b[3]) for a in rows for b in rows
                   if a[0] == b[0] and a[2] < b[3] and b[2] < a[3] and a[1] < b[1])
     assert got == want
+
+
+def test_chunked_equals_whole(spark):
+    import random as rnd_mod
+    rnd = rnd_mod.Random(5)
+    parts = []
+    for i in range(400):
+        parts.append(rnd.choice(["lorem ipsum ", "mail a%d@x.org " % i, "4111111111111111 ", "ip 10.0.0.%d " % (i % 250),
+                                 "token = \"abcdef%04d\" " % i, "call 555-123-%04d " % i, "zip: 27514 "]))
+    text = "".join(parts)
+    df = spark.createDataFrame([(1, text), (2, "short a@b.co")], "doc_id long, text string")
+    whole = sorted(tuple(r) for r in D.detect_entities(df, chunk_chars=None).collect())
+    chunked = sorted(tuple(r) for r in D.detect_entities(df, chunk_chars=500).collect())
+    assert whole == chunked and len(whole) > 300
