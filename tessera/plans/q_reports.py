@@ -254,14 +254,78 @@ def report_lines(spark, sf):
     return SM.breach_report_lines(_fe(spark, sf))
 
 
-@register("exec_summary_breach")
+def _summary_head_sql(title: str, label_blocks: str, ctes: list[tuple[str, str]]) -> str:
+    from .q_time import ETA_PENDING_SQL
+    return O.with_views(f"""
+SELECT section, ord, line FROM (
+  SELECT 0 AS section, 0 AS ord, {O.q(title)} AS line
+  UNION ALL SELECT 0, 1, 'Generated: {AS_OF}' UNION ALL SELECT 0, 2, ''
+  UNION ALL SELECT 10, 0, 'Files Registered in Database: ' || reg FROM cnt
+  UNION ALL SELECT 10, 1, 'Analysis Progress:' FROM cnt
+  UNION ALL SELECT 10, 2, '  Completed: ' || done || ' files (' || printf('%.1f', done * 100.0 / reg) || '% of registered)' FROM cnt
+  UNION ALL SELECT 10, 3, '  Pending: ' || pend || ' files' FROM cnt
+  UNION ALL SELECT 10, 4, '  In Progress: ' || proc || ' files' FROM cnt
+  UNION ALL SELECT 10, 5, '  Error: ' || err || ' files' FROM cnt
+  UNION ALL SELECT 10, 6, 'Processing Time Statistics:' FROM eta
+  UNION ALL SELECT 10, 7, '  Total Processing Time: ' || elapsed_time_formatted FROM eta
+  UNION ALL SELECT 10, 8, '  Processing Rate: ' || printf('%.1f', files_per_hour) || ' files/hour' FROM eta
+  UNION ALL SELECT 10, 9, '  Estimated Time to Completion: ' || estimated_completion_time FROM eta
+    WHERE estimated_completion_hours > 0
+  UNION ALL SELECT 20, 0, 'File Types:'
+  UNION ALL SELECT 20, CAST(row_number() OVER (ORDER BY n DESC, file_type) AS INT), '  ' || file_type || ': ' || n || ' files'
+    FROM (SELECT file_type, count(*) AS n FROM t_files WHERE file_type IS NOT NULL AND file_type <> '' GROUP BY 1) t
+  {label_blocks}
+) x""", "t_files", "t_results", "t_entities", "t_jobs", extra=[
+        ("fe", O.LEDGER_FE), ("fs", O.LEDGER_FS),
+        ("cnt", """SELECT count(*) AS reg, count(*) FILTER (WHERE status = 'completed') AS done,
+                  count(*) FILTER (WHERE status = 'pending') AS pend, count(*) FILTER (WHERE status = 'processing') AS proc,
+                  count(*) FILTER (WHERE status = 'error') AS err FROM t_files"""),
+        *ctes, ("eta", "SELECT * FROM (" + ETA_PENDING_SQL + ") e ORDER BY job_id DESC LIMIT 1")])
+
+
+def _breach_summary_sql() -> str:
+    from ..operators import summary as SMM
+    label_order = " ".join(f"WHEN {O.q(lab)} THEN {i}" for i, (_, lab) in enumerate(sorted(P.BREACH_LABELS)))
+    risk = " ".join(f"WHEN {O.q(lab)} THEN {i + 1}" for i, (lab, _) in enumerate(SMM.RISK_AREAS))
+    risk_txt = " ".join(f"WHEN {O.q(lab)} THEN {O.q(t)}" for lab, t in SMM.RISK_AREAS)
+    blocks = f"""
+  UNION ALL SELECT 30, 0, ''
+  UNION ALL SELECT 30, 1, 'HIGH-RISK FILES: ' || count(*) || ' files contain personal information subject to breach notification' FROM b
+  UNION ALL SELECT 31, 0, '' UNION ALL SELECT 31, 1, 'Files by Risk Category:'
+  UNION ALL SELECT 40, CASE label {label_order} END, '  ' || label || ': ' || count(*) || ' files' FROM b GROUP BY label
+  UNION ALL SELECT 45, 0, '' UNION ALL SELECT 45, 1, 'Top Risk Areas:'
+  UNION ALL SELECT 50, CASE label {risk} END, '  • ' || count(*) || ' ' || CASE label {risk_txt} END FROM b
+    WHERE label IN ({', '.join(O.q(lab) for lab, _ in SMM.RISK_AREAS)}) GROUP BY label"""
+    b = ("b", f"SELECT {O.sql_label('types')} AS label FROM fs WHERE {O.sql_trigger('types')}")
+    return _summary_head_sql(SMM.BREACH_TITLE, blocks, [b])
+
+
+def _tier_summary_sql() -> str:
+    from ..operators import summary as SMM
+    tier = O.sql_set_tier("types")
+    blocks = f"""
+  UNION ALL SELECT 30, 0, ''
+  UNION ALL SELECT 30, 1, 'Classified Files: ' || count(*) || ' files contain sensitive information' FROM c
+  UNION ALL SELECT 31, 0, '' UNION ALL SELECT 31, 1, 'Classification Summary:'
+  UNION ALL SELECT 40, tier, '  ' || {O.sql_pick(P.TIER_NAMES, 'tier')} || ': ' || count(*) || ' files' FROM c GROUP BY tier
+  UNION ALL SELECT 45, 0, '' UNION ALL SELECT 45, 1, 'Top Sensitive Entity Types by Tier:'
+  UNION ALL SELECT DISTINCT 50, (3 - tier) * 1000, '  ' || {O.sql_pick(P.TIER_NAMES, 'tier')} || ':' FROM tt
+  UNION ALL SELECT 50, CAST((3 - tier) * 1000 + row_number() OVER (PARTITION BY tier ORDER BY name) AS INT), '    • ' || name
+    FROM (SELECT DISTINCT tier, name FROM tt) z"""
+    c = ("c", f"SELECT file_id, types, {tier} AS tier FROM fs WHERE {tier} >= 1")
+    tt = ("tt", f"""SELECT tier, {O.sql_display('t', P.TIER_DISPLAY_NAMES)} AS name
+                    FROM (SELECT tier, unnest(types) AS t FROM c) u WHERE {O.sql_type_tier('t')} = tier""")
+    return _summary_head_sql(SMM.TIER_TITLE, blocks, [c, tt])
+
+
+@register("exec_summary_breach", _breach_summary_sql())
 def exec_summary_breach(spark, sf):
     """Strict-policy executive summary lines (as_of fixed)."""
     tb = _tb(spark, sf)
     return SM.breach_summary_lines(spark, tb.files, tb.jobs, _fe(spark, sf), AS_OF)
 
 
-@register("exec_summary_tier")
+@register("exec_summary_tier", _tier_summary_sql())
 def exec_summary_tier(spark, sf):
     """Tier-policy executive summary lines (min tier 1, as_of fixed)."""
     tb = _tb(spark, sf)

@@ -98,8 +98,7 @@ def _eta_text_sql(h):
             f"ELSE {_plural_sql(d, 'day')} || CASE WHEN {hd} > 0 THEN ', ' || {_plural_sql(hd, 'hour')} ELSE '' END END")
 
 
-@register("eta_pending", O.with_views(
-    f"""SELECT job_id, elapsed_seconds,
+ETA_PENDING_SQL = f"""SELECT job_id, elapsed_seconds,
           printf('%d:%02d:%02d', CAST(floor(elapsed_seconds / 3600) AS BIGINT),
                  CAST(floor((CAST(floor(elapsed_seconds) AS BIGINT) % 3600) / 60) AS BIGINT),
                  CAST(floor(elapsed_seconds) AS BIGINT) % 60) AS elapsed_time_formatted,
@@ -114,7 +113,10 @@ def _eta_text_sql(h):
                       CAST(date_diff('second', j.start_time, j.last_updated) AS DOUBLE) AS elapsed_seconds
                     FROM t_jobs j JOIN (SELECT job_id, count(*) FILTER (WHERE status = 'completed') AS completed,
                       count(*) FILTER (WHERE status = 'pending') AS pending FROM t_files GROUP BY job_id) c
-                    ON j.job_id = c.job_id) a) b""", "t_jobs", "t_files"))
+                    ON j.job_id = c.job_id) a) b"""
+
+
+@register("eta_pending", O.with_views(ETA_PENDING_SQL, "t_jobs", "t_files"))
 def eta_pending(spark, sf):
     """Elapsed h:mm:ss, files/hour and the pending-files ETA text."""
     tb = _tb(spark, sf)
