@@ -88,7 +88,21 @@ def doc_entity_counts(spark, sf):
     return D.doc_entity_counts(_docs(spark, sf))
 
 
-@register("supported_entities")
+def _catalogue_sql() -> str:
+    rows = [(r.entity_type, r.lane, float(r.score), r.check_name, r.context) for r in D.R.RECOGNIZERS]
+    rows += [(t, "terms", D.R.SHAPE_SCORE, None, None) for t in sorted({t for t, _ in D.R.MARKER_TERMS})]
+
+    def lit(v):
+        return "NULL" if v is None else (f"CAST({v!r} AS DOUBLE)" if isinstance(v, float) else O.q(v))
+    values = ", ".join("(" + ", ".join(lit(v) for v in row) + ")" for row in rows)
+    return O.with_views(
+        f"""SELECT c.entity_type, c.lane, c.base_score, c.checksum, c.context, coalesce(n.n_found, 0) AS n_found
+            FROM (VALUES {values}) c(entity_type, lane, base_score, checksum, context)
+            LEFT JOIN (SELECT entity_type, count(*) AS n_found FROM spans GROUP BY entity_type) n
+              ON c.entity_type = n.entity_type""", extra=O.spans_view(None, 0.7))
+
+
+@register("supported_entities", _catalogue_sql())
 def supported_entities(spark, sf):
     """D3: recognizer catalogue joined with detection counts on the corpus."""
     cat = D.supported_entities(spark)
