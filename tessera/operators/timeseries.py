@@ -1,8 +1,10 @@
 """Throughput and completion analytics.
 
 Every "now" of the reference is an explicit ``as_of`` column or value, so
-results are reproducible.  Windows are partitioned by job, which keeps each
-window's state to one job's rows; bucket counts are plain aggregates.
+results are reproducible.  Bucket counts are plain aggregates; running
+counts and lags are two-level distributed scans (``operators.parallel``), so
+a job or host holding most of the rows is not processed by one task; the
+newest-n samples use a window group limit (top-n before the shuffle).
 """
 
 from __future__ import annotations

@@ -150,7 +150,7 @@ def export_filtered(spark, sf):
 
 
 @register("src_metrics_jsonl", O.with_views(
-    """SELECT host, disk_read_mb_s, worker_change FROM (
+    """SELECT host, round(disk_read_mb_s, 6) AS disk_read_mb_s, worker_change FROM (
          SELECT job_id AS host, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER w AS dt,
            4096 / (epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER w) / 1048576.0 AS disk_read_mb_s,
            CAST(event_id % 5 + 1 - lag(event_id % 5 + 1) OVER w AS INT) AS worker_change
@@ -162,7 +162,7 @@ def src_metrics_jsonl(spark, sf):
     path = _scratch(spark, sf, "metrics")
     samples.write.mode("overwrite").json(path)
     r = MX.metric_rates(MX.read_metrics(spark, path))
-    return r.select("host", "disk_read_mb_s", "worker_change")
+    return r.select("host", F.round("disk_read_mb_s", 6).alias("disk_read_mb_s"), "worker_change")
 
 
 @register("sink_results", O.with_views(

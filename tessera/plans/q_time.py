@@ -39,7 +39,7 @@ def last24_buckets(spark, sf):
 
 
 @register("recent_rate", O.with_views(
-    """SELECT count(*) AS files, count(*) * 60.0 / 60 AS files_per_hour, avg(processing_time) AS avg_time
+    """SELECT count(*) AS files, count(*) * 60.0 / 60 AS files_per_hour, round(avg(processing_time), 6) AS avg_time
        FROM t_files WHERE status = 'completed'
          AND process_end > (SELECT max(process_end) FROM t_files WHERE status = 'completed') - INTERVAL '60' MINUTE
          AND process_end <= (SELECT max(process_end) FROM t_files WHERE status = 'completed')""", "t_files"))
@@ -47,7 +47,8 @@ def recent_rate(spark, sf):
     """Files in the hour before an explicit as_of (the newest finish)."""
     f = _tb(spark, sf).files
     as_of = f.where(F.col("status") == "completed").agg(F.max("process_end")).scalar()
-    return TS.recent_rate(f, as_of, 60)
+    r = TS.recent_rate(f, as_of, 60)
+    return r.select("files", "files_per_hour", F.round("avg_time", 6).alias("avg_time"))
 
 
 @register("sample_rates", O.with_views(
