@@ -307,7 +307,7 @@ def _terms_by_join(df, terms, text_col, id_cols, score, max_words: int = 3):
                     F.substr(F.col("_t"), F.col("start") + 1, F.col("end") - F.col("start")).alias("text")))
 
 
-def span_islands(spans: DataFrame, id_cols=("doc_id",)) -> DataFrame:
+def span_islands(spans: DataFrame, id_cols=("doc_id",), skew_rows: int | None = None) -> DataFrame:
     """Merge overlapping spans of a document into islands.
 
     An island's label is the highest score, then the longest span, then the
@@ -317,14 +317,18 @@ def span_islands(spans: DataFrame, id_cols=("doc_id",)) -> DataFrame:
     prefix scans, so a document holding a third of all spans is still spread
     over every task.  (One document id column is expected.)
     """
-    from .parallel import prefix_scan
+    from .parallel import SKEW_ROWS, _window_scan, largest_group, scan_split, split_for_scan
     key = list(id_cols)
     order = ["start", "end", "entity_type", "_tie"]
     s = spans.withColumn("_tie", F.xxhash64(*spans.columns))
-    s = prefix_scan(s, order, key, maxes={"end": "_prev_end"}, inclusive=False)
-    s = s.withColumn("_new", F.when(F.col("_prev_end").isNull() | (F.col("start") >= F.col("_prev_end")), 1)
-                     .otherwise(0))
-    s = prefix_scan(s, order, key, sums={"_new": "island"})
+    new = F.when(F.col("_prev_end").isNull() | (F.col("start") >= F.col("_prev_end")), 1).otherwise(0)
+    if largest_group(spans, key) <= (SKEW_ROWS if skew_rows is None else skew_rows):
+        s = _window_scan(s, order, key, {}, {"end": "_prev_end"}, False).withColumn("_new", new)
+        s = _window_scan(s, order, key, {"_new": "island"}, {}, True)
+    else:
+        s = split_for_scan(s, order, key)             # one checkpointed split, two passes
+        s = scan_split(s, order, key, maxes={"end": "_prev_end"}, inclusive=False).withColumn("_new", new)
+        s = scan_split(s, order, key, sums={"_new": "island"}).drop("_pid")
     best = F.max(F.struct(F.col("score"), (F.col("end") - F.col("start")).alias("len"),
                           (-F.col("start")).alias("neg_start"), F.col("entity_type")))
     return (s.groupBy(*id_cols, "island")

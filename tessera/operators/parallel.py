@@ -40,22 +40,42 @@ def _range_split(df: DataFrame, keys: list, order_cols: list, parts: int | None)
     return r.checkpoint(eager=True)
 
 
-def prefix_scan(df: DataFrame, order_cols: list[str], partition_cols: list[str] | tuple = (),
-                sums: dict[str, str] | None = None, maxes: dict[str, str] | None = None,
-                inclusive: bool = True, parts: int | None = None) -> DataFrame:
-    """Running sums / maxima over ``order_cols`` within each group, computed
-    in two levels so that no group is processed by one task.
+SKEW_ROWS = 1_000_000
 
-    ``sums`` / ``maxes`` map an input column to an output column.  Rows are
-    range-partitioned on (group, order); each range partition scans its own
-    rows; the totals of the earlier range partitions of a group come from a
-    table with one row per (partition, group) and are carried in.  With
-    ``inclusive=False`` the current row is left out (a running max of the
-    rows before it, NULL for the first row of a group).
-    """
+
+def largest_group(df: DataFrame, keys: list[str] | tuple) -> int:
+    """Rows in the biggest group (one partially aggregated count; the driver
+    receives a single number)."""
+    if not keys:
+        return df.count()
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def _window_scan(df: DataFrame, order_cols, keys, sums, maxes, inclusive) -> DataFrame:
+    frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(*frame)
+    for c, o in sums.items():
+        df = df.withColumn(o, F.coalesce(F.sum(c).over(w), F.lit(0)))
+    for c, o in maxes.items():
+        df = df.withColumn(o, F.max(c).over(w))
+    return df
+
+
+def split_for_scan(df: DataFrame, order_cols: list[str], partition_cols: list[str] | tuple = (),
+                   parts: int | None = None) -> DataFrame:
+    """Range-split rows on (group, order) and store the split id ``_pid``
+    (checkpointed once); any number of :func:`scan_split` passes can then
+    run over the same split."""
+    return _range_split(df, list(partition_cols), order_cols, parts)
+
+
+def scan_split(r: DataFrame, order_cols: list[str], partition_cols: list[str] | tuple = (),
+               sums: dict[str, str] | None = None, maxes: dict[str, str] | None = None,
+               inclusive: bool = True) -> DataFrame:
+    """One running-sum / running-max pass over a :func:`split_for_scan`
+    result (keeps ``_pid`` for further passes)."""
     sums, maxes = sums or {}, maxes or {}
     keys = list(partition_cols)
-    r = _range_split(df, keys, order_cols, parts)
     frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
     local = Window.partitionBy("_pid", *keys).orderBy(*order_cols).rowsBetween(*frame)
     for c, o in sums.items():
@@ -73,26 +93,58 @@ def prefix_scan(df: DataFrame, order_cols: list[str], partition_cols: list[str]
         out = out.withColumn(o, F.col("_cs_" + o) + F.coalesce(F.col("_ls_" + o), F.lit(0)))
     for o in maxes.values():
         out = out.withColumn(o, F.greatest(F.col("_cm_" + o), F.col("_lm_" + o)))
-    drop = ["_pid"] + [p + o for o in sums.values() for p in ("_ls_", "_cs_")] + \
+    drop = [p + o for o in sums.values() for p in ("_ls_", "_cs_")] + \
         [p + o for o in maxes.values() for p in ("_lm_", "_cm_")]
     return out.drop(*drop)
 
 
+def prefix_scan(df: DataFrame, order_cols: list[str], partition_cols: list[str] | tuple = (),
+                sums: dict[str, str] | None = None, maxes: dict[str, str] | None = None,
+                inclusive: bool = True, parts: int | None = None, skew_rows: int = SKEW_ROWS) -> DataFrame:
+    """Running sums / maxima over ``order_cols`` within each group, computed
+    in two levels so that no group is processed by one task.
+
+    ``sums`` / ``maxes`` map an input column to an output column.  Rows are
+    range-partitioned on (group, order); each range partition scans its own
+    rows; the totals of the earlier range partitions of a group come from a
+    table with one row per (partition, group) and are carried in.  With
+    ``inclusive=False`` the current row is left out (a running max of the
+    rows before it, NULL for the first row of a group).
+
+    Skew-aware: the largest group is counted first (one partially
+    aggregated count); up to ``skew_rows`` rows per group a plain window is
+    used, above it the two-level scan.
+    """
+    sums, maxes = sums or {}, maxes or {}
+    if largest_group(df, partition_cols) <= skew_rows:
+        # every group fits one task comfortably: a plain window is cheaper
+        return _window_scan(df, order_cols, list(partition_cols), sums, maxes, inclusive)
+    r = split_for_scan(df, order_cols, partition_cols, parts)
+    return scan_split(r, order_cols, partition_cols, sums, maxes, inclusive).drop("_pid")
+
+
 def ranked(df: DataFrame, order_cols: list[str], partition_cols: list[str] | tuple = (), out: str = "rn",
-           parts: int | None = None) -> DataFrame:
+           parts: int | None = None, skew_rows: int = SKEW_ROWS) -> DataFrame:
     """Exact 1-based ``row_number`` over ``order_cols`` (within each
     ``partition_cols`` group) without putting a group in one task: a
     running sum of ones through :func:`prefix_scan`.  ``order_cols`` must be
     a total order (add a unique key to break ties): equal sort keys always
     land in the same range partition."""
     return prefix_scan(df.withColumn("_one", F.lit(1)), order_cols, partition_cols, sums={"_one": out},
-                       parts=parts).drop("_one").withColumn(out, F.col(out).cast("int"))
+                       parts=parts, skew_rows=skew_rows).drop("_one").withColumn(out, F.col(out).cast("int"))
 
 
-def lagged(df: DataFrame, key: str, order_cols: list[str], cols: list[str]) -> DataFrame:
-    """``lag(col)`` per key for each of ``cols`` (``prev_<col>``) as an
-    equi-join on (key, rank - 1): the hot key's rows are spread over every
-    task instead of one window partition."""
-    r = ranked(df, order_cols, [key], out="_rn")
+def lagged(df: DataFrame, key: str, order_cols: list[str], cols: list[str],
+           skew_rows: int = SKEW_ROWS) -> DataFrame:
+    """``lag(col)`` per key for each of ``cols`` (``prev_<col>``).  Small
+    groups use a window; when a key exceeds ``skew_rows`` rows the lag is an
+    equi-join on (key, rank - 1), so the hot key's rows are spread over
+    every task instead of one window partition."""
+    if largest_group(df, [key]) <= skew_rows:
+        w = Window.partitionBy(key).orderBy(*order_cols)
+        for c in cols:
+            df = df.withColumn("prev_" + c, F.lag(c).over(w))
+        return df
+    r = ranked(df, order_cols, [key], out="_rn", skew_rows=0)
     prev = r.select(key, (F.col("_rn") + 1).alias("_rn"), *[F.col(c).alias("prev_" + c) for c in cols])
     return r.join(prev, [key, "_rn"], "left").drop("_rn")

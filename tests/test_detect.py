@@ -146,3 +146,13 @@ def test_chunked_equals_whole(spark):
     whole = sorted(tuple(r) for r in D.detect_entities(df, chunk_chars=None).collect())
     chunked = sorted(tuple(r) for r in D.detect_entities(df, chunk_chars=500).collect())
     assert whole == chunked and len(whole) > 300
+
+
+def test_islands_two_level_equals_window(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice([1, 1, 1, 2]), rnd.choice("ABC"), s, s + rnd.randrange(1, 40), rnd.choice([0.5, 0.7, 0.9]))
+            for s in (rnd.randrange(0, 3000) for _ in range(800))]
+    df = spark.createDataFrame(rows, "doc_id long, entity_type string, start int, end int, score double")
+    a = sorted(tuple(r) for r in D.span_islands(df).collect())
+    b = sorted(tuple(r) for r in D.span_islands(df, skew_rows=0).collect())
+    assert a == b
