@@ -68,7 +68,7 @@ def src_text(spark, sf):
     return TX.text_rows(read_table(spark, sf, "documents"))
 
 
-_HTML_SQL = """trim(regexp_replace(regexp_replace(
+_HTML_SQL = """regexp_replace(regexp_replace(regexp_replace(
   replace(replace(replace(replace(replace(replace(replace(
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
       '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'),
@@ -76,7 +76,7 @@ _HTML_SQL = """trim(regexp_replace(regexp_replace(
       '(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/title)[^>]*>', chr(10), 'g'),
       '<[^>]*>', ' ', 'g'),
     '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'),
-  '[ \\t\\r\\f]+', ' ', 'g'), ' *\\n[ \\n]*', chr(10), 'g'))"""
+  '[ \\t\\r\\f]+', ' ', 'g'), ' *\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"""
 
 
 @register("html_to_text", f"SELECT page_id, {_HTML_SQL} AS text FROM pages")

@@ -36,4 +36,4 @@ def html_to_text(html: Column) -> Column:
         t = F.replace(t, F.lit(ent), F.lit(ch))
     t = F.regexp_replace(t, "[ \t\r\f]+", " ")
     t = F.regexp_replace(t, " *\n[ \n]*", "\n")
-    return F.trim(t)
+    return F.regexp_replace(t, "^[ \n]+|[ \n]+$", "")

@@ -13,13 +13,12 @@ folder on a cluster), never in a machine-local temp folder.
 
 from __future__ import annotations
 
-from typing import Callable, Iterator
+from typing import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import detect as D
 from ..session import scratch_path
@@ -160,37 +159,44 @@ STALL_OUT = T.StructType([T.StructField("file_id", T.LongType()), T.StructField(
 STALL_STATE = T.StructType([T.StructField("started", T.TimestampType()), T.StructField("ended", T.BooleanType())])
 
 
-def _stalled(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per file: remember the start; an end event clears it; if the event
-    time passes start + timeout first, the file is reported as stalled."""
-    (file_id,) = key
-    if state.hasTimedOut:
-        started, _ = state.get
-        state.remove()
-        yield pd.DataFrame({"file_id": [file_id], "started": [started], "reason": ["timeout"]})
-        return
-    started, ended = state.get if state.exists else (None, False)
-    for pdf in pdfs:
-        for kind, ts in zip(pdf["kind"], pdf["ts"]):
-            if kind == "start":
-                started = ts if started is None else min(started, ts)
-            else:
-                ended = True
-    if ended:
-        state.remove()
-        return
-    state.update((started, False))
-    state.setTimeoutTimestamp(int(pd.Timestamp(started).timestamp() * 1000) + STALL_TIMEOUT_MS)
-    yield from ()
-
-
 STALL_TIMEOUT_MS = 300 * 1000
 
 
-def stalled_items(events: DataFrame) -> DataFrame:
-    """K7 core: ``events(file_id, kind 'start'|'end', ts)`` -> stalled files."""
+def _stall_fn(timeout_ms: int):
+    """The per-file state function, built as a closure so it is shipped to
+    the Python workers by value (they need not import this package)."""
+    def stalled(key, pdfs, state):
+        import pandas as pd_
+        (file_id,) = key
+        if state.hasTimedOut:
+            started, _ = state.get
+            state.remove()
+            yield pd_.DataFrame({"file_id": [file_id], "started": [started], "reason": ["timeout"]})
+            return
+        started, ended = state.get if state.exists else (None, False)
+        for pdf in pdfs:
+            for kind, ts in zip(pdf["kind"], pdf["ts"]):
+                if kind == "start":
+                    started = ts if started is None else min(started, ts)
+                else:
+                    ended = True
+        if ended:
+            state.remove()
+            return
+        state.update((started, False))
+        state.setTimeoutTimestamp(int(pd_.Timestamp(started).timestamp() * 1000) + timeout_ms)
+        yield from ()
+    return stalled
+
+
+def stalled_items(events: DataFrame, timeout_ms: int = STALL_TIMEOUT_MS) -> DataFrame:
+    """K7 core: ``events(file_id, kind 'start'|'end', ts)`` -> stalled files.
+
+    Per file: remember the start; an end event clears it; if event time
+    passes start + timeout first, the file is reported as stalled."""
     return (events.withWatermark("ts", "10 minutes").groupBy("file_id")
-            .applyInPandasWithState(_stalled, STALL_OUT, STALL_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+            .applyInPandasWithState(_stall_fn(timeout_ms), STALL_OUT, STALL_STATE, "append",
+                                    GroupStateTimeout.EventTimeTimeout))
 
 
 def stream_stalled(spark: SparkSession, folder: str, name: str = "tessera_stream_stalled") -> DataFrame:
