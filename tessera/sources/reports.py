@@ -6,10 +6,11 @@ there are tasks.  The reference's single-document form (one object per job
 holding every file) is accepted by the reader (``multi_line=True``), but never
 produced: one record per job would put a whole job into one row.
 
-A file's entity list is built per (file, part), where ``part`` salts the
-entities of a file over ``parts`` buckets by hash; a file with a third of all
-entities is therefore spread over ``parts`` tasks, and readers simply
-explode every part.
+A file's entity list is built per (file, part): a file with n entities is
+salted by hash over ceil(n / 50,000) parts (the counts come from a
+partially aggregated count), so every list is bounded whatever the file
+size, a file with a third of all entities is spread over many tasks, small
+files stay one record, and readers simply explode every part.
 """
 
 from __future__ import annotations
@@ -54,12 +55,12 @@ REPORT = T.StructType([
 FILE_LINE = T.StructType([T.StructField("job_id", T.LongType()), T.StructField("part", T.IntegerType())]
                          + FILE_RECORD.fields)
 
-DEFAULT_PARTS = 8
+MAX_PER_PART = 50_000
 
 
 def nested_records(jobs: DataFrame, files: DataFrame, results: DataFrame, entities: DataFrame,
                    threshold: float | None = None, include_entities: bool = True, mask: bool = True,
-                   parts: int = DEFAULT_PARTS) -> DataFrame:
+                   max_per_part: int = MAX_PER_PART) -> DataFrame:
     """Per-file records with job header, file fields, metadata map
     (bad JSON -> NULL map, Q9) and the entity list (masked by default)."""
     # only the results and entities of the exported files are aggregated
@@ -79,7 +80,10 @@ def nested_records(jobs: DataFrame, files: DataFrame, results: DataFrame, entiti
         if threshold is not None:
             e = e.where(F.col("score") >= F.lit(float(threshold)))
         txt = M.mask_tiered(F.col("text"), F.col("entity_type")) if mask else F.col("text")
-        part = F.pmod(F.xxhash64("result_id", "start_index", "end_index", "entity_type", "text"), F.lit(parts)) \
+        sizes = e.groupBy("result_id").agg(F.count(F.lit(1)).alias("_n"))
+        e = e.join(sizes, "result_id")
+        n_parts = F.greatest(F.ceil(F.col("_n") / F.lit(max_per_part)), F.lit(1))
+        part = F.pmod(F.xxhash64("result_id", "start_index", "end_index", "entity_type", "text"), n_parts) \
             .cast("int")
         lists = e.select("result_id", part.alias("part"), F.struct(
             "entity_type", F.col("start_index").alias("start"), F.col("end_index").alias("end"), "score",
