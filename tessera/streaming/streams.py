@@ -25,9 +25,10 @@ from ..session import scratch_path
 
 
 def source(spark: SparkSession, folder: str, table: str, max_files: int | None = None) -> DataFrame:
-    """A parquet file stream over one driver table (new files are new data)."""
+    """A parquet file stream over one table: ``<table>.parquet`` and any
+    later ``<table>*.parquet`` files in the folder (new files are new data)."""
     schema = spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     return r.parquet(folder)
@@ -69,12 +70,20 @@ def with_event_time(df: DataFrame, col: str = "ts") -> DataFrame:
 
 
 # --------------------------------------------------------------------- K1/K2
-def stream_detect(spark: SparkSession, folder: str, name: str = "tessera_stream_detect") -> DataFrame:
-    """K1: incremental detection over newly arrived document files."""
+def stream_detect(spark: SparkSession, folder: str, name: str = "tessera_stream_detect",
+                  fresh: bool = True) -> DataFrame:
+    """K1: incremental detection over newly arrived document files.  With
+    ``fresh=False`` the checkpoint of ``name`` is kept, so a rerun processes
+    only files that arrived since the last run (resumable scan)."""
     docs = source(spark, folder, "documents").select("doc_id", "text")
     spans = D.detect_entities(docs)
-    run_available(spans, name)
-    return spark.table(name)
+    if fresh:
+        run_available(spans, name)
+        return spark.table(name)
+    # a resumable scan appends to a parquet table next to its checkpoint
+    out = scratch_path(spark, f"streams/{name}/out")
+    run_available(spans, name, sink="parquet", path=out, fresh=False)
+    return spark.read.parquet(out)
 
 
 def idempotent_batch_writer(base: str) -> Callable:
