@@ -156,3 +156,25 @@ def test_islands_two_level_equals_window(spark):
     a = sorted(tuple(r) for r in D.span_islands(df).collect())
     b = sorted(tuple(r) for r in D.span_islands(df, skew_rows=0).collect())
     assert a == b
+
+
+def test_sql_checks_equal_column_checks(spark):
+    from tessera.functions.detector_sql import check_sql
+    rnd = random.Random(13)
+    vals = ["".join(rnd.choice("0123456789") for _ in range(n)) for n in (9, 10, 16) for _ in range(150)]
+    vals += ["011000015", "9434765919", "123456782", "2123456701", "4111-1111-1111-1111", "123-45-6789",
+             "912-70-1234", "192.168.1.1", "256.1.1.1", "GB82WEST12345698765432", "DE89370400440532013000"]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    pairs = {"luhn": ck.luhn_ok, "aba": ck.aba_routing_ok, "nhs": ck.nhs_ok, "tfn": ck.au_tfn_ok,
+             "medicare": ck.au_medicare_ok, "ssn": ck.ssn_ok, "itin": ck.itin_ok}
+    cols = [F.expr(check_sql(k, "v")).alias("s_" + k) for k in pairs] + [fn(F.col("v")).alias("c_" + k)
+                                                                         for k, fn in pairs.items()]
+    for r in df.select("v", *cols).collect():
+        for k in pairs:
+            assert bool(r["s_" + k]) == bool(r["c_" + k]), (k, r.v)
+    ip = df.where(F.col("v").rlike("^[0-9]{1,3}(\\\\.[0-9]{1,3}){3}$"))
+    for r in ip.select("v", F.expr(check_sql("ipv4", "v")).alias("s"), ck.ipv4_ok(F.col("v")).alias("c")).collect():
+        assert r.s == r.c
+    ib = df.where(F.col("v").rlike("^[A-Z]{2}"))
+    for r in ib.select("v", F.expr(check_sql("iban", "v")).alias("s"), ck.iban_ok(F.col("v")).alias("c")).collect():
+        assert r.s == r.c
