@@ -69,7 +69,8 @@ def spans_column(text, entities=None, threshold: float | None = DEFAULT_THRESHOL
     from pyspark import SparkContext
     if not isinstance(text, str):
         return build_spans_column(text, entities, threshold)
-    key = (id(SparkContext._active_spark_context), text,
+    sc = SparkContext._active_spark_context
+    key = (sc.applicationId if sc is not None else None, text,
            None if entities is None else tuple(sorted(entities)), threshold)
     if key not in _SPANS_CACHE:
         # one Catalyst parse of the SQL text instead of ~30,000 py4j calls;
