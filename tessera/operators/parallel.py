@@ -98,9 +98,19 @@ def scan_split(r: DataFrame, order_cols: list[str], partition_cols: list[str] |
     return out.drop(*drop)
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """Write an expensive intermediate once (reliable checkpoint in
+    spark.checkpoint.dir) so that a skew check and the scan after it read
+    the written rows instead of recomputing the lineage."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def prefix_scan(df: DataFrame, order_cols: list[str], partition_cols: list[str] | tuple = (),
                 sums: dict[str, str] | None = None, maxes: dict[str, str] | None = None,
-                inclusive: bool = True, parts: int | None = None, skew_rows: int = SKEW_ROWS) -> DataFrame:
+                inclusive: bool = True, parts: int | None = None, skew_rows: int = SKEW_ROWS,
+                materialize: bool = False) -> DataFrame:
     """Running sums / maxima over ``order_cols`` within each group, computed
     in two levels so that no group is processed by one task.
 
@@ -113,9 +123,12 @@ def prefix_scan(df: DataFrame, order_cols: list[str], partition_cols: list[str]
 
     Skew-aware: the largest group is counted first (one partially
     aggregated count); up to ``skew_rows`` rows per group a plain window is
-    used, above it the two-level scan.
+    used, above it the two-level scan.  ``materialize=True`` writes an
+    expensive input once first, so the check does not recompute it.
     """
     sums, maxes = sums or {}, maxes or {}
+    if materialize:
+        df = materialized(df)
     if largest_group(df, partition_cols) <= skew_rows:
         # every group fits one task comfortably: a plain window is cheaper
         return _window_scan(df, order_cols, list(partition_cols), sums, maxes, inclusive)
@@ -124,14 +137,15 @@ def prefix_scan(df: DataFrame, order_cols: list[str], partition_cols: list[str]
 
 
 def ranked(df: DataFrame, order_cols: list[str], partition_cols: list[str] | tuple = (), out: str = "rn",
-           parts: int | None = None, skew_rows: int = SKEW_ROWS) -> DataFrame:
+           parts: int | None = None, skew_rows: int = SKEW_ROWS, materialize: bool = False) -> DataFrame:
     """Exact 1-based ``row_number`` over ``order_cols`` (within each
     ``partition_cols`` group) without putting a group in one task: a
     running sum of ones through :func:`prefix_scan`.  ``order_cols`` must be
     a total order (add a unique key to break ties): equal sort keys always
     land in the same range partition."""
     return prefix_scan(df.withColumn("_one", F.lit(1)), order_cols, partition_cols, sums={"_one": out},
-                       parts=parts, skew_rows=skew_rows).drop("_one").withColumn(out, F.col(out).cast("int"))
+                       parts=parts, skew_rows=skew_rows, materialize=materialize) \
+        .drop("_one").withColumn(out, F.col(out).cast("int"))
 
 
 def lagged(df: DataFrame, key: str, order_cols: list[str], cols: list[str],

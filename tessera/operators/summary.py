@@ -155,7 +155,8 @@ def breach_report_lines(ents: DataFrame) -> DataFrame:
     1000+ samples (category heading, then up to three masked samples)."""
     from .parallel import ranked
     b = C.breach_files(ents).select("file_id", "file_path", "entity_count", "classification", "entity_types")
-    b = ranked(b.withColumn("_nc", -F.col("entity_count")), ["_nc", "file_path"], out="file_rank").drop("_nc")
+    b = ranked(b.withColumn("_nc", -F.col("entity_count")), ["_nc", "file_path"], out="file_rank",
+               materialize=True).drop("_nc")
     head = b.select("file_rank", F.explode(F.array(
         F.struct(F.lit(0).alias("ord"), F.concat(F.lit("File: "), F.col("file_path")).alias("line")),
         F.struct(F.lit(1).alias("ord"), F.concat(F.lit("Number of entities: "), F.col("entity_count").cast("string"))

@@ -372,7 +372,7 @@ def rank_files(spark, sf):
     from ..operators.parallel import ranked
     c = C.with_tier(C.entity_sets(_fe(spark, sf))).select("file_path", "entity_count", "tier")
     c = c.withColumn("_nc", -F.col("entity_count")).withColumn("_nt", -F.col("tier"))
-    c = ranked(c, ["_nc", "file_path"], out="rank_by_count")
+    c = ranked(c, ["_nc", "file_path"], out="rank_by_count", materialize=True)
     c = ranked(c, ["_nt", "file_path"], out="rank_by_tier")
     return c.select("file_path", "entity_count", "tier", "rank_by_count", "rank_by_tier")
 

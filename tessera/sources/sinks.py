@@ -74,7 +74,7 @@ def copy_manifest(classified: DataFrame, clone_dir: str, min_tier: int | None =
     from ..operators.parallel import ranked
     # numbering inside a (tier, basename) group is a distributed rank, so a
     # basename shared by a third of all files is still spread over tasks
-    c = ranked(c, ["file_path"], ["tier", "_base"], out="_n").withColumn("_n", F.col("_n") - 1)
+    c = ranked(c, ["file_path"], ["tier", "_base"], out="_n", materialize=True).withColumn("_n", F.col("_n") - 1)
     name = F.when(F.col("_n") == 0, F.col("_base")).otherwise(
         F.concat(F.col("_stem"), F.lit("_"), F.col("_n").cast("string"), F.col("_ext")))
     folder = P.tier_name(F.col("tier"))
