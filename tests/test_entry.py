@@ -31,3 +31,13 @@ def test_query_runs_small(spark, key):
     df = E.queries()[key](spark, SF_SMALL)
     df.collect()
     assert len(df.columns) > 0
+
+
+def test_sql_views(spark):
+    from tessera.plans.views import register_views
+    names = register_views(spark, SF_SMALL, prefix="v_")
+    assert "v_doc_spans" in names
+    n = spark.sql("SELECT count(*) AS n FROM v_t_files WHERE status = 'completed'").first().n
+    assert n > 0
+    spans = spark.sql("SELECT entity_type, count(*) AS n FROM v_doc_spans GROUP BY entity_type").collect()
+    assert {r.entity_type for r in spans} >= {"EMAIL_ADDRESS"}
