@@ -20,6 +20,10 @@ from . import timeseries as TS
 BREACH_TITLE = "NC §75-61 BREACH NOTIFICATION EXECUTIVE SUMMARY"
 TIER_TITLE = "UNC DATA CLASSIFICATION EXECUTIVE SUMMARY"
 REPORT_TITLE = "NC §75-61 Breach Notification Analysis Report"
+REPORT_INTRO = "Files triggering NC §75-61 breach notification requirements:"
+REPORT_FOUND = "files that would trigger breach notification"
+REPORT_LAW = "requirements under North Carolina law (§75-61)."
+LAST_RANK = 2147483647
 RISK_AREAS = [
     ("PII-SSN", "files contain names with Social Security Numbers"),
     ("PII-FIN", "files contain names with financial account information"),
@@ -147,7 +151,7 @@ def tier_summary_lines(spark: SparkSession, files: DataFrame, jobs: DataFrame, e
     return out
 
 
-def breach_report_lines(ents: DataFrame) -> DataFrame:
+def breach_report_lines(ents: DataFrame, as_of: str | None = None) -> DataFrame:
     """The detailed strict-policy report, one block of lines per
     triggering file, files ordered by entity count (desc) then path.
 
@@ -191,4 +195,17 @@ def breach_report_lines(ents: DataFrame) -> DataFrame:
                             .alias("line"))
     cat_heads = counts.select("file_rank", (F.lit(1000) + F.col("cr") * 10).alias("ord"),
                               F.concat(F.lit("  "), F.col("category"), F.lit(":")).alias("line"))
-    return head.unionByName(reasons).unionByName(type_lines).unionByName(cat_heads).unionByName(sample_lines)
+    out = head.unionByName(reasons).unionByName(type_lines).unionByName(cat_heads).unionByName(sample_lines)
+    if as_of is None:
+        return out
+    spark = ents.sparkSession
+    header = spark.createDataFrame([(0, i, t) for i, t in enumerate(
+        [REPORT_TITLE, f"Generated: {as_of}", "", REPORT_INTRO, ""])], "file_rank int, ord int, line string")
+    n = b.agg(F.count(F.lit(1)).alias("n"))
+    footer = n.select(F.explode(F.array(
+        F.struct(F.lit(0).alias("ord"), F.lit("").alias("line")),
+        F.struct(F.lit(1).alias("ord"), F.concat(F.lit("Found "), F.col("n").cast("string"),
+                                                 F.lit(" " + REPORT_FOUND)).alias("line")),
+        F.struct(F.lit(2).alias("ord"), F.lit(REPORT_LAW).alias("line")))).alias("l")).select(
+        F.lit(LAST_RANK).alias("file_rank"), "l.ord", "l.line")
+    return header.unionByName(out).unionByName(footer)

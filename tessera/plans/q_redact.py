@@ -107,7 +107,7 @@ def redact_encrypt(spark, sf):
 
 @register("redact_audit", O.with_views(
     f"""SELECT doc_id, CAST(pos AS INT) AS pos, entity_type, start, "end", start + shift AS new_start,
-          start + shift + length(replacement) AS new_end, original, replacement, 'replace' AS operator
+          CAST(start + shift + length(replacement) AS INT) AS new_end, original, replacement, 'replace' AS operator
         FROM (SELECT i.doc_id, row_number() OVER (PARTITION BY i.doc_id ORDER BY i.start) - 1 AS pos, i.b.t AS entity_type,
                 i.start, i."end", substr(d.text, i.start + 1, i."end" - i.start) AS original,
                 '<' || i.b.t || '>' AS replacement,
@@ -129,7 +129,7 @@ def redact_batch(spark, sf):
 
 
 @register("redact_record", O.with_views(
-    """SELECT length(d.text) AS original_length, length(r.redacted) AS redacted_length,
+    """SELECT CAST(length(d.text) AS INT) AS original_length, CAST(length(r.redacted) AS INT) AS redacted_length,
          CAST(c.n AS INT) AS entities_redacted, 'replace' AS redaction_method, r.redacted AS redacted_text
        FROM documents d JOIN red r ON d.doc_id = r.doc_id
        JOIN (SELECT doc_id, count(*) AS n FROM isl GROUP BY doc_id) c ON d.doc_id = c.doc_id""",

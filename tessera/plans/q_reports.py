@@ -222,8 +222,13 @@ def _report_lines_sql():
                f"'  - Contains credential pair (username/email + password/access code)' END], lambda x: x IS NOT NULL)")
     sep = "-" * 80
     return O.ledger_sql(f"""
-SELECT file_rank, ord, line FROM (
-  SELECT file_rank, 0 AS ord, 'File: ' || file_path AS line FROM b
+SELECT CAST(file_rank AS INT) AS file_rank, ord, line FROM (
+  SELECT 0 AS file_rank, 0 AS ord, {O.q(SM.REPORT_TITLE)} AS line
+  UNION ALL SELECT 0, 1, 'Generated: {AS_OF}' UNION ALL SELECT 0, 2, ''
+  UNION ALL SELECT 0, 3, {O.q(SM.REPORT_INTRO)} UNION ALL SELECT 0, 4, ''
+  UNION ALL SELECT {SM.LAST_RANK}, 0, '' UNION ALL SELECT {SM.LAST_RANK}, 1, 'Found ' || (SELECT count(*) FROM b) || ' {SM.REPORT_FOUND}'
+  UNION ALL SELECT {SM.LAST_RANK}, 2, {O.q(SM.REPORT_LAW)}
+  UNION ALL SELECT file_rank, 0 AS ord, 'File: ' || file_path AS line FROM b
   UNION ALL SELECT file_rank, 1, 'Number of entities: ' || entity_count FROM b
   UNION ALL SELECT file_rank, 2, 'Classification: ' || label FROM b
   UNION ALL SELECT file_rank, 9, 'Entity types:' FROM b
@@ -251,7 +256,7 @@ SELECT file_rank, ord, line FROM (
 @register("report_lines", _report_lines_sql())
 def report_lines(spark, sf):
     """The detailed strict-policy report as ordered line rows."""
-    return SM.breach_report_lines(_fe(spark, sf))
+    return SM.breach_report_lines(_fe(spark, sf), AS_OF)
 
 
 def _summary_head_sql(title: str, label_blocks: str, ctes: list[tuple[str, str]]) -> str:

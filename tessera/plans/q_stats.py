@@ -230,7 +230,7 @@ def error_extensions(spark, sf):
 
 
 @register("error_samples", O.with_views(
-    f"""SELECT {_title_sql('category')} AS category, rn, file_path, coalesce(error_message, '') AS error FROM (
+    f"""SELECT {_title_sql('category')} AS category, CAST(rn AS INT) AS rn, file_path, coalesce(error_message, '') AS error FROM (
           SELECT *, row_number() OVER (PARTITION BY category ORDER BY file_path, file_id) AS rn FROM ef) x
         WHERE rn <= 5""", "t_files", extra=[_ERR_CTE]))
 def error_samples(spark, sf):
@@ -328,7 +328,7 @@ def top9_other(spark, sf):
 
 
 @register("samples3", O.ledger_sql(
-    f"""SELECT file_path, category, rn, masked_text FROM (
+    f"""SELECT file_path, category, CAST(rn AS INT) AS rn, masked_text FROM (
           SELECT file_path, {O.sql_display('entity_type', P.STRICT_DISPLAY_NAMES)} AS category,
             {O.sql_mask_strict('text', 'entity_type')} AS masked_text,
             row_number() OVER (PARTITION BY file_id, {O.sql_display('entity_type', P.STRICT_DISPLAY_NAMES)}
@@ -344,7 +344,7 @@ def samples3(spark, sf):
 
 
 @register("samples5_more", O.ledger_sql(
-    f"""SELECT file_path, entity_type, rn, masked_text, confidence, n_more FROM (
+    f"""SELECT file_path, entity_type, CAST(rn AS INT) AS rn, masked_text, confidence, n_more FROM (
           SELECT file_path, entity_type, {O.sql_mask_tiered('text', 'entity_type')} AS masked_text, score AS confidence,
             row_number() OVER (PARTITION BY file_id, entity_type ORDER BY score DESC, start_index, text) AS rn,
             greatest(count(*) OVER (PARTITION BY file_id, entity_type) - 5, 0) AS n_more
@@ -364,8 +364,8 @@ def samples5_more(spark, sf):
 
 @register("rank_files", O.ledger_sql(
     f"""SELECT file_path, entity_count, {O.sql_set_tier('types')} AS tier,
-          row_number() OVER (ORDER BY entity_count DESC, file_path) AS rank_by_count,
-          row_number() OVER (ORDER BY {O.sql_set_tier('types')} DESC, file_path) AS rank_by_tier FROM fs"""))
+          CAST(row_number() OVER (ORDER BY entity_count DESC, file_path) AS INT) AS rank_by_count,
+          CAST(row_number() OVER (ORDER BY {O.sql_set_tier('types')} DESC, file_path) AS INT) AS rank_by_tier FROM fs"""))
 def rank_files(spark, sf):
     """Files by entity count (desc) and by tier (desc) then path.
     A global order is a range-partitioned sort; ranks use one window each."""
@@ -379,7 +379,7 @@ def rank_files(spark, sf):
 
 @register("type_order", O.ledger_sql(
     f"""SELECT DISTINCT file_id, entity_type, {O.sql_type_tier('entity_type')} AS tier,
-          dense_rank() OVER (PARTITION BY file_id ORDER BY {O.sql_type_tier('entity_type')} DESC, entity_type) AS pos
+          CAST(dense_rank() OVER (PARTITION BY file_id ORDER BY {O.sql_type_tier('entity_type')} DESC, entity_type) AS INT) AS pos
         FROM fe"""))
 def type_order(spark, sf):
     """Type order inside a file: most sensitive first, then name."""

@@ -73,7 +73,7 @@ def last10_samples(spark, sf):
 @register("running_rate", O.with_views(
     """SELECT job_id, file_id, processed, elapsed_seconds,
          CASE WHEN elapsed_seconds > 0 THEN processed * 3600.0 / elapsed_seconds ELSE 0.0 END AS files_per_hour
-       FROM (SELECT job_id, file_id, row_number() OVER w AS processed,
+       FROM (SELECT job_id, file_id, CAST(row_number() OVER w AS INT) AS processed,
                date_diff('second', first_value(process_end) OVER w, process_end) AS elapsed_seconds
              FROM t_files WHERE status = 'completed'
              WINDOW w AS (PARTITION BY job_id ORDER BY process_end, file_id
