@@ -37,7 +37,8 @@ def _scratch(spark, sf, name):
     return scratch_path(spark, f"tessera-{name}-{tag}")
 
 
-@register("src_listing")
+@register("src_listing", """SELECT regexp_extract(filename, '[^/]*$', 0) AS name, CAST(size AS BIGINT) AS file_size,
+    '.parquet' AS file_type FROM read_blob('/root/testdata/sf0.01/*.parquet')""")
 def src_listing(spark, sf):
     """Recursive listing of the data folder (content pruned), filtered
     by extension, with size and the lower-case type."""
