@@ -81,8 +81,7 @@ def type_block(files: DataFrame, section: int) -> DataFrame:
     lines = t.select(F.lit(section).alias("section"), rn.alias("ord"),
                      F.concat(F.lit("  "), F.col("file_type"), F.lit(": "), F.col("n").cast("string"), F.lit(" files"))
                      .alias("line"))
-    head = _one(files.limit(1), section, 0, F.lit("File Types:"))
-    return head.unionByName(lines)
+    return _lines(files.sparkSession, section, ["File Types:"]).unionByName(lines)
 
 
 def breach_summary_lines(spark: SparkSession, files: DataFrame, jobs: DataFrame, ents: DataFrame,
