@@ -44,3 +44,15 @@ FROM s LEFT JOIN cl ON cl.ss = list_sort(s.ss) AND len(s.ss) > 0 LEFT JOIN r ON
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_groups
     return jaccard_groups(read_table(spark, sf_dir, "documents"))
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+    return pack(read_table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+
+
+@query("op7_byte_bpe")
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import round_trip
+    return round_trip(read_table(spark, sf_dir, "documents"))
