@@ -56,3 +56,9 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip
     return round_trip(read_table(spark, sf_dir, "documents"))
+
+
+@query("op5_quality_rules")
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import apply_rules
+    return apply_rules(read_table(spark, sf_dir, "documents"))
