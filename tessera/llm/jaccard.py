@@ -33,9 +33,11 @@ from .components import components
 from .scratch import drop, stored
 
 SKETCH_BITS = 22
-PIVOT_ROUNDS = 3
-#: a candidate id list below this many rows (16 bytes each) is broadcast
+PIVOT_ROUNDS = 2
+#: a table of two longs with at most this many rows (16 MB) is broadcast, a larger one is shuffled
 BROADCAST_ROWS = 1_000_000
+#: buckets of the counts that bound an intersection from above
+MARKS = 512
 
 
 def _sketch(k: int):
@@ -64,6 +66,14 @@ def list_levels(texts: DataFrame, k: int) -> bytes:
     return levels.tobytes()
 
 
+def _class_keys(n_docs: int, doc: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set sizes, offsets, and a 64-bit hash of each document's whole set."""
+    n = np.bincount(doc, minlength=n_docs)
+    first = np.concatenate(([0], np.cumsum(n)))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(W.mix(values), dtype=np.uint64)))
+    return n, first, W.mix((total[first[1:]] - total[first[:-1]]) ^ n.astype(np.uint64))
+
+
 def _short_lists(k: int, percent: int, levels):
     """doc_id, n, class hash and, once per class and task, the shingles of
     its short lists."""
@@ -74,10 +84,7 @@ def _short_lists(k: int, percent: int, levels):
             for piece in W.pieces(batch):
                 words = W.Words(*W.flat(piece.column(1)))
                 doc, values = W.shingle_sets(words, k)
-                n = np.bincount(doc, minlength=words.n_docs)
-                first = np.concatenate(([0], np.cumsum(n)))
-                marks = np.concatenate((np.zeros(1, np.uint64), np.cumsum(W.mix(values), dtype=np.uint64)))
-                keys = W.mix((marks[first[1:]] - marks[first[:-1]]) ^ n.astype(np.uint64))
+                n, first, keys = _class_keys(words.n_docs, doc, values)
                 order = np.lexsort((values, level[(values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], doc))
                 by_length = values[order].view(np.int64)
                 short = n - (percent * n + 99) // 100 + 1
@@ -95,14 +102,41 @@ def _short_lists(k: int, percent: int, levels):
 
 
 def _sets(k: int):
+    """Class, its sorted shingle set, and how many shingles fall in each of
+    MARKS hash ranges (255: at least so many)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in W.pieces(batch):
                 words = W.Words(*W.flat(piece.column(1)))
                 doc, values = W.shingle_sets(words, k)
-                at = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=words.n_docs))))
-                sets = [values[at[i]:at[i + 1]].tobytes() for i in range(words.n_docs)]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sets, pa.binary())], names=["f", "members"])
+                _, at, keys = _class_keys(words.n_docs, doc, values)
+                wanted = piece.column(0).to_numpy()
+                # another text under a repeated id has another class
+                right = np.flatnonzero(keys.view(np.int64) == wanted)
+                sets, marks = [], []
+                for i in right.tolist():
+                    own = values[at[i]:at[i + 1]]
+                    sets.append(own.tobytes())
+                    inside = np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=MARKS)
+                    marks.append(np.minimum(inside, 255).astype(np.uint8).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(wanted[right]), pa.array(sets, pa.binary()), pa.array(marks, pa.binary())],
+                    names=["f", "members", "marks"])
+    return run
+
+
+def _bound(percent: int):
+    """Whether the counts by hash range leave room for a link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint8).astype(np.int64) for v in (x, y))
+                most = int(np.minimum(x, y).sum())
+                keep.append(bool((x == 255).any() or (y == 255).any()
+                                 or 100 * most >= percent * (int(x.sum() + y.sum()) - most)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())],
+                                             names=["f", "p", "ok"])
     return run
 
 
@@ -119,22 +153,34 @@ def _probe(percent: int):
                 both = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())],
-                                             names=["f", "p", "linked"])
+                                             names=["f", "p", "ok"])
     return run
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A stored table of two longs, to be broadcast if it is small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _beside(pairs: DataFrame, sets: DataFrame, what: str) -> DataFrame:
+    """(f, p, x, y): ``what`` of both classes of each pair."""
+    small = _small(pairs)
+    x = sets.select("f", F.col(what).alias("x")).join(small, "f")
+    y = sets.select(F.col("f").alias("p"), F.col(what).alias("y")).join(small, "p")
+    return x.join(y, ["f", "p"]).select("f", "p", "x", "y")
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(f, p, linked) for each candidate pair of classes."""
+    """The linked ones among candidate pairs of classes."""
     wanted = stored(pairs.select(F.explode(F.array("f", "p")).alias("f")).distinct()
                     .join(classes.select("f", "doc_id"), "f"), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("f", "text")
-    # rows of a repeated doc_id may hold other texts; the class hash tells
-    sets = stored(texts.mapInArrow(_sets(k), "f long, members binary"), "sets")
-    out = stored(pairs.join(sets.withColumnRenamed("members", "x"), "f")
-                 .join(sets.select(F.col("f").alias("p"), F.col("members").alias("y")), "p")
-                 .select("f", "p", "x", "y").mapInArrow(_probe(percent), "f long, p long, linked boolean"), "probed")
-    for table in (wanted, sets):
+    texts = docs.join(_small(wanted), "doc_id").select("f", "text")
+    sets = stored(texts.mapInArrow(_sets(k), "f long, members binary, marks binary").dropDuplicates(["f"]), "sets")
+    schema = "f long, p long, ok boolean"
+    likely = stored(_beside(pairs, sets, "marks").mapInArrow(_bound(percent), schema).where("ok"), "likely")
+    out = stored(_beside(likely.select("f", "p"), sets, "members").mapInArrow(_probe(percent), schema).where("ok")
+                 .select("f", "p"), "links")
+    for table in (wanted, sets, likely):
         drop(table)
     return out
 
@@ -147,23 +193,22 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     their sets of k-word shingles (A-Z lower-cased; shorter texts count as
     one shingle); component_id is the smallest doc_id reachable.  Null,
     empty and blank texts have no shingles and link with nothing: their
-    component is their own id, also where such rows share an id.  A null id
-    is kept as a row and never becomes a group's id unless all its documents
-    have none.  Rows that repeat a document repeat in the result.  An empty
-    table gives an empty result.  Further columns are ignored.
+    component is their own id.  A row without an id takes no part in links;
+    its component is null.  Rows that repeat an id, with the same or another
+    text, each keep their own row and component.  An empty table gives an
+    empty result.  Further columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     levels = spark.sparkContext.broadcast(list_levels(docs.select("text"), k))
     rows = stored(docs.mapInArrow(_short_lists(k, percent, levels),
                                   "doc_id long, n long, f long, short array<long>"), "short")
-    classes = rows.where("n > 0").groupBy("f").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    postings = rows.where("short IS NOT NULL").select("f", F.explode("short").alias("h"))
-    spans = postings.groupBy("h").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo < hi").select("h")
-    lists = stored(postings.join(spans, "h").join(rows.where("short IS NOT NULL").groupBy("f").agg(
-        F.max("n").alias("n")), "f").distinct(), "lists")
+    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("f").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    postings = rows.where("short IS NOT NULL").select("f", "n", F.explode("short").alias("h"))
+    shared = postings.groupBy("h").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo < hi").select("h")
+    lists = stored(postings.join(shared, "h"), "lists")
 
-    found = comps = None  # pairs probed so far, components of the linked ones
+    tested = links = comps = None  # pairs so far, the linked ones, and their components
     for turn in range(PIVOT_ROUNDS + 1):
         at = lists.withColumn("c", F.col("f")) if comps is None else (
             lists.join(comps, lists.f == comps.node, "left").select("h", "f", "n", F.coalesce("component", "f").alias("c")))
@@ -178,16 +223,14 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
             pairs = at.join(other, "h").where("f < p")
         pairs = pairs.where(f"c != pc AND 100 * least(n, pn) >= {percent} * greatest(n, pn)").select(
             F.least("f", "p").alias("f"), F.greatest("f", "p").alias("p")).distinct()
-        if found is not None:
-            pairs = pairs.join(found, ["f", "p"], "left_anti")
+        if tested is not None:
+            pairs = pairs.join(tested, ["f", "p"], "left_anti")
         pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn < PIVOT_ROUNDS:
-                continue
-            break
-        probed = _verified(docs, classes, pairs, k, percent)
-        found = probed if found is None else found.union(probed)
-        comps = components(found.where("linked"), "f", "p")
+        if not pairs.isEmpty():
+            tested = pairs if tested is None else tested.union(pairs)
+            found = _verified(docs, classes, pairs, k, percent)
+            links = found if links is None else links.union(found)
+            comps = components(links, "f", "p")
 
     named = classes if comps is None else classes.join(comps, classes.f == comps.node, "left").select(
         "f", "doc_id", F.coalesce("component", "f").alias("component"))
@@ -195,6 +238,6 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
         named = named.withColumn("component", F.col("f"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "component").select("f", "component_id")
-    return (rows.join(named, "f", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.join(named, "f", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))

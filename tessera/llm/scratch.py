@@ -16,9 +16,14 @@ def folder(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage is cut,
-    it is computed once, and it survives lost executors."""
+    it is computed once, and it survives lost executors.
+
+    The driver's garbage is collected afterwards, for Spark deletes shuffle
+    files only once the plan that made them is gone.
+    """
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
