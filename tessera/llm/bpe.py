@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from . import words as W
 
 #: units kept by a worker between batches (about 40 bytes each); a full store starts anew
-STORE_UNITS = 400_000
+STORE_UNITS = 1_500_000
 
 # The splitting rule of byte-level BPE and the white space it knows.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -47,6 +47,8 @@ class Bpe:
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         letters = byte_alphabet()
         self.of_byte = np.array([vocab[c] for c in letters], np.int64)
+        suffix = spec["model"]["end_of_word_suffix"]  # stands at the last symbol of each pre-token
+        self.of_last = np.array([vocab[c + suffix] for c in letters], np.int64) if suffix else self.of_byte
         self.size = max(vocab.values()) + len(spec["added_tokens"]) + 1
         sides = [m if isinstance(m, list) else m.split(" ") for m in merges]
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in sides], np.int64)
@@ -75,7 +77,10 @@ class Bpe:
     def merge(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pre-tokens in a row, and the n+1 offsets."""
         lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        ids = self.of_byte[np.frombuffer(b"".join(tokens), np.uint8)]
+        symbols = np.frombuffer(b"".join(tokens), np.uint8)
+        ids = self.of_byte[symbols]
+        last = np.cumsum(lengths) - 1
+        ids[last] = self.of_last[symbols[last]]
         word = np.repeat(np.arange(len(tokens)), lengths)
         done_ids, done_words, done_at = [], [], []
         while len(ids):
@@ -174,18 +179,17 @@ class Store:
         return np.where(there, self.place[at], -1), np.where(there, self.size[at], 0)
 
     def add(self, hashes: np.ndarray, flat: np.ndarray, at: np.ndarray, needed: np.ndarray) -> None:
-        """Add units; when full, keep only those ``needed`` now."""
+        """Add units, sorted by hash; when full, keep only those ``needed`` now."""
         if len(self.known) + len(hashes) > STORE_UNITS:
             place, size = self.find(needed)
             kept = place >= 0
             ids = gather(self.flat, place[kept], size[kept])
             self.known, self.size, self.flat = needed[kept], size[kept], ids
             self.place = np.cumsum(self.size) - self.size
-        known = np.concatenate((self.known, hashes))
-        order = np.argsort(known, kind="stable")
-        self.place = np.concatenate((self.place, at[:-1] + len(self.flat)))[order]
-        self.size = np.concatenate((self.size, at[1:] - at[:-1]))[order]
-        self.known = known[order]
+        at_known = np.searchsorted(self.known, hashes)  # both are sorted
+        self.place = np.insert(self.place, at_known, at[:-1] + len(self.flat))
+        self.size = np.insert(self.size, at_known, at[1:] - at[:-1])
+        self.known = np.insert(self.known, at_known, hashes)
         self.flat = np.concatenate((self.flat, flat.astype(np.int32)))
 
 

@@ -2,8 +2,8 @@
 
 Each task reads its documents in order as one stream of tokens and cuts it
 into windows of at most ``size`` tokens.  A dynamic program picks the cuts
-among document ends, sentence ends and, inside very long sentences, every
-64th token, so that padding plus truncation penalties are least: the best way
+among document ends, sentence ends (one in 16 tokens) and, inside very long
+sentences, every 64th token, so that padding plus truncation penalties are least: the best way
 to end at a position is the least value among the starts that lie within
 ``size`` tokens before it, which a monotone queue hands over in constant
 time; windows whose length is a power of two carry no padding and are looked
@@ -13,8 +13,10 @@ stream (about ``STRETCH`` tokens, or one document if that is longer).
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import words as W
-from .bpe import Store, gather, tokenizer_source
+from .bpe import Bpe, Store, gather, tokenizer_source
 
 STRETCH = 1 << 20
 #: price of a cut inside a document, in tokens of padding: after a sentence, elsewhere
 SENTENCE_CUT, HARD_CUT = 4, 64
+#: a cut position at most in so many tokens, besides the document ends
+CELL = 16
 #: a sentence longer than this may be cut after each HARD_STEP tokens
 LONG_SENTENCE, HARD_STEP = 512, 64
 
@@ -34,16 +38,40 @@ _SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens lon
            "ids binary")
 
 
-class UnitTokenizer:
-    """Ids of whole texts from a tokenizer that never joins across white
-    space: each distinct word is encoded once."""
+class WordTokenizer:
+    """Ids of whole texts from a tokenizer that drops white space: each
+    distinct word is encoded once.
+
+    Plain Latin words go through the merge rounds of ``Bpe``, split by the
+    file's own rule; the others, and those with a special token's string in
+    them, through the tokenizers library.
+    """
+
+    # Fixed value: the tokenizer's splitting rule, and one more branch for the spaces set between words
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+| "
 
     def __init__(self, source: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import regex
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.store = Store()
+        self.bpe, self.split, self.store = Bpe(source), regex.compile(self.SPLIT), Store()
+        self.foreign = regex.compile("[^\0-\u024f]|\xa0|\x85|" + "|".join(map(regex.escape, self.bpe.special)))
+
+    def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and sizes of plain Latin words."""
+        tokens: dict[str, int] = {}
+        number = tokens.setdefault
+        plan = np.array([-1 if t == " " else number(t, len(tokens))
+                         for t in self.split.findall(" ".join(texts).lower())], np.int64)
+        flat, at = self.bpe.merge([t.encode() for t in tokens])
+        word = np.cumsum(plan < 0)
+        word, plan = word[plan >= 0], plan[plan >= 0]
+        sizes = at[1:] - at[:-1]
+        return gather(flat, at[plan], sizes[plan]), np.bincount(
+            word, weights=sizes[plan], minlength=len(texts)).astype(np.int64)
 
     def encode(self, words: W.Words) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, and the n+1 offsets by word."""
@@ -52,10 +80,20 @@ class UnitTokenizer:
         new = np.flatnonzero(place < 0)
         if len(new):
             data = words.buf.tobytes()
-            texts = [data[a:b].decode() for a, b in zip(words.start[first[new]], words.end[first[new]])]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            at = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-            self.store.add(distinct[new], np.array([x for y in ids for x in y], np.int64), at, distinct)
+            texts = [data[a:b].decode() for a, b in zip(words.start[first[new]].tolist(),
+                                                        words.end[first[new]].tolist())]
+            odd = np.array([self.foreign.search(t) is not None for t in texts])
+            simple = np.flatnonzero(~odd)
+            if len(simple):
+                flat, sizes = self.plain([texts[i] for i in simple.tolist()])
+                self.store.add(distinct[new[simple]], flat, np.concatenate(([0], np.cumsum(sizes))), distinct)
+            odd = np.flatnonzero(odd)
+            if len(odd):
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in odd.tolist()],
+                                                                       add_special_tokens=False)]
+                at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))))
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, at[-1])
+                self.store.add(distinct[new[odd]], flat, at, distinct)
             place, size = self.store.find(distinct)
         return gather(self.store.flat, place[which], size[which]), np.concatenate(([0], np.cumsum(size[which])))
 
@@ -77,29 +115,34 @@ def best_cuts(at: np.ndarray, price: np.ndarray, size: int) -> list[int]:
     cheapest cuts up to the last position; neighbours lie at most ``size``
     apart.  Ties go to the earlier start, so to the longer window."""
     n = len(at)
-    exact: dict[int, list[int]] = {}
-    power = 1
+    ends, starts, power = [], [], 1
     while power <= size:
         found = np.searchsorted(at, at - power)
-        for j in np.flatnonzero((at >= power) & (at[found] == at - power)).tolist():
-            exact.setdefault(j, []).append(int(found[j]))
+        hit = np.flatnonzero((at >= power) & (at[found] == at - power))
+        ends.append(hit)
+        starts.append(found[hit])
         power *= 2
+    order = np.argsort(np.concatenate(ends), kind="stable")
+    ends = np.concatenate(ends)[order].tolist() + [n]
+    starts = np.concatenate(starts)[order].tolist()
     position, cost = at.tolist(), price.tolist()
     best, back, key = [0] * n, [0] * n, [0] * n
-    queue, head = [0], 0
+    queue, head, exact = [0], 0, 0
     for j in range(1, n):
         here = position[j]
         while position[queue[head]] < here - size:
             head += 1
         i = queue[head]
         value = key[i] + size - here
-        for k in exact.get(j, ()):
+        while ends[exact] == j:
+            k = starts[exact]
+            exact += 1
             if best[k] < value:
                 value, i = best[k], k
-        best[j] = value + cost[j]
+        best[j] = value = value + cost[j]
         back[j] = i
-        key[j] = best[j] + here
-        while len(queue) > head and key[queue[-1]] > key[j]:
+        key[j] = value = value + here
+        while len(queue) > head and key[queue[-1]] > value:
             queue.pop()
         queue.append(j)
     cuts, j = [], n - 1
@@ -114,7 +157,7 @@ def _pack(source, size: int, end_id: int, with_ids: bool):
         cache = W.worker_cache()
         name = ("units", hash(source.value))
         if name not in cache:
-            cache[name] = UnitTokenizer(source.value)
+            cache[name] = WordTokenizer(source.value)
         tokenizer = cache[name]
         sequence = TaskContext.get().partitionId() << 33
         ids, at, price = [], [], []  # token chunks, cut positions and prices of the stretch
@@ -175,7 +218,9 @@ def _pack(source, size: int, end_id: int, with_ids: bool):
                 flat = np.insert(flat.astype(np.uint32), bounds[1:], end_id)
                 ends = np.cumsum(many)
                 close = close + np.searchsorted(bounds[1:], close, "left")  # end tokens before it
-                close = np.setdiff1d(close, ends - 1)  # the document's end follows right after
+                # one a cell of CELL tokens; the document's end follows right after its last token
+                close = close[np.append(close[1:] // CELL != close[:-1] // CELL, True)] if len(close) else close
+                close = np.setdiff1d(close, ends - 1)
                 position = np.unique(np.concatenate((close, ends)))
                 gaps = np.diff(np.concatenate(([0], position)))
                 long = np.flatnonzero(gaps > min(LONG_SENTENCE, size))
