@@ -62,3 +62,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import apply_rules
     return apply_rules(read_table(spark, sf_dir, "documents"))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity as t
+    docs = read_table(spark, sf_dir, "documents")
+    model = t.train(docs, read_table(spark, sf_dir, "labels"), learn=~t.held_out())
+    return t.score(docs, model).select(
+        "doc_id", F.coalesce(t.held_out(), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= t.THRESHOLD).cast("int").alias("predicted"), "spans")

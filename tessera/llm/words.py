@@ -92,11 +92,12 @@ def pieces(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch
 
 class Words:
     """The words of a piece: byte ``start`` and ``end`` in the flat buffer and
-    the row ``doc`` of each."""
+    the row ``doc`` of each.  ``solid`` marks the bytes that words are made of
+    (by default all but white space)."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, solid: np.ndarray | None = None):
         self.buf, self.offsets, self.n_docs = buf, offsets, len(offsets) - 1
-        solid = ~SPACE[buf]
+        solid = ~SPACE[buf] if solid is None else solid
         edge = np.zeros(len(buf) + 1, bool)
         edge[offsets] = True
         before = np.empty(len(buf), bool)
