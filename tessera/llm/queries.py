@@ -72,3 +72,25 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.score(docs, model).select(
         "doc_id", F.coalesce(t.held_out(), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= t.THRESHOLD).cast("int").alias("predicted"), "spans")
+
+
+@query("op10_chat_format", r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS esc FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(4 + length(role) + 2 + length(esc) + 9)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+""")
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    own = spark.range(1).select(F.explode(F.array(*(
+        F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"),
+                 F.lit(said).alias("text")) for i, role in enumerate(("user", "assistant"))))).alias("r")).select("r.*")
+    return chat.chat_digests(chat.events_of_turns(turns.union(own)))
