@@ -94,3 +94,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"),
                  F.lit(said).alias("text")) for i, role in enumerate(("user", "assistant"))))).alias("r")).select("r.*")
     return chat.chat_digests(chat.events_of_turns(turns.union(own)))
+
+
+@query("op9_sharding")
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding as s
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", "source", s.text_size().alias("size"),
+        F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_crc32"), F.xxhash64("text").alias("text_hash"))
+    return s.assign_shards(docs, ["text_crc32", "text_hash", "size"]).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "hilbert")
