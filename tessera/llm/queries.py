@@ -105,3 +105,33 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.assign_shards(docs, ["text_crc32", "text_hash", "size"]).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
+@query("op6_line_dedup", """
+WITH raw AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+  FROM documents),
+n AS (
+  SELECT doc_id, pos, raw, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[ \\t\\x0B\\f\\r]+', ' ', 'g'), ' ') AS line FROM raw),
+d AS (SELECT line, length(line) AS size, min({'doc_id': doc_id, 'pos': pos}) AS first FROM n WHERE length(line) >= 10 GROUP BY line),
+p AS (
+  SELECT a.line AS a, b.line AS b, a.first AS fa, b.first AS fb FROM d a JOIN d b
+    ON a.size = b.size AND left(a.line, a.size // 2) = left(b.line, a.size // 2) AND a.line < b.line AND a.size >= 20
+  UNION ALL SELECT a.line, b.line, a.first, b.first FROM d a JOIN d b
+    ON a.size = b.size AND right(a.line, a.size - a.size // 2) = right(b.line, a.size - a.size // 2) AND a.line < b.line AND a.size >= 20
+  UNION ALL SELECT a.line, b.line, a.first, b.first FROM d a JOIN d b
+    ON a.size + 1 = b.size AND left(a.line, a.size // 2) = left(b.line, a.size // 2) AND a.size >= 20
+  UNION ALL SELECT a.line, b.line, a.first, b.first FROM d a JOIN d b
+    ON a.size + 1 = b.size AND right(a.line, a.size - a.size // 2) = right(b.line, a.size - a.size // 2) AND a.size >= 20),
+late AS (SELECT DISTINCT CASE WHEN fa < fb THEN b ELSE a END AS line FROM p WHERE levenshtein(a, b) <= 1),
+k AS (
+  SELECT n.doc_id, n.pos, n.raw, d.line IS NOT NULL AND (late.line IS NOT NULL OR d.first <> {'doc_id': n.doc_id, 'pos': n.pos}) AS gone
+  FROM n LEFT JOIN d ON d.line = n.line LEFT JOIN late ON late.line = n.line)
+SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text,
+  (count(*) FILTER (gone))::BIGINT AS n_removed
+FROM k GROUP BY doc_id
+""")
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+    return dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
