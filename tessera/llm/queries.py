@@ -135,3 +135,9 @@ FROM k GROUP BY doc_id
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import dedup_lines
     return dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import repeated_passages
+    return repeated_passages(read_table(spark, sf_dir, "documents"))
