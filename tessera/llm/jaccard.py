@@ -8,12 +8,12 @@ at least one short list.  The candidates are then checked by binary probes of
 their whole sorted shingle sets, which is where the long lists are visited.
 
 List lengths come from a count sketch of fixed size over all documents
-(broadcast; 4 MB whatever the corpus).  It only orders the lists: any order
+(broadcast; 16 MB whatever the corpus).  It only orders the lists: any order
 gives the same links, a good one gives short lists.
 
 Documents with equal sets form one class before anything is joined.  Lists
 are never turned into all pairs: members of a list are first paired with one
-pivot; a list whose members are already one component is finished; only
+pivot (the member that shares most with others, then others); a list whose members are already one component is finished; only
 members still in different components are paired further.  So every pair of
 linked classes ends in one component, and a hot group costs rows in
 proportion to its size.
@@ -32,7 +32,7 @@ from . import words as W
 from .components import components
 from .scratch import drop, stored
 
-SKETCH_BITS = 22
+SKETCH_BITS = 24
 PIVOT_ROUNDS = 2
 #: a table of two longs with at most this many rows (16 MB) is broadcast, a larger one is shuffled
 BROADCAST_ROWS = 1_000_000
@@ -42,22 +42,23 @@ MARKS = 512
 
 def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint16)
         total = 0
         for batch in batches:
             for piece in W.pieces(batch):
                 _, values = W.shingle_sets(W.Words(*W.flat(piece.column(0))), k)
-                np.add.at(counts, (values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                at, n = np.unique((values >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
+                counts[at] = np.minimum(counts[at] + n, 65535)
                 total += len(values)
         mean = total / len(counts)
-        at = np.flatnonzero(counts >= mean + 6 * mean ** 0.5 + 4)
+        at = np.flatnonzero(counts >= mean + 4 * mean ** 0.5 + 2)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())],
                                          names=["bucket", "n"])
     return run
 
 
 def list_levels(texts: DataFrame, k: int) -> bytes:
-    """Bit length of the count of frequent shingles in each of 2**22 buckets;
+    """Bit length of the count of frequent shingles in each of 2**24 buckets;
     0 for the rest.  At most one row per bucket reaches the driver."""
     rows = (texts.mapInArrow(_sketch(k), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
             .select("bucket", (F.floor(F.log2("n")) + 1).cast("tinyint").alias("level")).toArrow())
@@ -175,11 +176,12 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, per
     wanted = stored(pairs.select(F.explode(F.array("f", "p")).alias("f")).distinct()
                     .join(classes.select("f", "doc_id"), "f"), "wanted")
     texts = docs.join(_small(wanted), "doc_id").select("f", "text")
-    sets = stored(texts.mapInArrow(_sets(k), "f long, members binary, marks binary").dropDuplicates(["f"]), "sets")
+    sets = stored(texts.mapInArrow(_sets(k), "f long, members binary, marks binary"), "sets")
     schema = "f long, p long, ok boolean"
-    likely = stored(_beside(pairs, sets, "marks").mapInArrow(_bound(percent), schema).where("ok"), "likely")
-    out = stored(_beside(likely.select("f", "p"), sets, "members").mapInArrow(_probe(percent), schema).where("ok")
-                 .select("f", "p"), "links")
+    likely = stored(_beside(pairs, sets, "marks").mapInArrow(_bound(percent), schema).where("ok")
+                    .select("f", "p").distinct(), "likely")
+    out = stored(_beside(likely, sets, "members").mapInArrow(_probe(percent), schema).where("ok")
+                 .select("f", "p").distinct(), "links")
     for table in (wanted, sets, likely):
         drop(table)
     return out
@@ -204,24 +206,36 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     rows = stored(docs.mapInArrow(_short_lists(k, percent, levels),
                                   "doc_id long, n long, f long, short array<long>"), "short")
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("f").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    postings = rows.where("short IS NOT NULL").select("f", "n", F.explode("short").alias("h"))
-    shared = postings.groupBy("h").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo < hi").select("h")
-    lists = stored(postings.join(shared, "h"), "lists")
+    # shared shingles of a pair stand at or after the first one's place in the order of lists, so it
+    # bounds the partner's size: |union| - |intersection| leaves no room for a larger one
+    reach = F.expr(f"floor((n - pos) * {100 + percent} / {percent}) - n")
+    postings = rows.where("short IS NOT NULL").select("f", "n", F.posexplode("short").alias("pos", "h")).select(
+        "h", "f", F.col("n").cast("int").alias("n"), reach.cast("int").alias("reach"))
+    shared = postings.groupBy("h").agg(
+        F.min("f").alias("lo"), F.max("f").alias("hi"), F.count("*").alias("many"), F.min("n").alias("least"),
+        F.max("reach").alias("far")).where("lo < hi").select("h", "many", "least", "far")
+    lists = stored(postings.join(shared, "h").where("reach >= least AND n <= far").drop("least", "far"), "lists")
+    # an original shares more with its copies than these with each other
+    weight = lists.groupBy("f").agg(F.sum("many").alias("weight"))
+    lists = stored(lists.drop("many").join(weight, "f"), "weighted")
 
     tested = links = comps = None  # pairs so far, the linked ones, and their components
     for turn in range(PIVOT_ROUNDS + 1):
         at = lists.withColumn("c", F.col("f")) if comps is None else (
-            lists.join(comps, lists.f == comps.node, "left").select("h", "f", "n", F.coalesce("component", "f").alias("c")))
-        open_lists = at.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by(
-            F.struct("f", "n", "c"), F.xxhash64("f", F.lit(turn))).alias("pivot")).where("c0 < c1")
+            lists.join(comps, lists.f == comps.node, "left").select(
+                "h", "f", "n", "reach", "weight", F.coalesce("component", "f").alias("c")))
+        rank = F.struct("weight", "f") if turn == 0 else F.struct(F.xxhash64("f", F.lit(turn)), "f")
+        open_lists = at.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1"),
+                                         F.max_by(F.struct("f", "n", "reach", "c"), rank).alias("pivot")).where("c0 < c1")
         at = at.join(open_lists, "h")
         if turn < PIVOT_ROUNDS:
-            pairs = at.select("f", "n", "c", F.col("pivot.f").alias("p"), F.col("pivot.n").alias("pn"),
-                              F.col("pivot.c").alias("pc"))
+            pairs = at.select("f", "n", "reach", "c", F.col("pivot.f").alias("p"), F.col("pivot.n").alias("pn"),
+                              F.col("pivot.reach").alias("preach"), F.col("pivot.c").alias("pc")).where("f != p")
         else:
-            other = at.select("h", F.col("f").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"))
+            other = at.select("h", F.col("f").alias("p"), F.col("n").alias("pn"), F.col("reach").alias("preach"),
+                              F.col("c").alias("pc"))
             pairs = at.join(other, "h").where("f < p")
-        pairs = pairs.where(f"c != pc AND 100 * least(n, pn) >= {percent} * greatest(n, pn)").select(
+        pairs = pairs.where("c != pc AND n <= preach AND pn <= reach").select(
             F.least("f", "p").alias("f"), F.greatest("f", "p").alias("p")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["f", "p"], "left_anti")
