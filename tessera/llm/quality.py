@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .scratch import stored
 
 #: rate -> least distance of its bound from the middle half (documents of a
 #: uniform group would otherwise fail for a trifle)
@@ -129,7 +130,8 @@ def apply_rules(docs: DataFrame, **columns: str) -> DataFrame:
     languages and sources are groups of their own; an empty table gives an
     empty result.  Extra columns are ignored.
     """
-    rates = _rates(measure(docs, **columns))
+    # counted once; the sketches and the filter read the written counts
+    rates = _rates(stored(measure(docs, **columns), "counts"))
     bounds = thresholds(rates)
     ok = " AND ".join(f"r.{r} <= t.max_{r}" for r in RATES)
     r, t = rates.alias("r"), F.broadcast(bounds).alias("t")
