@@ -141,3 +141,9 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import repeated_passages
     return repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
+@query("op1_nearest")
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+    return nearest(read_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
