@@ -6,7 +6,7 @@ of random hyperplanes.  NN-descent then improves it: every vector is a hub at
 which its neighbours and those that have it as neighbour meet, and are tried
 as neighbours of each other (neighbours of neighbours, by Spark joins).  A
 query walks the graph: it opens its best unopened vertices, scores their
-neighbours, and goes on until nothing better turns up.  The best found are
+neighbours, and goes on until its best candidates are all opened.  The best found are
 scored again on the original vectors in double precision.
 
 Equal vectors are one vertex.  Vectors travel as half floats.
@@ -26,13 +26,13 @@ from .words import PIECE_BYTES
 
 TOP = 20
 #: neighbours kept of each vertex; those that meet at hubs in a round
-DEGREE, MEETING = 32, 20
+DEGREE, MEETING = 32, 24
 #: aim for the size of a block, number of block tables, most members of one meeting
 BLOCK, TABLES, GROUP = 1024, 4, 64
 #: rounds of NN-descent at most; fewer when less than this share of the lists changes
 ROUNDS, STILL = 8, 0.02
-#: vertices a query opens in a step, how many candidates it holds, steps at most
-OPEN, BEAM, STEPS = 16, 200, 12
+#: vertices a query opens in a step; it is done when its best WIDTH are all opened, or after STEPS
+OPEN, WIDTH, STEPS = 24, 160, 16
 BROADCAST_ROWS = 100_000
 
 
@@ -218,7 +218,7 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["q", "nbr", "score"])
 
 
-def _advance(beam: int, top: int):
+def _advance(beam: int):
     """Merge a query's new candidates into its beam (rows sorted by q; the
     one with qv is the beam)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,9 +242,7 @@ def _advance(beam: int, top: int):
                 ids, value, done = ids[first], value[first], done[first]
                 best = np.lexsort((ids, -value))[:beam]
                 ids, value, done = ids[best], value[best], done[best]
-                before = nbr[state].values.to_numpy()[:top]
-                moved = len(before) < top or not np.array_equal(np.sort(before), np.sort(ids[:top]))
-                rows.append((q[h], vectors[state].as_py(), ids, value, done, moved))
+                rows.append((q[h], vectors[state].as_py(), ids, value, done, not done.all()))
             kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.bool_()),
                      pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
@@ -252,7 +250,7 @@ def _advance(beam: int, top: int):
     return run
 
 
-def greedy_search(graph: DataFrame, vertices: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
+def greedy_search(graph: DataFrame, vertices: DataFrame, queries: DataFrame) -> DataFrame:
     """q, nbr, score (best first) of query vertices (id), from their own
     lists onward."""
     edges = graph.select("id", F.posexplode("nbr").alias("at", "other"))
@@ -281,7 +279,7 @@ def greedy_search(graph: DataFrame, vertices: DataFrame, queries: DataFrame, top
         none = F.lit(None)
         rows = marked.select("q", "qv", "nbr", "score", "opened").union(hits.select(
             "q", none.cast("binary"), "nbr", "score", none.cast("array<boolean>")))
-        after = stored(rows.repartition("q").sortWithinPartitions("q").mapInArrow(_advance(BEAM, top), _BEAM).union(
+        after = stored(rows.repartition("q").sortWithinPartitions("q").mapInArrow(_advance(WIDTH), _BEAM).union(
             state.where("NOT moved")), "beam")
         drop(state)
         state = after
@@ -321,7 +319,7 @@ def nearest(vectors: DataFrame, query: str, top: int = TOP, id_col: str = "vec_i
     asked = stored(fine.where("asks").select("vec_id", "x").join(heads, "x").select(
         F.col("vec_id").alias("query_id"), "id", "x"), "asked")
     graph = nn_descent(vertices)
-    found = greedy_search(graph, vertices, asked.select("id").distinct(), top)
+    found = greedy_search(graph, vertices, asked.select("id").distinct())
     # twice as many as needed are scored again exactly, and the query's own copies
     near = found.select(F.col("q").alias("id"), F.explode(F.slice("nbr", 1, 2 * top)).alias("other")).union(
         found.select(F.col("q").alias("id"), F.col("q").alias("other")))

@@ -255,3 +255,22 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.join(named, "f", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the documents that link to one of a smaller id,
+    directly or not: the smallest id of each group stays, with all columns.
+
+    Rows without an id, and texts without words, stay.  Rows that repeat an
+    id and its text become one; an id goes when any of its texts does.
+    """
+    rows = stored(jaccard_groups(docs, id_col=id_col, text_col=text_col, **options), "groups")
+    drop_ids = stored(rows.where("doc_id IS NOT NULL AND doc_id != component_id").select(
+        F.col("doc_id").alias("_id")).distinct(), "dropped")
+    again = rows.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
+    again = stored(again, "repeated")
+    kept = docs.join(_small(drop_ids), docs[id_col] == drop_ids["_id"], "left_anti")
+    if again.isEmpty():
+        return kept
+    once = kept.join(_small(again), F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(_small(again), F.col(id_col) == F.col("_id"), "left_anti").union(once)

@@ -352,6 +352,24 @@ def score(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str =
         _score(held), "doc_id long, score double, spans array<struct<start: long, end: long, p: double>>")
 
 
+def _clean(model, text: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = model.value
+        for batch in batches:
+            name = batch.schema.names[text]
+            for piece in W.pieces(batch, name):
+                scores, _, _ = field.documents(Tokens(*W.flat(piece.column(text))))
+                yield piece.filter(pa.array(scores < threshold))
+    return run
+
+
+def clean(docs: DataFrame, model: Field, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, whose score is below the
+    threshold; edge cases as in ``score``."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_clean(held, docs.columns.index(text_col), threshold), docs.schema)
+
+
 def held_out():
     """Rows that no model may learn from."""
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
