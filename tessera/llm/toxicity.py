@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 6_000
 SAMPLE_BYTES = 16_384
 #: longest chain; a longer sentence is tagged in runs of so many words
 CHAIN = 64
@@ -41,8 +41,6 @@ _U = np.uint64
 class Tokens:
     """Words (runs of letters), their chains (sentences) and feature hashes."""
 
-    KINDS = 5
-
     def __init__(self, buf: np.ndarray, offsets: np.ndarray):
         self.raw = buf
         low = buf.copy()
@@ -61,18 +59,16 @@ class Tokens:
         self.first = np.flatnonzero(place % CHAIN == 0)
         self.length = np.diff(np.append(self.first, n))
 
-    def features(self) -> list[np.ndarray]:
+    def features(self) -> Iterator[np.ndarray]:
         """A hash of each kind for every word; 0 where the word is too short."""
         w = self.words
-        whole = w.hashes()
-        out = [whole]
+        yield w.hashes()
         size = w.end - w.start
         for kind, k in ((1, 4), (2, 5), (3, 6)):
             h = w.hashes(True, w.start, np.minimum(w.start + k, w.end))
-            out.append(np.where(size > k, W.mix(h + _U(kind)), _U(0)))
+            yield np.where(size > k, W.mix(h + _U(kind)), _U(0))
         h = w.hashes(True, np.maximum(w.end - 5, w.start), w.end)
-        out.append(np.where(size > 5, W.mix(h + _U(4)), _U(0)))
-        return out
+        yield np.where(size > 5, W.mix(h + _U(4)), _U(0))
 
 
 def _known(hashes: np.ndarray, table: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,12 +190,12 @@ def fit(buf: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> Field:
     tokens = Tokens(buf, offsets)
     doc, n_docs = tokens.words.doc, len(toxic)
     bad, good = max(int(toxic.sum()), 1), max(int(n_docs - toxic.sum()), 1)
-    kinds = tokens.features()
     share = bad / (bad + good)
-    whole = kinds[0]
+    whole = next(tokens.features())
     around = np.concatenate((whole[:1], whole[:-1])) ^ W.mix(np.concatenate((whole[1:], whole[-1:])))
+    del whole
     tables, tested = [], []
-    for hashes in kinds:
+    for hashes in tokens.features():
         there = hashes != 0
         d, h = W.distinct_by_doc(doc[there], hashes[there])
         names, at = np.unique(h, return_inverse=True)
@@ -221,7 +217,8 @@ def fit(buf: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> Field:
     table = np.sort(np.concatenate([names[gain >= least] for names, gain in tables]))
     near = _near(table)
     n = len(tokens.words.start)
-    found = [_known(h, table, near) for h in kinds]
+    del around
+    found = [_known(h, table, near) for h in tokens.features()]
     marked = np.zeros(n, bool)
     for word, _ in found:
         marked[word] = True
