@@ -32,7 +32,7 @@ BLOCK, TABLES, GROUP = 1024, 4, 64
 #: rounds of NN-descent at most; fewer when less than this share of the lists changes
 ROUNDS, STILL = 8, 0.02
 #: vertices a query opens in a step; it is done when its best WIDTH are all opened, or after STEPS
-OPEN, WIDTH, STEPS = 24, 160, 16
+OPEN, WIDTH, STEPS = 40, 240, 16
 BROADCAST_ROWS = 100_000
 
 

@@ -281,6 +281,8 @@ def fit(buf: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> Field:
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("toxic", pa.int32())]))
+    if not table.num_rows:
+        return
     toxic = table.column(1).to_numpy().astype(np.float64)
     model = fit(*W.flat(table.column(0)), toxic)
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(
