@@ -1,7 +1,7 @@
 """Line deduplication by a deletion-neighbourhood join (DataFrame functions
 only).
 
-Lines are compared lower-cased (A-Z) with white-space runs as one space.
+Lines are compared lower-cased with white-space runs as one space.
 Lines with at least MIN_CHARS characters take part; from EDIT_CHARS on, one
 edit (a character inserted, deleted or replaced) is tolerated.  The earliest
 line, by (doc_id, line number), stays; a later one goes if any earlier line
@@ -30,8 +30,9 @@ BROADCAST_ROWS = 1_000_000
 
 def normal(line: str) -> str:
     """SQL: the form in which lines are compared."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return f"btrim(regexp_replace(translate({line}, '{upper}', '{lower}'), '[ \\\\t\\\\x0B\\\\f\\\\r]+', ' '), ' ')"
+    runs = f"regexp_replace({line}, '[ \\\\t\\\\x0B\\\\f\\\\r]+', ' ')"
+    odd = " OR ".join(f"contains({line}, {c})" for c in ("'  '", "'\\t'", "'\\r'", "char(11)", "char(12)"))
+    return f"lower(btrim(CASE WHEN {odd} THEN {runs} ELSE {line} END, ' '))"
 
 
 def _outside(t: str, s: int) -> str:
@@ -48,11 +49,14 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     lines = (docs.where("doc_id IS NOT NULL")
              .select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
              .select("doc_id", "pos", F.expr(normal("raw")).alias("line"))
-             .withColumn("size", F.length("line")).where(f"size >= {MIN_CHARS}")
+             .withColumn("size", F.length("line"))
              .withColumn("h", F.xxhash64("line", "size")))
     outsides = ", ".join(_outside(t, s) for t in ("size", "(size + 1)") for s in range(3))
     keys = F.expr(f"CASE WHEN size >= {EDIT_CHARS} THEN array({outsides}) END").alias("keys")
-    distinct = stored(lines.select("doc_id", "pos", "h", "size", keys).groupBy("h").agg(
+    # the texts are read once; all but the few lines near another need hashes only.  A filter before
+    # the table is written would be pushed below and normalise each line once more.
+    lines = stored(lines.select("doc_id", "pos", "h", "size", keys), "occurrences").where(f"size >= {MIN_CHARS}")
+    distinct = stored(lines.groupBy("h").agg(
         F.min(F.struct("doc_id", "pos")).alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys")),
         "lines")
 
@@ -94,7 +98,7 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     late = (stored(pairs.distinct(), "pairs").join(x, "h").join(y, "g")
             .where(F.levenshtein("x", "y", 1).between(0, 1)).select("h").distinct().withColumn("late", F.lit(True)))
     fate = stored(distinct.select("h", "first").join(late, "h", "left"), "fate")
-    for table in (near, wanted, texts, members, distinct):
+    for table in (near, wanted, texts, members, distinct):  # the others are still read
         drop(table)
     gone = (F.col("late").isNotNull() | (F.col("first") != F.struct("doc_id", "pos")))
     return lines.select("doc_id", "pos", "h").join(fate, "h").where(gone).select("doc_id", "pos").distinct()

@@ -112,7 +112,7 @@ WITH raw AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
   FROM documents),
 n AS (
-  SELECT doc_id, pos, raw, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  SELECT doc_id, pos, raw, trim(regexp_replace(lower(raw),
     '[ \\t\\x0B\\f\\r]+', ' ', 'g'), ' ') AS line FROM raw),
 d AS (SELECT line, length(line) AS size, min({'doc_id': doc_id, 'pos': pos}) AS first FROM n WHERE length(line) >= 10 GROUP BY line),
 p AS (
