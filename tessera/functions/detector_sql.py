@@ -1,10 +1,10 @@
 """The detector as one Spark SQL expression.
 
-Building the detector with the Column API costs tens of thousands of py4j
-calls (every lambda is created in the JVM); the same expression written as
-Spark SQL text is parsed by Catalyst in one call.  The text mirrors
-``operators.detect`` lane by lane (same patterns, edges, checks, scores,
-guards and order), so the plan is the same.
+Building the detector with the Column API would cost tens of thousands of
+py4j calls (every lambda is created in the JVM); written as Spark SQL text it
+is parsed by Catalyst in one call.  A lane is one regex pass (two built-ins
+that cut the text the same way); its candidates carry the characters around
+them, so edges and context are checked without going back to the text.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from __future__ import annotations
 import itertools
 
 from . import recognizers as R
+from .spans import SCAN_BLOCK
+from .strings import SPACE
 
 SPAN_TYPE = "array<struct<entity_type:string,start:int,end:int,score:double,text:string>>"
-RAW_TYPE = "array<struct<start:int,end:int,text:string,mstart:int>>"
 
 _ids = itertools.count()
 
@@ -32,20 +33,48 @@ def dbl(x: float) -> str:
     return f"{float(x)!r}D"
 
 
+def scan(values: str, zero: str, op) -> str:
+    """SQL twin of ``functions.spans.scan``; ``values`` is evaluated once."""
+    v, b, blk, t, acc, head, x, j, w = (_v(n) for n in ("v", "b", "blk", "t", "acc", "head", "x", "j", "w"))
+    s1, s2, e1, e2 = _v("s"), _v("s"), _v("e"), _v("e")
+    blocks = (f"transform(sequence(0, CAST(greatest(size({v}) - 1, 0) AS INT) div {SCAN_BLOCK}), "
+              f"{b} -> slice({v}, CAST({b} * {SCAN_BLOCK} + 1 AS INT), {SCAN_BLOCK}))")
+    totals = f"transform({w}, {t} -> aggregate({t}, {zero}, ({s1}, {e1}) -> {op(s1, e1)}))"
+    heads = (f"aggregate({totals}, array({zero}), "
+             f"({acc}, {x}) -> concat({acc}, array({op(f'element_at({acc}, -1)', x)})))")
+    inner = (f"transform({blk}, ({x}, {j}) -> aggregate(slice({blk}, 1, {j}), {head}, "
+             f"({s2}, {e2}) -> {op(s2, e2)}))")
+    scanned = f"flatten(zip_with({w}, slice({heads}, 1, size({w})), ({blk}, {head}) -> {inner}))"
+    return f"transform(array({values}), {v} -> transform(array({blocks}), {w} -> {scanned})[0])[0]"
+
+
 def regex_spans(t: str, pattern: str, group: int = 0) -> str:
-    acc, x, a = _v("acc"), _v("x"), _v("a")
+    """array<struct<start, end, text, prev, next, near>> of every match.
+
+    ``split`` gives the m + 1 gaps around the m matches that
+    ``regexp_extract_all`` returns; the start of a match is the length of all
+    before it (a scan).  ``prev`` and ``next`` are the characters around the
+    whole match, ``near`` the characters before it; they come from the gaps
+    and matches themselves, so no position is looked up in the text again.
+    A group other than 0 must be the last thing in the pattern.
+    """
     p = lit(pattern)
-    begin = f"({acc}.pos + length({x}.g))"
-    stop = f"({begin} + length({x}.m))"
-    value = f"regexp_extract({x}.m, {p}, {group})" if group else f"{x}.m"
-    span = (f"named_struct('start', CAST({stop} - length({value}) AS INT), 'end', CAST({stop} AS INT), "
-            f"'text', {value}, 'mstart', CAST({begin} AS INT))")
-    g, m = _v("g"), _v("m")
-    zipped = f"zip_with(split({t}, {p}, -1), regexp_extract_all({t}, {p}, 0), ({g}, {m}) -> named_struct('g', {g}, 'm', {m}))"
-    init = f"named_struct('pos', 0, 'out', CAST(array() AS {RAW_TYPE}))"
-    step = (f"({acc}, {x}) -> named_struct('pos', {stop}, 'out', CASE WHEN {x}.m IS NULL THEN {acc}.out "
-            f"ELSE concat({acc}.out, array({span})) END)")
-    return f"aggregate({zipped}, {init}, {step}, {a} -> {a}.out)"
+    z, m, i, c, q = (_v(n) for n in ("z", "m", "i", "c", "q"))
+    cut = f"named_struct('g', split({t}, {p}, -1), 'm', regexp_extract_all({t}, {p}, 0))"
+    steps = f"transform({z}.m, ({m}, {i}) -> length(get({z}.g, {i})) + length({m}))"
+    tails = f"transform({z}.m, ({m}, {i}) -> right(concat(get({z}.g, {i}), {m}), {R.CONTEXT_WIDTH}))"
+    before = scan(tails, "''", lambda x, y: f"right(concat({x}, {y}), {R.CONTEXT_WIDTH})")
+    value = f"regexp_extract({m}, {p}, {group})" if group else m
+    begin = f"(get({c}.pos, {i}) + length(get({z}.g, {i})))"
+    near = f"right(concat(get({c}.tail, {i}), get({z}.g, {i})), {R.CONTEXT_WIDTH})"
+    after = (f"CASE WHEN get({z}.g, {i} + 1) = '' THEN left(coalesce(get({z}.m, {i} + 1), ''), 1) "
+             f"ELSE left(get({z}.g, {i} + 1), 1) END")
+    span = (f"named_struct('start', CAST({begin} + length({m}) - length({value}) AS INT), "
+            f"'end', CAST({begin} + length({m}) AS INT), 'text', {value}, "
+            f"'prev', right({near}, 1), 'next', {after}, 'near', {near})")
+    carried = f"named_struct('pos', {scan(steps, '0', lambda x, y: f'{x} + {y}')}, 'tail', {before})"
+    spans = f"transform({z}.m, ({m}, {i}) -> {span})"
+    return f"transform(array({cut}), {z} -> transform(array({carried}), {c} -> {spans})[0])[0]"
 
 
 def _digits(x: str) -> str:
@@ -106,16 +135,15 @@ def check_sql(name: str, x: str) -> str:
     raise KeyError(name)
 
 
-def _score(t: str, rec: R.Recognizer, c: str) -> str:
+def _score(rec: R.Recognizer, c: str) -> str:
     base = dbl(rec.score)
     if not rec.context:
         return base
-    first = f"greatest({c}.start - {R.CONTEXT_WIDTH}, 0)"
-    near = f"lower(substr({t}, {first} + 1, {c}.start - {first}))"
+    near = f"lower({c}.near)"
     return f"least(1.0D, {base} + CASE WHEN {near} RLIKE {lit(rec.context)} THEN {dbl(R.CONTEXT_BOOST)} ELSE 0.0D END)"
 
 
-def _label(t: str, rec: R.Recognizer, c: str) -> str:
+def _label(rec: R.Recognizer, c: str) -> str:
     conds = []
     if rec.full:
         conds.append(f"{c}.text RLIKE {lit(rec.full)}")
@@ -123,7 +151,7 @@ def _label(t: str, rec: R.Recognizer, c: str) -> str:
         conds.append(check_sql(rec.check_name, f"{c}.text"))
     ok = " AND ".join(conds) if conds else "true"
     span = (f"named_struct('entity_type', {lit(rec.entity_type)}, 'start', {c}.start, 'end', {c}.end, "
-            f"'score', {_score(t, rec, c)}, 'text', {c}.text)")
+            f"'score', {_score(rec, c)}, 'text', {c}.text)")
     return f"CASE WHEN {ok} THEN {span} END"
 
 
@@ -133,13 +161,12 @@ def lane_sql(t: str, lane: str, recs: list[R.Recognizer]) -> str:
     edge = R.head_edge(lane, recs)
     if edge:
         c = _v("c")
-        cands = (f"filter({cands}, {c} -> NOT ((CASE WHEN {c}.mstart <= 0 THEN '' ELSE substr({t}, {c}.mstart, 1) END) "
-                 f"RLIKE {lit(edge)}))")
+        cands = f"filter({cands}, {c} -> NOT ({c}.prev RLIKE {lit(edge)}))"
     if lane in R.LANE_PATTERN or recs[0].tail_guard:
         c = _v("c")
-        cands = f"filter({cands}, {c} -> NOT (substr({t}, {c}.end + 1, 1) RLIKE {lit(R.TOKEN_EDGE)}))"
+        cands = f"filter({cands}, {c} -> NOT ({c}.next RLIKE {lit(R.TOKEN_EDGE)}))"
     c, s = _v("c"), _v("s")
-    labels = ", ".join(_label(t, r, c) for r in recs)
+    labels = ", ".join(_label(r, c) for r in recs)
     labelled = f"flatten(transform({cands}, {c} -> filter(array({labels}), {s} -> {s} IS NOT NULL)))"
     pre = R.lane_prefilter(lane, recs)
     if pre:
@@ -173,7 +200,7 @@ def spans_sql(text_col: str, entities=None, threshold: float | None = 0.7) -> st
     if threshold is not None:
         s = _v("s")
         allspans = f"filter({allspans}, {s} -> {s}.score >= {dbl(threshold)})"
-    allspans = f"CASE WHEN coalesce(length(trim({t})), 0) = 0 THEN {empty} ELSE {allspans} END"
+    allspans = f"CASE WHEN coalesce(length(btrim({t}, {lit(SPACE)})), 0) = 0 THEN {empty} ELSE {allspans} END"
     a, b = _v("a"), _v("b")
     cmp = (f"({a}, {b}) -> CASE WHEN {a}.start < {b}.start THEN -1 WHEN {a}.start > {b}.start THEN 1 "
            f"WHEN {a}.end < {b}.end THEN -1 WHEN {a}.end > {b}.end THEN 1 "

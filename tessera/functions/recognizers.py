@@ -155,10 +155,7 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
                group=1, prefilter="(?i)swift|bic"),
 )
 
-LANE_PATTERN = {"num": NUM_TOKEN, "code": CODE_TOKEN}
-LANE_PREFILTER = {"num": "[0-9]", "code": "[A-Z][A-Z0-9]{7}"}
-
-# Marker terms for the dictionary recognizers (D7); fixed values, our design.
+# Marker terms (fixed values, our design): words that stand for themselves.
 MARKER_TERMS = (
     ("DIGITAL_SIGNATURE", "digital signature"),
     ("DIGITAL_SIGNATURE", "BEGIN PGP SIGNATURE"),
@@ -171,6 +168,17 @@ MARKER_TERMS = (
 )
 
 
+def _marker(entity_type: str) -> Recognizer:
+    pattern = "(?i:" + "|".join(t.replace(" ", "[ -]+") for e, t in MARKER_TERMS if e == entity_type) + ")"
+    return Recognizer(entity_type, "marker_" + entity_type.lower(), pattern=pattern,
+                      prefilter=pattern, head_edge=TOKEN_EDGE)
+
+
+RECOGNIZERS += tuple(_marker(e) for e in dict.fromkeys(e for e, _ in MARKER_TERMS))
+
+LANE_PATTERN = {"num": NUM_TOKEN, "code": CODE_TOKEN}
+LANE_PREFILTER = {"num": "[0-9]", "code": "[A-Z][A-Z0-9]{7}"}
+
 def lane_guard(lane: str) -> str:
     """Cheap literal test implied by every pattern of a lane group: a text
     without it cannot match, so the group's regex passes are skipped.

@@ -1,36 +1,19 @@
-"""All-matches span extraction as one native expression.
+"""Span types and a prefix scan over arrays.
 
-Spark has no "every match with its position" function.  We rebuild it from
-two built-ins that agree on how a text is cut by a pattern:
-
-* ``split(text, p, -1)``        -> the m+1 gaps around the m matches
-* ``regexp_extract_all(text, p)`` -> the m matches (and their groups)
-
-The start of match i is the summed length of gaps 0..i and matches 0..i-1;
-an ``aggregate`` fold over the zipped arrays carries that running offset.
-Offsets are code points and half-open ``[start, end)``, like Python slices.
-
-When a group other than 0 is asked for, it must be the *last* thing in the
-pattern, so that ``start = match_end - length(group)``.  This is how guard
-prefixes (``(?:^|[^0-9])``) and cue labels are kept out of the span.
-
-Everything stays inside the JVM (no Python worker); the fold is per row, so
-detection is a narrow projection with no shuffle.
+Detection works on one row at a time with array expressions.  A plain fold
+that appends to its result copies the result at every step; ``scan`` carries
+values over blocks instead, so a row with tens of thousands of matches costs
+work in proportion to their number.
 """
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RAW_SPAN = T.StructType([
-    T.StructField("start", T.IntegerType()),
-    T.StructField("end", T.IntegerType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("mstart", T.IntegerType()),
-])
-
 SPAN = T.StructType([
     T.StructField("entity_type", T.StringType()),
     T.StructField("start", T.IntegerType()),
@@ -39,53 +22,18 @@ SPAN = T.StructType([
     T.StructField("text", T.StringType()),
 ])
 
+SCAN_BLOCK = 32
 
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
 
+def scan(values: Column, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Array of what ``op`` makes of all elements before each one.
 
-def regex_spans(text, pattern: str, group: int = 0) -> Column:
-    """array<struct<start, end, text, mstart>> of every match.
-
-    ``start``/``end``/``text`` describe the span (the group, when asked
-    for); ``mstart`` is where the whole match begins, so callers can check
-    the character before a label.  Two passes over the text (split and
-    extract); a group is re-extracted from each short match string, which
-    gives the same group because patterns have no look-around.
+    ``op`` must be associative with ``zero`` as its neutral element.
     """
-    t = _col(text)
-    gaps = F.split(t, pattern, -1)
-    whole = F.regexp_extract_all(t, F.lit(pattern), 0)
-    zipped = F.arrays_zip(gaps.alias("g"), whole.alias("m"))
-    empty = F.array().cast(T.ArrayType(RAW_SPAN))
-    init = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
-
-    def step(acc, x):
-        begin = acc["pos"] + F.length(x["g"])
-        stop = begin + F.length(x["m"])
-        value = F.regexp_extract(x["m"], pattern, group) if group else x["m"]
-        span = F.struct((stop - F.length(value)).cast("int").alias("start"),
-                        stop.cast("int").alias("end"),
-                        value.alias("text"),
-                        begin.cast("int").alias("mstart"))
-        out = F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span)))
-        return F.struct(stop.alias("pos"), out.alias("out"))
-
-    return F.aggregate(zipped, init, step, lambda acc: acc["out"])
-
-
-def prev_char(text, start_col: Column) -> Column:
-    """The character right before a position ('' at the start of the text)."""
-    return F.when(start_col <= 0, F.lit("")).otherwise(F.substr(_col(text), start_col, F.lit(1)))
-
-
-def next_char(text, end_col: Column) -> Column:
-    """The character right after a span ('' at the end of the text)."""
-    return F.substr(_col(text), end_col + 1, F.lit(1))
-
-
-def before(text, start_col: Column, width: int) -> Column:
-    """``text[max(0, start-width):start]`` as a Spark column."""
-    t = _col(text)
-    first = F.greatest(start_col - F.lit(width), F.lit(0))
-    return F.substr(t, first + 1, start_col - first)
+    last = F.greatest(F.size(values) - 1, F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(last / SCAN_BLOCK).cast("int")),
+                         lambda b: F.slice(values, b * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK)))
+    totals = F.transform(blocks, lambda blk: F.aggregate(blk, zero, op))
+    heads = F.aggregate(totals, F.array(zero), lambda acc, t: F.concat(acc, F.array(op(F.element_at(acc, -1), t))))
+    return F.flatten(F.zip_with(blocks, F.slice(heads, 1, F.size(blocks)), lambda blk, head: F.transform(
+        blk, lambda _, j: F.aggregate(F.slice(blk, 1, j), head, op))))

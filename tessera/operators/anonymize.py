@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.spans import SPAN
+from ..functions.spans import SPAN, scan
 
 # fixed values: the operator names the reference accepts
 METHODS = ("replace", "redact", "mask", "hash", "encrypt")
@@ -48,34 +48,38 @@ def _better(a: Column, b: Column) -> Column:
                & (a["entity_type"] > b["entity_type"])))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def islands(spans: Column) -> Column:
     """D10 (array form): merge overlapping spans; one labelled island each.
 
     Spans are sorted by start; a span opens a new island when it starts at
-    or after the running end of the current island."""
+    or after the largest end before it (a scan).  An island is a slice of the
+    sorted spans, so the work follows the number of spans."""
     srt = F.array_sort(spans, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1)
                        .when(a["end"] < b["end"], -1).when(a["end"] > b["end"], 1)
                        .when(a["entity_type"] < b["entity_type"], -1)
                        .when(a["entity_type"] > b["entity_type"], 1).otherwise(0))
-    empty = F.array().cast(T.ArrayType(T.StructType([
-        T.StructField("best", SPAN), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
-        T.StructField("n", T.IntegerType())])))
-
-    def step(acc, s):
-        n = F.size(acc)
-        last = F.element_at(acc, -1)
-        opens = (n == 0) | (s["start"] >= last["end"])
-        new = F.struct(s.alias("best"), s["start"].alias("start"), s["end"].alias("end"), F.lit(1).alias("n"))
-        merged = F.struct(F.when(_better(s, last["best"]), s).otherwise(last["best"]).alias("best"),
-                          last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"),
-                          (last["n"] + 1).alias("n"))
-        return F.when(opens, F.concat(acc, F.array(new))).otherwise(
-            F.concat(F.slice(acc, 1, F.greatest(n - 1, F.lit(0))), F.array(merged)))
-
-    folded = F.aggregate(srt, empty, step)
-    return F.transform(folded, lambda i: F.struct(
-        i["best"]["entity_type"].alias("entity_type"), i["start"].alias("start"), i["end"].alias("end"),
-        i["best"]["score"].alias("score"), i["n"].alias("n_spans")))
+
+    def merged(group):
+        best = F.aggregate(group, F.get(group, F.lit(0)), lambda x, s: F.when(_better(s, x), s).otherwise(x))
+        return F.struct(best["entity_type"].alias("entity_type"), F.get(group, F.lit(0))["start"].alias("start"),
+                        F.array_max(F.transform(group, lambda s: s["end"])).alias("end"),
+                        best["score"].alias("score"), F.size(group).alias("n_spans"))
+
+    def cut(s, opens):
+        return F.transform(opens, lambda o, k: merged(F.slice(
+            s, o + 1, F.coalesce(F.get(opens, k + 1), F.size(s)) - o)))
+
+    def split(s):
+        reach = scan(F.transform(s, lambda x: x["end"]), F.lit(-1), lambda a, b: F.greatest(a, b))
+        flags = F.zip_with(F.transform(s, lambda x, i: F.struct(x["start"].alias("start"), i.alias("i"))), reach,
+                           lambda x, r: F.when(x["start"] >= r, x["i"]))
+        return _bound(F.filter(flags, lambda i: i.isNotNull()), lambda opens: cut(s, opens))
+    return _bound(srt, split)
 
 
 def replacement(method: str, span_text: Column, etype: Column, key: str | None = None) -> Column:
@@ -147,9 +151,7 @@ def audit(df: DataFrame, text_col: str = "text", spans_col: str = "entities", me
     d = with_islands(df, spans_col)
     d = d.withColumn("_new", F.transform("_isl", lambda x: _repl(t, x, method, operators, key)))
     d = d.withColumn("_delta", F.zip_with("_isl", "_new", lambda x, n: F.length(n) - (x["end"] - x["start"])))
-    # running sum of the deltas before each island (exclusive prefix sum)
-    d = d.withColumn("_shift", F.transform("_isl", lambda x, i: F.aggregate(
-        F.slice(F.col("_delta"), 1, i), F.lit(0), lambda a, b: a + b)))
+    d = d.withColumn("_shift", scan(F.col("_delta"), F.lit(0), lambda a, b: a + b))
     d = d.withColumn("_orig", F.transform("_isl", lambda x: F.substr(t, x["start"] + 1, x["end"] - x["start"])))
     z = F.arrays_zip(F.col("_isl").alias("isl"), F.col("_new").alias("new"), F.col("_shift").alias("shift"),
                      F.col("_orig").alias("orig"))

@@ -10,167 +10,50 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import recognizers as R
-from ..functions.spans import SPAN, before, next_char, prev_char, regex_spans
 from .parallel import spread
 
 DEFAULT_THRESHOLD = 0.7
 
 
-def _empty() -> Column:
-    return F.array().cast(T.ArrayType(SPAN))
-
-
-def _score(text: Column, rec: R.Recognizer, c: Column) -> Column:
-    base = F.lit(float(rec.score))
-    if rec.context:
-        near = F.lower(before(text, c["start"], R.CONTEXT_WIDTH))
-        base = F.least(F.lit(1.0), base + F.when(near.rlike(rec.context), F.lit(R.CONTEXT_BOOST))
-                       .otherwise(F.lit(0.0)))
-    return base
-
-
-def _label(text: Column, rec: R.Recognizer, c: Column) -> Column:
-    ok = F.lit(True)
-    if rec.full:
-        ok = ok & c["text"].rlike(rec.full)
-    if rec.check is not None:
-        ok = ok & rec.check(c["text"])
-    span = F.struct(F.lit(rec.entity_type).alias("entity_type"), c["start"].alias("start"),
-                    c["end"].alias("end"), _score(text, rec, c).alias("score"), c["text"].alias("text"))
-    return F.when(ok, span)
-
-
-def lane_spans(text: Column, lane: str, recs: list[R.Recognizer]) -> Column:
-    pattern, group = R.lane_pattern(lane, recs)
-    cands = regex_spans(text, pattern, group)
-    edge = R.head_edge(lane, recs)
-    if edge:
-        cands = F.filter(cands, lambda c: ~prev_char(text, c["mstart"]).rlike(edge))
-    if lane in R.LANE_PATTERN or recs[0].tail_guard:
-        cands = F.filter(cands, lambda c: ~next_char(text, c["end"]).rlike(R.TOKEN_EDGE))
-    labelled = F.flatten(F.transform(
-        cands, lambda c: F.filter(F.array(*[_label(text, r, c) for r in recs]), lambda s: s.isNotNull())))
-    pre = R.lane_prefilter(lane, recs)
-    if pre:
-        labelled = F.when(text.rlike(pre), labelled).otherwise(_empty())
-    return labelled
-
-
 _SPANS_CACHE: dict = {}
 
 
-def spans_column(text, entities=None, threshold: float | None = DEFAULT_THRESHOLD) -> Column:
-    """The detector column for a named text column: the SQL text of
-    :func:`build_spans_column` parsed once and cached per session (building
-    the tree through the Column API costs tens of thousands of py4j calls)."""
+def spans_column(text: str, entities=None, threshold: float | None = DEFAULT_THRESHOLD) -> Column:
+    """array<struct<entity_type,start,end,score,text>> for one text column,
+    parsed once and cached per session.
+
+    ``entities`` prunes recognizers (and so regex passes) from the plan;
+    ``threshold`` keeps spans with ``score >= threshold`` (None keeps all,
+    0.0 is honoured as a real threshold).  Spans are ordered by start, end
+    and type.
+    """
     from pyspark import SparkContext
-    if not isinstance(text, str):
-        return build_spans_column(text, entities, threshold)
+
+    from ..functions.detector_sql import spans_sql
     sc = SparkContext._active_spark_context
     key = (sc.applicationId if sc is not None else None, text,
            None if entities is None else tuple(sorted(entities)), threshold)
     if key not in _SPANS_CACHE:
-        # one Catalyst parse of the SQL text instead of ~30,000 py4j calls;
-        # the expression is the same as build_spans_column's
-        from ..functions.detector_sql import spans_sql
         _SPANS_CACHE[key] = F.expr(spans_sql(text, entities, threshold))
     return _SPANS_CACHE[key]
 
 
-def build_spans_column(text, entities=None, threshold: float | None = DEFAULT_THRESHOLD) -> Column:
-    """array<struct<entity_type,start,end,score,text>> for one text column.
-
-    ``entities`` prunes recognizers (and so regex passes) from the plan;
-    ``threshold`` keeps spans with ``score >= threshold`` (None keeps all,
-    0.0 is honoured as a real threshold).
-    """
-    t = F.col(text) if isinstance(text, str) else text
-    recs = R.select(entities)
-    groups: dict[str, list[Column]] = {}
-    for lane, rs in R.lanes(recs).items():
-        groups.setdefault(R.lane_guard(lane), []).append(lane_spans(t, lane, rs))
-    parts = []
-    for guard, cols in groups.items():
-        arr = F.concat(*cols) if len(cols) > 1 else cols[0]
-        g = _guard(t, guard)
-        parts.append(arr if g is None else F.when(g, arr).otherwise(_empty()))
-    allspans = F.concat(*parts) if parts else _empty()
-    if threshold is not None:
-        allspans = F.filter(allspans, lambda s: s["score"] >= F.lit(float(threshold)))
-    blank = F.coalesce(F.length(F.trim(t)), F.lit(0)) == 0
-    allspans = F.when(blank, _empty()).otherwise(allspans)
-    return F.array_sort(allspans, lambda a, b: _cmp(a, b))
-
-
-def _guard(t: Column, guard: str) -> Column | None:
-    if guard == "sep":
-        return t.contains(":") | t.contains("=") | t.contains("#")
-    if guard == "digit":
-        return t.rlike("[0-9]")
-    if guard == "at":
-        return t.contains("@")
-    return None
-
-
-def _cmp(a: Column, b: Column) -> Column:
-    """Order spans by (start, end, entity_type)."""
-    return (F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1)
-            .when(a["end"] < b["end"], -1).when(a["end"] > b["end"], 1)
-            .when(a["entity_type"] < b["entity_type"], -1).when(a["entity_type"] > b["entity_type"], 1)
-            .otherwise(0))
-
-
 def detect_arrays(df: DataFrame, text_col: str = "text", id_cols=("doc_id",), entities=None,
                   threshold: float | None = DEFAULT_THRESHOLD, out_col: str = "entities") -> DataFrame:
     """One sorted span array per input row ([] for blank text)."""
     return spread(df, id_cols).select(*id_cols, spans_column(text_col, entities, threshold).alias(out_col))
 
 
-CHUNK_CHARS = 200_000
-CHUNK_MARGIN = 1024
-
-
-def chunk_texts(df: DataFrame, text_col: str = "text", id_cols=("doc_id",), size: int = CHUNK_CHARS,
-                margin: int = CHUNK_MARGIN) -> DataFrame:
-    """Cut texts longer than ``size`` into rows ``(id..., _chunk, _offset,
-    _lo, _hi, text)``: chunk k covers ``[k*size - margin, (k+1)*size + margin)``
-    and owns the spans starting in ``[k*size, (k+1)*size)``.  Shorter texts
-    are one chunk with offset 0 (unchanged).  Matches shorter than the
-    margin (and their 40-character context) are found exactly as on the whole
-    text; a long text becomes many rows that Spark spreads over tasks."""
-    n = F.length(F.col(text_col))
-    last = F.greatest((F.ceil(n / F.lit(size)) - 1).cast("int"), F.lit(0))
-    c = df.select(*id_cols, text_col, F.explode(F.sequence(F.lit(0), last)).alias("_chunk"))
-    lo = F.col("_chunk") * size
-    off = F.greatest(lo - margin, F.lit(0))
-    return c.select(*id_cols, "_chunk", off.alias("_offset"), lo.alias("_lo"), (lo + size).alias("_hi"),
-                    F.substr(F.col(text_col), off + 1, lo + size + margin - off).alias(text_col))
-
-
 def detect_entities(df: DataFrame, text_col: str = "text", id_cols=("doc_id",), entities=None,
-                    threshold: float | None = DEFAULT_THRESHOLD, chunk_chars: int | None = CHUNK_CHARS) -> DataFrame:
-    """Long form ``(id..., entity_type, start, end, score, text)``.
+                    threshold: float | None = DEFAULT_THRESHOLD) -> DataFrame:
+    """Long form ``(id..., entity_type, start, end, score, text)``, the
+    exploded rows of :func:`detect_arrays`.
 
-    Long texts are cut into overlapping chunks first (:func:`chunk_texts`),
-    so the per-row work is bounded and a huge document is spread over tasks.
     ``explode_outer`` + a null filter instead of ``explode``: for a plain
     explode Catalyst infers ``size(array) > 0`` and pushes it below the
     projection, which would evaluate the whole detector two more times."""
-    if chunk_chars:
-        ch = chunk_texts(df, text_col, id_cols, chunk_chars)
-        keys = (*id_cols, "_chunk")
-        arr = spread(ch, keys).select(*keys, "_offset", "_lo", "_hi",
-                                      spans_column(text_col, entities, threshold).alias("_spans"))
-        ex = arr.select(*id_cols, "_offset", "_lo", "_hi", F.explode_outer("_spans").alias("s")) \
-            .where(F.col("s").isNotNull())
-        st = F.col("s.start") + F.col("_offset")
-        return ex.where((st >= F.col("_lo")) & (st < F.col("_hi"))).select(
-            *id_cols, F.col("s.entity_type").alias("entity_type"), st.cast("int").alias("start"),
-            (F.col("s.end") + F.col("_offset")).cast("int").alias("end"), F.col("s.score").alias("score"),
-            F.col("s.text").alias("text"))
     arr = detect_arrays(df, text_col, id_cols, entities, threshold, "_spans")
     return (arr.select(*id_cols, F.explode_outer("_spans").alias("s")).where(F.col("s").isNotNull())
             .select(*id_cols, "s.*"))
@@ -187,129 +70,49 @@ def doc_entity_counts(df: DataFrame, text_col: str = "text", id_cols=("doc_id",)
 def supported_entities(spark) -> DataFrame:
     """D3: recognizer catalogue as a DataFrame."""
     rows = [(r.entity_type, r.lane, float(r.score), r.check_name, r.context) for r in R.RECOGNIZERS]
-    rows += [(t, "terms", R.SHAPE_SCORE, None, None) for t in sorted({t for t, _ in R.MARKER_TERMS})]
     return spark.createDataFrame(rows, "entity_type string, lane string, base_score double, "
                                        "checksum string, context string")
 
 
-def detect_terms(df: DataFrame, terms: DataFrame, text_col: str = "text", id_cols=("doc_id",),
-                 max_terms: int = 5000, score: float = R.SHAPE_SCORE) -> DataFrame:
-    """Dictionary recognizer over a term table ``(entity_type, term)``.
-
-    Terms are whole words/phrases, matched case-insensitively at word edges.
-    A bounded term table (checked count <= ``max_terms``) becomes one regex
-    alternation per type evaluated in the same projection as the other lanes;
-    a larger table is joined instead: the text is cut into words, the first
-    word of each term is an equi-join key, and the full phrase is verified.
-    """
-    n = terms.count()
-    if n <= max_terms:
-        return _terms_by_regex(df, terms, text_col, id_cols, score)
-    return _terms_by_join(df, terms, text_col, id_cols, score)
-
-
-def _terms_regex(words: list[str]) -> str:
-    import re
-    def esc(w):
-        parts = [re.sub(r"([^A-Za-z0-9])", r"\\\1", p) for p in w.split()]
-        return "[^A-Za-z0-9]+".join(parts)
-    alts = sorted({esc(w) for w in words}, key=lambda s: (-len(s), s))
-    return "(?:^|[^A-Za-z0-9])((?i:" + "|".join(alts) + "))"
-
-
-def _as_span(etype: str, score: float):
-    def build(s):
-        return F.struct(F.lit(etype).alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"),
-                        F.lit(float(score)).alias("score"), s["text"].alias("text"))
-    return build
-
-
-def _terms_by_regex(df, terms, text_col, id_cols, score):
-    # The caller checked the term table's size, so collecting it to build
-    # one pattern per type is bounded.
-    grouped: dict[str, list[str]] = {}
-    for r in terms.select("entity_type", "term").distinct().collect():
-        grouped.setdefault(r["entity_type"], []).append(r["term"])
-    t = F.col(text_col)
-    parts = []
-    for etype in sorted(grouped):
-        c = regex_spans(t, _terms_regex(grouped[etype]), 1)
-        c = F.filter(c, lambda s: ~next_char(t, s["end"]).rlike("^[A-Za-z0-9]$"))
-        parts.append(F.transform(c, _as_span(etype, score)))
-    arr = F.concat(*parts) if parts else _empty()
-    return (df.select(*id_cols, F.explode_outer(arr).alias("s")).where(F.col("s").isNotNull())
-            .select(*id_cols, "s.*"))
-
-
 WORD = "[A-Za-z0-9]+"
-SCAN_BLOCK = 4096
 
 
-def word_offsets(df: DataFrame, text_col: str, id_cols, max_words: int = 3) -> DataFrame:
-    """Every word of every text with its code-point offset, plus the n-gram
-    keys (n <= max_words) that start at it.
+def _phrase(term) -> Column:
+    """A term's words, lower-cased and joined by one space."""
+    return F.array_join(F.regexp_extract_all(F.lower(term), F.lit(WORD), 0), " ")
 
-    Offsets need a running sum over a document's words.  A single window over
-    a document would put a huge document in one task, so the scan is done in
-    two levels: block totals (blocks of 4096 words, aggregated in parallel),
-    a running sum over the few block totals, then a running sum inside each
-    block.  Work per task is bounded by the block size, whatever the
-    document size.
-    """
-    t = F.col(text_col)
-    gl = F.transform(F.split(t, WORD, -1), lambda x: F.length(x))
-    w1 = F.transform(F.regexp_extract_all(t, F.lit(WORD), 0), lambda x: F.lower(x))
-    base = df.select(*id_cols, gl.alias("gl"), w1.alias("w1"))
-    wl = F.transform(F.col("w1"), lambda x: F.length(x))
-    size = F.size("w1")
-
-    def ngram_key(n):
-        return F.transform(F.col("w1"), lambda x, i: F.when(i + n <= size, F.array_join(
-            F.slice(F.col("w1"), i + 1, F.lit(n)), " ")))
-
-    def ngram_len(n):
-        return F.transform(F.col("w1"), lambda x, i: F.when(i + n <= size, F.aggregate(
-            F.slice(wl, i + 1, F.lit(n)), F.lit(0), lambda a, b: a + b) + F.aggregate(
-            F.slice(F.col("gl"), i + 2, F.lit(n - 1)), F.lit(0), lambda a, b: a + b)))
-
-    extra = {}
-    for n in range(2, max_words + 1):
-        extra[f"key{n}"] = ngram_key(n)
-        extra[f"len{n}"] = ngram_len(n)
-    zipped = F.arrays_zip(F.col("gl").alias("gl"), wl.alias("wl"), F.col("w1").alias("key1"),
-                          *[v.alias(k) for k, v in extra.items()])
-    ex = base.select(*id_cols, F.posexplode(zipped).alias("k", "z")).where(F.col("z.key1").isNotNull())
-    ex = ex.select(*id_cols, "k", (F.col("z.gl") + F.col("z.wl")).alias("step"), F.col("z.wl").alias("wl"),
-                   F.col("z.key1").alias("key1"), *[F.col("z." + k).alias(k) for k in extra])
-    ex = ex.withColumn("blk", (F.col("k") / SCAN_BLOCK).cast("long"))
-    totals = ex.groupBy(*id_cols, "blk").agg(F.sum("step").alias("blk_sum"))
-    wb = Window.partitionBy(*id_cols).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("blk_off", F.coalesce(F.sum("blk_sum").over(wb), F.lit(0)))
-    wi = Window.partitionBy(*id_cols, "blk").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    ex = ex.withColumn("run", F.sum("step").over(wi))
-    ex = ex.join(totals.select(*id_cols, "blk", "blk_off"), [*id_cols, "blk"])
-    start = (F.col("blk_off") + F.col("run") - F.col("wl")).cast("int")
-    return ex.withColumn("start", start)
-
-
-def _terms_by_join(df, terms, text_col, id_cols, score, max_words: int = 3):
-    """Large dictionaries: word n-grams (n <= 3) equi-joined to the terms.
-
-    The join key is the normalised phrase; Spark picks broadcast or
-    sort-merge from the term table's size, and AQE splits hot words.
+
+def detect_terms(df: DataFrame, terms: DataFrame, text_col: str = "text", id_cols=("doc_id",),
+                 score: float = R.SHAPE_SCORE) -> DataFrame:
+    """Dictionary recognizer over a term table ``(entity_type, term)`` of
+    any size, with terms of any number of words.
+
+    A term matches where its words stand in order, whatever stands between
+    them that is neither letter nor digit, in any case.  Every word of a text
+    starts one phrase per distinct term length (the lengths are an aggregate
+    of the term table), and phrases equi-join the terms; Spark picks the join
+    from the table's size and AQE splits frequent phrases.  Of hits of one
+    type, one that lies inside a longer one is dropped.
     """
-    w = word_offsets(df, text_col, id_cols, max_words)
-    grams = [F.struct(F.col("key1").alias("key"), F.col("wl").alias("len"))]
-    grams += [F.struct(F.col(f"key{n}").alias("key"), F.col(f"len{n}").alias("len")) for n in range(2, max_words + 1)]
-    g = w.select(*id_cols, "start", F.explode(F.array(*grams)).alias("g")).where(F.col("g.key").isNotNull())
-    tt = terms.select("entity_type", F.lower(F.regexp_replace(F.trim("term"), "[^A-Za-z0-9]+", " ")).alias("key")).distinct()
-    hits = g.join(tt, F.col("g.key") == tt["key"])
-    spans = hits.select(*id_cols, "entity_type", "start", (F.col("start") + F.col("g.len")).cast("int").alias("end"),
-                        F.lit(float(score)).alias("score"))
-    text = df.select(*id_cols, F.col(text_col).alias("_t"))
-    return (spans.join(text, list(id_cols))
-            .select(*id_cols, "entity_type", "start", "end", "score",
-                    F.substr(F.col("_t"), F.col("start") + 1, F.col("end") - F.col("start")).alias("text")))
+    from ..functions.spans import scan
+    t = terms.select("entity_type", _phrase(F.col("term")).alias("phrase")).where("phrase != ''").distinct()
+    lengths = t.agg(F.sort_array(F.collect_set(F.size(F.split("phrase", " "))))).scalar()
+    d = df.select(*id_cols, F.col(text_col).alias("_t")).where(F.col("_t").isNotNull())
+    d = d.withColumn("_g", F.split("_t", WORD, -1)).withColumn("_w", F.regexp_extract_all("_t", F.lit(WORD), 0))
+    d = d.withColumn("_n", F.zip_with("_g", "_w", lambda g, w: F.length(g) + F.coalesce(F.length(w), F.lit(0))))
+    d = d.withColumn("_at", scan(F.col("_n"), F.lit(0), lambda a, b: a + b)).withColumn("_len", lengths)
+    rows = F.flatten(F.transform("_w", lambda w, i: F.transform(
+        F.filter("_len", lambda n: i + n <= F.size("_w")), lambda n: F.struct(
+            F.lower(F.array_join(F.slice("_w", i + 1, n), " ")).alias("phrase"),
+            (F.get("_at", i) + F.length(F.get("_g", i))).alias("start"),
+            (F.get("_at", i + n - 1) + F.length(F.get("_g", i + n - 1)) + F.length(F.get("_w", i + n - 1))).alias("end")))))
+    grams = d.select(*id_cols, "_t", F.explode(rows).alias("r")).select(
+        *id_cols, "r.phrase", "r.start", "r.end", F.expr("substr(_t, r.start + 1, r.end - r.start)").alias("text"))
+    hits = grams.join(t, "phrase")
+    longer = Window.partitionBy(*id_cols, "entity_type").orderBy("start", F.desc("end")).rowsBetween(
+        Window.unboundedPreceding, -1)
+    kept = hits.withColumn("_cover", F.max("end").over(longer)).where("_cover IS NULL OR _cover < end")
+    return kept.select(*id_cols, "entity_type", "start", "end", F.lit(float(score)).alias("score"), "text")
 
 
 def span_islands(spans: DataFrame, id_cols=("doc_id",), skew_rows: int | None = None) -> DataFrame:

@@ -103,14 +103,24 @@ def test_routing_nhs_tfn_medicare(spark):
         assert all(r.want == r.ok for r in res), k
 
 
-def test_terms_regex_and_join_agree(spark):
-    docs = spark.createDataFrame([(1, "Her fingerprint and a retina scan; ITAR rules. Retina-scan again.")],
-                                 "doc_id long, text string")
-    terms = spark.createDataFrame([("BIOMETRIC_IDENTIFIER", "fingerprint"), ("BIOMETRIC_IDENTIFIER", "retina scan"),
-                                   ("ITAR_CONTROLLED", "ITAR")], "entity_type string, term string")
-    a = sorted((r.entity_type, r.start, r.end) for r in D.detect_terms(docs, terms).collect())
-    b = sorted((r.entity_type, r.start, r.end) for r in D.detect_terms(docs, terms, max_terms=0).collect())
-    assert a == b and len(a) == 4
+def test_terms_of_any_length(spark):
+    docs = spark.createDataFrame([
+        (1, "Her fingerprint and a retina scan; ITAR rules. Retina-scan again."),
+        (2, "The United States Department of Commerce, New York City and York; united states of all."), (3, None),
+        (4, ""), (5, "fingerprints x2retina scan")], "doc_id long, text string")
+    terms = spark.createDataFrame([
+        ("BIO", "fingerprint"), ("BIO", "retina scan"), ("ITAR", "ITAR"), ("ORG", "United States Department of Commerce"),
+        ("ORG", "united states"), ("ORG", "united states of a"), ("CITY", "York"), ("CITY", "New York City"), ("X", " - ")],
+        "entity_type string, term string")
+    got = sorted((r.doc_id, r.entity_type, r.text) for r in D.detect_terms(docs, terms).collect())
+    assert got == sorted([
+        (1, "BIO", "fingerprint"), (1, "BIO", "retina scan"), (1, "ITAR", "ITAR"), (1, "BIO", "Retina-scan"),
+        (2, "ORG", "United States Department of Commerce"), (2, "ORG", "united states"),
+        (2, "CITY", "New York City"), (2, "CITY", "York")])
+    for r in D.detect_terms(docs, terms).join(docs.withColumnRenamed("text", "t"), "doc_id").collect():
+        assert r.t[r.start:r.end] == r.text
+    many = spark.range(6000).selectExpr("'N' AS entity_type", "concat('term', id) AS term").union(terms)
+    assert D.detect_terms(docs, many).count() == len(got)
 
 
 def test_islands_do_not_overlap(spark):
@@ -134,18 +144,20 @@ def test_overlap_pairs_bucketed_equal_bruteforce(spark):
     assert got == want
 
 
-def test_chunked_equals_whole(spark):
-    import random as rnd_mod
-    rnd = rnd_mod.Random(5)
-    parts = []
-    for i in range(400):
-        parts.append(rnd.choice(["lorem ipsum ", "mail a%d@x.org " % i, "4111111111111111 ", "ip 10.0.0.%d " % (i % 250),
-                                 "token = \"abcdef%04d\" " % i, "call 555-123-%04d " % i, "zip: 27514 "]))
-    text = "".join(parts)
+def test_long_text_in_long_and_array_form(spark):
+    import time
+    rnd = random.Random(5)
+    parts = [rnd.choice(["lorem ipsum ", f"mail a{i}@x.org ", "4111111111111111 ", f"ip 10.0.0.{i % 250} ",
+                         f'token = "abcdef{i:04d}" ', f"call 555-123-{i % 10000:04d} ", "zip: 27514 "]) for i in range(20000)]
+    text = "".join(parts) + "password: " + "p" * 3000
     df = spark.createDataFrame([(1, text), (2, "short a@b.co")], "doc_id long, text string")
-    whole = sorted(tuple(r) for r in D.detect_entities(df, chunk_chars=None).collect())
-    chunked = sorted(tuple(r) for r in D.detect_entities(df, chunk_chars=500).collect())
-    assert whole == chunked and len(whole) > 300
+    began = time.time()
+    rows = D.detect_entities(df).collect()
+    assert time.time() - began < 60
+    assert sorted((r.doc_id, r.entity_type, r.start, r.end) for r in rows) == sorted(
+        (r.doc_id, s.entity_type, s.start, s.end) for r in D.detect_arrays(df).collect() for s in r.entities)
+    assert all(text[r.start:r.end] == r.text for r in rows if r.doc_id == 1)
+    assert max(r.end - r.start for r in rows) == 3000 and len(rows) > 15000
 
 
 def test_islands_two_level_equals_window(spark):
