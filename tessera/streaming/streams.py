@@ -17,8 +17,6 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import detect as D
 from ..session import scratch_path
@@ -38,24 +36,46 @@ def checkpoint_for(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"streams/{name}/checkpoint")
 
 
-def run_available(df: DataFrame, name: str, mode: str = "append", sink: str = "memory",
-                  path: str | None = None, foreach_batch: Callable | None = None, fresh: bool = True):
+def run_available(df: DataFrame, name: str, mode: str = "append", path: str | None = None,
+                  foreach_batch: Callable | None = None, fresh: bool = True) -> str | None:
     """Drain the available input once and stop (resumable: the checkpoint
-    remembers what was consumed).  ``fresh`` starts from an empty checkpoint
-    (used by the registered queries so each run recomputes from scratch)."""
+    remembers what was consumed).  Rows go to parquet files, or to
+    ``foreach_batch``; never through the driver.  ``fresh`` starts from an
+    empty checkpoint and output (used by the registered queries so each run
+    recomputes from scratch).  Returns the output path."""
     spark = df.sparkSession
-    ckpt = checkpoint_for(spark, name + ("-" + _run_tag() if fresh else ""))
-    w = df.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
-    if foreach_batch is not None:
-        q = w.foreachBatch(foreach_batch).start()
-    elif sink == "memory":
-        q = w.format("memory").queryName(name).start()
-    else:
-        q = w.format(sink).option("path", path).start()
+    name = name + ("-" + _run_tag() if fresh else "")
+    path = path or scratch_path(spark, f"streams/{name}/out")
+    w = (df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint_for(spark, name))
+         .trigger(availableNow=True))
+    q = w.foreachBatch(foreach_batch).start() if foreach_batch else w.format("parquet").option("path", path).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return q
+    return path
+
+
+def drained(df: DataFrame, name: str, fresh: bool = True) -> DataFrame:
+    """The rows that an append-mode stream has written so far."""
+    return df.sparkSession.read.schema(df.schema).parquet(run_available(df, name, fresh=fresh))
+
+
+def latest(df: DataFrame, name: str, keys: list[str], fresh: bool = True) -> DataFrame:
+    """The last value that an update-mode aggregate has given each key.
+
+    Each micro-batch overwrites its own folder, so a replayed batch changes
+    nothing; state older than the watermark leaves the stream."""
+    spark = df.sparkSession
+    name = name + ("-" + _run_tag() if fresh else "")
+    base = scratch_path(spark, f"streams/{name}/batches")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/batch_id={batch_id}")
+    run_available(df, name, mode="update", foreach_batch=write, fresh=False)
+    schema = df.schema.add("batch_id", "long")
+    rest = [c for c in df.columns if c not in keys]
+    rows = spark.read.schema(schema).parquet(base).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("v"))
+    return rows.select(*keys, "v.*")
 
 
 def _run_tag() -> str:
@@ -76,14 +96,7 @@ def stream_detect(spark: SparkSession, folder: str, name: str = "tessera_stream_
     ``fresh=False`` the checkpoint of ``name`` is kept, so a rerun processes
     only files that arrived since the last run (resumable scan)."""
     docs = source(spark, folder, "documents").select("doc_id", "text")
-    spans = D.detect_entities(docs)
-    if fresh:
-        run_available(spans, name)
-        return spark.table(name)
-    # a resumable scan appends to a parquet table next to its checkpoint
-    out = scratch_path(spark, f"streams/{name}/out")
-    run_available(spans, name, sink="parquet", path=out, fresh=False)
-    return spark.read.parquet(out)
+    return drained(D.detect_entities(docs), name, fresh)
 
 
 def idempotent_batch_writer(base: str) -> Callable:
@@ -96,6 +109,8 @@ def idempotent_batch_writer(base: str) -> Callable:
         ent = arr.select(F.col("doc_id").alias("result_id"), F.explode("entities").alias("s"),
                          F.lit(batch_id).alias("batch_id")).select("result_id", "s.*", "batch_id")
         res.write.mode("overwrite").parquet(f"{base}/results/batch_id={batch_id}")
+        # a type's rows in a few files, however many tasks hold some
+        ent = ent.repartition("entity_type", F.pmod(F.xxhash64("result_id"), F.lit(8)))
         ent.write.mode("overwrite").partitionBy("entity_type").parquet(f"{base}/entities/batch_id={batch_id}")
         arr.unpersist()
     return write
@@ -120,13 +135,12 @@ def stream_dedup(spark: SparkSession, folder: str, name: str = "tessera_stream_d
                               F.col("o_orderkey").cast("string")).alias("file_path"),
                      F.col("o_orderdate").cast("timestamp").alias("seen_at"))
     dedup = files.withWatermark("seen_at", "1 day").dropDuplicatesWithinWatermark(["job_id", "file_path"])
-    run_available(dedup, name)
-    return spark.table(name)
+    return drained(dedup, name)
 
 
 # --------------------------------------------------------------------- K4-K6
-def _events(spark, folder):
-    return with_event_time(source(spark, folder, "events").select(
+def _events(spark, folder, max_files=None):
+    return with_event_time(source(spark, folder, "events", max_files).select(
         "event_id", "ts", F.col("user_id").alias("job_id"), "event_type", "value"))
 
 
@@ -134,137 +148,109 @@ def _ntz(c):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-def stream_per_hour(spark: SparkSession, folder: str, name: str = "tessera_stream_hour") -> DataFrame:
-    """K4: tumbling hourly throughput (complete mode: every window)."""
-    e = _events(spark, folder).withWatermark("ts", "1 hour")
+def stream_per_hour(spark: SparkSession, folder: str, name: str = "tessera_stream_hour",
+                    max_files: int | None = None) -> DataFrame:
+    """K4: tumbling hourly throughput (the last value of every window)."""
+    e = _events(spark, folder, max_files).withWatermark("ts", "1 hour")
     agg = e.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("events"),
                                                               F.sum("value").alias("value"))
-    run_available(agg, name, mode="complete")
-    return spark.table(name).select(_ntz("w.start").alias("window_start"), "events",
-                                    F.round("value", 6).alias("value"))
+    return latest(agg.select("w.start", "events", "value"), name, ["start"]).select(
+        _ntz("start").alias("window_start"), "events", F.round("value", 6).alias("value"))
 
 
-def stream_sliding(spark: SparkSession, folder: str, name: str = "tessera_stream_sliding") -> DataFrame:
+def stream_sliding(spark: SparkSession, folder: str, name: str = "tessera_stream_sliding",
+                   max_files: int | None = None) -> DataFrame:
     """K5: 30-minute windows sliding every 5 minutes."""
-    e = _events(spark, folder).withWatermark("ts", "1 hour")
+    e = _events(spark, folder, max_files).withWatermark("ts", "1 hour")
     agg = e.groupBy(F.window("ts", "30 minutes", "5 minutes").alias("w")).agg(F.count(F.lit(1)).alias("events"))
-    run_available(agg, name, mode="complete")
-    return spark.table(name).select(_ntz("w.start").alias("window_start"), "events")
+    return latest(agg.select("w.start", "events"), name, ["start"]).select(_ntz("start").alias("window_start"), "events")
 
 
 def stream_sessions(spark: SparkSession, folder: str, gap: str = "2 hours",
-                    name: str = "tessera_stream_sessions") -> DataFrame:
-    """K6: activity sessions per job: a gap longer than ``gap`` closes one."""
-    e = _events(spark, folder).withWatermark("ts", "1 hour")
+                    name: str = "tessera_stream_sessions", max_files: int | None = None) -> DataFrame:
+    """K6: activity sessions per job: a gap longer than ``gap`` closes one.
+    A session is written once the watermark (an hour) has passed its end."""
+    e = _events(spark, folder, max_files).withWatermark("ts", "1 hour")
     agg = e.groupBy("job_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("events"))
-    run_available(agg, name, mode="complete")
-    return spark.table(name).select("job_id", _ntz("s.start").alias("session_start"),
-                                    _ntz("s.end").alias("session_end"), "events")
+    return drained(agg, name).select("job_id", _ntz("s.start").alias("session_start"),
+                                     _ntz("s.end").alias("session_end"), "events")
 
 
 # --------------------------------------------------------------------- K7
-STALL_OUT = T.StructType([T.StructField("file_id", T.LongType()), T.StructField("started", T.TimestampType()),
-                          T.StructField("reason", T.StringType())])
-STALL_STATE = T.StructType([T.StructField("started", T.TimestampType()), T.StructField("ended", T.BooleanType())])
-
-
-STALL_TIMEOUT_MS = 300 * 1000
-
-
-def _stall_fn(timeout_ms: int):
-    """The per-file state function, built as a closure so it is shipped to
-    the Python workers by value (they need not import this package)."""
-    def stalled(key, pdfs, state):
-        import pandas as pd_
-        (file_id,) = key
-        if state.hasTimedOut:
-            started, _ = state.get
-            state.remove()
-            yield pd_.DataFrame({"file_id": [file_id], "started": [started], "reason": ["timeout"]})
-            return
-        started, ended = state.get if state.exists else (None, False)
-        for pdf in pdfs:
-            for kind, ts in zip(pdf["kind"], pdf["ts"]):
-                if kind == "start":
-                    started = ts if started is None else min(started, ts)
-                else:
-                    ended = True
-        if ended:
-            state.remove()
-            return
-        state.update((started, False))
-        state.setTimeoutTimestamp(int(pd_.Timestamp(started).timestamp() * 1000) + timeout_ms)
-        yield from ()
-    return stalled
-
-
-def stalled_items(events: DataFrame, timeout_ms: int = STALL_TIMEOUT_MS) -> DataFrame:
-    """K7 core: ``events(file_id, kind 'start'|'end', ts)`` -> stalled files.
-
-    Per file: remember the start; an end event clears it; if event time
-    passes start + timeout first, the file is reported as stalled."""
-    return (events.withWatermark("ts", "10 minutes").groupBy("file_id")
-            .applyInPandasWithState(_stall_fn(timeout_ms), STALL_OUT, STALL_STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
-
-
-def stream_stalled(spark: SparkSession, folder: str, name: str = "tessera_stream_stalled") -> DataFrame:
+def stalled_items(starts: DataFrame, ends: DataFrame, timeout: str = "300 seconds",
+                  delay: str = "10 minutes") -> DataFrame:
+    """K7 core: ``starts(file_id, started)`` without ``ends(file_id, ended)``
+    from the start to ``timeout`` after it.
+
+    A stream-stream left outer join on the file and the interval: a start is
+    given out, once, when the watermark has passed its deadline, whatever the
+    micro-batches are; an end before its start, a repeated start or an end
+    after the deadline need no care of their own."""
+    s = starts.withWatermark("started", delay).alias("s")
+    e = ends.withWatermark("ended", delay).alias("e")
+    within = F.expr(f"s.file_id = e.file_id AND ended >= started AND ended <= started + INTERVAL {timeout}")
+    return s.join(e, within, "leftOuter").where("e.file_id IS NULL").select(
+        F.col("s.file_id"), "started", F.lit("timeout").alias("reason"))
+
+
+def stream_stalled(spark: SparkSession, folder: str, name: str = "tessera_stream_stalled",
+                   max_files: int | None = None) -> DataFrame:
     """K7: files that started but did not finish within 300 s of event time."""
-    o = source(spark, folder, "orders")
-    key = F.col("o_orderkey")
-    start = F.col("o_orderdate").cast("timestamp")
-    is_p = F.col("o_orderstatus") == "P"
-    end = F.timestamp_add("SECOND", key % 3600, start)
-    ev = o.select(key.alias("file_id"), F.explode(F.array(
-        F.struct(F.lit("start").alias("kind"), start.alias("ts")),
-        F.when(~is_p | (key % 2 == 0), F.struct(F.lit("end").alias("kind"), end.alias("ts"))))).alias("e")) \
-        .where(F.col("e").isNotNull()).select("file_id", "e.kind", "e.ts")
-    run_available(stalled_items(ev), name)
-    return spark.table(name)
+    def orders():
+        return source(spark, folder, "orders", max_files)
+    key, began = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    starts = orders().select(key.alias("file_id"), began.alias("started"))
+    ends = orders().where("o_orderstatus != 'P' OR o_orderkey % 2 = 0").select(
+        key.alias("file_id"), F.timestamp_add("SECOND", key % 3600, began).alias("ended"))
+    return drained(stalled_items(starts, ends), name)
 
 
 # --------------------------------------------------------------------- K8
+def drop_late(events: DataFrame, key: str = "event_id", delay: str = "1 hour") -> DataFrame:
+    """K8 core: events without those behind the watermark, row by row."""
+    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
+
+
 def stream_late(spark: SparkSession, folder: str, name: str = "tessera_stream_late") -> DataFrame:
-    """K8: rows behind the watermark are dropped by the windowed aggregate;
-    ``observe`` counts what came in, the sink what was kept."""
-    e = _events(spark, folder)
-    seen = e.observe("input", F.count(F.lit(1)).alias("rows"))
-    agg = seen.withWatermark("ts", "0 seconds").groupBy(F.window("ts", "1 hour").alias("w")) \
-        .agg(F.count(F.lit(1)).alias("events"))
-    q = run_available(agg, name)
-    kept = spark.table(name)
-    observed = None
-    for p in q.recentProgress or []:
-        om = p.get("observedMetrics", {}) if isinstance(p, dict) else (getattr(p, "observedMetrics", None) or {})
-        row = om.get("input") if hasattr(om, "get") else None
-        if row is not None:
-            observed = (observed or 0) + int(row["rows"])
-    return kept.select(_ntz("w.start").alias("window_start"), "events").withColumn(
-        "input_rows", F.lit(observed).cast("long"))
+    """K8: a tenth of the events arrives in a file after two others; those
+    behind the watermark that the first file left are dropped (Spark compares
+    a batch with the watermark of the batch before the last), and counted per
+    hour as what came in less what was kept."""
+    landing = scratch_path(spark, f"streams/{name}-{_run_tag()}/landing")
+    e = spark.read.parquet(f"{folder.rstrip('/')}/events.parquet").select("event_id", "ts", "value")
+    for i, part in enumerate(("BETWEEN 1 AND 5", "> 5", "= 0")):
+        e.where(f"event_id % 10 {part}").coalesce(1).write.parquet(f"{landing}/events{i}.parquet")
+    stream = with_event_time(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1)
+                             .option("recursiveFileLookup", True).parquet(landing))
+    kept = drained(drop_late(stream), name).groupBy(F.date_trunc("hour", "ts").alias("w")).agg(
+        F.count("*").alias("kept"))
+    seen = with_event_time(spark.read.schema(e.schema).option("recursiveFileLookup", True).parquet(landing)).groupBy(
+        F.date_trunc("hour", "ts").alias("w")).agg(F.count("*").alias("seen"))
+    return seen.join(kept, "w", "left").select(
+        _ntz("w").alias("window_start"), F.coalesce("kept", F.lit(0)).alias("events"),
+        (F.col("seen") - F.coalesce("kept", F.lit(0))).alias("late"))
 
 
 # --------------------------------------------------------------------- K9
-def stream_rates(spark: SparkSession, folder: str) -> DataFrame:
+def stream_rates(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
     """K9: sample rates per job on a stream; each micro-batch computes lags
-    within the batch plus the last sample carried from earlier batches."""
-    base = scratch_path(spark, "streams/rates-" + _run_tag())
-    e = source(spark, folder, "events").select("event_id", "ts", F.col("user_id").alias("job_id"), "value")
+    within the batch plus the last sample carried from the batches before.
 
+    Rates and carried samples stand in a folder of their batch, which a
+    replay overwrites with the same rows."""
+    from ..operators.timeseries import sample_rates
+    base = scratch_path(spark, "streams/rates-" + _run_tag())
+    e = source(spark, folder, "events", max_files).select("event_id", "ts", F.col("user_id").alias("job_id"), "value")
     def write(batch: DataFrame, batch_id: int) -> None:
-        from ..operators.timeseries import sample_rates
-        prior = None
-        try:
-            prior = spark.read.parquet(f"{base}/last")
-        except Exception:  # noqa: BLE001 - first batch: nothing carried yet
-            prior = None
-        cur = batch if prior is None else batch.unionByName(prior)
-        r = sample_rates(cur, "job_id", "ts", "value")
-        if prior is not None:
-            r = r.join(prior.select("event_id"), "event_id", "left_anti")
-        r.write.mode("append").parquet(f"{base}/rates")
-        w = cur.groupBy("job_id").agg(F.max_by(F.struct("event_id", "ts", "value"), "ts").alias("m"))
-        w.select("job_id", "m.*").write.mode("overwrite").parquet(f"{base}/last_{batch_id}")
-        spark.read.parquet(f"{base}/last_{batch_id}").write.mode("overwrite").parquet(f"{base}/last")
+        new = batch.select("event_id", "ts", "job_id", "value")
+        prior = (spark.read.schema(e.schema).parquet(f"{base}/last/batch_id={batch_id - 1}") if batch_id
+                 else spark.createDataFrame([], e.schema))
+        cur = new.unionByName(prior)
+        rates = sample_rates(cur, "job_id", "ts", "value").join(prior.select("event_id"), "event_id", "left_anti")
+        rates.write.mode("overwrite").parquet(f"{base}/rates/batch_id={batch_id}")
+        last = cur.groupBy("job_id").agg(F.max(F.struct("ts", "event_id", "value")).alias("m"))
+        last.select("m.event_id", "m.ts", "job_id", "m.value").write.mode("overwrite").parquet(
+            f"{base}/last/batch_id={batch_id}")
 
     run_available(e, "tessera_stream_rates", foreach_batch=write)
     return spark.read.parquet(f"{base}/rates")
