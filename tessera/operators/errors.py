@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.strings import strip
+
 from .ledger import file_type
 
 # ---------------------------------------------------------------------------
@@ -92,6 +94,6 @@ def samples(files: DataFrame, n: int = MAX_SAMPLES) -> DataFrame:
 def error_patterns(files: DataFrame) -> DataFrame:
     """First line of each message, blank -> 'Unknown error'."""
     first = F.substring_index(F.coalesce(F.col("error_message"), F.lit("")), "\n", 1)
-    pat = F.when(F.length(F.trim(first)) == 0, F.lit("Unknown error")).otherwise(first)
+    pat = F.when(F.length(strip(first)) == 0, F.lit("Unknown error")).otherwise(first)
     return files.where(F.col("status") == "error").groupBy(pat.alias("pattern")).agg(
         F.count(F.lit(1)).alias("count"))

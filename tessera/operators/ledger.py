@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.strings import strip
+
 # ---------------------------------------------------------------------------
 # fixed values
 # ---------------------------------------------------------------------------
@@ -95,14 +97,15 @@ def extract_route(path: Column, force_ocr: Column | bool = False) -> Column:
 
 def needs_ocr(path: Column, text: Column) -> Column:
     """A PDF whose extracted text (trimmed) is shorter than 50 chars."""
-    short = F.coalesce(F.length(F.trim(text)) < OCR_MIN_CHARS, F.lit(True))
+    short = F.coalesce(F.length(strip(text)) < OCR_MIN_CHARS, F.lit(True))
     return F.lower(path).endswith(".pdf") & short
 
 
 def size_gate_message(size: Column, limit: int = MAX_FILE_BYTES) -> Column:
     """P5: the rejection message for files above the limit, else NULL."""
     mb = size / F.lit(1024.0 * 1024.0)
-    return F.when(size > limit, F.format_string("File too large: %.2fMB (max 100MB)", mb))
+    most = f"{limit / (1024 * 1024):g}"
+    return F.when(size > limit, F.format_string(f"File too large: %.2fMB (max {most}MB)", mb))
 
 
 def is_temp(path: Column) -> Column:
@@ -125,9 +128,10 @@ def files_left_results(files: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def register_new(listing: DataFrame, existing: DataFrame) -> DataFrame:
-    """Paths of a listing not yet in the ledger, per job.  Idempotent: a
-    second run over the same listing and the grown ledger adds nothing."""
-    return listing.join(existing.select("job_id", "file_path"), ["job_id", "file_path"], "left_anti")
+    """Paths of a listing not yet in the ledger, per job, each once.
+    Idempotent: a second run over the same listing and the grown ledger adds
+    nothing."""
+    return listing.dropDuplicates(["job_id", "file_path"]).join(existing.select("job_id", "file_path"), ["job_id", "file_path"], "left_anti")
 
 
 def mark_missing(files: DataFrame, listing: DataFrame, job_id=None) -> DataFrame:
@@ -265,11 +269,25 @@ def interrupt_job(jobs: DataFrame, files: DataFrame, job_id) -> tuple[DataFrame,
     return j, f
 
 
+def default_job_name(directory: Column) -> Column:
+    """The name of a job that was given none."""
+    return F.concat(F.lit("PII Analysis - "), basename(directory))
+
+
 def normalise_dir(path: Column) -> Column:
-    """Collapse repeated slashes and drop a trailing slash (normpath)."""
-    p = F.regexp_replace(path, "/+", "/")
-    p = F.regexp_replace(p, "/\\./", "/")
-    return F.when(p == "/", p).otherwise(F.regexp_replace(p, "/$", ""))
+    """No empty or ``.`` parts, each ``..`` takes the part before it
+    (normpath)."""
+    rooted = F.startswith(path, F.lit("/"))
+
+    def step(acc, part):
+        up = (part == "..") & (F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")) != "..")
+        return (F.when(part.isin("", "."), acc)
+                .when(up, F.slice(acc, 1, F.size(acc) - 1))
+                .when((part == "..") & rooted & (F.size(acc) == 0), acc)
+                .otherwise(F.concat(acc, F.array(part))))
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    joined = F.concat(F.when(rooted, F.lit("/")).otherwise(F.lit("")), F.array_join(parts, "/"))
+    return F.when(joined == "", F.lit(".")).otherwise(joined)
 
 
 def resumption_point(jobs: DataFrame, meta: DataFrame, directory: str, force: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MINUTE_KEY = "yyyy-MM-dd HH:mm"
-HOUR_KEY = "yyyy-MM-dd HH:00"
+HOUR_KEY = "yyyy-MM-dd HH"
 
 
 def seconds_between(start: Column, end: Column) -> Column:
@@ -36,7 +36,7 @@ def recent_rate(files: DataFrame, as_of: Column, minutes: int = 60) -> DataFrame
     """Files finished in the ``minutes`` before ``as_of``, the hourly
     rate and their mean processing time."""
     lo = F.timestamp_add("MINUTE", F.lit(-minutes), as_of)
-    recent = files.where((F.col("status") == "completed") & (F.col("process_end") > lo)
+    recent = files.where((F.col("status") == "completed") & (F.col("process_end") >= lo)
                          & (F.col("process_end") <= as_of))
     return recent.agg(F.count(F.lit(1)).alias("files"),
                       (F.count(F.lit(1)) * 60.0 / minutes).alias("files_per_hour"),

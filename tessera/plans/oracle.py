@@ -206,8 +206,7 @@ def spans_sql(entities=None, threshold: float | None = 0.7, src: str = "document
         selects += [label_sql(lane, r, id_cols) for r in rs]
     body = " UNION ALL ".join(selects)
     where = f" WHERE score >= {float(threshold)!r}" if threshold is not None else ""
-    blank = f" AND length(trim(coalesce(text,''))) > 0" if False else ""
-    return ctes, f"SELECT * FROM ({body}) s{where}{blank}"
+    return ctes, f"SELECT * FROM ({body}) s{where}"
 
 
 def spans_view(entities=None, threshold=0.7, name="spans", src="documents", id_cols=("doc_id",),

@@ -90,7 +90,6 @@ def doc_entity_counts(spark, sf):
 
 def _catalogue_sql() -> str:
     rows = [(r.entity_type, r.lane, float(r.score), r.check_name, r.context) for r in D.R.RECOGNIZERS]
-    rows += [(t, "terms", D.R.SHAPE_SCORE, None, None) for t in sorted({t for t, _ in D.R.MARKER_TERMS})]
 
     def lit(v):
         return "NULL" if v is None else (f"CAST({v!r} AS DOUBLE)" if isinstance(v, float) else O.q(v))
@@ -128,11 +127,39 @@ def score_context(spark, sf):
                     (F.col("score") > b).alias("boosted"))
 
 
-@register("detect_terms")
+_PLACES = """SELECT c.c_custkey AS doc_id, concat('Customer ', c.c_custkey, ' ships from ', n.n_name, ', a Nation In the-Region ',
+    r.r_name, '; mail to ', lower(n.n_name), CASE WHEN c.c_custkey % 3 = 0 THEN concat('x ', r.r_name, 's') ELSE '.' END) AS text
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey"""
+
+
+@register("detect_terms", f"""
+WITH d AS ({_PLACES}),
+t AS (SELECT DISTINCT entity_type, regexp_replace(phrase, '[^a-z0-9]+', ' ', 'g') AS phrase FROM (
+  SELECT 'LOCATION' AS entity_type, lower(n_name) AS phrase FROM nation UNION ALL SELECT 'LOCATION', lower(r_name) FROM region
+  UNION ALL SELECT 'ROUTE', lower(concat(n_name, ' a nation in the region ', r_name)) FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT 'ROUTE', 'a nation in the region') x),
+h AS (
+  SELECT d.doc_id, t.entity_type, p AS start, p + length(m) AS "end", m AS text FROM (
+    SELECT d.doc_id, d.text, t.entity_type, regexp_extract(substr(d.text, p + 1), '(?i)^' || replace(t.phrase, ' ', '[^A-Za-z0-9]+')) AS m, p
+    FROM d, t, unnest(range(length(d.text))) u(p)
+    WHERE contains(regexp_replace(lower(d.text), '[^a-z0-9]+', ' ', 'g'), t.phrase)) d JOIN t ON t.entity_type = d.entity_type
+      AND t.phrase = regexp_replace(lower(m), '[^a-z0-9]+', ' ', 'g')
+  WHERE m <> '' AND NOT regexp_matches(substr(d.text, p, CASE WHEN p = 0 THEN 0 ELSE 1 END), '[A-Za-z0-9]')
+    AND NOT regexp_matches(substr(d.text, p + length(m) + 1, 1), '[A-Za-z0-9]')),
+u AS (SELECT DISTINCT * FROM h)
+SELECT doc_id, entity_type, CAST(start AS INT) AS start, CAST("end" AS INT) AS "end", CAST({D.R.SHAPE_SCORE!r} AS DOUBLE) AS score, text
+FROM u WHERE NOT EXISTS (SELECT 1 FROM u v WHERE v.doc_id = u.doc_id AND v.entity_type = u.entity_type AND v.start <= u.start
+  AND v."end" >= u."end" AND (v.start < u.start OR v."end" > u."end"))""")
 def detect_terms(spark, sf):
-    """Dictionary recognizer; LOCATION terms are the nation and region
-    names of the given tables (a bounded, size-checked term table)."""
-    n = read_table(spark, sf, "nation").select(F.lit("LOCATION").alias("entity_type"), F.col("n_name").alias("term"))
-    r = read_table(spark, sf, "region").select(F.lit("LOCATION").alias("entity_type"), F.col("r_name").alias("term"))
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    return D.detect_terms(docs, n.unionByName(r))
+    """Dictionary recognizer over texts of the customers; terms are the
+    nations, the regions, and phrases of five and more words about them."""
+    c, n, r = (read_table(spark, sf, t) for t in ("customer", "nation", "region"))
+    places = n.join(r, n.n_regionkey == r.r_regionkey)
+    docs = c.join(places, c.c_nationkey == n.n_nationkey).select(F.col("c_custkey").alias("doc_id"), F.expr(
+        """concat('Customer ', c_custkey, ' ships from ', n_name, ', a Nation In the-Region ', r_name, '; mail to ',
+             lower(n_name), CASE WHEN c_custkey % 3 = 0 THEN concat('x ', r_name, 's') ELSE '.' END)""").alias("text"))
+    terms = n.selectExpr("'LOCATION' AS entity_type", "n_name AS term").union(
+        r.selectExpr("'LOCATION'", "r_name")).union(
+        places.selectExpr("'ROUTE'", "concat(n_name, ' a nation in the region ', r_name)")).union(
+        r.selectExpr("'ROUTE'", "'A nation in the region'"))
+    return D.detect_terms(docs, terms)

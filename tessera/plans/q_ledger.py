@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ledger as L
 from ..sources.tables import read_table
+from ..functions.strings import strip, strip_sql
 from . import oracle as O
 from .registry import register
 from .testbed import Testbed
@@ -72,7 +73,7 @@ def extract_route(spark, sf):
 
 
 @register("needs_ocr", O.with_views(
-    """SELECT f.file_id, lower(f.file_path) LIKE '%.pdf' AND coalesce(length(trim(d.text)) < 50, true) AS needs_ocr
+    f"""SELECT f.file_id, lower(f.file_path) LIKE '%.pdf' AND coalesce(length({strip_sql('d.text')}) < 50, true) AS needs_ocr
        FROM t_files f LEFT JOIN documents d ON f.file_id = d.doc_id""", "t_files"))
 def needs_ocr(spark, sf):
     """PDF whose extracted text (the document of the same id) is short."""
@@ -124,11 +125,11 @@ def small_files(spark, sf):
         .select("file_id", "file_size")
 
 
-@register("blank_guard", "SELECT doc_id, length(trim(coalesce(text, ''))) = 0 AS is_blank FROM documents")
+@register("blank_guard", f"SELECT doc_id, length({strip_sql("coalesce(text, '')")}) = 0 AS is_blank FROM documents")
 def blank_guard(spark, sf):
     """Blank or whitespace text gets no entities."""
     d = read_table(spark, sf, "documents")
-    return d.select("doc_id", (F.length(F.trim(F.coalesce(F.col("text"), F.lit("")))) == 0).alias("is_blank"))
+    return d.select("doc_id", (F.length(strip(F.coalesce(F.col("text"), F.lit("")))) == 0).alias("is_blank"))
 
 
 @register("job_lookup", O.with_views(
@@ -152,12 +153,12 @@ def rows_by_key(spark, sf):
 
 @register("resumption_point", O.with_views(
     """SELECT j.job_id, j.name, j.status FROM t_jobs j JOIN t_job_metadata m ON j.job_id = m.job_id
-       WHERE m.key = 'directory' AND regexp_replace(m.value, '/+$', '') = '/corpus/job2' AND j.status <> 'completed'
+       WHERE m.key = 'directory' AND m.value = '/corpus/job2' AND j.status <> 'completed'
        ORDER BY j.start_time DESC, j.job_id DESC LIMIT 1""", "t_jobs", "t_job_metadata"))
 def resumption_point(spark, sf):
     """Newest resumable job for a (normalised) directory."""
     tb = _tb(spark, sf)
-    return L.resumption_point(tb.jobs, tb.job_metadata, "/corpus//job2/").select("job_id", "name", "status")
+    return L.resumption_point(tb.jobs, tb.job_metadata, "/corpus//x/../job2/./.").select("job_id", "name", "status")
 
 
 @register("file_entity_types", O.with_views(
@@ -383,13 +384,13 @@ def interrupt_job(spark, sf):
 
 @register("create_job", O.with_views(
     """SELECT DISTINCT regexp_extract(file_path, '^(/corpus/job[0-9]+/d[0-9]+)/', 1) AS directory,
-         regexp_extract(regexp_extract(file_path, '^(/corpus/job[0-9]+/d[0-9]+)/', 1), '[^/]*$', 0) AS name,
+         'PII Analysis - ' || regexp_extract(regexp_extract(file_path, '^(/corpus/job[0-9]+/d[0-9]+)/', 1), '[^/]*$', 0) AS name,
          'created' AS status FROM t_files""", "t_files"))
 def create_job(spark, sf):
-    """One new job row per scanned directory; name = basename."""
+    """One new job row per scanned directory, with the default name."""
     f = _tb(spark, sf).files
     d = f.select(F.regexp_extract("file_path", "^(/corpus/job[0-9]+/d[0-9]+)/", 1).alias("directory")).distinct()
-    return d.select("directory", L.basename(F.col("directory")).alias("name"), F.lit("created").alias("status"))
+    return d.select("directory", L.default_job_name(F.col("directory")).alias("name"), F.lit("created").alias("status"))
 
 
 @register("current_state", O.with_views(

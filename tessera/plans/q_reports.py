@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import policy as P
@@ -16,6 +18,7 @@ from ..sources import reports as RP
 from ..sources import sinks as SK
 from ..sources import text as TX
 from ..sources.tables import read_table
+from ..functions.strings import strip_sql
 from . import oracle as O
 from .registry import register
 from .testbed import Testbed
@@ -32,9 +35,8 @@ def _fe(spark, sf):
     return C.ledger_entities(tb.files, tb.results, tb.entities, 0.7)
 
 
-def _scratch(spark, sf, name):
-    tag = sf.rstrip("/").split("/")[-1]
-    return scratch_path(spark, f"tessera-{name}-{tag}")
+def _scratch(spark, name):
+    return scratch_path(spark, f"tessera-{name}-{uuid.uuid4().hex[:12]}")
 
 
 @register("src_listing", """SELECT regexp_extract(filename, '[^/]*$', 0) AS name, CAST(size AS BIGINT) AS file_size,
@@ -63,21 +65,32 @@ def src_file_list(spark, sf):
     return LS.file_list_source(listed, exists, done)
 
 
-@register("src_text", """SELECT doc_id, trim(text) AS text FROM documents WHERE length(trim(text)) > 0""")
+@register("src_text", f"SELECT doc_id, {strip_sql('text')} AS text FROM documents WHERE length({strip_sql('text')}) > 0")
 def src_text(spark, sf):
     """Trimmed, non-blank text rows."""
     return TX.text_rows(read_table(spark, sf, "documents"))
 
 
-_HTML_SQL = """regexp_replace(regexp_replace(regexp_replace(
-  replace(replace(replace(replace(replace(replace(replace(
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
-      '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'),
-      '(?s)<!--.*?-->', ' ', 'g'),
-      '(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/title)[^>]*>', chr(10), 'g'),
-      '<[^>]*>', ' ', 'g'),
-    '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'),
-  '[ \\t\\r\\f]+', ' ', 'g'), ' *\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"""
+def _html_sql() -> str:
+    t = "html"
+    for pattern, by in (("(?is)<script[^>]*>.*?</script>", "' '"), ("(?is)<style[^>]*>.*?</style>", "' '"),
+                        ("(?s)<!--.*?-->", "' '"), ("(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/title)[^>]*>", "chr(10)"),
+                        ("<[^>]*>", "' '")):
+        t = f"regexp_replace({t}, '{pattern}', {by}, 'g')"
+    code = """CASE WHEN lower(substr(r, 3, 1)) = 'x' THEN CAST('0x' || replace(substr(r, 4), ';', '') AS INT)
+              ELSE CAST(replace(substr(r, 3), ';', '') AS INT) END"""
+    char = f"CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr({code}) ELSE r END"
+    t = f"""(SELECT array_to_string(list_transform(list_zip(string_split_regex(h, '{TX.NUMERIC}'),
+        list_append(list_transform(regexp_extract_all(h, '{TX.NUMERIC}'), lambda r: {char}), '')),
+        lambda z: z[1] || z[2]), '') FROM (SELECT {t} AS h) x)"""
+    for name, by in TX.ENTITIES:
+        t = f"replace({t}, '{name}', {O.q(by)})"
+    for pattern, by in (("[ \\t\\r\\f]+", "' '"), (" *\\n[ \\n]*", "chr(10)"), ("^[ \\n]+|[ \\n]+$", "''")):
+        t = f"regexp_replace({t}, '{pattern}', {by}, 'g')"
+    return t
+
+
+_HTML_SQL = _html_sql()
 
 
 @register("html_to_text", f"SELECT page_id, {_HTML_SQL} AS text FROM pages")
@@ -114,7 +127,7 @@ def src_json_report(spark, sf):
     tb = _tb(spark, sf)
     done = tb.files.where(F.col("status") == "completed")
     rec = RP.nested_records(tb.jobs, done, tb.results, tb.entities, threshold=0.7)
-    path = _scratch(spark, sf, "report")
+    path = _scratch(spark, "report")
     RP.write_report(rec, path)
     back = RP.read_report_lines(spark, path)
     return RP.report_entities(back).select("file_path", "entity_type", "score")
@@ -151,19 +164,21 @@ def export_filtered(spark, sf):
 
 
 @register("src_metrics_jsonl", O.with_views(
-    """SELECT host, round(disk_read_mb_s, 6) AS disk_read_mb_s, worker_change FROM (
+    """SELECT host, round(disk_read_mb_s, 6) AS disk_read_mb_s, round(disk_write_mb_s, 6) AS disk_write_mb_s,
+         round(worker_rate, 6) AS worker_rate FROM (
          SELECT job_id AS host, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER w AS dt,
            4096 / (epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER w) / 1048576.0 AS disk_read_mb_s,
-           CAST(event_id % 5 + 1 - lag(event_id % 5 + 1) OVER w AS INT) AS worker_change
-         FROM t_log WINDOW w AS (PARTITION BY job_id ORDER BY epoch_us(ts) / 1e6)) x WHERE dt > 0""", "t_log"))
+           4096 / 4 / (epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER w) / 1048576.0 AS disk_write_mb_s,
+           (event_id % 5 + 1 - lag(event_id % 5 + 1) OVER w) / (epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER w) AS worker_rate
+         FROM t_log WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)) x WHERE dt > 0""", "t_log"))
 def src_metrics_jsonl(spark, sf):
     """S7 + W4: metric samples written as JSON lines, read back with an
     explicit nested schema, then per-host rates between samples."""
     samples = MX.metrics_from_log(_tb(spark, sf).log)
-    path = _scratch(spark, sf, "metrics")
+    path = _scratch(spark, "metrics")
     samples.write.mode("overwrite").json(path)
     r = MX.metric_rates(MX.read_metrics(spark, path))
-    return r.select("host", F.round("disk_read_mb_s", 6).alias("disk_read_mb_s"), "worker_change")
+    return r.select("host", *(F.round(c, 6).alias(c) for c in ("disk_read_mb_s", "disk_write_mb_s", "worker_rate")))
 
 
 @register("sink_results", O.with_views(
@@ -173,7 +188,7 @@ def sink_results(spark, sf):
     entity table back, counted per partition."""
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     spans = D.detect_arrays(docs)
-    base = _scratch(spark, sf, "sink")
+    base = _scratch(spark, "sink")
     SK.write_results(SK.results_from_spans(spans), SK.entities_from_spans(spans), base, mode="overwrite")
     back = spark.read.parquet(f"{base}/entities")
     return back.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))

@@ -10,6 +10,7 @@ from ..functions import masks as M
 from ..operators import classify as C
 from ..operators import errors as E
 from ..operators import ledger as L
+from ..functions.strings import strip_sql
 from . import oracle as O
 from .registry import register
 from .testbed import Testbed
@@ -239,7 +240,7 @@ def error_samples(spark, sf):
 
 
 @register("error_patterns", O.with_views(
-    """SELECT CASE WHEN length(trim(split_part(coalesce(error_message, ''), chr(10), 1))) = 0 THEN 'Unknown error'
+    f"""SELECT CASE WHEN length({strip_sql("split_part(coalesce(error_message, ''), chr(10), 1)")}) = 0 THEN 'Unknown error'
          ELSE split_part(coalesce(error_message, ''), chr(10), 1) END AS pattern, count(*) AS count
        FROM t_files WHERE status = 'error' GROUP BY 1""", "t_files"))
 def error_patterns(spark, sf):
@@ -393,9 +394,7 @@ def type_order(spark, sf):
     """SELECT job_id,
          round(CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE status IN ('completed', 'error')) * 100.0 / count(*)
                ELSE 0.0 END, 6) AS progress_pct,
-         round(CASE WHEN count(*) FILTER (WHERE status IN ('completed', 'error')) > 0 THEN
-               count(*) FILTER (WHERE status = 'error') * 100.0 / count(*) FILTER (WHERE status IN ('completed', 'error'))
-               ELSE 0.0 END, 6) AS error_rate
+         round(count(*) FILTER (WHERE status = 'error') * 100.0 / count(*), 6) AS error_rate
        FROM t_files GROUP BY job_id""", "t_files"))
 def progress(spark, sf):
     """Progress percent and error rate per job (zero-safe)."""
@@ -406,7 +405,7 @@ def progress(spark, sf):
     return g.select("job_id",
                     F.round(F.when(F.col("t") > 0, F.col("d") * 100.0 / F.col("t")).otherwise(F.lit(0.0)), 6)
                     .alias("progress_pct"),
-                    F.round(F.when(F.col("d") > 0, F.col("e") * 100.0 / F.col("d")).otherwise(F.lit(0.0)), 6)
+                    F.round(F.when(F.col("t") > 0, F.col("e") * 100.0 / F.col("t")).otherwise(F.lit(0.0)), 6)
                     .alias("error_rate"))
 
 
@@ -435,12 +434,9 @@ def speed_stats(spark, sf):
 
 
 @register("union_runs", O.with_views(
-    """SELECT file_type, count(*) AS files FROM (
-         SELECT file_type FROM t_files WHERE job_id = 1 UNION ALL SELECT file_type FROM t_files WHERE job_id = 2
-         UNION ALL SELECT file_type FROM t_files WHERE job_id = 3) u GROUP BY file_type""", "t_files"))
+    "SELECT job_id, file_type, count(*) AS files FROM t_files GROUP BY job_id, file_type", "t_files"))
 def union_runs(spark, sf):
-    """Results of several runs appended (unionByName) and summarised."""
+    """Results of all runs in one table, summarised by run and type."""
     f = _tb(spark, sf).files
-    runs = [f.where(F.col("job_id") == j).select("file_type") for j in (1, 2, 3)]
-    u = runs[0].unionByName(runs[1]).unionByName(runs[2])
-    return u.groupBy("file_type").agg(F.count(F.lit(1)).alias("files"))
+    open_, closed = f.where("status IN ('pending', 'processing')"), f.where("status NOT IN ('pending', 'processing')")
+    return open_.unionByName(closed).groupBy("job_id", "file_type").agg(F.count(F.lit(1)).alias("files"))

@@ -23,7 +23,7 @@ def per_minute(spark, sf):
 
 
 @register("per_hour", O.with_views(
-    "SELECT strftime(process_end, '%Y-%m-%d %H:00') AS bucket, count(*) AS files FROM t_files "
+    "SELECT strftime(process_end, '%Y-%m-%d %H') AS bucket, count(*) AS files FROM t_files "
     "WHERE status = 'completed' AND process_end IS NOT NULL GROUP BY 1", "t_files"))
 def per_hour(spark, sf):
     """Completed files per hour."""
@@ -31,7 +31,7 @@ def per_hour(spark, sf):
 
 
 @register("last24_buckets", O.with_views(
-    "SELECT strftime(process_end, '%Y-%m-%d %H:00') AS bucket, count(*) AS files FROM t_files "
+    "SELECT strftime(process_end, '%Y-%m-%d %H') AS bucket, count(*) AS files FROM t_files "
     "WHERE status = 'completed' AND process_end IS NOT NULL GROUP BY 1 ORDER BY bucket DESC LIMIT 24", "t_files"))
 def last24_buckets(spark, sf):
     """The newest 24 hourly buckets that hold data."""
@@ -41,7 +41,7 @@ def last24_buckets(spark, sf):
 @register("recent_rate", O.with_views(
     """SELECT count(*) AS files, count(*) * 60.0 / 60 AS files_per_hour, round(avg(processing_time), 6) AS avg_time
        FROM t_files WHERE status = 'completed'
-         AND process_end > (SELECT max(process_end) FROM t_files WHERE status = 'completed') - INTERVAL '60' MINUTE
+         AND process_end >= (SELECT max(process_end) FROM t_files WHERE status = 'completed') - INTERVAL '60' MINUTE
          AND process_end <= (SELECT max(process_end) FROM t_files WHERE status = 'completed')""", "t_files"))
 def recent_rate(spark, sf):
     """Files in the hour before an explicit as_of (the newest finish)."""

@@ -38,16 +38,18 @@ def read_metrics_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def metric_rates(m: DataFrame, key: str = "host") -> DataFrame:
-    """MB/s of disk and network and the worker-count change between
-    consecutive samples of a host; no row when the time step is <= 0."""
+    """MB/s of disk and network and the change of the worker count per
+    second between consecutive samples of a host (ties by the process ids);
+    no row when the time step is <= 0."""
     from ..operators.parallel import lagged
     cols = ["timestamp_epoch", "rb", "wb", "ns", "nr", "workers"]
     s = m.select(key, "timestamp_epoch",
                  F.col("system.disk.read_bytes").alias("rb"), F.col("system.disk.write_bytes").alias("wb"),
                  F.col("system.network.bytes_sent").alias("ns"), F.col("system.network.bytes_recv").alias("nr"),
-                 F.size("processes.worker_processes").alias("workers"))
+                 F.size("processes.worker_processes").alias("workers"),
+                 F.array_max("processes.worker_processes.pid").alias("tie"))
     # lag as an equi-join on (host, rank - 1): a busy host is not one task
-    s = lagged(s, key, ["timestamp_epoch"], cols)
+    s = lagged(s, key, ["timestamp_epoch", "tie"], cols)
 
     def d(c):
         return F.col(c) - F.col("prev_" + c)
@@ -59,7 +61,8 @@ def metric_rates(m: DataFrame, key: str = "host") -> DataFrame:
                     (F.col("drb") / F.col("dt") / MB).alias("disk_read_mb_s"),
                     (F.col("dwb") / F.col("dt") / MB).alias("disk_write_mb_s"),
                     (F.col("dns") / F.col("dt") / MB).alias("net_sent_mb_s"),
-                    (F.col("dnr") / F.col("dt") / MB).alias("net_recv_mb_s"), "worker_change")
+                    (F.col("dnr") / F.col("dt") / MB).alias("net_recv_mb_s"),
+                    (F.col("worker_change") / F.col("dt")).alias("worker_rate"))
 
 
 def metrics_from_log(log: DataFrame) -> DataFrame:
