@@ -115,7 +115,7 @@ def detect_terms(df: DataFrame, terms: DataFrame, text_col: str = "text", id_col
     return kept.select(*id_cols, "entity_type", "start", "end", F.lit(float(score)).alias("score"), "text")
 
 
-def span_islands(spans: DataFrame, id_cols=("doc_id",), skew_rows: int | None = None) -> DataFrame:
+def span_islands(spans: DataFrame, id_cols=("doc_id",), plain: bool | None = None) -> DataFrame:
     """Merge overlapping spans of a document into islands.
 
     An island's label is the highest score, then the longest span, then the
@@ -125,12 +125,12 @@ def span_islands(spans: DataFrame, id_cols=("doc_id",), skew_rows: int | None =
     prefix scans, so a document holding a third of all spans is still spread
     over every task.  (One document id column is expected.)
     """
-    from .parallel import SKEW_ROWS, _window_scan, largest_group, scan_split, split_for_scan
+    from .parallel import _window_scan, fits_one_task, scan_split, split_for_scan
     key = list(id_cols)
     order = ["start", "end", "entity_type", "_tie"]
     s = spans.withColumn("_tie", F.xxhash64(*spans.columns))
     new = F.when(F.col("_prev_end").isNull() | (F.col("start") >= F.col("_prev_end")), 1).otherwise(0)
-    if largest_group(spans, key) <= (SKEW_ROWS if skew_rows is None else skew_rows):
+    if fits_one_task(spans) if plain is None else plain:
         s = _window_scan(s, order, key, {}, {"end": "_prev_end"}, False).withColumn("_new", new)
         s = _window_scan(s, order, key, {"_new": "island"}, {}, True)
     else:
@@ -146,7 +146,7 @@ def span_islands(spans: DataFrame, id_cols=("doc_id",), skew_rows: int | None =
                     F.col("b.score").alias("score"), "n_spans"))
 
 
-def span_overlaps(spans: DataFrame, id_cols=("doc_id",), bucket: int = 1024) -> DataFrame:
+def span_overlaps(spans: DataFrame, id_cols=("doc_id",), bucket: int = 32) -> DataFrame:
     """Pairs of spans of different type that share characters.
 
     A bucketed range join: each span is listed under the fixed-width

@@ -40,15 +40,15 @@ def _range_split(df: DataFrame, keys: list, order_cols: list, parts: int | None)
     return r.checkpoint(eager=True)
 
 
-SKEW_ROWS = 1_000_000
+#: inputs that the optimizer proves smaller than this (64 MB) fit one window
+PLAIN_BYTES = 64 << 20
 
 
-def largest_group(df: DataFrame, keys: list[str] | tuple) -> int:
-    """Rows in the biggest group (one partially aggregated count; the driver
-    receives a single number)."""
-    if not keys:
-        return df.count()
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+def fits_one_task(df: DataFrame) -> bool:
+    """Whether the whole input is small by the optimizer's own estimate, an
+    upper bound from file sizes.  No job runs.  Both plans give the same
+    rows; this only saves a small input the second level."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= PLAIN_BYTES
 
 
 def _window_scan(df: DataFrame, order_cols, keys, sums, maxes, inclusive) -> DataFrame:
@@ -98,19 +98,9 @@ def scan_split(r: DataFrame, order_cols: list[str], partition_cols: list[str] |
     return out.drop(*drop)
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """Write an expensive intermediate once (reliable checkpoint in
-    spark.checkpoint.dir) so that a skew check and the scan after it read
-    the written rows instead of recomputing the lineage."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def prefix_scan(df: DataFrame, order_cols: list[str], partition_cols: list[str] | tuple = (),
                 sums: dict[str, str] | None = None, maxes: dict[str, str] | None = None,
-                inclusive: bool = True, parts: int | None = None, skew_rows: int = SKEW_ROWS,
-                materialize: bool = False) -> DataFrame:
+                inclusive: bool = True, parts: int | None = None, plain: bool | None = None) -> DataFrame:
     """Running sums / maxima over ``order_cols`` within each group, computed
     in two levels so that no group is processed by one task.
 
@@ -121,44 +111,38 @@ def prefix_scan(df: DataFrame, order_cols: list[str], partition_cols: list[str]
     ``inclusive=False`` the current row is left out (a running max of the
     rows before it, NULL for the first row of a group).
 
-    Skew-aware: the largest group is counted first (one partially
-    aggregated count); up to ``skew_rows`` rows per group a plain window is
-    used, above it the two-level scan.  ``materialize=True`` writes an
-    expensive input once first, so the check does not recompute it.
+    ``order_cols`` must be a total order.  ``plain`` forces one plan; by
+    default a small input takes a plain window.
     """
     sums, maxes = sums or {}, maxes or {}
-    if materialize:
-        df = materialized(df)
-    if largest_group(df, partition_cols) <= skew_rows:
-        # every group fits one task comfortably: a plain window is cheaper
+    if fits_one_task(df) if plain is None else plain:
         return _window_scan(df, order_cols, list(partition_cols), sums, maxes, inclusive)
     r = split_for_scan(df, order_cols, partition_cols, parts)
     return scan_split(r, order_cols, partition_cols, sums, maxes, inclusive).drop("_pid")
 
 
 def ranked(df: DataFrame, order_cols: list[str], partition_cols: list[str] | tuple = (), out: str = "rn",
-           parts: int | None = None, skew_rows: int = SKEW_ROWS, materialize: bool = False) -> DataFrame:
+           parts: int | None = None, plain: bool | None = None) -> DataFrame:
     """Exact 1-based ``row_number`` over ``order_cols`` (within each
     ``partition_cols`` group) without putting a group in one task: a
     running sum of ones through :func:`prefix_scan`.  ``order_cols`` must be
     a total order (add a unique key to break ties): equal sort keys always
     land in the same range partition."""
-    return prefix_scan(df.withColumn("_one", F.lit(1)), order_cols, partition_cols, sums={"_one": out},
-                       parts=parts, skew_rows=skew_rows, materialize=materialize) \
-        .drop("_one").withColumn(out, F.col(out).cast("int"))
-
-
-def lagged(df: DataFrame, key: str, order_cols: list[str], cols: list[str],
-           skew_rows: int = SKEW_ROWS) -> DataFrame:
-    """``lag(col)`` per key for each of ``cols`` (``prev_<col>``).  Small
-    groups use a window; when a key exceeds ``skew_rows`` rows the lag is an
-    equi-join on (key, rank - 1), so the hot key's rows are spread over
-    every task instead of one window partition."""
-    if largest_group(df, [key]) <= skew_rows:
+    return prefix_scan(df.withColumn("_one", F.lit(1).cast("long")), order_cols, partition_cols, sums={"_one": out},
+                       parts=parts, plain=plain).drop("_one")
+
+
+def lagged(df: DataFrame, key: str, order_cols: list[str], cols: list[str], plain: bool | None = None) -> DataFrame:
+    """``lag(col)`` per key for each of ``cols`` (``prev_<col>``).
+
+    ``order_cols`` must be a total order.  The lag of a large input is an
+    equi-join on (key, rank - 1), so a hot key's rows are spread over every
+    task instead of one window partition."""
+    if fits_one_task(df) if plain is None else plain:
         w = Window.partitionBy(key).orderBy(*order_cols)
         for c in cols:
             df = df.withColumn("prev_" + c, F.lag(c).over(w))
         return df
-    r = ranked(df, order_cols, [key], out="_rn", skew_rows=0)
+    r = ranked(df, order_cols, [key], out="_rn", plain=False)
     prev = r.select(key, (F.col("_rn") + 1).alias("_rn"), *[F.col(c).alias("prev_" + c) for c in cols])
     return r.join(prev, [key, "_rn"], "left").drop("_rn")

@@ -23,7 +23,9 @@ REPORT_TITLE = "NC §75-61 Breach Notification Analysis Report"
 REPORT_INTRO = "Files triggering NC §75-61 breach notification requirements:"
 REPORT_FOUND = "files that would trigger breach notification"
 REPORT_LAW = "requirements under North Carolina law (§75-61)."
-LAST_RANK = 2147483647
+LAST_RANK = 9223372036854775807
+# places of a report's blocks within a file; a block may have as many lines as fit before the next
+TYPES, REASONS, SAMPLES, END = 10, 100_000_000, 200_000_000, 2_000_000_000
 RISK_AREAS = [
     ("PII-SSN", "files contain names with Social Security Numbers"),
     ("PII-FIN", "files contain names with financial account information"),
@@ -128,10 +130,10 @@ def tier_summary_lines(spark: SparkSession, files: DataFrame, jobs: DataFrame, e
         F.concat(F.lit("  "), F.col("tier_name"), F.lit(": "), F.col("n").cast("string"), F.lit(" files")).alias("line"))
     tt = C.tier_types(c).select("tier", F.explode("types").alias("t"))
     tt = tt.withColumn("name", P.display_name(F.col("t"))).select("tier", "name").distinct()
-    heads = tt.select("tier").distinct().select(F.lit(50).alias("section"), ((3 - F.col("tier")) * 1000).alias("ord"),
+    heads = tt.select("tier").distinct().select(F.lit(50).alias("section"), ((3 - F.col("tier")) * 100_000_000).alias("ord"),
                                                 F.concat(F.lit("  "), P.tier_name(F.col("tier")), F.lit(":")).alias("line"))
     rn = F.row_number().over(Window.partitionBy("tier").orderBy("name"))
-    items = tt.select(F.lit(50).alias("section"), ((3 - F.col("tier")) * 1000 + rn).alias("ord"),
+    items = tt.select(F.lit(50).alias("section"), ((3 - F.col("tier")) * 100_000_000 + rn).alias("ord"),
                       F.concat(F.lit("    • "), F.col("name")).alias("line"))
     parts = [
         _lines(spark, 0, [TIER_TITLE, f"Generated: {as_of}", ""]),
@@ -154,21 +156,20 @@ def breach_report_lines(ents: DataFrame, as_of: str | None = None) -> DataFrame:
     """The detailed strict-policy report, one block of lines per
     triggering file, files ordered by entity count (desc) then path.
 
-    ``ord`` within a file: 0-2 header, 10+ type counts, 100+ reasons,
-    1000+ samples (category heading, then up to three masked samples)."""
+    ``ord`` within a file: 0-2 header, then type counts, reasons and samples
+    (category heading, then up to three masked samples)."""
     from .parallel import ranked
     b = C.breach_files(ents).select("file_id", "file_path", "entity_count", "classification", "entity_types")
-    b = ranked(b.withColumn("_nc", -F.col("entity_count")), ["_nc", "file_path"], out="file_rank",
-               materialize=True).drop("_nc")
+    b = ranked(b.withColumn("_nc", -F.col("entity_count")), ["_nc", "file_path"], out="file_rank").drop("_nc")
     head = b.select("file_rank", F.explode(F.array(
         F.struct(F.lit(0).alias("ord"), F.concat(F.lit("File: "), F.col("file_path")).alias("line")),
         F.struct(F.lit(1).alias("ord"), F.concat(F.lit("Number of entities: "), F.col("entity_count").cast("string"))
                  .alias("line")),
         F.struct(F.lit(2).alias("ord"), F.concat(F.lit("Classification: "), F.col("classification")).alias("line")),
-        F.struct(F.lit(9).alias("ord"), F.lit("Entity types:").alias("line")),
-        F.struct(F.lit(99).alias("ord"), F.lit("Breach notification trigger reason:").alias("line")),
-        F.struct(F.lit(999).alias("ord"), F.lit("Sample entities (max 3 per type):").alias("line")),
-        F.struct(F.lit(999999).alias("ord"), F.lit(SEPARATOR).alias("line")))).alias("l")).select(
+        F.struct(F.lit(TYPES).alias("ord"), F.lit("Entity types:").alias("line")),
+        F.struct(F.lit(REASONS).alias("ord"), F.lit("Breach notification trigger reason:").alias("line")),
+        F.struct(F.lit(SAMPLES).alias("ord"), F.lit("Sample entities (max 3 per type):").alias("line")),
+        F.struct(F.lit(END).alias("ord"), F.lit(SEPARATOR).alias("line")))).alias("l")).select(
         "file_rank", "l.ord", "l.line")
     t = F.col("entity_types")
     reasons = b.select("file_rank", F.posexplode(F.array_compact(F.array(
@@ -176,23 +177,23 @@ def breach_report_lines(ents: DataFrame, as_of: str | None = None) -> DataFrame:
                F.lit("  - Contains personally identifiable information AND sensitive data")),
         F.when(P.credential_pair(t),
                F.lit("  - Contains credential pair (username/email + password/access code)"))))).alias("k", "line"))
-    reasons = reasons.select("file_rank", (F.col("k") + 100).alias("ord"), "line")
+    reasons = reasons.select("file_rank", (F.col("k") + REASONS + 1).alias("ord"), "line")
     e = ents.join(b.select("file_id", "file_rank"), "file_id").withColumn(
         "category", P.display_name(F.col("entity_type"), P.STRICT_DISPLAY_NAMES))
     counts = e.groupBy("file_rank", "category").agg(F.count(F.lit(1)).alias("n"))
     crank = F.row_number().over(Window.partitionBy("file_rank").orderBy(F.desc("n"), "category"))
     counts = counts.withColumn("cr", crank)
-    type_lines = counts.select("file_rank", (F.col("cr") + 9).alias("ord"),
+    type_lines = counts.select("file_rank", (F.col("cr") + TYPES).alias("ord"),
                                F.concat(F.lit("  - "), F.col("category"), F.lit(": "), F.col("n").cast("string"))
                                .alias("line"))
     w = Window.partitionBy("file_rank", "category").orderBy("start_index", "end_index", "entity_type", "text", "score")
     s = e.withColumn("sn", F.row_number().over(w)).where(F.col("sn") <= 3).join(
         counts.select("file_rank", "category", "cr"), ["file_rank", "category"])
-    sample_lines = s.select("file_rank", (F.lit(1000) + F.col("cr") * 10 + F.col("sn")).alias("ord"),
+    sample_lines = s.select("file_rank", (F.lit(SAMPLES) + F.col("cr") * 10 + F.col("sn")).alias("ord"),
                             F.concat(F.lit("    - "), M.mask_strict(F.col("text"), F.col("entity_type")),
                                      F.lit(" (confidence: "), F.format_string("%.2f", F.col("score")), F.lit(")"))
                             .alias("line"))
-    cat_heads = counts.select("file_rank", (F.lit(1000) + F.col("cr") * 10).alias("ord"),
+    cat_heads = counts.select("file_rank", (F.lit(SAMPLES) + F.col("cr") * 10).alias("ord"),
                               F.concat(F.lit("  "), F.col("category"), F.lit(":")).alias("line"))
     out = head.unionByName(reasons).unionByName(type_lines).unionByName(cat_heads).unionByName(sample_lines)
     if as_of is None:

@@ -99,10 +99,28 @@ _redact_query("redact_by_type", "replace", {"EMAIL_ADDRESS": "mask", "ACCESS_COD
               doc="A6: per-type operators (e-mail masked, access codes hashed), replace for the rest.")
 
 
+# the key is a parameter of the operators; a fixed one makes the query reproducible
+KEY = "0123456789abcdef"
+
+
 @register("redact_encrypt")
 def redact_encrypt(spark, sf):
     """A5: deterministic AES (ECB) + base64 of each island; needs a key."""
-    return A.redact(_with_spans(spark, sf), method="encrypt", key="0123456789abcdef").select("doc_id", "redacted")
+    return A.redact(_with_spans(spark, sf), method="encrypt", key=KEY).select("doc_id", "redacted")
+
+
+@register("redact_encrypt_audit", O.with_views(
+    """SELECT i.doc_id, i.b.t AS entity_type, i.start, i."end", substr(d.text, i.start + 1, i."end" - i.start) AS original,
+         CAST(4 * ((16 * (strlen(substr(d.text, i.start + 1, i."end" - i.start)) // 16 + 1) + 2) // 3) AS INT) AS cipher_chars
+       FROM isl i JOIN documents d ON i.doc_id = d.doc_id""",
+    extra=O.spans_view(None, 0.7) + _islands_sql("spans", "doc_id")))
+def redact_encrypt_audit(spark, sf, key: str = KEY):
+    """A5 by round trip: each encrypted island decrypted again, and the
+    length of its padded cipher text."""
+    a = A.audit(_with_spans(spark, sf), method="encrypt", key=key)
+    plain = F.aes_decrypt(F.unbase64("replacement"), F.lit(key), F.lit("ECB")).cast("string")
+    return a.select("doc_id", "entity_type", "start", "end", plain.alias("original"),
+                    F.length("replacement").alias("cipher_chars"))
 
 
 @register("redact_audit", O.with_views(

@@ -17,7 +17,7 @@ from ..sources import metrics as MX
 from ..sources import reports as RP
 from ..sources import sinks as SK
 from ..sources import text as TX
-from ..sources.tables import read_table
+from ..sources.tables import TABLES, read_table
 from ..functions.strings import strip_sql
 from . import oracle as O
 from .registry import register
@@ -39,13 +39,18 @@ def _scratch(spark, name):
     return scratch_path(spark, f"tessera-{name}-{uuid.uuid4().hex[:12]}")
 
 
-@register("src_listing", """SELECT regexp_extract(filename, '[^/]*$', 0) AS name, CAST(size AS BIGINT) AS file_size,
-    '.parquet' AS file_type FROM read_blob('/root/testdata/sf0.01/*.parquet')""")
+@register("src_listing", " UNION ALL ".join(
+    f"SELECT '{t}.parquet' AS name, '.parquet' AS file_type, count(*) AS n_rows FROM {t}" for t in TABLES))
 def src_listing(spark, sf):
-    """Recursive listing of the data folder (content pruned), filtered
-    by extension, with size and the lower-case type."""
-    df = LS.list_files(spark, sf, extensions=[".parquet"], glob="*.parquet")
-    return df.select(L.basename(F.col("file_path")).alias("name"), "file_size", "file_type")
+    """The tables' files with their lower-case type and the rows that
+    each holds, from the metadata that every scanned row carries."""
+    out = None
+    for t in TABLES:
+        path = read_table(spark, sf, t).select(F.col("_metadata.file_path").alias("file_path"))
+        out = path if out is None else out.union(path)
+    name = F.regexp_extract("file_path", "/([a-z_]+[.]parquet)(?:/[^/]*)?$", 1)
+    files = out.groupBy(name.alias("name")).agg(F.count("*").alias("n_rows"))
+    return files.select("name", L.file_type(F.col("name")).alias("file_type"), "n_rows")
 
 
 @register("src_file_list", O.with_views(
@@ -140,8 +145,8 @@ def src_json_report(spark, sf):
          AND f.file_id IN (SELECT file_id FROM t_results) WHERE f.job_id = 2""",
     "t_files", "t_results", "t_entities", "t_jobs"))
 def export_nested(spark, sf):
-    """Nested export of one job; each file's entity list may be split
-    over salted parts, so counts are summed per file."""
+    """Nested export of one job; a file's entity list stands in records
+    by part of the file, so counts are summed per file."""
     tb = _tb(spark, sf)
     rec = RP.nested_records(tb.jobs.where(F.col("job_id") == 2), tb.files.where(F.col("job_id") == 2),
                             tb.results, tb.entities)
@@ -187,8 +192,10 @@ def sink_results(spark, sf):
     """Append results + entities (partitioned by type) and read the
     entity table back, counted per partition."""
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    spans = D.detect_arrays(docs)
     base = _scratch(spark, "sink")
+    # results and entities both come from the written spans: one detector run
+    D.detect_arrays(docs).write.parquet(f"{base}/spans")
+    spans = spark.read.parquet(f"{base}/spans")
     SK.write_results(SK.results_from_spans(spans), SK.entities_from_spans(spans), base, mode="overwrite")
     back = spark.read.parquet(f"{base}/entities")
     return back.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
@@ -238,7 +245,7 @@ def _report_lines_sql():
                f"'  - Contains credential pair (username/email + password/access code)' END], lambda x: x IS NOT NULL)")
     sep = "-" * 80
     return O.ledger_sql(f"""
-SELECT CAST(file_rank AS INT) AS file_rank, ord, line FROM (
+SELECT CAST(file_rank AS BIGINT) AS file_rank, CAST(ord AS INT) AS ord, line FROM (
   SELECT 0 AS file_rank, 0 AS ord, {O.q(SM.REPORT_TITLE)} AS line
   UNION ALL SELECT 0, 1, 'Generated: {AS_OF}' UNION ALL SELECT 0, 2, ''
   UNION ALL SELECT 0, 3, {O.q(SM.REPORT_INTRO)} UNION ALL SELECT 0, 4, ''
@@ -247,15 +254,15 @@ SELECT CAST(file_rank AS INT) AS file_rank, ord, line FROM (
   UNION ALL SELECT file_rank, 0 AS ord, 'File: ' || file_path AS line FROM b
   UNION ALL SELECT file_rank, 1, 'Number of entities: ' || entity_count FROM b
   UNION ALL SELECT file_rank, 2, 'Classification: ' || label FROM b
-  UNION ALL SELECT file_rank, 9, 'Entity types:' FROM b
-  UNION ALL SELECT file_rank, 99, 'Breach notification trigger reason:' FROM b
-  UNION ALL SELECT file_rank, 999, 'Sample entities (max 3 per type):' FROM b
-  UNION ALL SELECT file_rank, 999999, '{sep}' FROM b
-  UNION ALL SELECT file_rank, CAST(100 + k - 1 AS INT), r FROM (
+  UNION ALL SELECT file_rank, {SM.TYPES}, 'Entity types:' FROM b
+  UNION ALL SELECT file_rank, {SM.REASONS}, 'Breach notification trigger reason:' FROM b
+  UNION ALL SELECT file_rank, {SM.SAMPLES}, 'Sample entities (max 3 per type):' FROM b
+  UNION ALL SELECT file_rank, {SM.END}, '{sep}' FROM b
+  UNION ALL SELECT file_rank, CAST({SM.REASONS} + k AS INT), r FROM (
       SELECT file_rank, unnest({reasons}) AS r, generate_subscripts({reasons}, 1) AS k FROM b) x
-  UNION ALL SELECT file_rank, CAST(cr + 9 AS INT), '  - ' || category || ': ' || n FROM c
-  UNION ALL SELECT file_rank, CAST(1000 + cr * 10 AS INT), '  ' || category || ':' FROM c
-  UNION ALL SELECT s.file_rank, CAST(1000 + c.cr * 10 + s.sn AS INT),
+  UNION ALL SELECT file_rank, CAST(cr + {SM.TYPES} AS INT), '  - ' || category || ': ' || n FROM c
+  UNION ALL SELECT file_rank, CAST({SM.SAMPLES} + cr * 10 AS INT), '  ' || category || ':' FROM c
+  UNION ALL SELECT s.file_rank, CAST({SM.SAMPLES} + c.cr * 10 + s.sn AS INT),
       '    - ' || {mask} || ' (confidence: ' || printf('%.2f', s.score) || ')'
     FROM s JOIN c ON s.file_rank = c.file_rank AND s.category = c.category WHERE s.sn <= 3
 ) u""", ("b", f"""SELECT file_id, file_path, entity_count, types, {O.sql_label('types')} AS label,
@@ -330,8 +337,8 @@ def _tier_summary_sql() -> str:
   UNION ALL SELECT 31, 0, '' UNION ALL SELECT 31, 1, 'Classification Summary:'
   UNION ALL SELECT 40, tier, '  ' || {O.sql_pick(P.TIER_NAMES, 'tier')} || ': ' || count(*) || ' files' FROM c GROUP BY tier
   UNION ALL SELECT 45, 0, '' UNION ALL SELECT 45, 1, 'Top Sensitive Entity Types by Tier:'
-  UNION ALL SELECT DISTINCT 50, (3 - tier) * 1000, '  ' || {O.sql_pick(P.TIER_NAMES, 'tier')} || ':' FROM tt
-  UNION ALL SELECT 50, CAST((3 - tier) * 1000 + row_number() OVER (PARTITION BY tier ORDER BY name) AS INT), '    • ' || name
+  UNION ALL SELECT DISTINCT 50, (3 - tier) * 100000000, '  ' || {O.sql_pick(P.TIER_NAMES, 'tier')} || ':' FROM tt
+  UNION ALL SELECT 50, CAST((3 - tier) * 100000000 + row_number() OVER (PARTITION BY tier ORDER BY name) AS INT), '    • ' || name
     FROM (SELECT DISTINCT tier, name FROM tt) z"""
     c = ("c", f"SELECT file_id, types, {tier} AS tier FROM fs WHERE {tier} >= 1")
     tt = ("tt", f"""SELECT tier, {O.sql_display('t', P.TIER_DISPLAY_NAMES)} AS name

@@ -55,14 +55,15 @@ REPORT = T.StructType([
 FILE_LINE = T.StructType([T.StructField("job_id", T.LongType()), T.StructField("part", T.IntegerType())]
                          + FILE_RECORD.fields)
 
-MAX_PER_PART = 50_000
+PART_CHARS = 65_536
 
 
 def nested_records(jobs: DataFrame, files: DataFrame, results: DataFrame, entities: DataFrame,
-                   threshold: float | None = None, include_entities: bool = True, mask: bool = True,
-                   max_per_part: int = MAX_PER_PART) -> DataFrame:
+                   threshold: float | None = None, include_entities: bool = True, mask: bool = True) -> DataFrame:
     """Per-file records with job header, file fields, metadata map
-    (bad JSON -> NULL map, Q9) and the entity list (masked by default)."""
+    (bad JSON -> NULL map, Q9) and the entity list (masked by default).  A
+    record covers ``part``, a window of PART_CHARS characters of the file, so
+    no list grows with the file; parts without entities have no record."""
     # only the results and entities of the exported files are aggregated
     results = results.join(files.select("file_id"), "file_id", "left_semi")
     r = results.groupBy("file_id").agg(F.min_by(F.struct("result_id", "processing_time", "metadata"),
@@ -80,11 +81,7 @@ def nested_records(jobs: DataFrame, files: DataFrame, results: DataFrame, entiti
         if threshold is not None:
             e = e.where(F.col("score") >= F.lit(float(threshold)))
         txt = M.mask_tiered(F.col("text"), F.col("entity_type")) if mask else F.col("text")
-        sizes = e.groupBy("result_id").agg(F.count(F.lit(1)).alias("_n"))
-        e = e.join(sizes, "result_id")
-        n_parts = F.greatest(F.ceil(F.col("_n") / F.lit(max_per_part)), F.lit(1))
-        part = F.pmod(F.xxhash64("result_id", "start_index", "end_index", "entity_type", "text"), n_parts) \
-            .cast("int")
+        part = F.floor(F.coalesce("start_index", F.lit(0)) / PART_CHARS).cast("int")
         lists = e.select("result_id", part.alias("part"), F.struct(
             "entity_type", F.col("start_index").alias("start"), F.col("end_index").alias("end"), "score",
             txt.alias("text")).alias("s")).groupBy("result_id", "part").agg(

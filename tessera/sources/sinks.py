@@ -18,6 +18,8 @@ def write_results(results: DataFrame, entities: DataFrame, base: str, mode: str
     """Append results and their entities (entities partitioned by
     type, the column the reports filter on)."""
     results.write.mode(mode).parquet(f"{base}/results")
+    # a type's rows in a few files, however many tasks hold some
+    entities = entities.repartition("entity_type", F.pmod(F.xxhash64("result_id"), F.lit(8)))
     entities.write.mode(mode).partitionBy("entity_type").parquet(f"{base}/entities")
 
 
@@ -31,7 +33,8 @@ def results_from_spans(spans: DataFrame, processing_time: Column | None = None,
 
 
 def entities_from_spans(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    e = spans.select(F.col(id_col).alias("result_id"), F.explode("entities").alias("s"))
+    e = spans.select(F.col(id_col).alias("result_id"), F.explode_outer("entities").alias("s")).where(
+        F.col("s").isNotNull())
     return e.select("result_id", F.coalesce("s.entity_type", F.lit("")).alias("entity_type"),
                     F.coalesce("s.text", F.lit("")).alias("text"),
                     F.coalesce("s.start", F.lit(0)).alias("start_index"), F.coalesce("s.end", F.lit(0)).alias("end_index"),
@@ -57,26 +60,37 @@ def relative_output(path: Column, directory: str, output: str) -> Column:
     return F.concat(F.lit(output.rstrip("/") + "/"), rel)
 
 
-def write_lines(lines: DataFrame, path: str, order_cols=("section", "ord")) -> None:
-    """Ordered report lines as a text file (one partition per report
-    keeps the order; the ordering itself is a distributed sort)."""
-    lines.orderBy(*order_cols).select("line").coalesce(1).write.mode("overwrite").text(path)
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Ordered report lines as text files; a distributed sort, whose
+    part files follow each other in the order of their names."""
+    keys = [c for c in lines.columns if c != "line"]
+    lines.orderBy(*keys).select("line").write.mode("overwrite").text(path)
 
 
 def copy_manifest(classified: DataFrame, clone_dir: str, min_tier: int | None = None) -> DataFrame:
     """Where each classified file would be copied: tier folder, and a
     ``_1, _2 ...`` suffix when several files of a tier share a basename
-    (the first by path keeps the plain name)."""
+    (the first by path keeps the plain name).  A number is left out when a
+    file of that very name stands in the tier, so no two files get one
+    target."""
+    from ..operators.parallel import ranked
     c = classified if min_tier is None else classified.where(F.col("tier") >= min_tier)
     b = basename(F.col("file_path"))
     c = c.withColumn("_base", b).withColumn("_stem", stem(F.col("file_path"))) \
         .withColumn("_ext", F.regexp_extract(b, "^\\.*[^.].*(\\.[^.]*)$", 1))
-    from ..operators.parallel import ranked
     # numbering inside a (tier, basename) group is a distributed rank, so a
     # basename shared by a third of all files is still spread over tasks
-    c = ranked(c, ["file_path"], ["tier", "_base"], out="_n", materialize=True).withColumn("_n", F.col("_n") - 1)
+    c = ranked(c, ["file_path"], ["tier", "_base"], out="_n").withColumn("_n", F.col("_n") - 1)
+    number = F.regexp_extract("_stem", "^.*_([1-9][0-9]{0,8})$", 1)
+    taken = c.where((F.col("_n") == 0) & (number != "")).select(
+        "tier", F.concat(F.regexp_extract("_stem", "^(.*)_[1-9][0-9]{0,8}$", 1), "_ext").alias("_base"),
+        number.cast("long").alias("_taken")).groupBy("tier", "_base").agg(
+        F.sort_array(F.collect_set("_taken")).alias("_taken"))
+    c = c.join(taken, ["tier", "_base"], "left")
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<bigint>")), F.col("_n"),
+                       lambda n, t: F.when(t <= n, n + 1).otherwise(n))
     name = F.when(F.col("_n") == 0, F.col("_base")).otherwise(
-        F.concat(F.col("_stem"), F.lit("_"), F.col("_n").cast("string"), F.col("_ext")))
+        F.concat(F.col("_stem"), F.lit("_"), free.cast("string"), F.col("_ext")))
     folder = P.tier_name(F.col("tier"))
     return c.select("file_path", "tier", F.concat(F.lit(clone_dir.rstrip("/") + "/"), folder, F.lit("/"), name)
                     .alias("target_path"))

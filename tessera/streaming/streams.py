@@ -17,6 +17,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import detect as D
 from ..session import scratch_path
@@ -72,7 +73,7 @@ def latest(df: DataFrame, name: str, keys: list[str], fresh: bool = True) -> Dat
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/batch_id={batch_id}")
     run_available(df, name, mode="update", foreach_batch=write, fresh=False)
-    schema = df.schema.add("batch_id", "long")
+    schema = T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])
     rest = [c for c in df.columns if c not in keys]
     rows = spark.read.schema(schema).parquet(base).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("v"))
     return rows.select(*keys, "v.*")

@@ -166,7 +166,7 @@ def test_islands_two_level_equals_window(spark):
             for s in (rnd.randrange(0, 3000) for _ in range(800))]
     df = spark.createDataFrame(rows, "doc_id long, entity_type string, start int, end int, score double")
     a = sorted(tuple(r) for r in D.span_islands(df).collect())
-    b = sorted(tuple(r) for r in D.span_islands(df, skew_rows=0).collect())
+    b = sorted(tuple(r) for r in D.span_islands(df, plain=False).collect())
     assert a == b
 
 

@@ -17,7 +17,7 @@ def test_ranked_and_scans_match_bruteforce(spark):
     rows = _rows()
     df = spark.createDataFrame(rows, "k long, ord long, v long")
     out = prefix_scan(df, ["ord"], ["k"], sums={"v": "run_sum"}, maxes={"v": "prev_max"}, inclusive=True, parts=7,
-                      skew_rows=0)
+                      plain=False)
     got = {r.ord: (r.run_sum, r.prev_max) for r in out.collect()}
     want = {}
     acc = {}
@@ -27,7 +27,7 @@ def test_ranked_and_scans_match_bruteforce(spark):
         acc[k] = (s, m)
         want[o] = (s, m)
     assert got == want
-    rk = {r.ord: r.rn for r in ranked(df, ["ord"], ["k"], parts=5, skew_rows=0).collect()}
+    rk = {r.ord: r.rn for r in ranked(df, ["ord"], ["k"], parts=5, plain=False).collect()}
     pos = {}
     for k, o, v in sorted(rows, key=lambda x: (x[0], x[1])):
         pos[k] = pos.get(k, 0) + 1
@@ -38,8 +38,8 @@ def test_exclusive_max_and_lag(spark):
     rows = _rows()
     df = spark.createDataFrame(rows, "k long, ord long, v long")
     ex = {r.ord: r.pm for r in prefix_scan(df, ["ord"], ["k"], maxes={"v": "pm"}, inclusive=False, parts=6,
-                                           skew_rows=0).collect()}
-    lg = {r.ord: r.prev_v for r in lagged(df, "k", ["ord"], ["v"], skew_rows=0).collect()}
+                                           plain=False).collect()}
+    lg = {r.ord: r.prev_v for r in lagged(df, "k", ["ord"], ["v"], plain=False).collect()}
     last, best = {}, {}
     for k, o, v in sorted(rows, key=lambda x: (x[0], x[1])):
         assert ex[o] == best.get(k)
@@ -52,10 +52,10 @@ def test_forced_two_level_equals_window(spark):
     rows = _rows()
     df = spark.createDataFrame(rows, "k long, ord long, v long")
     a = sorted(tuple(r) for r in prefix_scan(df, ["ord"], ["k"], sums={"v": "s"}, maxes={"v": "m"},
-                                             inclusive=False, skew_rows=0).collect())
+                                             inclusive=False, plain=False).collect())
     b = sorted(tuple(r) for r in prefix_scan(df, ["ord"], ["k"], sums={"v": "s"}, maxes={"v": "m"},
                                              inclusive=False).collect())
     assert a == b
-    c = sorted(tuple(r) for r in lagged(df, "k", ["ord"], ["v"], skew_rows=0).collect())
+    c = sorted(tuple(r) for r in lagged(df, "k", ["ord"], ["v"], plain=False).collect())
     d = sorted(tuple(r) for r in lagged(df, "k", ["ord"], ["v"]).collect())
     assert c == d

@@ -49,17 +49,18 @@ def test_listing_filters_extensions(spark, tmp_path):
     assert got == [("a.txt", 10, ".txt"), ("b.PDF", 10, ".pdf"), ("d.docx", 10, ".docx")]
 
 
-def test_nested_export_splits_hot_file(spark):
+def test_nested_export_records_cover_parts(spark, monkeypatch):
     from tessera.plans.testbed import Testbed
     from conftest import SF_SMALL
     tb = Testbed(spark, SF_SMALL)
-    rec = RP.nested_records(tb.jobs, tb.files, tb.results, tb.entities, max_per_part=2)
-    per_file = rec.groupBy("file_path").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.size("entities")).alias("n"),
-                                            F.max(F.size("entities")).alias("biggest"))
+    monkeypatch.setattr(RP, "PART_CHARS", 20)
+    rec = RP.nested_records(tb.jobs, tb.files, tb.results, tb.entities)
+    per_file = rec.groupBy("file_path").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.size("entities")).alias("n"))
     rows = per_file.collect()
-    # files above the part size are split over several parts, none is lost
     assert all(r.parts > 1 for r in rows if r.n >= 6)
-    assert all(r.biggest < r.n for r in rows if r.n >= 6)
+    for r in rec.select("part", "entities").collect():
+        assert all(e.start // 20 == r.part for e in r.entities)
+    monkeypatch.undo()
     whole = RP.nested_records(tb.jobs, tb.files, tb.results, tb.entities)
     a = {r.file_path: r.n for r in per_file.collect()}
     b = {r.file_path: r.n for r in whole.groupBy("file_path").agg(F.sum(F.size("entities")).alias("n")).collect()}
