@@ -33,6 +33,8 @@ from .components import components
 from .scratch import drop, stored
 
 SKETCH_BITS = 24
+#: buckets in a row of the sketch
+SLICE = 1 << 16
 PIVOT_ROUNDS = 2
 #: a table of two longs with at most this many rows (16 MB) is broadcast, a larger one is shuffled
 BROADCAST_ROWS = 1_000_000
@@ -41,29 +43,42 @@ MARKS = 512
 
 
 def _sketch(k: int):
+    """Shingle counts of a task in 2**SKETCH_BITS buckets, slice by slice
+    (255: at least so many)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint16)
-        total = 0
+        counts = np.zeros(1 << SKETCH_BITS, np.uint8)
         for batch in batches:
             for piece in W.pieces(batch):
                 _, values = W.shingle_sets(W.Words(*W.flat(piece.column(0))), k)
                 at, n = np.unique((values >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
-                counts[at] = np.minimum(counts[at] + n, 65535)
-                total += len(values)
-        mean = total / len(counts)
-        at = np.flatnonzero(counts >= mean + 4 * mean ** 0.5 + 2)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())],
-                                         names=["bucket", "n"])
+                counts[at] = np.minimum(counts[at] + n, 255)
+        for i, part in enumerate(counts.reshape(-1, SLICE)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()])],
+                                                 names=["slice", "counts"])
     return run
 
 
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum the slices of all tasks; eight levels for each doubling."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+            total[i] = total.get(i, 0) + np.frombuffer(counts.as_buffer(), np.uint8).astype(np.int64)
+    for i, counts in total.items():
+        level = np.minimum(8 * np.log2(counts + 1), 255).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([level.tobytes()])],
+                                         names=["slice", "level"])
+
+
 def list_levels(texts: DataFrame, k: int) -> bytes:
-    """Bit length of the count of frequent shingles in each of 2**24 buckets;
-    0 for the rest.  At most one row per bucket reaches the driver."""
-    rows = (texts.mapInArrow(_sketch(k), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-            .select("bucket", (F.floor(F.log2("n")) + 1).cast("tinyint").alias("level")).toArrow())
-    levels = np.zeros(1 << SKETCH_BITS, np.uint8)
-    levels[rows["bucket"].to_numpy()] = rows["level"].to_numpy()
+    """A level of list length, one byte for each of 2**SKETCH_BITS buckets of
+    shingles; no list is longer than its bucket's count."""
+    rows = (texts.mapInArrow(_sketch(k), "slice int, counts binary").repartition("slice")
+            .mapInArrow(_levels, "slice int, level binary").collect())
+    levels = np.zeros(((1 << SKETCH_BITS) // SLICE, SLICE), np.uint8)
+    for r in rows:
+        levels[r["slice"]] = np.frombuffer(r["level"], np.uint8)
     return levels.tobytes()
 
 
