@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detect as D
 from ..sources.tables import read_table
+from . import evidence as EV
 from . import oracle as O
 from .registry import register
 
@@ -21,10 +22,17 @@ def _detect_sql(entities, threshold=0.7):
     return O.with_views('SELECT doc_id, entity_type, start, "end", score, text FROM spans', extra=ctes)
 
 
-def _detect_query(key, entities):
+def _corpus_view(entities, threshold):
+    return O.spans_view(entities, threshold, src="corpus", src_sql=EV.CORPUS_SQL)
+
+
+def _detect_query(key, entities, threshold=0.7):
+    sql = O.with_views('SELECT doc_id, entity_type, start, "end", score, text FROM spans',
+                       extra=_corpus_view(entities, threshold))
+
     def build(spark, sf):
-        return D.detect_entities(_docs(spark, sf), entities=entities)
-    register(key, _detect_sql(entities))(build)
+        return D.detect_entities(EV.corpus(spark, sf), entities=entities, threshold=threshold)
+    register(key, sql)(build)
 
 
 # one key per recognizer family
@@ -37,22 +45,24 @@ _detect_query("detect_iban", ["IBAN_CODE", "AWS_SECRET_KEY"])
 _detect_query("detect_routing", ["US_BANK_ROUTING", "UK_NHS", "AU_TFN", "AU_MEDICARE", "US_POSTAL_CODE"])
 _detect_query("detect_token", ["ACCESS_CODE"])
 _detect_query("detect_cues", [r.entity_type for r in D.R.RECOGNIZERS if r.lane.startswith("cue_")])
-_detect_query("detect_all", None)
+_detect_query("detect_markers", ["DIGITAL_SIGNATURE", "BIOMETRIC_IDENTIFIER", "ITAR_CONTROLLED"])
+# every type on texts that hold them; without a threshold every candidate with its score (P6 off)
+_detect_query("detect_evidence", None)
+_detect_query("detect_all_raw", None, None)
 
 
-@register("detect_all_raw", O.with_views('SELECT doc_id, entity_type, start, "end", score, text FROM spans',
-                                         extra=O.spans_view(None, None)))
-def detect_all_raw(spark, sf):
-    """D1 without a threshold: every candidate with its score (P6 off)."""
-    return D.detect_entities(_docs(spark, sf), threshold=None)
+@register("detect_all", _detect_sql(None))
+def detect_all(spark, sf):
+    """Every type in the documents."""
+    return D.detect_entities(_docs(spark, sf))
 
 
 @register("ent_threshold", O.with_views(
     'SELECT doc_id, entity_type, start, "end", score, text FROM spans WHERE score >= 0.9',
-    extra=O.spans_view(None, None)))
+    extra=_corpus_view(None, None)))
 def ent_threshold(spark, sf):
     """``score >= t`` on detected spans (t = 0.9, inclusive)."""
-    return D.detect_entities(_docs(spark, sf), threshold=None).where(F.col("score") >= 0.9)
+    return D.detect_entities(EV.corpus(spark, sf), threshold=None).where(F.col("score") >= 0.9)
 
 
 @register("ent_allowlist", _detect_sql(["EMAIL_ADDRESS", "PHONE_NUMBER"]))
@@ -116,12 +126,12 @@ def _base_score_sql() -> str:
 
 @register("score_context", O.with_views(
     f"""SELECT doc_id, entity_type, start, "end", {_base_score_sql()} AS base_score, score,
-          score > {_base_score_sql()} AS boosted FROM spans""", extra=O.spans_view(None, None)))
+          score > {_base_score_sql()} AS boosted FROM spans""", extra=_corpus_view(None, None)))
 def score_context(spark, sf):
     """Base score of each candidate and the score after the context cue
     (a cue word in the 40 characters before the span adds 0.3, cap 1.0)."""
     base = F.create_map(*[x for r in D.R.RECOGNIZERS for x in (F.lit(r.entity_type), F.lit(float(r.score)))])
-    s = D.detect_entities(_docs(spark, sf), threshold=None)
+    s = D.detect_entities(EV.corpus(spark, sf), threshold=None)
     b = F.element_at(base, F.col("entity_type"))
     return s.select("doc_id", "entity_type", "start", "end", b.alias("base_score"), "score",
                     (F.col("score") > b).alias("boosted"))
