@@ -274,6 +274,17 @@ def default_job_name(directory: Column) -> Column:
     return F.concat(F.lit("PII Analysis - "), basename(directory))
 
 
+def create_jobs(jobs: DataFrame, directories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Job rows with the next free ids for directories, and their
+    ``directory`` metadata rows."""
+    from .parallel import ranked
+    first = jobs.agg(F.coalesce(F.max("job_id"), F.lit(0))).scalar()
+    new = ranked(directories, ["directory"], out="_rn").withColumn("job_id", first + F.col("_rn"))
+    rows = new.select("job_id", default_job_name(F.col("directory")).alias("name"), F.lit("created").alias("status"),
+                      *(F.lit(0).alias(c) for c in ("total_files", "processed_files", "error_files")))
+    return rows, new.select("job_id", F.lit("directory").alias("key"), F.col("directory").alias("value"))
+
+
 def normalise_dir(path: Column) -> Column:
     """No empty or ``.`` parts, each ``..`` takes the part before it
     (normpath)."""

@@ -43,6 +43,13 @@ def _one(df: DataFrame, section: int, ord_: int, line) -> DataFrame:
     return df.select(F.lit(section).alias("section"), F.lit(ord_).alias("ord"), line.alias("line"))
 
 
+def _rows(df: DataFrame, section: int, first: int, *lines) -> DataFrame:
+    """The lines that are not null, numbered from ``first``; all from one
+    evaluation of the row."""
+    return df.select(F.posexplode(F.array(*lines)).alias("k", "line")).where(F.col("line").isNotNull()).select(
+        F.lit(section).alias("section"), (F.col("k") + first).alias("ord"), "line")
+
+
 def progress_block(files: DataFrame, jobs: DataFrame, section: int) -> DataFrame:
     """Registered / completed (share) / pending / in progress / error,
     then elapsed time, rate and ETA."""
@@ -51,28 +58,22 @@ def progress_block(files: DataFrame, jobs: DataFrame, section: int) -> DataFrame
                   F.count_if(F.col("status") == "processing").alias("proc"),
                   F.count_if(F.col("status") == "error").alias("err"))
     pct = F.format_string("%.1f", F.col("done") * 100.0 / F.col("reg"))
-    rows = [
-        _one(c, section, 0, F.concat(F.lit("Files Registered in Database: "), F.col("reg").cast("string"))),
-        _one(c, section, 1, F.lit("Analysis Progress:")),
-        _one(c, section, 2, F.concat(F.lit("  Completed: "), F.col("done").cast("string"), F.lit(" files ("), pct,
-                                     F.lit("% of registered)"))),
-        _one(c, section, 3, F.concat(F.lit("  Pending: "), F.col("pend").cast("string"), F.lit(" files"))),
-        _one(c, section, 4, F.concat(F.lit("  In Progress: "), F.col("proc").cast("string"), F.lit(" files"))),
-        _one(c, section, 5, F.concat(F.lit("  Error: "), F.col("err").cast("string"), F.lit(" files"))),
-    ]
+
+    def count(label, name):
+        return F.concat(F.lit(f"  {label}: "), F.col(name).cast("string"), F.lit(" files"))
+    counts = _rows(c, section, 0, F.concat(F.lit("Files Registered in Database: "), F.col("reg").cast("string")),
+                   F.lit("Analysis Progress:"),
+                   F.concat(F.lit("  Completed: "), F.col("done").cast("string"), F.lit(" files ("), pct,
+                            F.lit("% of registered)")),
+                   count("Pending", "pend"), count("In Progress", "proc"), count("Error", "err"))
     eta = TS.eta_pending(jobs, files).orderBy(F.desc("job_id")).limit(1)
-    rows += [
-        _one(eta, section, 6, F.lit("Processing Time Statistics:")),
-        _one(eta, section, 7, F.concat(F.lit("  Total Processing Time: "), F.col("elapsed_time_formatted"))),
-        _one(eta, section, 8, F.concat(F.lit("  Processing Rate: "), F.format_string("%.1f", F.col("files_per_hour")),
-                                       F.lit(" files/hour"))),
-        _one(eta.where((F.col("estimated_completion_hours") > 0)), section, 9,
-             F.concat(F.lit("  Estimated Time to Completion: "), F.col("estimated_completion_time"))),
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    times = _rows(eta, section, 6, F.lit("Processing Time Statistics:"),
+                  F.concat(F.lit("  Total Processing Time: "), F.col("elapsed_time_formatted")),
+                  F.concat(F.lit("  Processing Rate: "), F.format_string("%.1f", F.col("files_per_hour")),
+                           F.lit(" files/hour")),
+                  F.when(F.col("estimated_completion_hours") > 0, F.concat(
+                      F.lit("  Estimated Time to Completion: "), F.col("estimated_completion_time"))))
+    return counts.unionByName(times)
 
 
 def type_block(files: DataFrame, section: int) -> DataFrame:

@@ -20,6 +20,13 @@ def seconds_between(start: Column, end: Column) -> Column:
     return F.timestamp_diff("SECOND", start, end)
 
 
+def parse_time(text: Column) -> Column:
+    """A time written in ISO form or with a space, with or without
+    fractions of a second; null when none fits."""
+    forms = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
+    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in forms))
+
+
 def bucket_counts(files: DataFrame, fmt: str = MINUTE_KEY, ts: str = "process_end") -> DataFrame:
     """Completed files per minute / hour bucket (string keys, like the
     reference's strftime keys)."""

@@ -393,6 +393,23 @@ def create_job(spark, sf):
     return d.select("directory", L.default_job_name(F.col("directory")).alias("name"), F.lit("created").alias("status"))
 
 
+@register("create_job_rows", O.with_views(
+    """SELECT job_id, name, status, total_files, key, directory AS value FROM (
+         SELECT (SELECT max(job_id) FROM t_jobs) + row_number() OVER (ORDER BY directory) AS job_id,
+           'PII Analysis - ' || regexp_extract(directory, '[^/]*$', 0) AS name, 'created' AS status,
+           0 AS total_files, 'directory' AS key, directory
+         FROM (SELECT DISTINCT regexp_extract(file_path, '^(/corpus/job[0-9]+/d[0-9]+)/', 1) AS directory FROM t_files) x) y""",
+    "t_files", "t_jobs"))
+def create_job_rows(spark, sf):
+    """The rows of new jobs (the next free ids) and their directory
+    metadata, one job per scanned directory."""
+    tb = _tb(spark, sf)
+    d = tb.files.select(F.regexp_extract("file_path", "^(/corpus/job[0-9]+/d[0-9]+)/", 1).alias("directory")).distinct()
+    jobs, meta = L.create_jobs(tb.jobs, d)
+    return jobs.select("job_id", "name", "status", F.col("total_files").cast("int").alias("total_files")).join(
+        meta.select("job_id", "key", "value"), "job_id")
+
+
 @register("current_state", O.with_views(
     """SELECT file_id, CASE WHEN status = 'pending' THEN 1 WHEN status = 'processing' THEN 2 ELSE 3 END AS seq,
          status, error_message FROM t_files""", "t_files"))

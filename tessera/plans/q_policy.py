@@ -171,6 +171,51 @@ def tier_report(spark, sf):
         M.mask_tiered(F.col("text"), F.col("entity_type")).alias("masked_text"), F.col("score").alias("confidence"))
 
 
+def _per_type_sql() -> str:
+    return """(SELECT file_id, string_agg(entity_type || '=' || n, ',' ORDER BY entity_type) AS per_type
+      FROM (SELECT file_id, entity_type, count(*) AS n FROM fe GROUP BY file_id, entity_type) x GROUP BY file_id)"""
+
+
+def _per_type(fe):
+    """Entity counts by type of each file, in one bounded string."""
+    n = fe.groupBy("file_id", "entity_type").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.array_sort(F.collect_list(F.concat("entity_type", F.lit("="), F.col("n").cast("string"))))
+    return n.groupBy("file_id").agg(F.array_join(pairs, ",").alias("per_type"))
+
+
+@register("breach_records", O.ledger_sql(
+    f"""SELECT file_path, entity_count, array_to_string(types, ',') AS entity_types, {O.sql_label('types')} AS classification,
+          array_to_string({O.sql_reasons('types')}, ',') AS breach_reasons, per_type,
+          count(*) OVER () AS file_count
+        FROM fs JOIN {_per_type_sql()} p ON p.file_id = fs.file_id WHERE {O.sql_trigger('types')}"""))
+def breach_records(spark, sf):
+    """The record of each triggering file (its entities, masked and by
+    type, are ``breach_report``'s rows)."""
+    fe = _fe(spark, sf)
+    b = C.breach_files(fe)
+    return b.join(_per_type(fe), "file_id").select(
+        "file_path", "entity_count", _joined(F.col("entity_types")).alias("entity_types"), "classification",
+        F.array_join("breach_reasons", ",").alias("breach_reasons"), "per_type",
+        b.agg(F.count(F.lit(1))).scalar().alias("file_count"))
+
+
+@register("tier_records", O.ledger_sql(
+    f"""SELECT file_path, {O.sql_pick(P.TIER_KEYS, O.sql_set_tier('types'))} AS classification,
+          {O.sql_pick(P.TIER_NAMES, O.sql_set_tier('types'))} AS tier_name, entity_count,
+          array_to_string(types, ',') AS entity_types, per_type, count(*) OVER () AS total_files,
+          count(*) OVER (PARTITION BY {O.sql_set_tier('types')}) AS tier_files
+        FROM fs JOIN {_per_type_sql()} p ON p.file_id = fs.file_id"""))
+def tier_records(spark, sf):
+    """The record of each classified file with the report's totals (its
+    entities are ``tier_report``'s rows)."""
+    fe = _fe(spark, sf)
+    c = C.with_tier(C.entity_sets(fe))
+    tiers = c.groupBy("tier").agg(F.count(F.lit(1)).alias("tier_files"))
+    return c.join(_per_type(fe), "file_id").join(F.broadcast(tiers), "tier").select(
+        "file_path", "classification", "tier_name", "entity_count", _joined(F.col("entity_types")).alias("entity_types"),
+        "per_type", tiers.agg(F.sum("tier_files")).scalar().alias("total_files"), "tier_files")
+
+
 @register("simple_highrisk", O.ledger_sql(
     f"""SELECT file_path, entity_type, {O.sql_display('entity_type', P.SIMPLE_CATEGORIES)} AS category,
           score AS confidence, {O.sql_mask_simple('text', 'entity_type')} AS masked_text

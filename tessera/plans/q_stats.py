@@ -11,6 +11,7 @@ from ..operators import classify as C
 from ..operators import errors as E
 from ..operators import ledger as L
 from ..functions.strings import strip_sql
+from ..operators import timeseries as TS
 from . import oracle as O
 from .registry import register
 from .testbed import Testbed
@@ -422,13 +423,26 @@ def job_counts(spark, sf):
 @register("speed_stats", O.with_views(
     """SELECT min(processing_time) AS min_time, max(processing_time) AS max_time,
          round(avg(processing_time), 6) AS avg_time, round(avg(file_size), 6) AS avg_size,
-         count(process_end) AS valid_timestamps, count(*) - count(process_end) AS format_issues
-       FROM t_files WHERE status = 'completed'""", "t_files"))
+         round(avg(n), 6) AS avg_entities, max(n) AS max_entities,
+         count(*) FILTER (WHERE file_id % 5 <> 4) AS valid_timestamps, count(*) FILTER (WHERE file_id % 5 = 4) AS format_issues
+       FROM t_files f LEFT JOIN (SELECT r.file_id AS fid, count(*) AS n FROM t_entities e
+         JOIN t_results r ON e.result_id = r.result_id GROUP BY r.file_id) c ON c.fid = f.file_id
+       WHERE status = 'completed'""", "t_files", "t_results", "t_entities"))
 def speed_stats(spark, sf):
-    """time/size statistics and timestamp validity of completed files."""
-    f = _tb(spark, sf).files.where(F.col("status") == "completed")
+    """Time, size and entity statistics of completed files, and how many
+    end times can be read; these are written in three known forms and one
+    unknown."""
+    tb = _tb(spark, sf)
+    n = tb.entities.select("result_id").join(tb.results.select("result_id", "file_id"), "result_id").groupBy("file_id").agg(
+        F.count(F.lit(1)).alias("n"))
+    f = tb.files.where(F.col("status") == "completed").join(n, "file_id", "left")
+    forms = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss",
+             "yyyy-MM-dd'T'HH:mm:ss", "dd/MM/yy HH'h'mm")
+    text = F.element_at(F.array(*(F.date_format("process_end", p) for p in forms)), (F.col("file_id") % 5 + 1).cast("int"))
+    f = f.withColumn("process_end", TS.parse_time(text))
     return f.agg(F.min("processing_time").alias("min_time"), F.max("processing_time").alias("max_time"),
                  F.round(F.avg("processing_time"), 6).alias("avg_time"), F.round(F.avg("file_size"), 6).alias("avg_size"),
+                 F.round(F.avg("n"), 6).alias("avg_entities"), F.max("n").alias("max_entities"),
                  F.count("process_end").alias("valid_timestamps"),
                  (F.count(F.lit(1)) - F.count("process_end")).alias("format_issues"))
 

@@ -166,3 +166,47 @@ def dashboard_snapshot(spark, sf):
     e = tb.entities.where(F.col("score") >= 0.7).join(tb.results.select("result_id"), "result_id") \
         .agg(F.count(F.lit(1)).alias("entities"))
     return f.withColumn("entities", e.scalar())
+
+
+@register("dashboard_job", O.ledger_sql(
+    f"""SELECT j.job_id, j.name, j.status, c.*, round((c.completed + c.error) * 100.0 / c.total_files, 1) AS progress_percent,
+          round(c.error * 100.0 / c.total_files, 1) AS error_rate,
+          CAST(date_diff('second', j.start_time, j.last_updated) AS BIGINT) AS elapsed_seconds,
+          (SELECT count(DISTINCT file_type) FROM t_files f WHERE f.job_id = j.job_id) AS file_types,
+          (SELECT count(DISTINCT entity_type) FROM fe WHERE fe.job_id = j.job_id) AS entity_types,
+          (SELECT count(*) FROM fe WHERE fe.job_id = j.job_id) AS entities,
+          (SELECT count(*) FROM fs WHERE {O.sql_trigger('types')}
+             AND file_id IN (SELECT file_id FROM t_files f WHERE f.job_id = j.job_id)) AS high_risk
+        FROM (SELECT * FROM jobs ORDER BY job_id DESC LIMIT 1) j,
+          LATERAL (SELECT count(*) AS total_files, count(*) FILTER (WHERE status = 'completed') AS completed,
+            count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'processing') AS processing,
+            count(*) FILTER (WHERE status = 'error') AS error FROM t_files f WHERE f.job_id = j.job_id) c""",
+    ("jobs", O.VIEWS["t_jobs"][1])))
+def dashboard_job(spark, sf):
+    """The newest job's snapshot, one row: job, processing, time, types
+    and high-risk files."""
+    from ..operators import classify as C
+    from ..operators import ledger as L
+    tb = _tb(spark, sf)
+    job = L.latest_job(tb.jobs).select("job_id", "name", "status", F.timestamp_diff(
+        "SECOND", F.col("start_time"), F.col("last_updated")).alias("elapsed_seconds"))
+    newest = job.select("job_id").scalar()
+    files = tb.files.where(F.col("job_id") == newest)
+    counts = files.groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("total_files"),
+        *(F.count_if(F.col("status") == s).alias(s if s != "error" else "error") for s in (
+            "completed", "pending", "processing", "error")),
+        F.count_distinct("file_type").alias("file_types"))
+    fe = C.ledger_entities(files, tb.results, tb.entities)
+    sets = C.with_breach(fe.groupBy("file_id").agg(F.collect_set("entity_type").alias("entity_types"),
+                                                   F.count(F.lit(1)).alias("n")))
+    found = sets.agg(F.size(F.array_distinct(F.flatten(F.collect_set("entity_types")))).cast("long").alias("entity_types"),
+                     F.coalesce(F.sum("n"), F.lit(0)).alias("entities"), F.count_if("breach_trigger").alias("high_risk"))
+    out = job.join(counts, "job_id")
+    for c in found.columns:
+        out = out.withColumn(c, found.select(c).scalar())
+    return out.select(
+        "job_id", "name", "status", "total_files", "completed", "pending", "processing", "error",
+        F.round((F.col("completed") + F.col("error")) * 100.0 / F.col("total_files"), 1).alias("progress_percent"),
+        F.round(F.col("error") * 100.0 / F.col("total_files"), 1).alias("error_rate"), "elapsed_seconds", "file_types",
+        "entity_types", "entities", "high_risk")
