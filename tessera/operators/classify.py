@@ -18,7 +18,7 @@ from ..functions import policy as P
 
 def ledger_entities(files: DataFrame, results: DataFrame, entities: DataFrame,
                     threshold: float | None = P.HIGH_CONFIDENCE_THRESHOLD, job_id=None,
-                    completed_only: bool = True) -> DataFrame:
+                    completed_only: bool = True, columns: tuple = ()) -> DataFrame:
     """Entities ⨝ results ⨝ files in one set-based plan (no N+1).
 
     Results and files are joined first (one row per file each), so the large
@@ -32,16 +32,29 @@ def ledger_entities(files: DataFrame, results: DataFrame, entities: DataFrame,
         f = f.where(F.col("job_id") == job_id)
     first_result = results.groupBy("file_id").agg(F.min("result_id").alias("result_id"))
     rf = first_result.join(f.select("file_id", "job_id", "file_path", "file_type"), "file_id")
-    e = entities.select("result_id", "entity_type", "start_index", "end_index", "score", "text")
+    e = entities.select("result_id", "entity_type", "start_index", "end_index", "score", "text", *columns)
     if threshold is not None:
         e = e.where(F.col("score") >= F.lit(float(threshold)))
     return e.join(rf, "result_id")
 
 
+def ledger_type_counts(files: DataFrame, results: DataFrame, entities: DataFrame, **options) -> DataFrame:
+    """:func:`ledger_entities` by (file, type) with the count ``n``: the
+    entities are reduced to one row per result and type before the join."""
+    threshold = options.pop("threshold", P.HIGH_CONFIDENCE_THRESHOLD)
+    e = entities if threshold is None else entities.where(F.col("score") >= F.lit(float(threshold)))
+    few = e.groupBy("result_id", "entity_type").agg(F.count(F.lit(1)).alias("n"))
+    few = few.select("result_id", "entity_type", *(F.lit(None).alias(c) for c in ("start_index", "end_index", "score", "text")), "n")
+    return ledger_entities(files, results, few, threshold=None, columns=("n",), **options).select(
+        "file_id", "job_id", "file_path", "file_type", "result_id", "entity_type", "n")
+
+
 def entity_sets(ents: DataFrame, keys=("file_id", "file_path")) -> DataFrame:
-    """Sorted type set and entity count per key."""
+    """Sorted type set and entity count per key, from entities or from
+    their counts ``n`` by type."""
+    n = F.sum("n") if "n" in ents.columns else F.count(F.lit(1))
     return ents.groupBy(*keys).agg(F.array_sort(F.collect_set("entity_type")).alias("entity_types"),
-                                   F.count(F.lit(1)).alias("entity_count"))
+                                   n.alias("entity_count"))
 
 
 def with_breach(sets: DataFrame, types_col: str = "entity_types") -> DataFrame:

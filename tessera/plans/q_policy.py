@@ -25,6 +25,11 @@ def _fe(spark, sf, threshold=P.HIGH_CONFIDENCE_THRESHOLD):
     return C.ledger_entities(tb.files, tb.results, tb.entities, threshold)
 
 
+def _counts(spark, sf):
+    tb = Testbed(spark, sf)
+    return C.ledger_type_counts(tb.files, tb.results, tb.entities)
+
+
 def one_type():
     from pyspark.sql import types as T
     return T.StructType([T.StructField("entity_types", T.ArrayType(T.StringType())),
@@ -86,21 +91,21 @@ def doc_breach(spark, sf):
     "SELECT file_id, file_path, array_to_string(types, ',') AS entity_types, entity_count FROM fs"))
 def file_entity_sets(spark, sf):
     """Entity type set and count per file (entities >= 0.7)."""
-    s = C.entity_sets(_fe(spark, sf))
+    s = C.entity_sets(_counts(spark, sf))
     return s.select("file_id", "file_path", _joined(F.col("entity_types")).alias("entity_types"), "entity_count")
 
 
 @register("breach_trigger", O.ledger_sql(f"SELECT file_id, {O.sql_trigger('types')} AS breach_trigger FROM fs"))
 def breach_trigger(spark, sf):
     """C1 per file."""
-    s = C.entity_sets(_fe(spark, sf))
+    s = C.entity_sets(_counts(spark, sf))
     return s.select("file_id", P.breach_trigger(F.col("entity_types")).alias("breach_trigger"))
 
 
 @register("breach_label", O.ledger_sql(f"SELECT file_id, {O.sql_label('types')} AS classification FROM fs"))
 def breach_label(spark, sf):
     """C2 per file (UNKNOWN when no component applies)."""
-    s = C.entity_sets(_fe(spark, sf))
+    s = C.entity_sets(_counts(spark, sf))
     return s.select("file_id", P.breach_label(F.col("entity_types")).alias("classification"))
 
 
@@ -108,7 +113,7 @@ def breach_label(spark, sf):
     f"SELECT file_id, array_to_string({O.sql_reasons('types')}, ',') AS breach_reasons FROM fs"))
 def breach_reasons(spark, sf):
     """C3 per file."""
-    s = C.entity_sets(_fe(spark, sf))
+    s = C.entity_sets(_counts(spark, sf))
     return s.select("file_id", _joined(P.breach_reasons(F.col("entity_types"))).alias("breach_reasons"))
 
 
@@ -117,7 +122,7 @@ def breach_reasons(spark, sf):
           {O.sql_label('types')} AS classification FROM fs WHERE {O.sql_trigger('types')}"""))
 def breach_files(spark, sf):
     """C4: triggering files with count, types and label."""
-    b = C.breach_files(_fe(spark, sf))
+    b = C.breach_files(_counts(spark, sf))
     return b.select("file_id", "file_path", "entity_count", _joined(F.col("entity_types")).alias("entity_types"),
                     "classification")
 
@@ -131,7 +136,7 @@ def breach_report(spark, sf):
     """C5 (flat): every entity of every triggering file, masked (A9), with
     the file's label; the JSON record is this grouped by file and type."""
     fe = _fe(spark, sf)
-    b = C.breach_files(fe).select("file_id", "classification")
+    b = C.breach_files(_counts(spark, sf)).select("file_id", "classification")
     return fe.join(b, "file_id").select(
         "file_path", "classification", "entity_type",
         P.display_name(F.col("entity_type"), P.STRICT_DISPLAY_NAMES).alias("category"),
@@ -144,7 +149,7 @@ def breach_report(spark, sf):
           array_to_string(types, ',') AS entity_types FROM fs"""))
 def classified_files(spark, sf):
     """Tier per file."""
-    c = C.classified_files(_fe(spark, sf))
+    c = C.classified_files(_counts(spark, sf))
     return c.select("file_id", "file_path", "tier", "tier_name", "entity_count",
                     _joined(F.col("entity_types")).alias("entity_types"))
 
@@ -153,7 +158,7 @@ def classified_files(spark, sf):
     f"SELECT file_id, file_path, {O.sql_set_tier('types')} AS tier FROM fs WHERE {O.sql_set_tier('types')} >= 2"))
 def tier_min(spark, sf):
     """Files at or above a minimum tier (2 = confidential)."""
-    return C.classified_files(_fe(spark, sf), min_tier=2).select("file_id", "file_path", "tier")
+    return C.classified_files(_counts(spark, sf), min_tier=2).select("file_id", "file_path", "tier")
 
 
 @register("tier_report", O.ledger_sql(
@@ -164,7 +169,7 @@ def tier_min(spark, sf):
 def tier_report(spark, sf):
     """C8 (flat): every entity with its file's tier key, masked (A10)."""
     fe = _fe(spark, sf)
-    c = C.with_tier(C.entity_sets(fe)).select("file_id", "classification")
+    c = C.with_tier(C.entity_sets(_counts(spark, sf))).select("file_id", "classification")
     return fe.join(c, "file_id").select(
         "file_path", "classification", "entity_type",
         P.display_name(F.col("entity_type"), P.TIER_DISPLAY_NAMES).alias("category"),
@@ -178,7 +183,7 @@ def _per_type_sql() -> str:
 
 def _per_type(fe):
     """Entity counts by type of each file, in one bounded string."""
-    n = fe.groupBy("file_id", "entity_type").agg(F.count(F.lit(1)).alias("n"))
+    n = fe.groupBy("file_id", "entity_type").agg(F.sum("n").alias("n"))
     pairs = F.array_sort(F.collect_list(F.concat("entity_type", F.lit("="), F.col("n").cast("string"))))
     return n.groupBy("file_id").agg(F.array_join(pairs, ",").alias("per_type"))
 
@@ -191,7 +196,7 @@ def _per_type(fe):
 def breach_records(spark, sf):
     """The record of each triggering file (its entities, masked and by
     type, are ``breach_report``'s rows)."""
-    fe = _fe(spark, sf)
+    fe = _counts(spark, sf)
     b = C.breach_files(fe)
     return b.join(_per_type(fe), "file_id").select(
         "file_path", "entity_count", _joined(F.col("entity_types")).alias("entity_types"), "classification",
@@ -208,7 +213,7 @@ def breach_records(spark, sf):
 def tier_records(spark, sf):
     """The record of each classified file with the report's totals (its
     entities are ``tier_report``'s rows)."""
-    fe = _fe(spark, sf)
+    fe = _counts(spark, sf)
     c = C.with_tier(C.entity_sets(fe))
     tiers = c.groupBy("tier").agg(F.count(F.lit(1)).alias("tier_files"))
     return c.join(_per_type(fe), "file_id").join(F.broadcast(tiers), "tier").select(
@@ -232,7 +237,7 @@ def simple_highrisk(spark, sf):
           array_to_string(list_sort(list_intersect(types, {O.lst(P.RESTRICTED)})), ',') AS restricted_hits FROM fs"""))
 def policy_hits(spark, sf):
     """Intersection of each file's set with the policy sets."""
-    s = C.entity_sets(_fe(spark, sf))
+    s = C.entity_sets(_counts(spark, sf))
     t = F.col("entity_types")
     return s.select("file_id",
                     _joined(F.array_sort(F.array_intersect(t, P._arr(P.SENSITIVE_TYPES)))).alias("sensitive_hits"),
@@ -255,7 +260,7 @@ def category_counts(spark, sf):
           FROM (SELECT unnest({O.sql_components('types')}) AS c FROM fs WHERE {O.sql_trigger('types')}) x GROUP BY 2"""))
 def breach_summary(spark, sf):
     """Triggering files per label and per component."""
-    return C.breach_summary(C.breach_files(_fe(spark, sf)))
+    return C.breach_summary(C.breach_files(_counts(spark, sf)))
 
 
 @register("tier_summary", O.ledger_sql(
@@ -263,7 +268,7 @@ def breach_summary(spark, sf):
           count(*) AS files FROM fs GROUP BY 1, 2"""))
 def tier_summary(spark, sf):
     """Classified files per tier."""
-    return C.tier_summary(C.classified_files(_fe(spark, sf)))
+    return C.tier_summary(C.classified_files(_counts(spark, sf)))
 
 
 @register("tier_types", O.ledger_sql(
@@ -272,7 +277,7 @@ def tier_summary(spark, sf):
         WHERE {O.sql_type_tier('t')} = tier GROUP BY tier"""))
 def tier_types(spark, sf):
     """Union of a tier's own types over its files."""
-    t = C.tier_types(C.classified_files(_fe(spark, sf)))
+    t = C.tier_types(C.classified_files(_counts(spark, sf)))
     return t.select("tier", _joined(F.col("types")).alias("types"))
 
 

@@ -30,6 +30,11 @@ def _tb(spark, sf):
     return Testbed(spark, sf)
 
 
+def _counts(spark, sf):
+    tb = _tb(spark, sf)
+    return C.ledger_type_counts(tb.files, tb.results, tb.entities)
+
+
 def _fe(spark, sf):
     tb = _tb(spark, sf)
     return C.ledger_entities(tb.files, tb.results, tb.entities, 0.7)
@@ -231,7 +236,7 @@ def output_path(spark, sf):
 def copy_manifest(spark, sf):
     """Copy plan of classified files (tier >= 2) into tier folders,
     with _1, _2 ... suffixes for repeated basenames."""
-    c = C.classified_files(_fe(spark, sf))
+    c = C.classified_files(_counts(spark, sf))
     return SK.copy_manifest(c, "/clone", min_tier=2)
 
 
@@ -350,11 +355,11 @@ def _tier_summary_sql() -> str:
 def exec_summary_breach(spark, sf):
     """Strict-policy executive summary lines (as_of fixed)."""
     tb = _tb(spark, sf)
-    return SM.breach_summary_lines(spark, tb.files, tb.jobs, _fe(spark, sf), AS_OF)
+    return SM.breach_summary_lines(spark, tb.files, tb.jobs, _counts(spark, sf), AS_OF)
 
 
 @register("exec_summary_tier", _tier_summary_sql())
 def exec_summary_tier(spark, sf):
     """Tier-policy executive summary lines (min tier 1, as_of fixed)."""
     tb = _tb(spark, sf)
-    return SM.tier_summary_lines(spark, tb.files, tb.jobs, _fe(spark, sf), AS_OF)
+    return SM.tier_summary_lines(spark, tb.files, tb.jobs, _counts(spark, sf), AS_OF)
