@@ -36,6 +36,8 @@ SKETCH_BITS = 24
 #: buckets in a row of the sketch
 SLICE = 1 << 16
 PIVOT_ROUNDS = 2
+#: members up to which a list is handled as one row; longer lists are joined
+SHORT = 64
 #: a table of two longs with at most this many rows (16 MB) is broadcast, a larger one is shuffled
 BROADCAST_ROWS = 1_000_000
 #: buckets of the counts that bound an intersection from above
@@ -202,6 +204,37 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, per
     return out
 
 
+_OPEN = "x.c != y.c AND x.n <= y.reach AND y.n <= x.reach"
+
+
+def _list_pairs(members: DataFrame, every: bool) -> DataFrame:
+    """(f, p) of members (h, m) of short lists in different components: each
+    with its list's pivot, or ``every`` pair.  A list is one row of at most
+    SHORT members."""
+    lists = members.groupBy("h").agg(F.collect_list("m").alias("m")).where("size(m) > 1")
+    if every:
+        pairs = f"""flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, {SHORT}), y -> {_OPEN}),
+            y -> named_struct('x', x.f, 'y', y.f))))"""
+    else:
+        lists = lists.withColumn("y", F.array_max("m"))
+        pairs = f"transform(filter(m, x -> {_OPEN}), x -> named_struct('x', x.f, 'y', y.f))"
+    found = lists.select(F.explode(F.expr(pairs)).alias("r"))
+    return found.select(F.least("r.x", "r.y").alias("f"), F.greatest("r.x", "r.y").alias("p"))
+
+
+def _long_list_pairs(members: DataFrame, every: bool) -> DataFrame:
+    """The same for long lists, by joins; lists of one component are left out."""
+    pivots = members.groupBy("h").agg(F.max("m").alias("y"), F.min("m.c").alias("c0"), F.max("m.c").alias("c1")).where(
+        "c0 < c1")
+    x = members.select("h", F.col("m").alias("x"))
+    if every:
+        open_lists = x.join(pivots.select("h"), "h")
+        both = open_lists.join(open_lists.select("h", F.col("x").alias("y")), "h").where(f"x.f < y.f AND {_OPEN}")
+    else:
+        both = x.join(pivots.select("h", "y"), "h").where(_OPEN)
+    return both.select(F.least("x.f", "y.f").alias("f"), F.greatest("x.f", "y.f").alias("p"))
+
+
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``.
@@ -232,26 +265,17 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     lists = stored(postings.join(shared, "h").where("reach >= least AND n <= far").drop("least", "far"), "lists")
     # an original shares more with its copies than these with each other
     weight = lists.groupBy("f").agg(F.sum("many").alias("weight"))
-    lists = stored(lists.drop("many").join(weight, "f"), "weighted")
+    lists = stored(lists.join(weight, "f"), "weighted")
 
     tested = links = comps = None  # pairs so far, the linked ones, and their components
     for turn in range(PIVOT_ROUNDS + 1):
         at = lists.withColumn("c", F.col("f")) if comps is None else (
             lists.join(comps, lists.f == comps.node, "left").select(
-                "h", "f", "n", "reach", "weight", F.coalesce("component", "f").alias("c")))
-        rank = F.struct("weight", "f") if turn == 0 else F.struct(F.xxhash64("f", F.lit(turn)), "f")
-        open_lists = at.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1"),
-                                         F.max_by(F.struct("f", "n", "reach", "c"), rank).alias("pivot")).where("c0 < c1")
-        at = at.join(open_lists, "h")
-        if turn < PIVOT_ROUNDS:
-            pairs = at.select("f", "n", "reach", "c", F.col("pivot.f").alias("p"), F.col("pivot.n").alias("pn"),
-                              F.col("pivot.reach").alias("preach"), F.col("pivot.c").alias("pc")).where("f != p")
-        else:
-            other = at.select("h", F.col("f").alias("p"), F.col("n").alias("pn"), F.col("reach").alias("preach"),
-                              F.col("c").alias("pc"))
-            pairs = at.join(other, "h").where("f < p")
-        pairs = pairs.where("c != pc AND n <= preach AND pn <= reach").select(
-            F.least("f", "p").alias("f"), F.greatest("f", "p").alias("p")).distinct()
+                "h", "f", "n", "reach", "many", "weight", F.coalesce("component", "f").alias("c")))
+        rank = F.col("weight") if turn == 0 else F.xxhash64("f", F.lit(turn))
+        member = F.struct(rank.alias("rank"), "f", "n", "reach", "c")
+        pairs = _list_pairs(at.where(F.col("many") <= SHORT).withColumn("m", member), turn == PIVOT_ROUNDS).union(
+            _long_list_pairs(at.where(F.col("many") > SHORT).withColumn("m", member), turn == PIVOT_ROUNDS)).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["f", "p"], "left_anti")
         pairs = stored(pairs, "pairs")
