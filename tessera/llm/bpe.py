@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from . import words as W
 
 #: units kept by a worker between batches (about 40 bytes each); a full store starts anew
-STORE_UNITS = 1_500_000
+STORE_UNITS = 1_000_000
 
 # The splitting rule of byte-level BPE and the white space it knows.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"

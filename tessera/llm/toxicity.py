@@ -58,6 +58,7 @@ class Tokens:
         self.chain = np.cumsum(place % CHAIN == 0) - 1
         self.first = np.flatnonzero(place % CHAIN == 0)
         self.length = np.diff(np.append(self.first, n))
+        self.n, self.n_docs, self.doc = n, w.n_docs, w.doc
 
     def features(self) -> Iterator[np.ndarray]:
         """A hash of each kind for every word; 0 where the word is too short."""
@@ -71,6 +72,30 @@ class Tokens:
         yield np.where(size > 5, W.mix(h + _U(4)), _U(0))
 
 
+class Sample:
+    """Tokens of several pieces in a row; no flat buffer of all texts."""
+
+    def __init__(self, pieces: list[tuple[np.ndarray, np.ndarray]]):
+        docs, chains, lengths, kinds = [], [], [], []
+        n_docs = n_chains = 0
+        for buf, offsets in pieces:
+            t = Tokens(buf, offsets)
+            docs.append(t.words.doc + n_docs)
+            chains.append(t.chain + n_chains)
+            lengths.append(t.length)
+            kinds.append(list(t.features()))
+            n_docs += len(offsets) - 1
+            n_chains += len(t.length)
+        self.doc, self.chain, self.length = (np.concatenate(x) if x else np.zeros(0, np.int64)
+                                             for x in (docs, chains, lengths))
+        self.first = np.cumsum(self.length) - self.length
+        self.n, self.n_docs = len(self.doc), n_docs
+        self.kinds = [np.concatenate(x) for x in zip(*kinds)] if kinds else [np.zeros(0, np.uint64)]
+
+    def features(self) -> Iterator[np.ndarray]:
+        return iter(self.kinds)
+
+
 def _known(hashes: np.ndarray, table: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words whose hash is in the sorted table, and the places there."""
     word = np.flatnonzero(near[(hashes >> _U(44)).astype(np.int64)])
@@ -146,9 +171,9 @@ class Field:
         self.table, self.weight, self.beside, self.bias, self.trans, self.link = (
             table, weight, beside, bias, trans, link)
 
-    def scores(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, tokens: Tokens | Sample) -> tuple[np.ndarray, np.ndarray]:
         """Log weight of tag 1 by word, and which words or neighbours are known."""
-        n = len(tokens.words.start)
+        n = tokens.n
         score = np.full(n, self.bias)
         known = np.zeros(n, bool)
         near = self.__dict__.setdefault("near", _near(self.table))
@@ -163,7 +188,7 @@ class Field:
                 np.add.at(score, to[ok], self.beside[at[ok]])
         return score, known
 
-    def marginals(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    def marginals(self, tokens: Tokens | Sample) -> tuple[np.ndarray, np.ndarray]:
         """Words of chains that hold a known word, and their marginals.  All
         words of the other chains are alike and get the floor."""
         score, known = self.scores(tokens)
@@ -181,14 +206,13 @@ class Field:
     def documents(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Score of every document; the words with a marginal, and it."""
         word, m = self.marginals(tokens)
-        x = _document_inputs(m, tokens.words.doc[word], tokens.words.n_docs, self.floor)
+        x = _document_inputs(m, tokens.doc[word], tokens.n_docs, self.floor)
         return 1 / (1 + np.exp(-(x @ self.link[:2] + self.link[2]))), word, m
 
 
-def fit(buf: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> Field:
+def fit(tokens: Sample, toxic: np.ndarray) -> Field:
     """Train on whole texts and their labels (0 or 1)."""
-    tokens = Tokens(buf, offsets)
-    doc, n_docs = tokens.words.doc, len(toxic)
+    doc, n_docs = tokens.doc, len(toxic)
     bad, good = max(int(toxic.sum()), 1), max(int(n_docs - toxic.sum()), 1)
     share = bad / (bad + good)
     whole = next(tokens.features())
@@ -216,7 +240,7 @@ def fit(buf: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> Field:
     least = np.log(max(sum(tested), 2)) + 2
     table = np.sort(np.concatenate([names[gain >= least] for names, gain in tables]))
     near = _near(table)
-    n = len(tokens.words.start)
+    n = tokens.n
     del around
     found = [_known(h, table, near) for h in tokens.features()]
     marked = np.zeros(n, bool)
@@ -284,7 +308,8 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not table.num_rows:
         return
     toxic = table.column(1).to_numpy().astype(np.float64)
-    model = fit(*W.flat(table.column(0)), toxic)
+    batch = table.combine_chunks().to_batches()[0]
+    model = fit(Sample([W.flat(piece.column(0)) for piece in W.pieces(batch)]), toxic)
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(
         (model.table, model.weight, model.beside, model.bias, model.trans, model.link))], pa.binary())],
         names=["model"])

@@ -122,7 +122,7 @@ def test_components_of_a_path_and_a_star(spark):
 def test_pipeline(spark, tmp_path):
     """Planted cases against what each stage promises."""
     r = random.Random(9)
-    clean = {i: ". ".join(prose(1000 + i * 7 + j, 12) for j in range(12)) for i in range(200)}
+    clean = {i: ". ".join(prose(10_000 + i * 50 + j, 12) for j in range(12)) for i in range(200)}
     texts, labels = dict(clean), []
     for i in range(200, 260):
         w = prose(5000 + i, 100).split()
