@@ -24,6 +24,8 @@ from .scratch import drop, stored
 
 MIN_CHARS = 10
 EDIT_CHARS = 20
+#: characters of a block within which the deletion variants are spelled out
+BLOCK = 32
 #: a table of at most so many rows of two longs (16 MB) is broadcast, a larger one is shuffled
 BROADCAST_ROWS = 1_000_000
 
@@ -75,11 +77,21 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     part = near.join(texts, "h").withColumns({
         "s": F.col("at") % 3, "t": F.expr("size + at div 3")}).withColumn(
         "window", F.expr("substr(line, t * s div 3 + 1, size - t * s div 3 - (t - t * (s + 1) div 3))"))
-    without = "concat(substr(window, 1, i - 1), substr(window, i + 1))"
-    longer = part.where("t = size AND window != ''").select("h", F.expr(f"""flatten(transform(sequence(1, length(window)),
-        i -> array(xxhash64(key, i, {without}), xxhash64(key, 0, {without}))))""").alias("v"), F.lit(False).alias("own"))
-    shorter = part.where("t > size").select(
-        "h", F.expr("array(xxhash64(key, 0, window))").alias("v"), F.lit(True).alias("own"))
+    # a variant is hashed as what stands before its block, the block without a character, and what follows;
+    # the shorter line's own keys leave the place of that character out of each block
+    cut = "concat(substr(z.block, 1, i - 1), substr(z.block, i + 1))"
+    longer = part.where("t = size AND window != ''").select("h", F.expr(f"""flatten(flatten(transform(
+        sequence(0, (length(window) - 1) div {BLOCK}), b -> get(transform(array(named_struct(
+            'p', xxhash64(substr(window, 1, cast(b * {BLOCK} AS int))),
+            's', xxhash64(substr(window, cast((b + 1) * {BLOCK} + 1 AS int))),
+            'block', substr(window, cast(b * {BLOCK} + 1 AS int), {BLOCK}))),
+          z -> transform(sequence(1, length(z.block)), i -> array(
+            xxhash64(key, b, z.p, z.s, {cut}, i), xxhash64(key, b, z.p, z.s, {cut}, 0)))), 0))))""").alias("v"),
+        F.lit(False).alias("own"))
+    shorter = part.where("t > size").select("h", F.expr(f"""transform(sequence(0, length(window) div {BLOCK}),
+        b -> xxhash64(key, b, xxhash64(substr(window, 1, cast(b * {BLOCK} AS int))),
+            xxhash64(substr(window, cast((b + 1) * {BLOCK} AS int))),
+            substr(window, cast(b * {BLOCK} + 1 AS int), {BLOCK - 1}), 0))""").alias("v"), F.lit(True).alias("own"))
     variants = longer.union(shorter).select("h", "own", F.explode(F.array_distinct("v")).alias("v"))
     equal = variants.groupBy("v").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("v")
     firsts = distinct.select("h", "first")
