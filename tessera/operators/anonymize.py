@@ -179,3 +179,15 @@ def redaction_record(df: DataFrame, text_col: str, redacted_col: str, spans_col:
     return df.select(F.length(text_col).alias("original_length"), F.length(redacted_col).alias("redacted_length"),
                      F.size(spans_col).alias("entities_redacted"),
                      F.lit(method).alias("redaction_method"), F.col(redacted_col).alias("redacted_text"))
+
+
+def scan_texts(docs: DataFrame, settings, id_cols=("doc_id",), text_col: str = "text", key: str | None = None) -> DataFrame:
+    """Detection and redaction under one ``ScanSettings``: texts above
+    ``max_file_bytes`` are left out, spans below the threshold or of other
+    types do not count, operators go by type."""
+    from .detect import DEFAULT_THRESHOLD, detect_arrays
+    small = docs.where(F.octet_length(text_col) <= settings.max_file_bytes)
+    spans = detect_arrays(small.select(*id_cols, text_col), text_col, (*id_cols, text_col), settings.entities,
+                          settings.effective_threshold(DEFAULT_THRESHOLD))
+    out = redact(spans, text_col, "entities", settings.method, settings.operators, key)
+    return out.select(*id_cols, F.size("entities").alias("entity_count"), "redacted")

@@ -32,6 +32,7 @@ def _detect_query(key, entities, threshold=0.7):
 
     def build(spark, sf):
         return D.detect_entities(EV.corpus(spark, sf), entities=entities, threshold=threshold)
+    build.__doc__ = f"D1/D4-D8 on documents and evidence texts: {', '.join(entities) if entities else 'every type'}."
     register(key, sql)(build)
 
 

@@ -162,3 +162,15 @@ def redact_record(spark, sf):
     d = A.redact(_with_spans(spark, sf), keep_islands=True)
     d = d.where(F.size("_isl") > 0)
     return A.redaction_record(d, "text", "redacted", "_isl", "replace")
+
+
+@register("scan_settings", O.with_views(
+    f"""SELECT d.doc_id, CAST((SELECT count(*) FROM spans s WHERE s.doc_id = d.doc_id) AS INT) AS entity_count, r.redacted
+        FROM documents d JOIN ({_redact_sql('mask', {'EMAIL_ADDRESS': 'replace'})}) r ON r.doc_id = d.doc_id
+        WHERE strlen(d.text) <= 10000""", extra=O.spans_view(None, 0.7)))
+def scan_settings(spark, sf):
+    """A scan under one settings object (size gate, threshold, default
+    and per-type operators)."""
+    from ..functions.plugins import ScanSettings
+    settings = ScanSettings(threshold=None, method="mask", operators={"EMAIL_ADDRESS": "replace"}, max_file_bytes=10_000)
+    return A.scan_texts(_docs(spark, sf), settings)

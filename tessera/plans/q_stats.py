@@ -13,7 +13,7 @@ from ..operators import ledger as L
 from ..functions.strings import strip_sql
 from ..operators import timeseries as TS
 from . import oracle as O
-from .registry import register
+from .registry import ORACLES, register
 from .testbed import Testbed
 
 STATUSES = ["pending", "processing", "completed", "error"]
@@ -278,6 +278,29 @@ def error_report(spark, sf):
     return _with_scalars(head, s)
 
 
+@register("error_report_rows", f"""
+SELECT 'category' AS section, name AS item, '' AS detail, count, round(percentage, 6) AS percentage FROM ({ORACLES['error_categories']}) a
+UNION ALL SELECT 'extension', extension, '', count, round(percentage, 6) FROM ({ORACLES['error_extensions']}) b
+UNION ALL SELECT 'pattern', pattern, '', count, NULL FROM ({ORACLES['error_patterns']}) c
+UNION ALL SELECT 'sample', category, file_path || ': ' || error, rn, NULL FROM ({ORACLES['error_samples']}) d""")
+def error_report_rows(spark, sf):
+    """The whole error report as one result: categories, extensions,
+    messages and samples."""
+    f = _tb(spark, sf).files
+    none = F.lit(None).cast("double")
+    shares = F.round("percentage", 6).alias("percentage")
+    return (E.category_counts(f).select(F.lit("category").alias("section"), F.col("name").alias("item"),
+                                        F.lit("").alias("detail"), "count", shares)
+            .unionByName(E.extension_counts(f).select(F.lit("extension").alias("section"), F.col("extension").alias("item"),
+                                                      F.lit("").alias("detail"), "count", shares))
+            .unionByName(E.error_patterns(f).select(F.lit("pattern").alias("section"), F.col("pattern").alias("item"),
+                                                    F.lit("").alias("detail"), "count", none.alias("percentage")))
+            .unionByName(E.samples(f).select(
+                F.lit("sample").alias("section"), F.col("category").alias("item"),
+                F.concat_ws(": ", "file_path", "error").alias("detail"), F.col("rn").cast("long").alias("count"),
+                none.alias("percentage"))))
+
+
 # ------------------------------------------------------------------ top-k
 @register("sample_files", O.with_views(
     "SELECT file_id, file_path FROM t_files ORDER BY file_path, file_id LIMIT 10", "t_files"))
