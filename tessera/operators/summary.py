@@ -33,6 +33,8 @@ RISK_AREAS = [
     ("CREDS", "files contain credential pairs (username/email with password)"),
 ]
 SEPARATOR = "-" * 80
+DETAIL_TITLE = "UNC DATA CLASSIFICATION DETAILED REPORT"
+DETAIL_EXAMPLES = 5
 
 
 def _lines(spark: SparkSession, section: int, texts: list[str]) -> DataFrame:
@@ -210,3 +212,42 @@ def breach_report_lines(ents: DataFrame, as_of: str | None = None) -> DataFrame:
         F.struct(F.lit(2).alias("ord"), F.lit(REPORT_LAW).alias("line")))).alias("l")).select(
         F.lit(LAST_RANK).alias("file_rank"), "l.ord", "l.line")
     return header.unionByName(out).unionByName(footer)
+
+
+def tier_report_lines(ents: DataFrame, counts: DataFrame, as_of: str) -> DataFrame:
+    """The detailed tier report, a block of lines per classified file,
+    highest tier first, then by path: ``(tier_order, file_path, ord, line)``.
+
+    Types stand most sensitive first; each shows its best five masked
+    examples and how many more there are.  ``counts`` is
+    ``classify.ledger_type_counts`` of ``ents``."""
+    files = C.with_tier(C.entity_sets(counts)).select("file_id", "file_path", "tier", "tier_name")
+    order = (3 - F.col("tier")).alias("tier_order")
+    frame = files.select(order, "file_path", F.explode(F.array(
+        F.struct(F.lit(0).alias("ord"), F.concat(F.lit("File: "), F.col("file_path")).alias("line")),
+        F.struct(F.lit(1).alias("ord"), F.concat(F.lit("Classification: "), F.col("tier_name")).alias("line")),
+        F.struct(F.lit(2).alias("ord"), F.lit("Entities:").alias("line")),
+        F.struct(F.lit(END).alias("ord"), F.lit(SEPARATOR).alias("line")))).alias("l")).select(
+        "tier_order", "file_path", "l.*")
+    own = P.type_tier(F.col("entity_type"))
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("type_tier"), "entity_type"))
+    types = counts.groupBy("file_id", "entity_type").agg(F.sum("n").alias("n")).withColumn("type_tier", own).withColumn(
+        "at", place * 10).join(files, "file_id")
+    heads = types.select(order, "file_path", F.col("at").alias("ord"), F.concat(
+        F.lit("  - "), P.display_name(F.col("entity_type"), P.TIER_DISPLAY_NAMES), F.lit(" ("),
+        F.element_at(F.array(*(F.lit(t.split()[1]) for t in P.TIER_NAMES)), F.col("type_tier") + 1), F.lit("):")).alias("line"))
+    more = types.where(F.col("n") > DETAIL_EXAMPLES).select(
+        order, "file_path", (F.col("at") + DETAIL_EXAMPLES + 1).alias("ord"), F.concat(
+            F.lit("    ... and "), (F.col("n") - DETAIL_EXAMPLES).cast("string"), F.lit(" more instances")).alias("line"))
+    best = Window.partitionBy("file_id", "entity_type").orderBy(F.desc("score"), "start_index", "end_index", "text")
+    examples = ents.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= DETAIL_EXAMPLES).select(
+        "file_id", "entity_type", "rn", F.concat(
+            F.lit("    "), M.mask_tiered(F.col("text"), F.col("entity_type")), F.lit(" (confidence: "),
+            F.format_string("%.2f", F.col("score")), F.lit(")")).alias("line"))
+    examples = examples.join(types.select("file_id", "entity_type", "file_path", "tier", "at"), ["file_id", "entity_type"])
+    examples = examples.select(order, "file_path", (F.col("at") + F.col("rn")).alias("ord"), "line")
+    total = files.agg(F.count(F.lit(1)).alias("n"))
+    header = _rows(total, -1, 0, F.lit(DETAIL_TITLE), F.lit(f"Generated: {as_of}"),
+                   F.concat(F.lit("Total Files: "), F.col("n").cast("string")), F.lit(SEPARATOR))
+    header = header.select(F.col("section").alias("tier_order"), F.lit("").alias("file_path"), "ord", "line")
+    return header.unionByName(frame).unionByName(heads).unionByName(more).unionByName(examples)

@@ -287,6 +287,39 @@ def report_lines(spark, sf):
     return SM.breach_report_lines(_fe(spark, sf), AS_OF)
 
 
+def _tier_lines_sql():
+    tier = O.sql_type_tier("entity_type")
+    words = "[" + ", ".join(O.q(t.split()[1]) for t in P.TIER_NAMES) + "]"
+    sep = O.q(SM.SEPARATOR)
+    return O.ledger_sql(f"""
+SELECT CAST(tier_order AS INT) AS tier_order, file_path, CAST(ord AS INT) AS ord, line FROM (
+  SELECT -1 AS tier_order, '' AS file_path, 0 AS ord, {O.q(SM.DETAIL_TITLE)} AS line
+  UNION ALL SELECT -1, '', 1, 'Generated: {AS_OF}' UNION ALL SELECT -1, '', 2, 'Total Files: ' || (SELECT count(*) FROM b)
+  UNION ALL SELECT -1, '', 3, {sep}
+  UNION ALL SELECT 3 - tier, file_path, 0, 'File: ' || file_path FROM b
+  UNION ALL SELECT 3 - tier, file_path, 1, 'Classification: ' || {O.sql_pick(P.TIER_NAMES, 'tier')} FROM b
+  UNION ALL SELECT 3 - tier, file_path, 2, 'Entities:' FROM b
+  UNION ALL SELECT 3 - tier, file_path, {SM.END}, {sep} FROM b
+  UNION ALL SELECT 3 - tier, file_path, spot, '  - ' || {O.sql_display('entity_type', P.TIER_DISPLAY_NAMES)} || ' (' || ({words})[tt + 1] || '):' FROM t
+  UNION ALL SELECT 3 - tier, file_path, spot + {SM.DETAIL_EXAMPLES + 1}, '    ... and ' || (n - {SM.DETAIL_EXAMPLES}) || ' more instances'
+    FROM t WHERE n > {SM.DETAIL_EXAMPLES}
+  UNION ALL SELECT 3 - t.tier, t.file_path, t.spot + x.rn,
+      '    ' || {O.sql_mask_tiered('x.text', 'x.entity_type')} || ' (confidence: ' || printf('%.2f', x.score) || ')'
+    FROM x JOIN t ON t.file_id = x.file_id AND t.entity_type = x.entity_type WHERE x.rn <= {SM.DETAIL_EXAMPLES}
+) u""", ("b", f"SELECT file_id, file_path, {O.sql_set_tier('types')} AS tier FROM fs"),
+        ("t", f"""SELECT b.*, g.entity_type, g.n, g.tt, 10 * row_number() OVER (PARTITION BY b.file_id ORDER BY g.tt DESC, g.entity_type) AS spot
+      FROM b JOIN (SELECT file_id, entity_type, count(*) AS n, {tier} AS tt FROM fe GROUP BY file_id, entity_type) g
+        ON g.file_id = b.file_id"""),
+        ("x", """SELECT *, row_number() OVER (PARTITION BY file_id, entity_type
+        ORDER BY score DESC, start_index, end_index, text) AS rn FROM fe"""))
+
+
+@register("tier_report_lines", _tier_lines_sql())
+def tier_report_lines(spark, sf):
+    """The detailed tier report as ordered line rows."""
+    return SM.tier_report_lines(_fe(spark, sf), _counts(spark, sf), AS_OF)
+
+
 def _summary_head_sql(title: str, label_blocks: str, ctes: list[tuple[str, str]]) -> str:
     from .q_time import ETA_PENDING_SQL
     return O.with_views(f"""
