@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import words as W
+from .scratch import id_and_text
 
 #: units kept by a worker between batches (about 40 bytes each); a full store starts anew
 STORE_UNITS = 1_000_000
@@ -302,7 +303,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     are; an empty table gives an empty result; further columns are ignored.
     """
     source = docs.sparkSession.sparkContext.broadcast(tokenizer_source(path, "byte_bpe_50k.json"))
-    return docs.select(id_col, text_col).mapInArrow(_encode(source), "doc_id long, ids array<int>")
+    return id_and_text(docs, id_col, text_col).mapInArrow(_encode(source), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -316,5 +317,5 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     """doc_id, n_tokens, and digests of the ids and of the text decoded from
     them; edge cases as in ``encode``."""
     source = docs.sparkSession.sparkContext.broadcast(tokenizer_source(path, "byte_bpe_50k.json"))
-    return docs.select(id_col, text_col).mapInArrow(
+    return id_and_text(docs, id_col, text_col).mapInArrow(
         _digest(source), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .scratch import drop, stored
+from .scratch import drop, id_and_text, stored
 
 SKETCH_BITS = 24
 #: buckets in a row of the sketch
@@ -249,7 +249,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     empty result.  Further columns are ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = id_and_text(docs, id_col, text_col)
     levels = spark.sparkContext.broadcast(list_levels(docs.select("text"), k))
     rows = stored(docs.mapInArrow(_short_lists(k, percent, levels),
                                   "doc_id long, n long, f long, short array<long>"), "short")

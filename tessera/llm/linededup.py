@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, stored
+from .scratch import drop, id_and_text, stored
 
 MIN_CHARS = 10
 EDIT_CHARS = 20
@@ -123,10 +123,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stay.  Null and empty texts stay as they are.  Rows without an id keep
     their text and are nobody's earlier copy.  Rows that share an id count as
     one document: what goes, goes by line number from each of them.  An empty
-    table gives an empty result.  All columns are kept; n_removed must be
-    none of them.
+    table gives an empty result.  All columns are kept; n_removed and
+    names that start with an underscore must be none of them.
     """
-    gone = line_decisions(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    gone = line_decisions(id_and_text(docs, id_col, text_col))
     cut = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("_gone")).withColumnRenamed(
         "doc_id", "_id")
     both = docs.join(cut, F.col(id_col) == F.col("_id"), "left")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 
 from . import words as W
 from .bpe import Bpe, Store, gather, tokenizer_source
+from .scratch import id_and_text
 
 STRETCH = 1 << 20
 #: price of a cut inside a document, in tokens of padding: after a sentence, elsewhere
@@ -260,4 +261,4 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 4096, end_id: int
     gives an empty result; further columns are ignored.
     """
     source = docs.sparkSession.sparkContext.broadcast(tokenizer_source(path, "word_bpe_49k.json"))
-    return docs.select(id_col, text_col).mapInArrow(_pack(source, size, end_id, with_ids), _SCHEMA)
+    return id_and_text(docs, id_col, text_col).mapInArrow(_pack(source, size, end_id, with_ids), _SCHEMA)

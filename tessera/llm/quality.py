@@ -82,7 +82,9 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     n_upper and n_letters count A-Z and A-Za-z; n_lines lines with a word.
     """
-    return docs.select(id_col, lang_col, source_col, text_col).mapInArrow(
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"),
+                       F.col(source_col).cast("string").alias("source"),
+                       F.col(text_col).cast("string").alias("text")).mapInArrow(
         _counts, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .scratch import id_and_text
 
 SAMPLE_ROWS = 6_000
 SAMPLE_BYTES = 16_384
@@ -326,7 +327,7 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, id_col: str = "doc_id"
     marked = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if learn is not None:
         marked = marked.where(learn)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(
+    texts = id_and_text(docs, id_col, text_col).where(
         F.octet_length("text") <= SAMPLE_BYTES)
 
     def pick(kind: int, rows: int) -> DataFrame:
@@ -372,7 +373,7 @@ def score(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str =
     result; further columns are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(id_col, text_col).mapInArrow(
+    return id_and_text(docs, id_col, text_col).mapInArrow(
         _score(held), "doc_id long, score double, spans array<struct<start: long, end: long, p: double>>")
 
 

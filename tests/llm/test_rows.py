@@ -186,3 +186,15 @@ def test_long_text_is_one_piece():
     import pyarrow as pa
     batch = pa.RecordBatch.from_arrays([pa.array(["x" * (3 * W.PIECE_BYTES), None, "y"])], names=["text"])
     assert [p.num_rows for p in W.pieces(batch)] == [1, 2]
+
+
+def test_other_column_names(spark):
+    from tessera.llm import jaccard, linededup, substring
+    docs = spark.createDataFrame([(1, "some words to read, and more"), (2, None)], "id int, body string")
+    names = {"id_col": "id", "text_col": "body"}
+    assert bpe.round_trip(docs, **names).count() == 2 and packing.pack(docs, **names).count() == 2
+    assert jaccard.jaccard_groups(docs, **names).count() == 2 and substring.repeated_passages(docs, **names).count() == 0
+    assert linededup.dedup_lines(docs, **names).columns == ["id", "body", "n_removed"]
+    assert toxicity.score(docs, toxicity.train(docs, docs.selectExpr("id AS doc_id", "1 AS toxic"), **names), **names).count() == 2
+    tagged = docs.selectExpr("id", "body", "'x' AS l", "null AS s")
+    assert quality.apply_rules(tagged, lang_col="l", source_col="s", **names).count() == 2
