@@ -21,7 +21,7 @@ from . import words as W
 from .scratch import id_and_text
 
 #: units kept by a worker between batches (about 40 bytes each); a full store starts anew
-STORE_UNITS = 1_000_000
+STORE_UNITS = 800_000
 
 # The splitting rule of byte-level BPE and the white space it knows.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -251,18 +251,14 @@ def tokenizer_source(path: str | None, default: str) -> str:
 
 
 def _model(source) -> Bpe:
-    cache = W.worker_cache()
-    key = ("bpe", len(source.value), hash(source.value))
-    if key not in cache:
-        cache[key] = Bpe(source.value)
-    return cache[key]
+    return W.kept(("bpe", hash(source.value)), lambda: Bpe(source.value))
 
 
 def _encode(source):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _model(source)
         for batch in batches:
-            for piece in W.pieces(batch):
+            for piece in W.pieces(batch, size=W.TOKENIZER_PIECE_BYTES):
                 ids, at = bpe.encode(*W.flat(piece.column(1)))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))],
@@ -283,7 +279,7 @@ def _digest(source):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _model(source)
         for batch in batches:
-            for piece in W.pieces(batch):
+            for piece in W.pieces(batch, size=W.TOKENIZER_PIECE_BYTES):
                 ids, at = bpe.encode(*W.flat(piece.column(1)))
                 raw = memoryview(ids.astype("<u4").tobytes())
                 sha = [hashlib.sha256(raw[4 * a:4 * b]).hexdigest() for a, b in zip(at[:-1], at[1:])]

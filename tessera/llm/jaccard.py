@@ -48,6 +48,7 @@ def _sketch(k: int):
     """Shingle counts of a task in 2**SKETCH_BITS buckets, slice by slice
     (255: at least so many)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.release()
         counts = np.zeros(1 << SKETCH_BITS, np.uint8)
         for batch in batches:
             for piece in W.pieces(batch):
@@ -96,6 +97,7 @@ def _short_lists(k: int, percent: int, levels):
     """doc_id, n, class hash and, once per class and task, the shingles of
     its short lists."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.release()
         level = np.frombuffer(levels.value, np.uint8)
         seen: set[int] = set()
         for batch in batches:

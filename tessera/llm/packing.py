@@ -155,11 +155,7 @@ def best_cuts(at: np.ndarray, price: np.ndarray, size: int) -> list[int]:
 
 def _pack(source, size: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = W.worker_cache()
-        name = ("units", hash(source.value))
-        if name not in cache:
-            cache[name] = WordTokenizer(source.value)
-        tokenizer = cache[name]
+        tokenizer = W.kept(("words", hash(source.value)), lambda: WordTokenizer(source.value))
         sequence = TaskContext.get().partitionId() << 33
         ids, at, price = [], [], []  # token chunks, cut positions and prices of the stretch
         docs, held = [], 0  # [doc_id, position of its first token, tokens before the stretch, all tokens]
@@ -209,7 +205,7 @@ def _pack(source, size: int, end_id: int, with_ids: bool):
             return out
 
         for batch in batches:
-            for piece in W.pieces(batch):
+            for piece in W.pieces(batch, size=W.TOKENIZER_PIECE_BYTES):
                 words = W.Words(*W.flat(piece.column(1)))
                 flat, place = tokenizer.encode(words)
                 close = place[1:][sentence_ends(words)]

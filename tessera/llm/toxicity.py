@@ -308,6 +308,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("toxic", pa.int32())]))
     if not table.num_rows:
         return
+    W.release()
     toxic = table.column(1).to_numpy().astype(np.float64)
     batch = table.combine_chunks().to_batches()[0]
     model = fit(Sample([W.flat(piece.column(0)) for piece in W.pieces(batch)]), toxic)
@@ -343,6 +344,7 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, id_col: str = "doc_id"
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.release()
         field = model.value
         for batch in batches:
             for piece in W.pieces(batch):
@@ -379,6 +381,7 @@ def score(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str =
 
 def _clean(model, text: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.release()
         field = model.value
         for batch in batches:
             name = batch.schema.names[text]

@@ -16,7 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 21
+#: text of a piece; tokenizers take longer ones, as they look each distinct word up once a piece
+PIECE_BYTES, TOKENIZER_PIECE_BYTES = 1 << 19, 1 << 21
 
 _U = np.uint64
 _SEED = 20240607
@@ -33,6 +34,19 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_tessera_llm_cache", types.ModuleType("_tessera_llm_cache")).__dict__
 
 
+def kept(key, make):
+    """The one large object (a tokenizer) that a worker keeps between tasks."""
+    cache = worker_cache()
+    if cache.get("kept", (None,))[0] != key:
+        cache["kept"] = (key, make())
+    return cache["kept"][1]
+
+
+def release() -> None:
+    """Let go of what another operator has kept in this worker."""
+    worker_cache().pop("kept", None)
+
+
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     cache = worker_cache()
     if "bytes" not in cache:
@@ -52,7 +66,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         down = np.full(size, _BASE_INV, np.uint64)
         up[0] = down[0] = 1
         have = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-        if size > 8 * PIECE_BYTES:  # one huge text: not kept
+        if size > 2 * TOKENIZER_PIECE_BYTES:  # one huge text: not kept
             return have
         cache["powers"] = have
     return have
@@ -79,12 +93,12 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most PIECE_BYTES of text, or one row."""
+def pieces(batch: pa.RecordBatch, text: str = "text", size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``size`` bytes of text, or one row."""
     _, offsets = flat(batch.column(batch.schema.get_field_index(text)))
     at, n = 0, batch.num_rows
     while at < n:
-        to = int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, "right")) - 1
+        to = int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1
         to = min(n, max(to, at + 1))
         yield batch.slice(at, to - at)
         at = to
