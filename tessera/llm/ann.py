@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import drop, stored
-from .words import PIECE_BYTES
+from .words import PIECE_BYTES, tidied
 
 TOP = 20
 #: neighbours kept of each vertex; those that meet at hubs in a round
@@ -113,7 +113,7 @@ def _meet(keep: int, group: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own[some]), *_lists(sizes[some], names, values), pa.array(np.zeros(some.sum(), bool))],
                     names=["id", "nbr", "score", "old"])
-    return run
+    return tidied(run)
 
 
 _GRAPH = "id long, nbr array<long>, score array<float>, least float, fresh long"
@@ -144,7 +144,7 @@ def _merge(degree: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names), *_lists(sizes, nbr, score), pa.array(least.astype(np.float32)),
                  pa.array(fresh.astype(np.int64))], names=["id", "nbr", "score", "least", "fresh"])
-    return run
+    return tidied(run)
 
 
 def _merged(found: DataFrame, degree: int) -> DataFrame:
@@ -166,7 +166,7 @@ def _blocks(tables: int, bits: int, seed: int = 7):
                 [pa.array(block.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), tables)),
                  batch.column(1).take(pa.array(np.repeat(np.arange(n), tables))),
                  pa.array(np.full(n * tables, -np.inf, np.float32))], names=["block", "id", "v", "least"])
-    return run
+    return tidied(run)
 
 
 def nn_descent(vertices: DataFrame, degree: int = DEGREE) -> DataFrame:
@@ -204,6 +204,7 @@ def nn_descent(vertices: DataFrame, degree: int = DEGREE) -> DataFrame:
 _BEAM = "q long, qv binary, nbr array<long>, score array<float>, opened array<boolean>, moved boolean"
 
 
+@tidied
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Scores of an opened vertex' neighbours for its query (rows: q, qv,
     neighbour ids, their vectors)."""
@@ -247,7 +248,7 @@ def _advance(beam: int):
                      pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
                                              names=[c.split()[0] for c in _BEAM.split(", ")])
-    return run
+    return tidied(run)
 
 
 def greedy_search(graph: DataFrame, vertices: DataFrame, queries: DataFrame) -> DataFrame:
@@ -341,4 +342,4 @@ def _halves(scale: float):
                 raw = (_flat(batch.column(1)).reshape(batch.num_rows, -1) * scale).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in raw], pa.binary())],
                                                  names=["id", "v"])
-    return run
+    return tidied(run)

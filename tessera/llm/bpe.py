@@ -21,7 +21,7 @@ from . import words as W
 from .scratch import id_and_text
 
 #: units kept by a worker between batches (about 40 bytes each); a full store starts anew
-STORE_UNITS = 800_000
+STORE_UNITS = 500_000
 
 # The splitting rule of byte-level BPE and the white space it knows.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -263,7 +263,7 @@ def _encode(source):
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))],
                     names=["doc_id", "ids"])
-    return run
+    return W.tidied(run)
 
 
 def _decode(source):
@@ -272,7 +272,7 @@ def _decode(source):
         for batch in batches:
             texts = [None if x is None else bpe.decode(np.array(x, np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
-    return run
+    return W.tidied(run)
 
 
 def _digest(source):
@@ -287,7 +287,7 @@ def _digest(source):
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(at), pa.int64()), pa.array(sha),
                                                   pa.array(back)],
                                                  names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    return run
+    return W.tidied(run)
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

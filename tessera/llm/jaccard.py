@@ -59,9 +59,10 @@ def _sketch(k: int):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()])],
                                                  names=["slice", "counts"])
-    return run
+    return W.tidied(run)
 
 
+@W.tidied
 def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum the slices of all tasks; eight levels for each doubling."""
     total: dict[int, np.ndarray] = {}
@@ -118,7 +119,7 @@ def _short_lists(k: int, percent: int, levels):
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), pa.array(n), pa.array(keys.view(np.int64)), pa.array(lists, pa.list_(pa.int64()))],
                     names=["doc_id", "n", "f", "short"])
-    return run
+    return W.tidied(run)
 
 
 def _sets(k: int):
@@ -142,7 +143,7 @@ def _sets(k: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(wanted[right]), pa.array(sets, pa.binary()), pa.array(marks, pa.binary())],
                     names=["f", "members", "marks"])
-    return run
+    return W.tidied(run)
 
 
 def _bound(percent: int):
@@ -157,7 +158,7 @@ def _bound(percent: int):
                                  or 100 * most >= percent * (int(x.sum() + y.sum()) - most)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())],
                                              names=["f", "p", "ok"])
-    return run
+    return W.tidied(run)
 
 
 def _probe(percent: int):
@@ -174,7 +175,7 @@ def _probe(percent: int):
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())],
                                              names=["f", "p", "ok"])
-    return run
+    return W.tidied(run)
 
 
 def _small(table: DataFrame) -> DataFrame:

@@ -240,7 +240,7 @@ def _pack(source, size: int, end_id: int, with_ids: bool):
                     yield flush(last=False)
         while held:
             yield flush(last=True)
-    return run
+    return W.tidied(run)
 
 
 def pack(docs: DataFrame, path: str | None = None, size: int = 4096, end_id: int = 2, with_ids: bool = True,

@@ -304,6 +304,7 @@ def fit(tokens: Sample, toxic: np.ndarray) -> Field:
     return field
 
 
+@W.tidied
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("toxic", pa.int32())]))
     if not table.num_rows:
@@ -363,7 +364,7 @@ def _score(model):
                     names=["start", "end", "p"]))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(score, pa.float64()), spans],
                                                  names=["doc_id", "score", "spans"])
-    return run
+    return W.tidied(run)
 
 
 def score(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -388,7 +389,7 @@ def _clean(model, text: int, threshold: float):
             for piece in W.pieces(batch, name):
                 scores, _, _ = field.documents(Tokens(*W.flat(piece.column(text))))
                 yield piece.filter(pa.array(scores < threshold))
-    return run
+    return W.tidied(run)
 
 
 def clean(docs: DataFrame, model: Field, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
