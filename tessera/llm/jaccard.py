@@ -193,7 +193,7 @@ def _beside(pairs: DataFrame, sets: DataFrame, what: str) -> DataFrame:
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The linked ones among candidate pairs of classes."""
-    wanted = stored(pairs.select(F.explode(F.array("f", "p")).alias("f")).distinct()
+    wanted = stored(pairs.select("f").union(pairs.select(F.col("p").alias("f"))).distinct()
                     .join(classes.select("f", "doc_id"), "f"), "wanted")
     texts = docs.join(_small(wanted), "doc_id").select("f", "text")
     sets = stored(texts.mapInArrow(_sets(k), "f long, members binary, marks binary"), "sets")
