@@ -181,3 +181,12 @@ def test_lines_edge_cases(odd_docs, no_docs):
     assert got[None].n_removed == 0 and got[7].n_removed == 0
     assert linededup.dedup_lines(odd_docs).count() == odd_docs.count()
     assert linededup.dedup_lines(no_docs).count() == 0
+
+
+def test_repeat_whose_parts_stand_in_earlier_documents(spark):
+    base = prose(600, 60).split()
+    parts = [base[:30], base[30:], base, prose(601, 60).split(), base[:25], base[25:], base[10:40], base]
+    rows = [(i, " ".join([prose(610 + i, 70), *p, prose(630 + i, 70)])) for i, p in enumerate(parts)]
+    found = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert [(x.doc_id, x.source_id) for x in found] == [(7, 2)]
+    assert abs(found[0].start_word - 70) <= 1 and abs(found[0].end_word - 130) <= 1 and found[0].identity > 0.97
