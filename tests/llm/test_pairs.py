@@ -184,9 +184,34 @@ def test_lines_edge_cases(odd_docs, no_docs):
 
 
 def test_repeat_whose_parts_stand_in_earlier_documents(spark):
-    base = prose(600, 60).split()
-    parts = [base[:30], base[30:], base, prose(601, 60).split(), base[:25], base[25:], base[10:40], base]
-    rows = [(i, " ".join([prose(610 + i, 70), *p, prose(630 + i, 70)])) for i, p in enumerate(parts)]
+    rows = []
+    for g in range(8):
+        base = prose(600 + g, 60).split()
+        parts = [base[:30], base[30:], base, prose(650 + g, 60).split(), base[:25], base[25:], base[10:40], base]
+        rows += [(10 * g + i, " ".join([prose(1000 + 10 * g + i, 70), *p, prose(2000 + 10 * g + i, 70)]))
+                 for i, p in enumerate(parts)]
+    found = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((x.doc_id, x.source_id) for x in found) == [(10 * g + 7, 10 * g + 2) for g in range(8)]
+    for x in found:
+        assert abs(x.start_word - 70) <= 1 and abs(x.end_word - 130) <= 1 and x.identity > 0.96
+
+
+def test_passages_of_the_least_identity(spark):
+    r, rows = random.Random(8), []
+    for g in range(40):
+        n = (50, 60, 80, 100)[g % 4]
+        base = prose(3000 + g, n).split()
+        other = list(base)
+        for i in r.sample(range(1, n - 1), n // 5):
+            other[i] = f"other{i}"
+        rows += [(2 * g + i, " ".join([prose(4000 + 2 * g + i, 70), *p, prose(5000 + 2 * g + i, 70)]))
+                 for i, p in enumerate((base, other))]
     found = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    assert [(x.doc_id, x.source_id) for x in found] == [(7, 2)]
-    assert abs(found[0].start_word - 70) <= 1 and abs(found[0].end_word - 130) <= 1 and found[0].identity > 0.97
+    assert {(x.doc_id, x.source_id) for x in found} == {(2 * g + 1, 2 * g) for g in range(40)}
+    assert all(x.identity >= 0.8 and x.end_word - x.start_word >= 50 for x in found)
+
+
+def test_extension_over_inserted_and_deleted_words():
+    x = np.arange(1, 61)
+    y = np.concatenate((x[:10], [100], x[10:30], x[32:]))
+    assert substring._extend(x, y) == (60, 59, 58)
