@@ -9,7 +9,9 @@ query walks the graph: it opens its best unopened vertices, scores their
 neighbours, and goes on until its best candidates are all opened.  The best found are
 scored again on the original vectors in double precision.
 
-Equal vectors are one vertex.  Vectors travel as half floats.
+Equal vectors are one vertex.  Vectors travel as half floats of their own
+largest component, which stands before them in double precision; so a huge
+vector takes nothing from the others.
 """
 
 from __future__ import annotations
@@ -56,10 +58,13 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterator[pa
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _matrix(column) -> np.ndarray:
-    """Half-float vectors of a binary column, as floats."""
-    flat = np.frombuffer(b"".join(x.as_buffer() for x in column), np.float16)
-    return flat.reshape(len(column), -1).astype(np.float32)
+def _matrix(column, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of a binary column (of ``width`` bytes each, or one a row) as
+    floats, and their scales."""
+    flat = np.frombuffer(b"".join(x.as_buffer() for x in column), np.uint8)
+    flat = flat.reshape(-1, width) if width else flat.reshape(len(column), -1)
+    return (np.ascontiguousarray(flat[:, 8:]).view(np.float16).astype(np.float32),
+            np.ascontiguousarray(flat[:, :8]).view(np.float64)[:, 0])
 
 
 def _flat(column) -> np.ndarray:
@@ -70,22 +75,23 @@ def _flat(column) -> np.ndarray:
 def _lists(sizes: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> list[pa.Array]:
     at = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
     return [pa.ListArray.from_arrays(at, pa.array(ids, pa.int64())),
-            pa.ListArray.from_arrays(at, pa.array(scores, pa.float32()))]
+            pa.ListArray.from_arrays(at, pa.array(scores, pa.float64()))]
 
 
-_FOUND = "id long, nbr array<long>, score array<float>, old boolean"
+_FOUND = "id long, nbr array<long>, score array<double>, old boolean"
 
 
 def _meet(keep: int, group: int):
     """Score the members of each group (rows: group, id, v, least) against
-    each other; each gets its best ``keep`` above its least score."""
-    def pairs(ids, vectors, least, first, size):
+    each other; each gets its best ``keep`` above its least score.  Scores are
+    compared for one vertex only, so its own scale is left out."""
+    def pairs(ids, vectors, scales, least, first, size):
         m = int(size.max())
         at = first[:, None] + np.arange(m)
         there = np.arange(m) < size[:, None]
         at = np.where(there, at, first[:, None])
         v, own = vectors[at], ids[at]
-        score = v @ v.transpose(0, 2, 1)
+        score = (v @ v.transpose(0, 2, 1)) * scales[at][:, None, :]
         score[~np.broadcast_to(there[:, None, :], score.shape) | (own[:, :, None] == own[:, None, :])] = -np.inf
         k = min(keep, m)
         best = np.argpartition(-score, k - 1, axis=2)[:, :, :k]
@@ -97,7 +103,7 @@ def _meet(keep: int, group: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches):
             key, ids = table.column(0).to_numpy(), table.column(1).to_numpy()
-            vectors, least = _matrix(table.column(2)), table.column(3).to_numpy()
+            (vectors, scales), least = _matrix(table.column(2)), table.column(3).to_numpy()
             heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.append(heads, len(key)))
             # larger groups meet in parts
@@ -108,7 +114,8 @@ def _meet(keep: int, group: int):
             first, size = first[order], size[order]
             step = max(1, PIECE_BYTES // (group * group))
             for i in range(0, len(first), step):
-                own, sizes, names, values = pairs(ids, vectors, least, first[i:i + step], size[i:i + step])
+                own, sizes, names, values = pairs(ids, vectors, scales, least, first[i:i + step],
+                                                   size[i:i + step])
                 some = sizes > 0
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own[some]), *_lists(sizes[some], names, values), pa.array(np.zeros(some.sum(), bool))],
@@ -116,7 +123,7 @@ def _meet(keep: int, group: int):
     return tidied(run)
 
 
-_GRAPH = "id long, nbr array<long>, score array<float>, least float, fresh long"
+_GRAPH = "id long, nbr array<long>, score array<double>, least double, fresh long"
 
 
 def _merge(degree: int):
@@ -142,7 +149,7 @@ def _merge(degree: int):
             least = np.where(sizes < degree, -np.inf, score[first + sizes - 1] if len(node) else 0)
             fresh = np.add.reduceat(~old, first) if len(node) else first
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names), *_lists(sizes, nbr, score), pa.array(least.astype(np.float32)),
+                [pa.array(names), *_lists(sizes, nbr, score), pa.array(least.astype(np.float64)),
                  pa.array(fresh.astype(np.int64))], names=["id", "nbr", "score", "least", "fresh"])
     return tidied(run)
 
@@ -157,7 +164,7 @@ def _blocks(tables: int, bits: int, seed: int = 7):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = _matrix(batch.column(1))
+            v, _ = _matrix(batch.column(1))
             planes = np.random.Generator(np.random.PCG64(seed)).standard_normal((v.shape[1], tables * bits))
             sides = (v @ planes.astype(np.float32) > 0).reshape(len(v), tables, bits)
             block = (sides * (1 << np.arange(bits))).sum(2) * tables + np.arange(tables)
@@ -165,16 +172,16 @@ def _blocks(tables: int, bits: int, seed: int = 7):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(block.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), tables)),
                  batch.column(1).take(pa.array(np.repeat(np.arange(n), tables))),
-                 pa.array(np.full(n * tables, -np.inf, np.float32))], names=["block", "id", "v", "least"])
+                 pa.array(np.full(n * tables, -np.inf))], names=["block", "id", "v", "least"])
     return tidied(run)
 
 
 def nn_descent(vertices: DataFrame, degree: int = DEGREE) -> DataFrame:
     """id, nbr, score (best first), least, fresh: the neighbour graph of
-    vertices (id, v: half floats)."""
+    vertices (id, v: scale and half floats)."""
     n = vertices.count()
     bits = max(0, int(np.ceil(np.log2(max(n, 1) / BLOCK))))
-    blocks = vertices.mapInArrow(_blocks(TABLES if bits else 1, bits), "block long, id long, v binary, least float")
+    blocks = vertices.mapInArrow(_blocks(TABLES if bits else 1, bits), "block long, id long, v binary, least double")
     # equal blocks of one size: a crowded one is dealt into parts
     crowd = blocks.groupBy("block").agg(F.count("*").alias("n")).where(f"n > {2 * BLOCK}")
     blocks = blocks.join(crowd, "block", "left").select(
@@ -201,7 +208,7 @@ def nn_descent(vertices: DataFrame, degree: int = DEGREE) -> DataFrame:
     return graph
 
 
-_BEAM = "q long, qv binary, nbr array<long>, score array<float>, opened array<boolean>, moved boolean"
+_BEAM = "q long, qv binary, nbr array<long>, score array<double>, opened array<boolean>, moved boolean"
 
 
 @tidied
@@ -211,10 +218,10 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        q = _matrix(batch.column(1))
+        q, _ = _matrix(batch.column(1))
         sizes = batch.column(2).value_lengths().to_numpy()
-        flat = np.frombuffer(b"".join(x.as_buffer() for x in batch.column(3)), np.float16).reshape(-1, q.shape[1])
-        score = np.einsum("ij,ij->i", flat.astype(np.float32), np.repeat(q, sizes, axis=0))
+        v, scales = _matrix(batch.column(3), 8 + 2 * q.shape[1])
+        score = np.einsum("ij,ij->i", v, np.repeat(q, sizes, axis=0)) * scales
         yield pa.RecordBatch.from_arrays([batch.column(0), *_lists(sizes, _flat(batch.column(2)), score)],
                                          names=["q", "nbr", "score"])
 
@@ -232,7 +239,7 @@ def _advance(beam: int):
             for h, t in zip(heads.tolist(), [*heads[1:].tolist(), len(q)]):
                 state = next(i for i in range(h, t) if vectors[i].is_valid)
                 ids = np.concatenate([np.array([q[h]]), *(nbr[i].values.to_numpy() for i in range(h, t))])
-                value = np.concatenate([np.array([-np.inf], np.float32),
+                value = np.concatenate([np.array([-np.inf]),
                                         *(score[i].values.to_numpy() for i in range(h, t))])
                 done = np.concatenate([np.array([True]), *(
                     np.array(opened[i].as_py(), bool) if i == state else np.zeros(len(nbr[i]), bool)
@@ -244,7 +251,7 @@ def _advance(beam: int):
                 best = np.lexsort((ids, -value))[:beam]
                 ids, value, done = ids[best], value[best], done[best]
                 rows.append((q[h], vectors[state].as_py(), ids, value, done, not done.all()))
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.bool_()),
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()),
                      pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
                                              names=[c.split()[0] for c in _BEAM.split(", ")])
@@ -262,7 +269,7 @@ def greedy_search(graph: DataFrame, vertices: DataFrame, queries: DataFrame) ->
         "id", "nbr", F.unhex("hexed").alias("vs")), "wide")
     state = stored(queries.join(vertices, "id").join(graph.select("id", "nbr", "score"), "id", "left").select(
         F.col("id").alias("q"), F.col("v").alias("qv"), F.coalesce("nbr", F.array().cast("array<long>")).alias("nbr"),
-        F.coalesce("score", F.array().cast("array<float>")).alias("score")).withColumn(
+        F.coalesce("score", F.array().cast("array<double>")).alias("score")).withColumn(
         "opened", F.transform("nbr", lambda x: F.lit(False))).withColumn("moved", F.lit(True)), "beam")
     for _ in range(STEPS):
         live = state.where("moved")
@@ -272,7 +279,7 @@ def greedy_search(graph: DataFrame, vertices: DataFrame, queries: DataFrame) ->
         if not n:
             break
         hits = (wide.join(F.broadcast(front) if n <= BROADCAST_ROWS else front, "id")
-                .select("q", "qv", "nbr", "vs").mapInArrow(_expand, "q long, nbr array<long>, score array<float>"))
+                .select("q", "qv", "nbr", "vs").mapInArrow(_expand, "q long, nbr array<long>, score array<double>"))
         # what was just opened is marked in the beam
         closed = F.expr(f"slice(filter(nbr, (x, i) -> NOT opened[i]), 1, {OPEN})")
         marked = live.withColumn("now", closed).withColumn(
@@ -315,8 +322,8 @@ def nearest(vectors: DataFrame, query: str, top: int = TOP, id_col: str = "vec_i
         F.when(F.col("k") == 1, F.col("id")).otherwise(-F.abs(F.xxhash64("id", "x"))).alias("id"), "x")
     heads = stored(heads, "heads")
     largest = heads.agg(F.max(F.array_max(F.transform("x", F.abs)))).first()[0] or 1.0
-    # half floats end at 65504 and lose digits below 1e-4: components are brought to at most 1
-    vertices = stored(heads.mapInArrow(_halves(1 / largest), "id long, v binary"), "vertices")
+    # half floats end at 65504 and lose digits below 1e-4: components are brought to at most 1, row by row
+    vertices = stored(heads.mapInArrow(_halves(largest), "id long, v binary"), "vertices")
     asked = stored(fine.where("asks").select("vec_id", "x").join(heads, "x").select(
         F.col("vec_id").alias("query_id"), "id", "x"), "asked")
     graph = nn_descent(vertices)
@@ -335,11 +342,15 @@ def nearest(vectors: DataFrame, query: str, top: int = TOP, id_col: str = "vec_i
     return answers.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= top)
 
 
-def _halves(scale: float):
+def _halves(largest: float):
+    """Each vector's largest component, as a share of the table's, and the
+    vector in half floats of it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                raw = (_flat(batch.column(1)).reshape(batch.num_rows, -1) * scale).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in raw], pa.binary())],
-                                                 names=["id", "v"])
+                x = _flat(batch.column(1)).reshape(batch.num_rows, -1)
+                own = np.abs(x).max(axis=1)
+                raw = (x / own[:, None]).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(
+                    [o.tobytes() + r.tobytes() for o, r in zip(own / largest, raw)], pa.binary())], names=["id", "v"])
     return tidied(run)

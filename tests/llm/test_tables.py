@@ -80,6 +80,21 @@ def test_shards(spark, odd_docs, no_docs, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == odd_docs.count()
 
 
+def test_nearest_beside_a_huge_vector(spark):
+    x = np.random.default_rng(11).standard_normal((3000, 16))
+    x[7] *= 1e12
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest(df.repartition(3), "vec_id % 100 = 0").collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 3000, 100):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 30
+
+
 def test_nearest(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(400, 8)).round(2)
