@@ -147,3 +147,9 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest
     return nearest(read_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+@query("op13_simhash")
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_groups
+    return simhash_groups(read_table(spark, sf_dir, "documents"))
