@@ -153,3 +153,65 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
     return simhash_groups(read_table(spark, sf_dir, "documents"))
+
+
+def _clusters_sql(centroids: int = 8, rounds: int = 10) -> str:
+    """Each round as a pair of tables: who is nearest, and where the centroids go."""
+    nearest = """a{r} AS MATERIALIZED (
+  SELECT rid, cluster, d FROM (
+    SELECT rid, cluster, sum((x.v - c.v) * (x.v - c.v))::BIGINT AS d FROM x JOIN c{r} c ON x.i = c.i GROUP BY rid, cluster)
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, cluster) = 1)"""
+    moved = """c{s} AS MATERIALIZED (
+  SELECT c.cluster, c.i, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, c.v)::BIGINT AS v
+  FROM c{r} c LEFT JOIN (SELECT cluster, i, sum(v)::BIGINT AS s, count(*) AS n FROM a{r} JOIN x USING (rid) GROUP BY cluster, i) m
+    ON c.cluster = m.cluster AND c.i = m.i)"""
+    steps = [part.format(r=r, s=r + 1) for r in range(rounds) for part in (nearest, moved)] + [nearest.format(r=rounds)]
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+x AS MATERIALIZED (SELECT rid, unnest(v) AS v, generate_subscripts(v, 1) AS i FROM kept),
+c0 AS MATERIALIZED (
+  SELECT cluster, unnest(v) AS v, generate_subscripts(v, 1) AS i FROM (
+    SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS cluster, v FROM kept) WHERE cluster < {centroids}),
+{''','''.join(steps)},
+h AS (SELECT cluster, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS sha FROM c{rounds} GROUP BY cluster)
+SELECT kept.vec_id, a.cluster::INTEGER AS cluster, a.d AS distance,
+  (sum(a.d) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia, h.sha AS centroid_sha256
+FROM a{rounds} a JOIN kept USING (rid) JOIN h ON h.cluster = a.cluster
+"""
+
+
+@query("op11_centroids", _clusters_sql())
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kmeans import cluster
+    return cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_lexical", """
+WITH t AS MATERIALIZED (
+  SELECT rid, doc_id, unnest(ws) AS term FROM (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws
+    FROM documents WHERE doc_id IS NOT NULL)),
+p AS MATERIALIZED (SELECT rid, doc_id, term, count(*) AS tf FROM t GROUP BY rid, doc_id, term),
+n AS MATERIALIZED (SELECT rid, sum(tf)::BIGINT AS n FROM p GROUP BY rid),
+g AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM n),
+m AS (SELECT rid, 25 + (75 * n * docs) // terms AS m FROM n, g),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term, docs),
+q AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL)
+  GROUP BY item_id, term),
+s AS (
+  SELECT item_id, rid, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (rid) GROUP BY item_id, rid, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+""")
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import ranked_documents
+    return ranked_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
