@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import recognizers as R
 from .parallel import spread
+from .terms import detect_terms  # noqa: F401  (D7)
 
 DEFAULT_THRESHOLD = 0.7
 
@@ -74,47 +75,6 @@ def supported_entities(spark) -> DataFrame:
                                        "checksum string, context string")
 
 
-WORD = "[A-Za-z0-9]+"
-
-
-def _phrase(term) -> Column:
-    """A term's words, lower-cased and joined by one space."""
-    return F.array_join(F.regexp_extract_all(F.lower(term), F.lit(WORD), 0), " ")
-
-
-def detect_terms(df: DataFrame, terms: DataFrame, text_col: str = "text", id_cols=("doc_id",),
-                 score: float = R.SHAPE_SCORE) -> DataFrame:
-    """Dictionary recognizer over a term table ``(entity_type, term)`` of
-    any size, with terms of any number of words.
-
-    A term matches where its words stand in order, whatever stands between
-    them that is neither letter nor digit, in any case.  Every word of a text
-    starts one phrase per distinct term length (the lengths are an aggregate
-    of the term table), and phrases equi-join the terms; Spark picks the join
-    from the table's size and AQE splits frequent phrases.  Of hits of one
-    type, one that lies inside a longer one is dropped.
-    """
-    from ..functions.spans import scan
-    t = terms.select("entity_type", _phrase(F.col("term")).alias("phrase")).where("phrase != ''").distinct()
-    lengths = t.agg(F.sort_array(F.collect_set(F.size(F.split("phrase", " "))))).scalar()
-    d = df.select(*id_cols, F.col(text_col).alias("_t")).where(F.col("_t").isNotNull())
-    d = d.withColumn("_g", F.split("_t", WORD, -1)).withColumn("_w", F.regexp_extract_all("_t", F.lit(WORD), 0))
-    d = d.withColumn("_n", F.zip_with("_g", "_w", lambda g, w: F.length(g) + F.coalesce(F.length(w), F.lit(0))))
-    d = d.withColumn("_at", scan(F.col("_n"), F.lit(0), lambda a, b: a + b)).withColumn("_len", lengths)
-    rows = F.flatten(F.transform("_w", lambda w, i: F.transform(
-        F.filter("_len", lambda n: i + n <= F.size("_w")), lambda n: F.struct(
-            F.lower(F.array_join(F.slice("_w", i + 1, n), " ")).alias("phrase"),
-            (F.get("_at", i) + F.length(F.get("_g", i))).alias("start"),
-            (F.get("_at", i + n - 1) + F.length(F.get("_g", i + n - 1)) + F.length(F.get("_w", i + n - 1))).alias("end")))))
-    grams = d.select(*id_cols, "_t", F.explode(rows).alias("r")).select(
-        *id_cols, "r.phrase", "r.start", "r.end", F.expr("substr(_t, r.start + 1, r.end - r.start)").alias("text"))
-    hits = grams.join(t, "phrase")
-    longer = Window.partitionBy(*id_cols, "entity_type").orderBy("start", F.desc("end")).rowsBetween(
-        Window.unboundedPreceding, -1)
-    kept = hits.withColumn("_cover", F.max("end").over(longer)).where("_cover IS NULL OR _cover < end")
-    return kept.select(*id_cols, "entity_type", "start", "end", F.lit(float(score)).alias("score"), "text")
-
-
 def span_islands(spans: DataFrame, id_cols=("doc_id",), plain: bool | None = None) -> DataFrame:
     """Merge overlapping spans of a document into islands.
 

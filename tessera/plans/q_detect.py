@@ -174,3 +174,44 @@ def detect_terms(spark, sf):
         places.selectExpr("'ROUTE'", "concat(n_name, ' a nation in the region ', r_name)")).union(
         r.selectExpr("'ROUTE'", "'A nation in the region'"))
     return D.detect_terms(docs, terms)
+
+
+# the nations' names in other scripts: fixed values, letter by letter
+_LATIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_ "
+_SCRIPTS = {"cyr": "АБЦДЕФГХИЙКЛМНОПЯРСТУВЬЫЮЗЖЪЭЧШЩЁІЇЄ",
+            "han": "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余一二三四五六七八九十",
+            "acc": "ÁBÇDÉFGHÍJKLMÑÓPQŔSTÚVWXÝŽĀĒĪŌŪĂĔĬŎŬ"}
+_NAMES = "SELECT n_nationkey AS k, " + ", ".join(
+    f"translate(upper(n_name), '{_LATIN}', '{to}') AS {c}" for c, to in _SCRIPTS.items()) + " FROM nation"
+_SCRIPT_TEXTS = """SELECT c_custkey AS doc_id, concat('№', CAST(c_custkey AS STRING), ' ', cyr, 'ская ', lower(cyr), ', ', han, '人。', acc, ' ',
+    lower(acc), 'x ', cyr, '-', acc, CASE WHEN c_custkey % 2 = 0 THEN concat('a', han) ELSE concat(' ', cyr, '  ', acc, 's') END) AS text
+  FROM customer JOIN names ON c_nationkey = k"""
+_SCRIPT_TERMS = """SELECT 'LOCATION' AS entity_type, cyr AS term FROM names UNION ALL SELECT 'LOCATION', han FROM names
+  UNION ALL SELECT 'LOCATION', acc FROM names UNION ALL SELECT 'NRP', concat(han, '人') FROM names
+  UNION ALL SELECT 'NRP', substr(han, 2, 3) FROM names UNION ALL SELECT 'ORG', concat(cyr, ' ', acc) FROM names
+  UNION ALL SELECT 'ORG', acc FROM names"""
+
+
+@register("detect_terms_scripts", f"""
+WITH names AS ({_NAMES}), d AS ({_SCRIPT_TEXTS.replace('STRING', 'VARCHAR')}), t AS (
+  SELECT DISTINCT entity_type, lower(term) AS phrase, regexp_matches(term, '\\p{{Han}}') AS unspaced FROM ({_SCRIPT_TERMS}) x),
+c AS (SELECT doc_id, text, entity_type, phrase, unspaced FROM d JOIN t
+  ON contains(regexp_replace(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'), phrase)),
+h AS (SELECT *, substr(text, p, 1) AS before, substr(text, p + length(m) + 1, 1) AS after FROM (
+    SELECT *, regexp_extract(substr(text, p + 1), '(?i)^' || replace(phrase, ' ', '[^\\p{{L}}\\p{{M}}\\p{{N}}]+')) AS m
+    FROM c, unnest(range(length(text))) u(p)) x WHERE m <> ''),
+u AS (SELECT DISTINCT doc_id, entity_type, p AS start, p + length(m) AS "end", m AS text FROM h WHERE unspaced
+  OR NOT ((p > 0 AND regexp_matches(before, '[\\p{{L}}\\p{{M}}\\p{{N}}]') AND NOT regexp_matches(before, '\\p{{Han}}'))
+    OR (regexp_matches(after, '[\\p{{L}}\\p{{M}}\\p{{N}}]') AND NOT regexp_matches(after, '\\p{{Han}}'))))
+SELECT doc_id, entity_type, CAST(start AS INT) AS start, CAST("end" AS INT) AS "end", CAST({D.R.SHAPE_SCORE!r} AS DOUBLE) AS score, text
+FROM u WHERE NOT EXISTS (SELECT 1 FROM u v WHERE v.doc_id = u.doc_id AND v.entity_type = u.entity_type AND v.start <= u.start
+  AND v."end" >= u."end" AND (v.start < u.start OR v."end" > u."end"))""")
+def detect_terms_scripts(spark, sf):
+    """Names in Cyrillic, Han and accented Latin letters, with near misses,
+    one type's hit inside another's, and phrases over signs."""
+    names = read_table(spark, sf, "nation").selectExpr("n_nationkey AS k", *(
+        f"translate(upper(n_name), '{_LATIN}', '{to}') AS {c}" for c, to in _SCRIPTS.items()))
+    customer = read_table(spark, sf, "customer")
+    docs = spark.sql(_SCRIPT_TEXTS.replace("customer JOIN", "{customer} JOIN").replace("names", "{names}"), customer=customer, names=names)
+    terms = spark.sql(_SCRIPT_TERMS.replace("names", "{names}"), names=names)
+    return D.detect_terms(docs, terms)
