@@ -12,6 +12,7 @@ from ..operators import detect as D
 from ..operators import ledger as L
 from ..operators import summary as SM
 from ..session import scratch_path
+from ..sources import bigjson as BJ
 from ..sources import listing as LS
 from ..sources import metrics as MX
 from ..sources import reports as RP
@@ -143,6 +144,34 @@ def src_json_report(spark, sf):
     return RP.report_entities(back).select("file_path", "entity_type", "score")
 
 
+def _large_report(tb):
+    """The whole ledger's completed files as one document."""
+    done = tb.files.where(F.col("status") == "completed")
+    head = done.agg(F.count("*").alias("processed_files")).select(
+        F.lit("scan {all} \"jobs\"").alias("command_line"), F.lit("completed").alias("status"), "processed_files")
+    files = done.select(F.col("file_id").alias("record"), "file_path", "file_type", "file_size", "status", "processing_time")
+    spans = tb.entities.join(done.select(F.col("file_id").alias("result_id")), "result_id", "left_semi").select(
+        F.col("result_id").alias("record"), F.col("start_index").alias("entity"), "entity_type",
+        F.col("start_index").alias("start"), F.col("end_index").alias("end"), "score", "text")
+    return head, files, spans
+
+
+@register("src_large_report", O.with_views(
+    """SELECT f.file_path, f.file_type, f.file_size, e.entity_type, e.score, e.text, e.start_index AS start, e.end_index AS "end",
+         c.n AS processed_files, 'scan {all} "jobs"' AS command_line
+       FROM t_files f JOIN t_entities e ON e.result_id = f.file_id, (SELECT count(*) AS n FROM t_files WHERE status = 'completed') c
+       WHERE f.status = 'completed'""", "t_files", "t_entities"))
+def src_large_report(spark, sf):
+    """The ledger written as one JSON document by many tasks, and read
+    back by many: every entity with its file's and the report's fields."""
+    path = _scratch(spark, "document")
+    BJ.write_large_report(*_large_report(_tb(spark, sf)), path)
+    back = BJ.read_large_report(spark, path, joined=True, plain=False)
+    rows = back.entities.drop("doc").join(back.files.drop("doc", "opened"), "record").join(back.header.drop("doc"), "opened")
+    return rows.select("file_path", "file_type", "file_size", "entity_type", "score", "text", "start", "end",
+                       "processed_files", "command_line")
+
+
 @register("export_nested", O.with_views(
     """SELECT f.file_path, f.status, CAST(coalesce(c.n, 0) AS INT) AS n_entities, j.command_line
        FROM t_files f JOIN t_jobs j ON f.job_id = j.job_id
