@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import anonymize as A
 from ..operators import detect as D
+from ..session import scratch_path
+from ..sources import files as FS
+from ..sources import sinks as SK
 from ..sources.tables import read_table
 from . import oracle as O
 from .registry import register
@@ -146,16 +151,19 @@ def redact_batch(spark, sf):
     return A.redact_batch(docs, lists).select("doc_id", "redacted")
 
 
+_RED = O.spans_view(None, 0.7) + _islands_sql("spans", "doc_id") + [
+        ("pc", """SELECT *, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY start), 0) AS prev FROM isl"""),
+        ("red", f"""SELECT i.doc_id, string_agg(substr(d.text, i.prev + 1, i.start - i.prev) || '<' || i.b.t || '>', ''
+                      ORDER BY i.start) || substr(d.text, max(i."end") + 1) AS redacted
+                    FROM pc i JOIN documents d ON i.doc_id = d.doc_id GROUP BY i.doc_id, d.text""")]
+
+
 @register("redact_record", O.with_views(
     """SELECT CAST(length(d.text) AS INT) AS original_length, CAST(length(r.redacted) AS INT) AS redacted_length,
          CAST(c.n AS INT) AS entities_redacted, 'replace' AS redaction_method, r.redacted AS redacted_text
        FROM documents d JOIN red r ON d.doc_id = r.doc_id
        JOIN (SELECT doc_id, count(*) AS n FROM isl GROUP BY doc_id) c ON d.doc_id = c.doc_id""",
-    extra=O.spans_view(None, 0.7) + _islands_sql("spans", "doc_id") + [
-        ("pc", """SELECT *, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY start), 0) AS prev FROM isl"""),
-        ("red", f"""SELECT i.doc_id, string_agg(substr(d.text, i.prev + 1, i.start - i.prev) || '<' || i.b.t || '>', ''
-                      ORDER BY i.start) || substr(d.text, max(i."end") + 1) AS redacted
-                    FROM pc i JOIN documents d ON i.doc_id = d.doc_id GROUP BY i.doc_id, d.text""")]))
+    extra=_RED))
 def redact_record(spark, sf):
     """JSON-ready record per redacted document (lengths, island count,
     method, text) for documents with at least one entity."""
@@ -164,6 +172,31 @@ def redact_record(spark, sf):
     return A.redaction_record(d, "text", "redacted", "_isl", "replace")
 
 
+_DOC_PATH = "concat('/corpus/a+b (c)/', {d}lang, '/', coalesce({d}source, 'none'), '/', CAST({d}doc_id AS {text}), '.txt')"
+
+
+@register("redact_files", O.with_views(
+    f"""SELECT path, redacted AS content, file_path, original_text_length, anonymized_text_length, entities_redacted, anonymize_method
+       FROM (SELECT substr({_DOC_PATH.format(d='d.', text='VARCHAR')}, length('/corpus/a+b (c)/') + 1) AS path, r.redacted,
+               substr({_DOC_PATH.format(d='d.', text='VARCHAR')}, length('/corpus/a+b (c)/') + 1) AS file_path,
+               CAST(length(d.text) AS INT) AS original_text_length, CAST(length(r.redacted) AS INT) AS anonymized_text_length,
+               CAST(c.n AS INT) AS entities_redacted, 'replace' AS anonymize_method
+             FROM documents d JOIN red r ON d.doc_id = r.doc_id
+             JOIN (SELECT doc_id, count(*) AS n FROM isl GROUP BY doc_id) c ON d.doc_id = c.doc_id) x""", extra=_RED))
+def redact_files(spark, sf):
+    """Every redacted document written to its own relative path, as a
+    text file and as a JSON record, and both read back."""
+    d = A.redact(D.detect_arrays(read_table(spark, sf, "documents").withColumn("path", F.expr(_DOC_PATH.format(d="", text="STRING"))),
+                                 id_cols=("path", "text")), keep_islands=True)
+    d = d.withColumn("path", F.substr(SK.relative_output(F.col("path"), "/corpus/a+b (c)", "/o"), F.lit(4)))
+    texts, records = (scratch_path(spark, f"tessera-redacted-{uuid.uuid4().hex[:12]}") for _ in range(2))
+    FS.write_redacted(d, texts, "path")
+    FS.write_redacted(d, records, "path", as_json=True)
+    schema = "file_path string, original_text_length int, anonymized_text_length int, entities_redacted int, anonymize_method string"
+    back = FS.read_files(spark, records).select("path", F.from_json("content", schema).alias("r"))
+    return FS.read_files(spark, texts).join(back, "path").select("path", "content", "r.*")
+
+
 @register("scan_settings", O.with_views(
     f"""SELECT d.doc_id, CAST((SELECT count(*) FROM spans s WHERE s.doc_id = d.doc_id) AS INT) AS entity_count, r.redacted
         FROM documents d JOIN ({_redact_sql('mask', {'EMAIL_ADDRESS': 'replace'})}) r ON r.doc_id = d.doc_id

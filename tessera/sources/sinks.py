@@ -55,8 +55,10 @@ def output_path(input_path: Column, output: str | None, extension: str | None =
 
 
 def relative_output(path: Column, directory: str, output: str) -> Column:
-    """S12 (directory mode): ``output/relpath(path, directory)``."""
-    rel = F.regexp_replace(path, "^" + directory.rstrip("/").replace(".", "\\.") + "/", "")
+    """S12 (directory mode): ``output/relpath(path, directory)``; a path that
+    is not below the directory keeps its whole name."""
+    prefix = directory.rstrip("/") + "/"
+    rel = F.when(F.startswith(path, F.lit(prefix)), F.substr(path, F.lit(len(prefix) + 1))).otherwise(path)
     return F.concat(F.lit(output.rstrip("/") + "/"), rel)
 
 
