@@ -35,7 +35,7 @@ from .scratch import drop, id_and_text, stored
 
 TOP = 10
 #: postings of a block; terms from which on a shard is closed; queries searched together
-BLOCK, SHARD_TERMS, QUERIES = 128, 1 << 21, 256
+BLOCK, SHARD_TERMS, QUERIES = 128, 1 << 20, 256
 #: documents of the first window of a shard, each next one is twice as large
 WINDOW = 512
 #: heaps of so many groups of shards are merged first

@@ -51,7 +51,7 @@ def corpus(seed, n, vocabulary):
     return [(i, r.choice([" ", ", ", "\n"]).join(r.choices(names, weights, k=r.choice([1, 5, 30, 30, 200])))) for i in range(n)]
 
 
-@pytest.mark.parametrize("shard,block,window", [(1 << 21, 128, 512), (300, 4, 8)])
+@pytest.mark.parametrize("shard,block,window", [(1 << 20, 128, 512), (300, 4, 8)])
 def test_search_matches_scoring_all(spark, monkeypatch, shard, block, window):
     docs = corpus(1, 400, 300) + [(1000, "W1 w1, É-é w299"), (1001, None), (1002, "..."), (None, "w1 w2")]
     r = random.Random(2)
