@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import ledger as L
+from ..operators import ledger_store as LS
+from ..operators.parallel import ranked
+from ..session import scratch_path
 from ..sources.tables import read_table
 from ..functions.strings import strip, strip_sql
 from . import oracle as O
@@ -448,3 +453,64 @@ def src_ledger_latest(spark, sf):
     tb = _tb(spark, sf)
     newest = tb.jobs.agg(F.max("job_id").alias("job_id"))
     return tb.files.join(F.broadcast(newest), "job_id").groupBy("status").agg(F.count(F.lit(1)).alias("files"))
+
+
+_BATCHES_SQL = """SELECT file_id, CASE WHEN status = 'error' AND file_path NOT LIKE '%/~$%' AND coalesce(file_size > 100, false)
+    THEN 'pending' ELSE status END AS status,
+  CASE WHEN status = 'error' AND NOT (file_path NOT LIKE '%/~$%' AND coalesce(file_size > 100, false)) THEN error_message END AS error_message
+  FROM t_files"""
+
+
+@register("ledger_log", O.with_views(_BATCHES_SQL, "t_files"))
+def ledger_log(spark, sf):
+    """The ledger as a bucketed base with deltas: files are
+    registered as pending, taken, finished, compacted, and their errors tried
+    again; the state is the newest version's."""
+    f = _tb(spark, sf).files.select("file_id", "file_path", "file_size", "status", "process_start", "process_end", "error_message")
+    store = LS.LedgerStore(spark, scratch_path(spark, f"tessera-ledger-{uuid.uuid4().hex[:12]}"))
+    new = f.withColumns({"status": F.lit("pending"), "error_message": F.lit(None).cast("string"),
+                         "process_start": F.lit(None).cast("timestamp_ntz"), "process_end": F.lit(None).cast("timestamp_ntz")})
+    store.create(new, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    begun = f.where("status != 'pending'")
+    store.append(begun.withColumn("status", F.lit("processing")).withColumn("error_message", F.lit(None).cast("string")))
+    store.append(begun.where("status != 'processing'"))
+    store.compact()
+    number, _ = store.latest()
+    again = L.retry_errors(store.state(number).where("status = 'error'")).where("status = 'pending'")
+    store.append(again, number)
+    return store.state().select("file_id", "status", "error_message")
+
+
+_CLAIMS_SQL = """
+WITH p AS (SELECT file_id, file_size, status, row_number() OVER (PARTITION BY status = 'pending' ORDER BY file_id) AS rn FROM t_files),
+n AS (SELECT *, CASE WHEN status <> 'pending' THEN NULL WHEN rn <= 60 THEN 'a' WHEN rn <= 100 THEN 'b' END AS first FROM p),
+c AS (SELECT *, first = 'a' AND rn % 3 <> 0 AS done FROM n),
+r AS (SELECT *, CASE WHEN status = 'pending' AND NOT coalesce(done, false) AND coalesce(first, '') <> 'b'
+    THEN row_number() OVER (PARTITION BY status = 'pending' AND NOT coalesce(done, false) AND coalesce(first, '') <> 'b' ORDER BY file_id) END AS k FROM c)
+SELECT file_id, CASE WHEN done AND file_size > 1000 THEN 'completed' WHEN done THEN 'error' WHEN first = 'b' THEN 'processing'
+    WHEN k <= 50 THEN 'processing' WHEN status = 'pending' THEN 'pending' ELSE status END AS status,
+  CASE WHEN done OR (first = 'a' AND k > 50) THEN 'a' WHEN first = 'b' OR k <= 50 THEN 'b' END AS worker
+FROM r"""
+
+
+@register("ledger_claims", O.with_views(f"SELECT * FROM ({_CLAIMS_SQL}) x", "t_files"))
+def ledger_claims(spark, sf):
+    """L1-L3 by two workers: claims under a lease, outcomes of some files, and
+    files whose lease has run out going to the other worker."""
+    f = LS.leased(_tb(spark, sf).files.select("file_id", "file_size", "status", "process_start", "process_end", "error_message"))
+    store = LS.LedgerStore(spark, scratch_path(spark, f"tessera-ledger-{uuid.uuid4().hex[:12]}"))
+    store.create(f, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def at(minutes):
+        return _as_of() + F.expr(f"INTERVAL {minutes} MINUTES")
+    mine = store.claim("a", 60, at(0), "5 minutes")
+    store.claim("b", 40, at(2), "5 minutes")
+    # two of three files of a's are done in time
+    done = ranked(mine, ["file_id"], out="rn").where("rn % 3 != 0").select(
+        "file_id", (F.col("file_size") > 1000).alias("ok"), F.lit("too small").alias("error_message"))
+    store.finish("a", done, at(4))
+    store.claim("b", 50, at(6), "5 minutes")
+    # a's report of files that b has now changes nothing
+    late = mine.select("file_id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error_message"))
+    store.finish("a", late, at(7))
+    return store.state().select("file_id", "status", "worker")
