@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import streams as S
+from ..streaming import timers as TM
 from . import oracle as O
 from .registry import register
 
@@ -88,3 +89,21 @@ def stream_rates(spark, sf):
     """K9: sample rates on a stream (foreachBatch + carried last sample)."""
     r = S.stream_rates(spark, sf)
     return r.select("job_id", "event_id", "dt", F.round("rate", 6).alias("rate"))
+
+
+@register("stream_watch", """WITH o AS (
+    SELECT o_orderkey AS k, o_orderdate AS t, o_orderkey % 5 = 0 AS twice,
+      CASE WHEN o_orderstatus <> 'P' OR o_orderkey % 2 = 0 THEN o_orderkey % 900 END AS e FROM orders),
+  w AS (SELECT max(greatest(t + CASE WHEN twice THEN 200 ELSE 0 END * INTERVAL '1' SECOND, t + coalesce(e, 0) * INTERVAL '1' SECOND))
+          - INTERVAL '10' MINUTE AS mark FROM o),
+  r AS (SELECT k, t + CASE WHEN twice THEN 200 ELSE 0 END * INTERVAL '1' SECOND AS started,
+          CASE WHEN twice AND NOT coalesce(e > 0 AND e <= 200, false) THEN 2 ELSE 1 END AS starts
+        FROM o WHERE NOT coalesce(CASE WHEN twice THEN e > 200 AND e <= 500 ELSE e > 0 AND e <= 300 END, false))
+  SELECT k AS file_id, strftime(started, '%Y-%m-%d %H:%M:%S') AS started,
+    strftime(started + INTERVAL '300' SECOND, '%Y-%m-%d %H:%M:%S') AS deadline, starts, 'timeout' AS reason
+  FROM r, w WHERE started + INTERVAL '300' SECOND < mark""")
+def stream_watch(spark, sf):
+    """K7 by keyed state and timers: a repeated start resets its deadline."""
+    r = TM.stream_watch(spark, sf)
+    times = (F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("started", "deadline"))
+    return r.select("file_id", *times, "starts", "reason")
