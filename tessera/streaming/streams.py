@@ -212,19 +212,21 @@ def drop_late(events: DataFrame, key: str = "event_id", delay: str = "1 hour") -
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
-def stream_late(spark: SparkSession, folder: str, name: str = "tessera_stream_late") -> DataFrame:
-    """K8: a tenth of the events arrives in a file after two others; those
-    behind the watermark that the first file left are dropped (Spark compares
-    a batch with the watermark of the batch before the last), and counted per
-    hour as what came in less what was kept."""
-    landing = scratch_path(spark, f"streams/{name}-{_run_tag()}/landing")
+def stream_late(spark: SparkSession, folder: str, name: str = "tessera_stream_late", progress: "ProgressLog | None" = None) -> DataFrame:
+    """K8: a tenth of the events arrives after the others, when these have
+    been taken and have left their watermark; those behind it are dropped, and
+    counted per hour as what came in less what was kept.  Each part is written
+    by all tasks and drained before the next one comes; the checkpoint stays."""
+    base = scratch_path(spark, f"streams/{name}-{_run_tag()}")
+    landing, name = f"{base}/landing", f"{name}-{_run_tag()}"
     e = spark.read.parquet(f"{folder.rstrip('/')}/events.parquet").select("event_id", "ts", "value")
-    for i, part in enumerate(("BETWEEN 1 AND 5", "> 5", "= 0")):
-        e.where(f"event_id % 10 {part}").coalesce(1).write.parquet(f"{landing}/events{i}.parquet")
-    stream = with_event_time(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1)
-                             .option("recursiveFileLookup", True).parquet(landing))
-    kept = drained(drop_late(stream), name).groupBy(F.date_trunc("hour", "ts").alias("w")).agg(
-        F.count("*").alias("kept"))
+    for i, part in enumerate(("!= 0", "= 0")):
+        e.where(f"event_id % 10 {part}").write.parquet(f"{landing}/events{i}")
+        stream = with_event_time(spark.readStream.schema(e.schema).option("recursiveFileLookup", True).parquet(landing))
+        if progress is not None:
+            stream = progress.observed(stream, "ts")
+        kept = drained(drop_late(stream), name, fresh=False)
+    kept = kept.groupBy(F.date_trunc("hour", "ts").alias("w")).agg(F.count("*").alias("kept"))
     seen = with_event_time(spark.read.schema(e.schema).option("recursiveFileLookup", True).parquet(landing)).groupBy(
         F.date_trunc("hour", "ts").alias("w")).agg(F.count("*").alias("seen"))
     return seen.join(kept, "w", "left").select(
@@ -259,29 +261,91 @@ def stream_rates(spark: SparkSession, folder: str, max_files: int | None = None)
 
 # --------------------------------------------------------------------- K10
 class ProgressLog:
-    """Progress callbacks — a StreamingQueryListener that keeps the
-    per-batch row counts and rates (the reference's progress callback)."""
+    """What streams report about themselves, as a table.
+
+    A StreamingQueryListener writes each batch's progress as one small file
+    (named by run and batch, so a repeated report replaces itself); nothing is
+    kept in memory.  :meth:`observed` adds counters that the batch itself
+    computes while it runs; rows that the watermark has dropped come from the
+    stateful operators' own count.
+    """
+
+    SCHEMA = ("run string, name string, batch long, rows long, rows_per_second double, watermark string, "
+              "late_rows long, state_rows long, observed map<string,string>")
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        import json
+        import threading
 
-    def __init__(self, spark: SparkSession):
         from pyspark.sql.streaming import StreamingQueryListener
 
         outer = self
-        self.events: list[dict] = []
+        self.spark = spark
+        self.folder = (folder or scratch_path(spark, f"streams/progress-{_run_tag()}")).rstrip("/")
+        self._ended = threading.Condition()
+        self._open: set[str] = set()
 
         class _L(StreamingQueryListener):
             def onQueryStarted(self, event):
-                pass
+                with outer._ended:
+                    outer._open.add(str(event.runId))
 
             def onQueryProgress(self, event):
-                p = event.progress
-                outer.events.append({"batch": p.batchId, "rows": p.numInputRows,
-                                     "rows_per_second": p.processedRowsPerSecond})
+                p = json.loads(event.progress.json)
+                seen = (p.get("observedMetrics") or {}).get("seen") or {}
+                operators = p.get("stateOperators") or []
+                outer._write({
+                    "run": p["runId"], "name": p.get("name"), "batch": p["batchId"], "rows": p.get("numInputRows"),
+                    "rows_per_second": p.get("processedRowsPerSecond"), "watermark": (p.get("eventTime") or {}).get("watermark"),
+                    "late_rows": sum(o.get("numRowsDroppedByWatermark", 0) for o in operators),
+                    "state_rows": sum(o.get("numRowsTotal", 0) for o in operators),
+                    "observed": {k: None if v is None else str(v) for k, v in seen.items()}})
 
             def onQueryIdle(self, event):
                 pass
 
             def onQueryTerminated(self, event):
-                pass
+                with outer._ended:
+                    outer._open.discard(str(event.runId))
+                    outer._ended.notify_all()
 
         self.listener = _L()
         spark.streams.addListener(self.listener)
+
+    def _write(self, row: dict) -> None:
+        import json
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{row['run']}-{row['batch']:010d}.json")
+        out = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(json.dumps(row).encode()))
+        out.close()
+
+    def observed(self, df: DataFrame, event_time: str) -> DataFrame:
+        """The stream with counters of its batches: rows, earliest and latest
+        event (read from the progress, at no extra job)."""
+        return df.observe("seen", F.count("*").alias("rows"), F.date_format(F.min(event_time), "yyyy-MM-dd HH:mm:ss").alias("first"),
+                          F.date_format(F.max(event_time), "yyyy-MM-dd HH:mm:ss").alias("last"))
+
+    def table(self, wait: float = 30.0) -> DataFrame:
+        """All batches reported so far; waits for the reports of queries that
+        have just ended."""
+        with self._ended:
+            self._ended.wait_for(lambda: not self._open, wait)
+        return self.spark.read.schema(self.SCHEMA).json(self.folder)
+
+    def close(self) -> None:
+        self.spark.streams.removeListener(self.listener)
+
+
+def stream_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """The late-rows stream's account of itself: per drained part its
+    rows, earliest and latest event, and the rows its watermark has dropped."""
+    log = ProgressLog(spark)
+    try:
+        stream_late(spark, folder, progress=log)
+        rows = log.table()
+    finally:
+        log.close()
+    return rows.where("rows > 0").select("rows", F.col("observed")["first"].alias("first_event"),
+                                         F.col("observed")["last"].alias("last_event"),
+                                         F.col("observed")["rows"].cast("long").alias("observed_rows"), "late_rows")

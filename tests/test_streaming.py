@@ -34,3 +34,24 @@ def test_dedup_drops_repeats_within_watermark(spark, tmp_path):
     pq.write_table(t, folder + "/orders.parquet")
     out = S.stream_dedup(spark, folder, name="dedup_" + uuid.uuid4().hex[:8]).collect()
     assert sorted((r.job_id, r.file_path) for r in out) == [(2, "/corpus/job2/d1/f1"), (3, "/corpus/job3/d2/f2")]
+
+
+def test_progress_is_a_table(spark, tmp_path):
+    """Every batch is reported once, with observed counters and late rows."""
+    base = dt.datetime(2024, 1, 1)
+    hours = [*range(40), *range(40)]
+    pq.write_table(pa.table({"event_id": pa.array(range(1, 81), pa.int64()),
+                             "ts": pa.array([base + dt.timedelta(hours=h) for h in hours], pa.timestamp("us")),
+                             "user_id": pa.array([1] * 80, pa.int64()), "event_type": ["x"] * 80, "value": [1.0] * 80}),
+                   f"{tmp_path}/events.parquet")
+    log = S.ProgressLog(spark, f"{tmp_path}/progress")
+    try:
+        per_hour = S.stream_late(spark, str(tmp_path), progress=log).collect()
+        rows = [r for r in log.table().collect() if r.rows]
+    finally:
+        log.close()
+    assert sorted((r.rows, r.late_rows, r.observed["rows"]) for r in rows) == [(8, 6, "8"), (72, 0, "72")]
+    assert sum(r.late for r in per_hour) == 6 and sum(r.events for r in per_hour) == 74
+    again = S.ProgressLog(spark, f"{tmp_path}/progress")  # the table outlives the listener
+    again.close()
+    assert again.table().count() >= 2
