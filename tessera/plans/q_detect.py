@@ -215,3 +215,14 @@ def detect_terms_scripts(spark, sf):
     docs = spark.sql(_SCRIPT_TEXTS.replace("customer JOIN", "{customer} JOIN").replace("names", "{names}"), customer=customer, names=names)
     terms = spark.sql(_SCRIPT_TERMS.replace("names", "{names}"), names=names)
     return D.detect_terms(docs, terms)
+
+
+@register("detect_lateral", O.with_views(
+    """SELECT d.doc_id, d.lang, s.entity_type, s.start, s."end", s.score, s.text FROM documents d JOIN spans s ON s.doc_id = d.doc_id
+       WHERE s.entity_type <> 'PERSON'""", extra=O.spans_view(None, 0.7)))
+def detect_lateral(spark, sf):
+    """Detection as a SQL table function in a lateral join."""
+    from .views import register_functions
+    register_functions(spark)
+    return spark.sql("""SELECT d.doc_id, d.lang, s.* FROM {documents} d, LATERAL detect_spans(d.text) s
+        WHERE s.entity_type <> 'PERSON'""", documents=read_table(spark, sf, "documents"))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import bags as B
 from ..functions import policy as P
 from ..operators import classify as C
 from ..operators import detect as D
@@ -13,11 +14,14 @@ from ..operators import ledger as L
 from ..operators import summary as SM
 from ..session import scratch_path
 from ..sources import bigjson as BJ
+from ..sources import files as FS
 from ..sources import listing as LS
 from ..sources import metrics as MX
 from ..sources import reports as RP
 from ..sources import sinks as SK
 from ..sources import text as TX
+from ..sources import versions as VS
+from ..sources import walk as WK
 from ..sources.tables import TABLES, read_table
 from ..functions.strings import strip_sql
 from . import oracle as O
@@ -59,6 +63,56 @@ def src_listing(spark, sf):
     return files.select("name", L.file_type(F.col("name")).alias("file_type"), "n_rows")
 
 
+_TREE = "concat(coalesce({d}lang, 'none'), '/', {d}doc_id % 3, '/', {d}doc_id % 5, '/', {d}source, '/d', {d}doc_id, CASE {d}doc_id % 4 WHEN 0 THEN '.TXT' WHEN 1 THEN '.md' WHEN 2 THEN '.exe' ELSE '' END)"
+
+
+@register("src_walk", f"""SELECT {_TREE.format(d='')} AS path, CAST(strlen(text) AS BIGINT) AS file_size,
+    CASE doc_id % 4 WHEN 0 THEN '.txt' ELSE '.md' END AS file_type, true AS is_dated
+  FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND doc_id % 4 < 2""")
+def src_walk(spark, sf):
+    """A deep tree of the documents' files, written at their own paths and
+    scanned by rounds; extension filter, sizes and times."""
+    base = _scratch(spark, "tree")
+    docs = read_table(spark, sf, "documents").select(F.expr(_TREE.format(d="")).alias("path"), F.col("text").alias("content"))
+    FS.write_files(docs.where("path IS NOT NULL"), base)
+    found = WK.walk(spark, base, ["txt", ".md"])
+    return found.select(F.regexp_extract("file_path", "/tessera-tree-[0-9a-f]+/(.*)$", 1).alias("path"), "file_size", "file_type",
+                        (F.col("modified_time") > F.lit("2020-01-01").cast("timestamp")).alias("is_dated"))
+
+
+@register("src_ledger_versions", O.with_views(
+    """SELECT result_id, file_id, processing_time, CASE WHEN file_id % 2 = 0 THEN 1 ELSE 2 END AS schema_version,
+         CASE WHEN file_id % 2 = 0 THEN 'unknown' WHEN file_id % 4 = 0 THEN 'ocr' ELSE 'tika' END AS extraction_method
+       FROM t_results""", "t_results"))
+def src_ledger_versions(spark, sf):
+    """Results of two schema versions, the first without metadata, as one
+    table with the first one's default."""
+    r, path = _tb(spark, sf).results, _scratch(spark, "versions")
+    VS.write_version(r.where("file_id % 2 = 0").drop("metadata"), path, 1)
+    VS.write_version(r.where("file_id % 2 = 1"), path, 2)
+    back = VS.read_versions(spark, path, r.schema, {"metadata": (2, "{}")}, newest=2)
+    return back.select("result_id", "file_id", "processing_time", "schema_version", F.coalesce(
+        B.field(B.bag(F.col("metadata")), "$.extraction_method"), F.lit("unknown")).alias("extraction_method"))
+
+
+_BAGS = """CASE event_id % 7 WHEN 0 THEN substr(props, 1, length(props) - 1) WHEN 1 THEN concat('{"k": {"v": ', event_id, '}, "tags": ["a", "b"]}')
+    WHEN 2 THEN '' WHEN 3 THEN '[1, 2, 3]' WHEN 4 THEN NULL WHEN 5 THEN '{"k": "7x", "tags": []}' ELSE props END"""
+
+
+@register("metadata_bags", f"""SELECT event_id, CASE WHEN NOT ok THEN NULL WHEN t = 'UBIGINT' THEN 'number' ELSE lower(t) END AS kind,
+    TRY_CAST(json_extract_string(j, '$.k') AS INT) AS k, TRY_CAST(json_extract_string(j, '$.k.v') AS BIGINT) AS v,
+    json_extract_string(j, '$.tags[0]') AS first_tag, CASE WHEN NOT ok THEN bag END AS corrupt
+  FROM (SELECT *, json_type(j) AS t FROM (SELECT event_id, bag, ok, CASE WHEN ok THEN bag::JSON END AS j FROM (
+    SELECT event_id, bag, json_valid(bag) AS ok FROM (SELECT event_id, {_BAGS} AS bag FROM events) a) b) c) d""")
+def metadata_bags(spark, sf):
+    """JSON bags of no fixed schema: typed fields by path, texts that are no
+    JSON kept in a column."""
+    rows = B.with_bag(read_table(spark, sf, "events").select("event_id", F.expr(_BAGS).alias("text")), "text")
+    bag = F.col("bag")
+    return rows.select("event_id", B.kind(bag).alias("kind"), B.field(bag, "$.k", "int").alias("k"),
+                       B.field(bag, "$.k.v", "bigint").alias("v"), B.field(bag, "$.tags[0]").alias("first_tag"), "corrupt")
+
+
 @register("src_file_list", O.with_views(
     """SELECT l.job_id, l.file_path, NOT EXISTS (SELECT 1 FROM t_files k WHERE k.status = 'completed'
          AND k.job_id = l.job_id AND k.file_path = l.file_path) AS is_new
