@@ -36,6 +36,8 @@ from .scratch import drop, id_and_text, stored
 TOP = 10
 #: postings of a block; terms from which on a shard is closed; queries searched together
 BLOCK, SHARD_TERMS, QUERIES = 128, 1 << 20, 256
+#: (shard, query block) groups searched by one task: they are small but take long, so no size counts here
+GROUPS_A_TASK = 4
 #: documents of the first window of a shard, each next one is twice as large
 WINDOW = 512
 #: heaps of so many groups of shards are merged first
@@ -356,7 +358,8 @@ def search(index: DataFrame, queries: DataFrame, top: int = TOP, id_col: str = "
         "shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(None).cast("long").alias("term"),
         F.lit(None).cast("long").alias("weight"), F.lit(None).cast(asks.schema["asks"].dataType).alias("asks"),
         "heads", "peaks", "body")
-    heaps = lists.union(numbers).groupBy("shard", "part").applyInArrow(
+    tasks = max(1, math.ceil(parts * shards.count() / GROUPS_A_TASK))
+    heaps = lists.union(numbers).repartitionByRange(tasks, "shard", "part").groupBy("shard", "part").applyInArrow(
         _search(whole["n"], whole["l"], top), "item long, key long, doc_id long, score long")
     best = [F.desc("score"), F.asc("doc_id")]
     group = F.expr(f"pmod(xxhash64(doc_id), {GROUPS})")
