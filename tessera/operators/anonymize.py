@@ -191,3 +191,23 @@ def scan_texts(docs: DataFrame, settings, id_cols=("doc_id",), text_col: str = "
                           settings.effective_threshold(DEFAULT_THRESHOLD))
     out = redact(spans, text_col, "entities", settings.method, settings.operators, key)
     return out.select(*id_cols, F.size("entities").alias("entity_count"), "redacted")
+
+
+def scan_files(files: DataFrame, settings, path_col: str = "file_path", text_col: str = "text") -> DataFrame:
+    """A scan of files under all of one ``ScanSettings``: its extensions
+    and size limit choose the files, its threshold and types the spans, and
+    ``min_tier`` the files that are reported: ``(path, entity_count, tier)``."""
+    from ..functions import policy as P
+    from .detect import DEFAULT_THRESHOLD, spans_column, spread
+    from .ledger import is_supported
+    path = F.col(path_col)
+    chosen = files.where(F.octet_length(text_col) <= settings.max_file_bytes)
+    if settings.extensions is not None:
+        chosen = chosen.where(is_supported(path, settings.extensions))
+    spans = spans_column(text_col, settings.entities, settings.effective_threshold(DEFAULT_THRESHOLD))
+    found = spread(chosen, (path_col,)).select(path_col, spans.alias("_s"))
+    types = F.array_distinct(F.transform("_s", lambda s: s["entity_type"]))
+    # a generator of one row: the tier's filter cannot be pushed below the detector and run it again
+    one = found.select(path_col, F.inline_outer(F.array(F.struct(types.alias("_types"), F.size("_s").alias("entity_count")))))
+    tier = F.when(F.col("entity_count") > 0, P.set_tier(F.col("_types"))).otherwise(F.lit(0))
+    return one.select(path_col, "entity_count", tier.cast("int").alias("tier")).where(F.col("tier") >= settings.min_tier)

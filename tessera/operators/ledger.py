@@ -103,11 +103,27 @@ def needs_ocr(path: Column, text: Column) -> Column:
 
 def size_gate_message(size: Column, limit: int = MAX_FILE_BYTES) -> Column:
     """P5: the rejection message for files above the limit, else NULL."""
-    mb = size / F.lit(1024.0 * 1024.0)
+    # a tie goes to the even digit, as in the texts that this message has to equal
+    mb = F.bround(size / F.lit(1024.0 * 1024.0), 2)
     most = f"{limit / (1024 * 1024):g}"
     return F.when(size > limit, F.format_string(f"File too large: %.2fMB (max {most}MB)", mb))
 
 
+def file_gate(listed: DataFrame, found: DataFrame, limit: int = MAX_FILE_BYTES) -> DataFrame:
+    """P5: every listed ``file_path`` with the reason it cannot be analysed:
+    it is not ``found(file_path, file_size, access_error)``, its access
+    failed, or it is too large; null for a file that can.  A file that is
+    missing or not accessible has size 0."""
+    f = found.select("file_path", F.col("file_size").alias("_size"), F.col("access_error").alias("_error"), F.lit(True).alias("_found"))
+    j = listed.join(f, "file_path", "left")
+    message = (F.when(F.col("_found").isNull(), F.concat(F.lit("File not found: "), F.col("file_path")))
+               .when(F.col("_error").isNotNull(), F.concat(F.lit("File access error: "), F.col("_error")))
+               .otherwise(size_gate_message(F.col("_size"), limit)))
+    size = F.when(F.col("_found").isNull() | F.col("_error").isNotNull(), F.lit(0)).otherwise(F.col("_size"))
+    return j.select(*listed.columns, size.cast("long").alias("checked_size"), message.alias("error_message"),
+                    message.isNull().alias("success"))
+
+
 def is_temp(path: Column) -> Column:
     """Office lock files (``~$`` after a slash)."""
     return path.like("%/~$%")
@@ -219,6 +235,14 @@ def reset_all(files: DataFrame) -> DataFrame:
             .withColumn("error_message", F.lit(None).cast("string")))
 
 
+def reset_everything(jobs: DataFrame, files: DataFrame, results: DataFrame, entities: DataFrame, now: Column) -> tuple:
+    """The four tables after a full reset: every file pending, every job
+    created anew with its counters at 0, no results and no entities."""
+    zero = {c: F.lit(0).cast(jobs.schema[c].dataType) for c in ("processed_files", "error_files")}
+    j = jobs.withColumns({**zero, "status": F.lit("created"), "last_updated": now})
+    return j, reset_all(files), results.limit(0), entities.limit(0)
+
+
 def retry_errors(files: DataFrame, min_size: int = RETRY_MIN_SIZE, exclude_temp: bool = True,
                  exclude_small: bool = True) -> DataFrame:
     """Error -> pending, except temp files and files of size <= min_size
@@ -274,15 +298,25 @@ def default_job_name(directory: Column) -> Column:
     return F.concat(F.lit("PII Analysis - "), basename(directory))
 
 
-def create_jobs(jobs: DataFrame, directories: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Job rows with the next free ids for directories, and their
-    ``directory`` metadata rows."""
+def create_jobs(jobs: DataFrame, directories: DataFrame, now: Column | None = None, command_line: str | None = None,
+                settings: dict | None = None, metadata: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Job rows with the next free ids for directories, with both times,
+    command line and settings (JSON, null when there are none), and their
+    metadata rows: ``directory`` and what ``metadata`` holds."""
+    import json
+
     from .parallel import ranked
     first = jobs.agg(F.coalesce(F.max("job_id"), F.lit(0))).scalar()
     new = ranked(directories, ["directory"], out="_rn").withColumn("job_id", first + F.col("_rn"))
-    rows = new.select("job_id", default_job_name(F.col("directory")).alias("name"), F.lit("created").alias("status"),
-                      *(F.lit(0).alias(c) for c in ("total_files", "processed_files", "error_files")))
-    return rows, new.select("job_id", F.lit("directory").alias("key"), F.col("directory").alias("value"))
+    now = (F.lit(None) if now is None else now).cast("timestamp_ntz")
+    rows = new.select("job_id", default_job_name(F.col("directory")).alias("name"), now.alias("start_time"),
+                      now.alias("last_updated"), F.lit("created").alias("status"),
+                      F.lit(command_line).cast("string").alias("command_line"),
+                      *(F.lit(0).alias(c) for c in ("total_files", "processed_files", "error_files")),
+                      F.lit(json.dumps(settings) if settings else None).cast("string").alias("settings"))
+    pairs = [F.struct(F.lit("directory").alias("key"), F.col("directory").alias("value")), *(
+        F.struct(F.lit(k).alias("key"), F.lit(str(v)).alias("value")) for k, v in (metadata or {}).items() if k != "directory")]
+    return rows, new.select("job_id", F.explode(F.array(*pairs)).alias("m")).select("job_id", "m.*")
 
 
 def normalise_dir(path: Column) -> Column:

@@ -8,7 +8,7 @@ an explicit ``as_of`` string instead of the wall clock.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import masks as M
@@ -214,6 +214,46 @@ def breach_report_lines(ents: DataFrame, as_of: str | None = None) -> DataFrame:
     return header.unionByName(out).unionByName(footer)
 
 
+SIMPLE_TITLE = "Files containing high-confidence PII requiring breach notification under NC law:"
+
+
+def simple_report_lines(ents: DataFrame) -> DataFrame:
+    """The simple policy's report, a block of lines per file that holds
+    an entity of it, most entities first, then by path: ``(file_rank, ord,
+    line)``.
+
+    A file's categories stand by count (descending), then name, each with up
+    to three masked samples in the order of the text.  ``ents`` are entities
+    above the threshold."""
+    from .parallel import ranked
+    e = C.simple_highrisk(ents)
+    counts = e.groupBy("file_id", "file_path", "category").agg(F.count(F.lit(1)).alias("n"))
+    files = counts.groupBy("file_id", "file_path").agg(F.sum("n").alias("total"))
+    files = ranked(files.withColumn("_less", -F.col("total")), ["_less", "file_path", "file_id"], out="file_rank")
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("n"), "category"))
+    counts = counts.withColumn("at", place).join(files.select("file_id", "file_rank"), "file_id")
+
+    def line(ord_, *parts):
+        return F.struct(F.lit(ord_).cast("int").alias("ord") if not isinstance(ord_, Column) else ord_.cast("int").alias("ord"),
+                        F.concat(*parts).alias("line"))
+    frame = files.select("file_rank", F.explode(F.array(
+        line(0, F.lit("File: "), F.col("file_path")),
+        line(1, F.lit("Number of sensitive entities: "), F.col("total").cast("string")),
+        line(TYPES, F.lit("Entity types:")), line(SAMPLES, F.lit("Sample entities (max 3 per type):")),
+        line(END, F.lit(SEPARATOR)))).alias("l")).select("file_rank", "l.*")
+    # a category has its count line and, further down, the heading of its samples
+    heads = counts.select("file_rank", F.explode(F.array(
+        line(F.col("at") + TYPES, F.lit("  - "), F.col("category"), F.lit(": "), F.col("n").cast("string")),
+        line(F.col("at") * 10 + SAMPLES, F.lit("  "), F.col("category"), F.lit(":")))).alias("l")).select("file_rank", "l.*")
+    first = Window.partitionBy("file_id", "category").orderBy("start_index", "end_index", "entity_type", "text", "score")
+    samples = e.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= 3).join(
+        counts.select("file_id", "category", "file_rank", "at"), ["file_id", "category"]).select(
+        "file_rank", (F.col("at") * 10 + SAMPLES + F.col("rn")).cast("int").alias("ord"), F.concat(
+            F.lit("    - "), F.col("masked"), F.lit(" (confidence: "), F.format_string("%.2f", F.col("score")), F.lit(")")).alias("line"))
+    title = ents.sparkSession.createDataFrame([(0, 0, SIMPLE_TITLE), (0, 1, "")], "file_rank long, ord int, line string")
+    return title.unionByName(frame).unionByName(heads).unionByName(samples)
+
+
 def tier_report_lines(ents: DataFrame, counts: DataFrame, as_of: str) -> DataFrame:
     """The detailed tier report, a block of lines per classified file,
     highest tier first, then by path: ``(tier_order, file_path, ord, line)``.

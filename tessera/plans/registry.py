@@ -26,4 +26,4 @@ def register(key: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import q_detect, q_ledger, q_policy, q_redact, q_reports, q_stats, q_stream, q_time  # noqa: F401
+    from . import q_details, q_detect, q_ledger, q_policy, q_redact, q_reports, q_stats, q_stream, q_time  # noqa: F401
