@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .scratch import drop, id_and_text, stored
+from .scratch import drop, id_and_text, stored, unused
 
 SKETCH_BITS = 24
 #: buckets in a row of the sketch
@@ -306,13 +306,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows without an id, and texts without words, stay.  Rows that repeat an
     id and its text become one; an id goes when any of its texts does.
     """
+    own, = unused(docs.columns, "_id")
     rows = stored(jaccard_groups(docs, id_col=id_col, text_col=text_col, **options), "groups")
     drop_ids = stored(rows.where("doc_id IS NOT NULL AND doc_id != component_id").select(
-        F.col("doc_id").alias("_id")).distinct(), "dropped")
-    again = rows.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
-    again = stored(again, "repeated")
-    kept = docs.join(_small(drop_ids), docs[id_col] == drop_ids["_id"], "left_anti")
+        F.col("doc_id").alias(own)).distinct(), "dropped")
+    again = rows.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(own)).count().where("count > 1").select(own)
+    again, same = stored(again, "repeated"), F.col(id_col) == F.col(own)
+    kept = docs.join(_small(drop_ids), same, "left_anti")
     if again.isEmpty():
         return kept
-    once = kept.join(_small(again), F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(_small(again), F.col(id_col) == F.col("_id"), "left_anti").union(once)
+    once = kept.join(_small(again), same, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(_small(again), same, "left_anti").union(once)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, id_and_text, stored
+from .scratch import drop, id_and_text, stored, unused
 
 MIN_CHARS = 10
 EDIT_CHARS = 20
@@ -116,24 +116,26 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "pos", "h").join(fate, "h").where(gone).select("doc_id", "pos").distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the lines that go cut out of the text, and n_removed.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
+    """``docs`` with the lines that go cut out of the text, and their number
+    as ``removed_col`` (n_removed, if not named; with underscores before it
+    where ``docs`` has a column of that name).
 
     Lines end at line feeds; blank lines and lines under MIN_CHARS always
     stay.  Null and empty texts stay as they are.  Rows without an id keep
     their text and are nobody's earlier copy.  Rows that share an id count as
     one document: what goes, goes by line number from each of them.  An empty
-    table gives an empty result.  All columns are kept; n_removed and
-    names that start with an underscore must be none of them.
+    table gives an empty result.  All columns are kept, whatever their names.
     """
+    own, gone_col = unused(docs.columns, "_id", "_gone")
+    removed_col = removed_col or unused(docs.columns, "n_removed")[0]
     gone = line_decisions(id_and_text(docs, id_col, text_col))
-    cut = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("_gone")).withColumnRenamed(
-        "doc_id", "_id")
-    both = docs.join(cut, F.col(id_col) == F.col("_id"), "left")
+    cut = gone.groupBy(F.col("doc_id").alias(own)).agg(F.sort_array(F.collect_list("pos")).alias(gone_col))
+    both = docs.join(cut, F.col(id_col) == F.col(own), "left")
     lines = F.split(text_col, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone_col))
+    text = F.when(F.col(gone_col).isNull(), F.col(text_col)).otherwise(
         F.concat_ws("\n", F.transform(kept, lambda i: F.get(lines, i))))
-    n = F.when(F.col(text_col).isNull() | F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))
+    n = F.when(F.col(text_col).isNull() | F.col(gone_col).isNull(), 0).otherwise(F.size(gone_col))
     return both.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns),
-                       n.cast("long").alias("n_removed"))
+                       n.cast("long").alias(removed_col))

@@ -43,4 +43,5 @@ def no_docs(spark):
 def clashing(docs):
     """More columns, with names that operators use themselves."""
     from pyspark.sql import functions as F
-    return docs.select("*", *(F.lit(7).alias(c) for c in ("f", "n", "h", "pos", "seed", "ids", "score", "size", "b", "a")))
+    return docs.select("*", *(F.lit(7).alias(c) for c in (
+        "f", "n", "h", "pos", "seed", "ids", "score", "size", "b", "a", "n_removed", "_id", "_text", "_spans", "_removed", "_gone")))

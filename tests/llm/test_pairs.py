@@ -75,6 +75,7 @@ def test_groups_edge_cases(odd_docs, no_docs):
     assert by[8].n_shingles == 1 and by[8].component_id == 8 and by[None].component_id is None
     assert by[9].n_shingles == 1
     assert jaccard.jaccard_groups(no_docs).count() == 0
+    assert jaccard.one_of_each(clashing(odd_docs)).count() == jaccard.one_of_each(odd_docs).count()
     kept = sorted(str(r.doc_id) for r in jaccard.one_of_each(odd_docs).collect())
     assert kept == sorted(map(str, [1, 4, 5, 6, 7, 8, None, 9, 10, 11, 12]))
 
@@ -122,7 +123,10 @@ def test_passages_edge_cases(spark, odd_docs, no_docs):
     pairs = {(r.doc_id, r.source_id) for r in found.collect()}
     assert pairs == {(2, 1), (3, 1), (12, 1)}
     assert substring.repeated_passages(no_docs).count() == 0
+    clash = substring.cut_passages(clashing(odd_docs), found, removed_col="gone")
+    assert clash.columns == [*clashing(odd_docs).columns, "gone"] and all(r._spans == r._text == 7 for r in clash.collect())
     cut = {r.doc_id: r for r in substring.cut_passages(odd_docs, found, removed_col="gone").collect()}
+    assert {r.doc_id: (r.text, r.gone) for r in clash.collect()} == {i: (r.text, r.gone) for i, r in cut.items()}
     assert words(cut[2].text) == [] and words(cut[3].text) == ["one", "more"]
     assert cut[4].text is None and cut[6].text == " \n\t " and cut[7].gone == 0 and cut[1].gone == 0
     assert 155 <= len(words(cut[12].text)) <= 160
@@ -174,7 +178,11 @@ def test_lines_match_brute_force(spark):
 
 
 def test_lines_edge_cases(odd_docs, no_docs):
-    got = {r.doc_id: r for r in linededup.dedup_lines(clashing(odd_docs)).collect()}
+    clash = linededup.dedup_lines(clashing(odd_docs))
+    assert clash.columns == [*clashing(odd_docs).columns, "_n_removed"]
+    assert all(r.n_removed == r._gone == 7 for r in clash.collect()) and clash.agg({"_n_removed": "sum"}).first()[0] > 0
+    got = {r.doc_id: r for r in linededup.dedup_lines(odd_docs).collect()}
+    assert {r.doc_id: r.text for r in clash.collect()} == {i: r.text for i, r in got.items()}
     assert got[10].text == "a\nthe very same line of text\nb" and got[10].n_removed == 1
     assert got[11].text == "end of it all, is it"
     assert got[4].text is None and got[5].text == "" and got[6].text == " \n\t " and got[2].text == ""
