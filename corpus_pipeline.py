@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, linededup, packing, substring, toxicity
-from tessera.llm.scratch import stored
+from tessera.llm.scratch import stored, unused
 
 
-def _recounted(docs: DataFrame, before: DataFrame) -> DataFrame:
-    """Columns of ``before`` with n_chars of the new text; a document of which
-    nothing is left goes, one that was empty from the start stays."""
-    left = docs.where(F.expr("text IS NULL OR n_removed = 0 OR btrim(text, ' \\t\\n\\x0B\\f\\r') != ''"))
+def _recounted(docs: DataFrame, before: DataFrame, removed: str) -> DataFrame:
+    """Columns of ``before`` with n_chars of the new text, where ``removed``
+    counts what went; a document of which nothing is left goes, one that was
+    empty from the start stays."""
+    left = docs.where(F.expr(f"text IS NULL OR `{removed}` = 0 OR btrim(text, ' \\t\\n\\x0B\\f\\r') != ''"))
     if "n_chars" in before.columns:
-        n = F.when(F.col("n_removed") > 0, F.length("text").cast(before.schema["n_chars"].dataType))
+        n = F.when(F.col(removed) > 0, F.length("text").cast(before.schema["n_chars"].dataType))
         left = left.withColumn("n_chars", n.otherwise(F.col("n_chars")))
     return left.select(*before.columns)
 
@@ -34,7 +35,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line repeats."""
-    return _recounted(linededup.dedup_lines(docs), docs)
+    removed, = unused(docs.columns, "n_removed")
+    return _recounted(linededup.dedup_lines(docs, removed_col=removed), docs, removed)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +46,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document holds."""
-    cut = substring.cut_passages(docs, substring.repeated_passages(docs), removed_col="n_removed")
-    return _recounted(cut, docs)
+    removed, = unused(docs.columns, "n_removed")
+    cut = substring.cut_passages(docs, substring.repeated_passages(docs), removed_col=removed)
+    return _recounted(cut, docs, removed)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
