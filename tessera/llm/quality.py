@@ -2,10 +2,12 @@
 
 Each document's counts are turned into a few rates.  Mergeable quantile
 sketches (KLL, fixed size) of every rate are aggregated per language and
-source and merged upwards to languages and to the whole corpus.  A group's
-upper bound of a rate is its 75 % quantile plus a multiple of its spread; a
-group with few documents takes the bounds of its language or of the corpus.
-The bounds are joined to the documents and filter them.
+source and merged upwards to languages and to the whole corpus.  Documents
+that fail the base rule are judged already and not sketched.  A group's upper
+bound of a rate is its 90 % quantile plus a multiple of the distance from
+there to its median; a group with few documents takes the bounds of its
+language or of the corpus.  The bounds are joined to the documents and filter
+them.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ from pyspark.sql import functions as F
 from . import words as W
 from .scratch import stored
 
-#: rate -> least distance of its bound from the middle half (documents of a
-#: uniform group would otherwise fail for a trifle)
-RATES = {"symbol_rate": 0.03, "dup_line_rate": 0.4, "repeat_rate": 0.45, "odd_case_rate": 0.5}
-SPREADS = 3.0
+#: rate -> least bound.  Where nine of ten documents have none of a kind, the sketch's spread is 0 and this decides:
+#: a symbol in 50 characters, one line in four repeated, a seventh of the words, a capital in 50 letters
+RATES = {"symbol_rate": 0.02, "dup_line_rate": 0.25, "repeat_rate": 0.15, "odd_case_rate": 0.02}
+TAIL, SPREADS = 0.9, 8.0
 MIN_GROUP = 50
+#: groups up to which the bounds are broadcast (100 bytes each); more are shuffled
+BROADCAST_GROUPS = 100_000
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
 
@@ -111,9 +115,9 @@ def thresholds(rates: DataFrame) -> DataFrame:
     merged = sketched.rollup("lang", "source").agg(
         F.grouping_id().alias("level"), F.sum("n").alias("n"), *(F.kll_merge_agg_double(r).alias(r) for r in RATES))
 
-    def bound(rate: str, slack: float) -> Column:
-        q1, q3 = (F.kll_sketch_get_quantile_double(F.col(rate), F.lit(q)) for q in (0.25, 0.75))
-        return q3 + F.greatest(F.lit(slack), SPREADS * (q3 - q1))
+    def bound(rate: str, least: float) -> Column:
+        middle, tail = (F.kll_sketch_get_quantile_double(F.col(rate), F.lit(q)) for q in (0.5, TAIL))
+        return F.greatest(F.lit(least), tail + SPREADS * (tail - middle))
     bounds = merged.select("lang", "source", "level", "n", F.struct(
         *(bound(r, s).alias(f"max_{r}") for r, s in RATES.items())).alias("b"))
     own = bounds.where("level = 0").select("lang", "source", "n", "b")
@@ -135,9 +139,10 @@ def apply_rules(docs: DataFrame, **columns: str) -> DataFrame:
     """
     # counted once; the sketches and the filter read the written counts
     rates = _rates(stored(measure(docs, **columns), "counts"))
-    bounds = thresholds(rates)
+    bounds = thresholds(rates.where(~base_failed()))
     ok = " AND ".join(f"r.{r} <= t.max_{r}" for r in RATES)
-    r, t = rates.alias("r"), F.broadcast(bounds).alias("t")
+    bounds = stored(bounds, "bounds")
+    r, t = rates.alias("r"), (F.broadcast(bounds) if bounds.count() <= BROADCAST_GROUPS else bounds).alias("t")
     judged = r.join(t, F.expr("r.lang <=> t.lang AND r.source <=> t.source"), "left")
     return judged.select("doc_id", *(F.col(c) for c in COUNTS[:5]), base_failed().alias("base_failed"),
-                         (~base_failed() & F.expr(ok)).alias("kept"))
+                         (~base_failed() & F.coalesce(F.expr(ok), F.lit(False))).alias("kept"))

@@ -1,8 +1,8 @@
 """Shards along a Hilbert curve over document metadata (DataFrame functions
 only).
 
-Language, source and size are quantised to a few bits each by corpus
-quantiles, the cell's place on the Hilbert curve is computed with bit
+Language, source and size are quantised to a few bits each by their ranks in
+the corpus, the cell's place on the Hilbert curve is computed with bit
 operations, and documents sorted by it are cut into runs of equal count.
 Neighbours on the curve are neighbours in every dimension, so each shard
 covers a small box and its file's min/max statistics prune queries on any of
@@ -15,16 +15,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.parallel import prefix_scan
 from .scratch import stored
 
 SHARDS = 40
 BITS = 5
+#: distinct strings of a dimension up to which their cells are broadcast; more are shuffled
+BROADCAST_VALUES = 100_000
 
 
-def _order_number(text: Column) -> Column:
-    """A long that orders strings by their first seven bytes."""
-    head = F.rpad(F.substring(F.hex(F.encode(text, "utf-8")), 1, 14), 14, "0")
-    return F.conv(head, 16, 10).cast("long")
+def _string_cells(rows: DataFrame, column: str, bits: int) -> DataFrame:
+    """_h_value, _h_cell: the cell of each distinct string, by the share of
+    all rows whose string is smaller.  Strings with long common prefixes are
+    told apart like any others; a value of many rows has one cell."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_h_value")).agg(F.count("*").alias("_h_n"))
+    counts = stored(counts, "values")
+    total = counts.agg(F.sum("_h_n")).scalar()
+    place = prefix_scan(counts, ["_h_value"], sums={"_h_n": "_h_less"}, inclusive=False)
+    return place.select("_h_value", F.expr("_h_less").alias("_h_less"), total.alias("_h_total")).select(
+        "_h_value", F.expr(f"cast(_h_less * {1 << bits} div _h_total AS int)").alias("_h_cell"))
 
 
 def quantised(value: str, cuts: str, bits: int) -> str:
@@ -75,15 +84,24 @@ def assign_shards(docs: DataFrame, group: list[str], dimensions: tuple[str, ...]
     are kept; their names must not start with ``_h_``.
     """
     spark, kinds = docs.sparkSession, dict(docs.dtypes)
-    numbers = {f"_h_{i}": _order_number(F.col(d)) if kinds[d] == "string" else F.col(d).cast("double")
-               for i, d in enumerate(dimensions)}
-    rows = docs.withColumns(numbers)
-    quantiles = [k / (1 << bits) for k in range(1, 1 << bits)]
-    cuts = rows.agg(F.struct(*(F.percentile_approx(c, quantiles).alias(c) for c in numbers)).alias("c")).scalar()
-    rows = rows.withColumn("_h_cuts", cuts)
-    cell = "array(" + ", ".join(quantised(c, f"_h_cuts.{c}", bits) for c in numbers) + ")"
-    place = hilbert_index(cell, len(numbers), bits)
-    rows = stored(rows.withColumn("hilbert", place).drop(*numbers, "_h_cuts"), "cells")
+    rows, cells = docs, []
+    numbers = {f"_h_{i}": F.col(d).cast("double") for i, d in enumerate(dimensions) if kinds[d] != "string"}
+    if numbers:
+        quantiles = [k / (1 << bits) for k in range(1, 1 << bits)]
+        rows = rows.withColumns(numbers)
+        cuts = rows.agg(F.struct(*(F.percentile_approx(c, quantiles).alias(c) for c in numbers)).alias("c")).scalar()
+        rows = rows.withColumn("_h_cuts", cuts)
+    for i, d in enumerate(dimensions):
+        if kinds[d] != "string":
+            cells.append(quantised(f"_h_{i}", f"_h_cuts._h_{i}", bits))
+            continue
+        of = stored(_string_cells(docs, d, bits).withColumnsRenamed({"_h_value": f"_h_v{i}", "_h_cell": f"_h_c{i}"}), "cells")
+        of = F.broadcast(of) if of.count() <= BROADCAST_VALUES else of
+        rows = rows.join(of, F.col(d) == F.col(f"_h_v{i}"), "left").drop(f"_h_v{i}")
+        cells.append(f"coalesce(_h_c{i}, 0)")
+    place = hilbert_index("array(" + ", ".join(cells) + ")", len(cells), bits)
+    helpers = [c for c in rows.columns if c not in docs.columns]
+    rows = stored(rows.withColumn("hilbert", place).drop(*helpers), "cells")
     copies = rows.groupBy(*group).agg(F.min("hilbert").alias("_h_at"), F.count("*").alias("_h_n")).where("_h_n > 1")
     copies = copies.select("_h_at", *(F.col(g).alias(f"_h_g{i}") for i, g in enumerate(group)))
     same = F.expr(" AND ".join(f"`{g}` <=> _h_g{i}" for i, g in enumerate(group)))

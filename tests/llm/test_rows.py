@@ -1,6 +1,7 @@
 """Operators that work text by text: BPE, packing, quality, toxicity."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 
 from tessera.llm import bpe, packing, quality, toxicity, words as W
 
-from .conftest import clashing, words
+from .conftest import clashing, words, prose
 
 
 def fuzz(n):
@@ -134,6 +135,47 @@ def test_quality_thresholds_adapt(spark):
     assert not got.pop(500) and sum(got.values()) >= 195
 
 
+def brute_verdicts(rows):
+    """kept, from exact quantiles of each group (of 50 base-passing documents or more)."""
+    facts, out = {}, {}
+    for i, text, lang, source in rows:
+        n, chars, symbols, dup, repeat = brute_counts(text)
+        lines = sum(bool(words(x)) for x in text.split("\n"))
+        letters = [c for c in text if c.isascii() and c.isalpha()]
+        rates = (symbols / max(chars, 1), dup / max(lines, 1), repeat / max(n, 1), sum(c.isupper() for c in letters) / max(len(letters), 1))
+        facts[i] = (lang, source), n < 50 or 100 * repeat > 50 * n, rates
+    for i, (group, failed, rates) in facts.items():
+        ok = not failed
+        for k, least in enumerate(quality.RATES.values()):
+            v = sorted(r[k] for g, f, r in facts.values() if g == group and not f)
+            if v:
+                at = [v[max(math.ceil(q * len(v)) - 1, 0)] for q in (0.5, quality.TAIL)]
+                ok = ok and rates[k] <= max(least, at[1] + quality.SPREADS * (at[1] - at[0]))
+        out[i] = ok
+    return out
+
+
+def test_quality_verdicts_match_brute_force(spark):
+    """Exact quantiles of small groups; every rate rejects what stands out in its group."""
+    r, rows = random.Random(12), []
+    for g, (lang, source, noise) in enumerate((("en", "a", 0.0), ("en", "b", 0.06), ("de", None, 0.02))):
+        for i in range(120):
+            w = prose(40_000 + 1000 * g + i, r.randint(60, 160)).split()
+            w = [x.upper() if r.random() < noise else x for x in w]
+            w = [x + "#" if r.random() < noise else x for x in w]
+            rows.append((1000 * g + i, "\n".join(" ".join(w[j:j + 10]) for j in range(0, len(w), 10)), lang, source))
+        clean = prose(50_000 + g, 100).split()
+        text = "\n".join(" ".join(clean[j:j + 5]) for j in range(0, 100, 5))
+        odd = [text.replace(" ", " ### "), "\n".join([text, *["said again and so on"] * 14]), text.upper(),
+               " ".join([*clean[:90], *clean[:10] * 4])]
+        rows += [(1000 * g + 900 + k, t, lang, source) for k, t in enumerate(odd)]
+    got = {x.doc_id: x.kept for x in quality.apply_rules(spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string").repartition(3)).collect()}
+    assert got == brute_verdicts(rows)
+    assert not any(got[900 + k] for k in range(4))  # symbols, lines, capitals, repeated words
+    assert sum(got.values()) > 330
+
+
 def test_forward_backward_equals_enumeration():
     r = np.random.default_rng(5)
     score, trans, length = r.normal(size=9), r.normal(size=(2, 2)), np.array([4, 1, 4])

@@ -80,6 +80,31 @@ def test_shards(spark, odd_docs, no_docs, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == odd_docs.count()
 
 
+def test_strings_with_a_common_prefix_get_cells_of_their_own(spark):
+    """Shards of rows by host: each holds few of the hosts, whatever they begin with."""
+    r = random.Random(5)
+    rows = [(i, f"https://www.example.org/{r.choice('abcdefghijklmnop')}/{i % 3}") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, url string")
+    cells = {x._h_value: x._h_cell for x in sharding._string_cells(docs, "url", 3).collect()}
+    assert set(cells.values()) == set(range(8)) and sorted(cells, key=lambda v: (cells[v], v)) == sorted(cells)
+    got = sharding.assign_shards(docs, ["doc_id"], dimensions=("url",), shards=16).collect()
+    hosts = {}
+    for x in got:
+        hosts.setdefault(x.shard, set()).add(x.url)
+    assert max(map(len, hosts.values())) < len(cells) / 4  # a shard is a run of two cells or three
+    assert sharding._string_cells(docs.limit(0), "url", 3).count() == 0
+
+
+def test_pipeline_stages_keep_any_columns(spark, odd_docs, no_docs, tmp_path):
+    spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (clashing(odd_docs), clashing(no_docs)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            rows = out.collect()
+            if name != "packing":
+                assert out.columns == docs.columns and all(r.n_removed == r._gone == r._id == 7 for r in rows)
+
+
 def test_nearest_beside_a_huge_vector(spark):
     x = np.random.default_rng(11).standard_normal((3000, 16))
     x[7] *= 1e12
