@@ -13,7 +13,9 @@ from ..operators import dashboard as DB
 from ..operators import detect as D
 from ..operators import ledger as L
 from ..operators import summary as SM
+from ..sources import metrics as MX
 from ..sources import reports as RP
+from ..sources import sinks as SK
 from ..sources.tables import read_table
 from . import evidence as EV
 from . import oracle as O
@@ -237,3 +239,32 @@ def detect_turns(spark, sf):
     """D1 on what users say, each turn with an address and a number of its own."""
     c = read_table(spark, sf, "conversations").where("role = 'user'")
     return D.detect_entities(c.select("conv_id", "turn", F.expr(_TURN.format(text="STRING")).alias("text")), id_cols=("conv_id", "turn"))
+
+
+@register("metric_rates", O.with_views(
+    """SELECT host, round(4096 / dt / 1048576.0, 6) AS disk_read_mb_s, round(1024 / dt / 1048576.0, 6) AS disk_write_mb_s,
+         round(n / dt / 1048576.0, 9) AS net_sent_mb_s, round(2 * n / dt / 1048576.0, 9) AS net_recv_mb_s,
+         round((w - pw) / dt, 6) AS worker_rate, round(t, 6) AS timestamp_epoch FROM (
+         SELECT job_id AS host, epoch_us(ts) / 1e6 AS t, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER o AS dt,
+           floor(value * 1000)::BIGINT AS n, event_id % 5 + 1 AS w, lag(event_id % 5 + 1) OVER o AS pw
+         FROM t_log WINDOW o AS (PARTITION BY job_id ORDER BY ts, event_id)) x WHERE dt > 0""", "t_log"))
+def metric_rates(spark, sf):
+    """All five rates between the samples of a host."""
+    r = MX.metric_rates(MX.metrics_from_log(Testbed(spark, sf).log))
+    return r.select("host", *(F.round(c, d).alias(c) for c, d in (
+        ("disk_read_mb_s", 6), ("disk_write_mb_s", 6), ("net_sent_mb_s", 9), ("net_recv_mb_s", 9), ("worker_rate", 6),
+        ("timestamp_epoch", 6))))
+
+
+@register("copy_manifest_suffixes", O.ledger_sql(
+    f"""SELECT file_path, tier, '/clone/' || {O.sql_pick(P.TIER_NAMES, 'tier')} || '/r' || file_id % 40 || CASE WHEN n > 0 THEN '_' || n ELSE '' END
+          || '.txt' AS target_path
+        FROM (SELECT *, row_number() OVER (PARTITION BY tier, file_id % 40 ORDER BY file_path) - 1 AS n FROM (
+          SELECT file_id, '/c/' || file_id || '/r' || file_id % 40 || '.txt' AS file_path, {O.sql_set_tier('types')} AS tier FROM fs) a
+          WHERE tier >= 1) b"""))
+def copy_manifest_suffixes(spark, sf):
+    """Files that share their names, so most targets need a number."""
+    tb = Testbed(spark, sf)
+    c = C.classified_files(C.ledger_type_counts(tb.files, tb.results, tb.entities))
+    named = c.withColumn("file_path", F.concat(F.lit("/c/"), "file_id", F.lit("/r"), F.col("file_id") % 40, F.lit(".txt")))
+    return SK.copy_manifest(named, "/clone", min_tier=1)
