@@ -4,9 +4,9 @@ Each document's counts are turned into a few rates.  Mergeable quantile
 sketches (KLL, fixed size) of every rate are aggregated per language and
 source and merged upwards to languages and to the whole corpus.  Documents
 that fail the base rule are judged already and not sketched.  A group's upper
-bound of a rate is its 90 % quantile plus a multiple of the distance from
-there to its median; a group with few documents takes the bounds of its
-language or of the corpus.  The bounds are joined to the documents and filter
+bound of a rate is a tail quantile plus a multiple of the distance from there
+to the median; a group with few documents takes the bounds of its language or
+of the corpus.  The bounds are joined to the documents and filter
 them.
 """
 
@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from . import words as W
 from .scratch import stored
 
-#: rate -> least bound.  Where nine of ten documents have none of a kind, the sketch's spread is 0 and this decides:
-#: a symbol in 50 characters, one line in four repeated, a seventh of the words, a capital in 50 letters
-RATES = {"symbol_rate": 0.02, "dup_line_rate": 0.25, "repeat_rate": 0.15, "odd_case_rate": 0.02}
-TAIL, SPREADS = 0.9, 8.0
+#: rate -> (tail quantile, least bound).  A quarter of a group may be junk of symbols, a tenth of the other kinds.
+#: Where the tail has none of a kind, the sketch's spread is 0 and the least bound decides: a symbol in 50
+#: characters, one line in four repeated, a seventh of the words, a capital in 50 letters
+RATES = {"symbol_rate": (0.75, 0.02), "dup_line_rate": (0.9, 0.25), "repeat_rate": (0.9, 0.15), "odd_case_rate": (0.9, 0.02)}
+SPREADS = 8.0
 MIN_GROUP = 50
 #: groups up to which the bounds are broadcast (100 bytes each); more are shuffled
 BROADCAST_GROUPS = 100_000
@@ -115,11 +116,11 @@ def thresholds(rates: DataFrame) -> DataFrame:
     merged = sketched.rollup("lang", "source").agg(
         F.grouping_id().alias("level"), F.sum("n").alias("n"), *(F.kll_merge_agg_double(r).alias(r) for r in RATES))
 
-    def bound(rate: str, least: float) -> Column:
-        middle, tail = (F.kll_sketch_get_quantile_double(F.col(rate), F.lit(q)) for q in (0.5, TAIL))
+    def bound(rate: str, far: float, least: float) -> Column:
+        middle, tail = (F.kll_sketch_get_quantile_double(F.col(rate), F.lit(q)) for q in (0.5, far))
         return F.greatest(F.lit(least), tail + SPREADS * (tail - middle))
     bounds = merged.select("lang", "source", "level", "n", F.struct(
-        *(bound(r, s).alias(f"max_{r}") for r, s in RATES.items())).alias("b"))
+        *(bound(r, *way).alias(f"max_{r}") for r, way in RATES.items())).alias("b"))
     own = bounds.where("level = 0").select("lang", "source", "n", "b")
     lang = bounds.where("level = 1").select(F.col("lang").alias("l"), F.col("n").alias("ln"), F.col("b").alias("lb"))
     every = bounds.where("level = 3").select("b")

@@ -146,10 +146,10 @@ def brute_verdicts(rows):
         facts[i] = (lang, source), n < 50 or 100 * repeat > 50 * n, rates
     for i, (group, failed, rates) in facts.items():
         ok = not failed
-        for k, least in enumerate(quality.RATES.values()):
+        for k, (far, least) in enumerate(quality.RATES.values()):
             v = sorted(r[k] for g, f, r in facts.values() if g == group and not f)
             if v:
-                at = [v[max(math.ceil(q * len(v)) - 1, 0)] for q in (0.5, quality.TAIL)]
+                at = [v[max(math.ceil(q * len(v)) - 1, 0)] for q in (0.5, far)]
                 ok = ok and rates[k] <= max(least, at[1] + quality.SPREADS * (at[1] - at[0]))
         out[i] = ok
     return out
