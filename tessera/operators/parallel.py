@@ -45,9 +45,11 @@ PLAIN_BYTES = 64 << 20
 
 
 def fits_one_task(df: DataFrame) -> bool:
-    """Whether the whole input is small by the optimizer's own estimate, an
-    upper bound from file sizes.  No job runs.  Both plans give the same
-    rows; this only saves a small input the second level."""
+    """Whether the whole input is small by the optimizer's own estimate.  It
+    comes from file sizes, so compression and explodes can make it too low by
+    a factor; the limit is far under a task's memory for that reason.  No job
+    runs.  Both plans give the same rows; this only saves a small input the
+    second level."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= PLAIN_BYTES
 
 
