@@ -204,19 +204,6 @@ def test_repeat_whose_parts_stand_in_earlier_documents(spark):
         assert abs(x.start_word - 70) <= 1 and abs(x.end_word - 130) <= 1 and x.identity > 0.96
 
 
-def test_exact_repeat_inside_a_poor_chain():
-    """Equal runs through a chain that is no passage as a whole."""
-    r = np.random.default_rng(3)
-    b, a = r.integers(1, 1 << 30, 300), r.integers(1, 1 << 30, 300)
-    a[60:115] = b[60:115]
-    for i in (10, 30, 140, 165, 190):
-        a[i:i + 4] = b[i:i + 4]
-    at = np.array([10, 30, *range(60, 112, 3), 140, 165, 190])
-    assert substring.align(b, a, at, at)[4] < substring.MIN_IDENTITY
-    runs = [substring.align(b, a, *ends) for ends in substring._exact_runs(b, a, at, at)]
-    assert [(x[0], x[1], x[4]) for x in runs] == [(60, 115, 1.0)]
-
-
 @pytest.mark.parametrize("cut", range(0, 8))
 def test_repeat_that_goes_beyond_an_earlier_part(spark, cut):
     """Documents 0 and 2 hold the middle of a passage, 1 and 3 hold it whole:
