@@ -25,12 +25,22 @@ from ..session import scratch_path
 
 def source(spark: SparkSession, folder: str, table: str, max_files: int | None = None) -> DataFrame:
     """A parquet file stream over one table: ``<table>.parquet`` and any
-    later ``<table>*.parquet`` files in the folder (new files are new data)."""
-    schema = spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
+    later ``<table>*.parquet`` in the folder, each a file or a folder of part
+    files (new files are new data)."""
+    folder = folder.rstrip("/")
+    r = spark.readStream.schema(spark.read.parquet(f"{folder}/{table}.parquet").schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(folder)
+    return r.parquet(f"{folder}/{table}*.parquet")
+
+
+def _written(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows that batches have written below ``path``; none, if there was
+    no batch yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def checkpoint_for(spark: SparkSession, name: str) -> str:
@@ -75,7 +85,7 @@ def latest(df: DataFrame, name: str, keys: list[str], fresh: bool = True) -> Dat
     run_available(df, name, mode="update", foreach_batch=write, fresh=False)
     schema = T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])
     rest = [c for c in df.columns if c not in keys]
-    rows = spark.read.schema(schema).parquet(base).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("v"))
+    rows = _written(spark, base, schema).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("v"))
     return rows.select(*keys, "v.*")
 
 
@@ -121,8 +131,11 @@ def stream_sink(spark: SparkSession, folder: str) -> DataFrame:
     """K2: detection stream appended to results + entities tables."""
     base = scratch_path(spark, "streams/sink-" + _run_tag())
     docs = source(spark, folder, "documents").select("doc_id", "text")
-    run_available(D.detect_arrays(docs), "tessera_stream_sink", foreach_batch=idempotent_batch_writer(base))
-    return spark.read.parquet(f"{base}/entities")
+    arrays = D.detect_arrays(docs)
+    run_available(arrays, "tessera_stream_sink", foreach_batch=idempotent_batch_writer(base))
+    span = arrays.schema["entities"].dataType.elementType
+    return _written(spark, f"{base}/entities", T.StructType(
+        [T.StructField("result_id", arrays.schema["doc_id"].dataType), *span.fields, T.StructField("batch_id", T.IntegerType())]))
 
 
 # --------------------------------------------------------------------- K3
@@ -256,7 +269,8 @@ def stream_rates(spark: SparkSession, folder: str, max_files: int | None = None)
             f"{base}/last/batch_id={batch_id}")
 
     run_available(e, "tessera_stream_rates", foreach_batch=write)
-    return spark.read.parquet(f"{base}/rates")
+    schema = sample_rates(spark.createDataFrame([], e.schema), "job_id", "ts", "value").schema
+    return _written(spark, f"{base}/rates", schema)
 
 
 # --------------------------------------------------------------------- K10

@@ -55,3 +55,31 @@ def test_progress_is_a_table(spark, tmp_path):
     again = S.ProgressLog(spark, f"{tmp_path}/progress")  # the table outlives the listener
     again.close()
     assert again.table().count() >= 2
+
+
+def test_table_of_part_files(spark, tmp_path):
+    """A table may be a folder of part files: the stream reads them all."""
+    import os
+    os.mkdir(f"{tmp_path}/documents.parquet")
+    texts = [["mail a@b.org", "nothing"], ["c@d.net and e@f.com"]]
+    for i, part in enumerate(texts):
+        pq.write_table(pa.table({"doc_id": pa.array([10 * i + j for j in range(len(part))], pa.int64()), "text": part}),
+                       f"{tmp_path}/documents.parquet/part-{i}.parquet")
+    rows = S.stream_sink(spark, str(tmp_path)).collect()
+    assert sorted((r.result_id, r.entity_type, r.text) for r in rows) == [
+        (0, "EMAIL_ADDRESS", "a@b.org"), (10, "EMAIL_ADDRESS", "c@d.net"), (10, "EMAIL_ADDRESS", "e@f.com")]
+    assert sorted(r.doc_id for r in S.stream_detect(spark, str(tmp_path)).collect()) == [0, 10, 10]
+
+
+def test_no_rows_give_no_rows(spark, tmp_path):
+    """A sink without a span, or without any batch, is an empty table."""
+    pq.write_table(pa.table({"doc_id": pa.array([1], pa.int64()), "text": ["nothing"]}), f"{tmp_path}/documents.parquet")
+    one = S.stream_sink(spark, str(tmp_path))
+    other = tmp_path / "empty"
+    other.mkdir()
+    (other / "documents.parquet").mkdir()
+    pq.write_table(pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())}),
+                   f"{other}/documents.parquet/part-0.parquet")
+    none = S.stream_sink(spark, str(other))
+    assert one.count() == none.count() == 0
+    assert one.columns == none.columns == ["result_id", "entity_type", "start", "end", "score", "text", "batch_id"]
