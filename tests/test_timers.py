@@ -53,3 +53,22 @@ def test_same_rows_for_any_batches(spark, tmp_path, batches):
     seconds = sorted((x.file_id, int((x.started - T0).total_seconds()), x.starts) for x in got)
     assert seconds == replay(events, 300, 600)
     assert all((x.deadline - x.started).total_seconds() == 300 and x.reason == "timeout" for x in got)
+
+
+def test_state_by_bucket(spark, tmp_path):
+    """What the store holds and what it is asked for go by buckets, not by files."""
+    r = random.Random(3)
+    events = [(f, r.choice([0, 100, 300, 301, 650, 900]) + f % 50, r.choice(["start", "start", "end"]))
+              for f in range(3000) for _ in range(3)] + [(-1, 5000, "end")]
+    pq.write_table(pa.table({"file_id": pa.array([e[0] for e in events], pa.int64()),
+                             "at": pa.array([T0 + dt.timedelta(seconds=e[1]) for e in events], pa.timestamp("us")),
+                             "kind": [e[2] for e in events]}), f"{tmp_path}/log.parquet")
+    log = S.ProgressLog(spark, f"{tmp_path}/progress")
+    try:
+        rows = W.watched_items(S.source(spark, str(tmp_path), "log"), 300, "600 seconds", buckets=8)
+        got = W.with_timers(spark, lambda: S.drained(rows, "watch")).collect()
+        held = log.table().agg({"state_rows": "max"}).first()[0]
+    finally:
+        log.close()
+    assert sorted((x.file_id, int((x.started - T0).total_seconds()), x.starts) for x in got) == replay(events, 300, 600)
+    assert 0 < held <= 8 * 8
