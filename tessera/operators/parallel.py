@@ -27,7 +27,7 @@ def spread(df: DataFrame, keys=("doc_id",)) -> DataFrame:
     return df.repartition(slots, *cols) if cols else df.repartition(slots)
 
 
-def _range_split(df: DataFrame, keys: list, order_cols: list, parts: int | None) -> DataFrame:
+def _range_split(df: DataFrame, keys: list, order_cols: list, parts: int | None, ordered: bool = False) -> DataFrame:
     spark = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     r = df.repartitionByRange(n, *keys, *order_cols).withColumn("_pid", F.spark_partition_id())
@@ -37,6 +37,8 @@ def _range_split(df: DataFrame, keys: list, order_cols: list, parts: int | None)
     # both the local scan and the carry table read.
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
+    if ordered:
+        r = r.sortWithinPartitions(*keys, *order_cols)
     return r.checkpoint(eager=True)
 
 
@@ -64,11 +66,12 @@ def _window_scan(df: DataFrame, order_cols, keys, sums, maxes, inclusive) -> Dat
 
 
 def split_for_scan(df: DataFrame, order_cols: list[str], partition_cols: list[str] | tuple = (),
-                   parts: int | None = None) -> DataFrame:
+                   parts: int | None = None, ordered: bool = False) -> DataFrame:
     """Range-split rows on (group, order) and store the split id ``_pid``
     (checkpointed once); any number of :func:`scan_split` passes can then
-    run over the same split."""
-    return _range_split(df, list(partition_cols), order_cols, parts)
+    run over the same split.  ``ordered``: each part's rows are stored in
+    their order, for passes that read them one after another."""
+    return _range_split(df, list(partition_cols), order_cols, parts, ordered)
 
 
 def scan_split(r: DataFrame, order_cols: list[str], partition_cols: list[str] | tuple = (),

@@ -27,20 +27,56 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.parallel import _window_scan, fits_one_task, scan_split, split_for_scan
+from ..operators.parallel import fits_one_task, split_for_scan
 from .reports import FILE_RECORD, REPORT, SPAN_STRUCT
 
-_CARRIED = {"opened": "opened0", "record": "record0", "entity": "entity0", "results": "results0", "entities": "entities0"}
-_MARKS = ("doc string, file string, block long, mid long, frag string, closes boolean, seq long, in_string boolean, "
-          "depth long, " + ", ".join(f"{c} long" for c in _CARRIED))
+_MARKS = ("opened", "record", "entity", "results", "entities")
 _PIECE = "doc string, kind string, opened long, record long, entity long, seq long, place int, whole boolean, text string"
+_LAST = "_pid int, doc string, " + ", ".join(f"{c} long" for c in _MARKS)
 
 
-def _walker(results: str, entities: str):
+def _totals():
+    """Of each document of one part's ordered rows (_pid, doc, quotes, steps
+    outside and inside a string): rows, quotes, and the depth it adds if the
+    part starts outside or inside a string."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow
+        total = {}
+        for batch in batches:
+            for p, d, quotes, step, other in zip(*(c.to_pylist() for c in batch.columns)):
+                t = total.setdefault((p, d), [0, 0, 0, 0])
+                t[2], t[3] = t[2] + (other if t[1] % 2 else step), t[3] + (step if t[1] % 2 else other)
+                t[0], t[1] = t[0] + 1, t[1] + quotes
+        columns = zip(*((p, d, *t) for (p, d), t in total.items())) if total else [[]] * 6
+        kinds = [pyarrow.int32(), pyarrow.string(), *[pyarrow.int64()] * 4]
+        yield pyarrow.RecordBatch.from_arrays([pyarrow.array(c, k) for c, k in zip(columns, kinds)],
+                                              names=["_pid", "doc", "n", "quotes", "depth", "other"])
+    return run
+
+
+def _earlier() -> WindowSpec:
+    """The parts of a document before one."""
+    return Window.partitionBy("doc").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _starts(f: DataFrame) -> dict[int, tuple]:
+    """By part, the number, the quotes before and the depth that its first
+    document goes on with.  Parts follow each other in the order of the
+    documents, so no other one does: one small row per part."""
+    w = _earlier()
+    t = f.select("_pid", "doc", "quotes", "step", "other").mapInArrow(
+        _totals(), "_pid int, doc string, n long, quotes long, depth long, other long")
+    t = t.withColumn("seq", F.sum("n").over(w)).withColumn("before", F.sum("quotes").over(w))
+    t = t.withColumn("depth", F.when(F.coalesce("before", F.lit(0)) % 2 == 0, F.col("depth")).otherwise(F.col("other")))
+    t = t.withColumn("depth", F.sum("depth").over(w)).where("seq IS NOT NULL")
+    return {r["_pid"]: (r["seq"], r["before"], r["depth"]) for r in t.collect()}
+
+
+def _walker(results: str, entities: str, piece: str, last: str):
     """Functions that run in Python workers, without names outside them."""
     token = re.compile(r'"(?:[^"\\]|\\.)*(?P<end>"?)|[{}\[\]]', re.S)
     rest = re.compile(r'(?:[^"\\]|\\.)*"', re.S)
@@ -72,88 +108,104 @@ def _walker(results: str, entities: str):
         if closes:
             yield len(frag), "}", depth - 1, None
 
-    def marks(batches: Iterator[pa.RecordBatch], names) -> Iterator[pa.RecordBatch]:
-        """Adds, per fragment, its number where it opens a thing, and the last
-        change of being inside an array as 2 x number + state."""
+    def marks(frag, in_string, depth, closes, seq):
+        """The fragment's number where it opens a thing, and the last change
+        of being inside an array as 2 x number + state, in the order of _MARKS."""
+        found = [None] * 5
+        for _, sign, depth, key in steps(frag, in_string, depth, closes):
+            if sign == "{" and depth in (1, 3, 5):
+                found[depth // 2] = seq
+            elif depth == 2 and key == results:
+                found[3] = 2 * seq + 1
+            elif depth == 4 and key == entities:
+                found[4] = 2 * seq + 1
+            if sign in "]}" and depth <= 3:
+                found[4] = 2 * seq
+                if depth <= 1:
+                    found[3] = 2 * seq
+        return found
+
+    def walk(batches: Iterator[pa.RecordBatch], carried: dict, cutting: bool) -> Iterator[pa.RecordBatch]:
+        """One part's fragments in order, after the number, quotes, depth and
+        marks that its first document starts with: the pieces, or the last
+        marks of each of its documents."""
         import pyarrow
-        for batch in batches:
-            rows = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            out = {n: [] for n in ("opened", "record", "entity", "results", "entities")}
-            for frag, in_string, depth, closes, seq in zip(*(rows[n] for n in ("frag", "in_string", "depth", "closes", "seq"))):
-                found = dict.fromkeys(out)
-                for _, sign, after, key in steps(frag, in_string, depth, closes):
-                    if sign == "{" and after in (1, 3, 5):
-                        found[{1: "opened", 3: "record", 5: "entity"}[after]] = seq
-                    elif after == 2 and key == results:
-                        found["results"] = 2 * seq + 1
-                    elif after == 4 and key == entities:
-                        found["entities"] = 2 * seq + 1
-                    if sign in "]}" and after <= 3:
-                        found["entities"] = 2 * seq
-                        if after <= 1:
-                            found["results"] = 2 * seq
-                for n, values in out.items():
-                    values.append(found[n])
-            yield pyarrow.RecordBatch.from_arrays(
-                [pyarrow.array(out[n], pyarrow.int64()) if n in out else batch.column(batch.schema.names.index(n))
-                 for n in names], names=list(names))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow
-        schema = pyarrow.schema([("doc", pyarrow.string()), ("kind", pyarrow.string()), ("opened", pyarrow.int64()),
-                                 ("record", pyarrow.int64()), ("entity", pyarrow.int64()), ("seq", pyarrow.int64()),
-                                 ("place", pyarrow.int32()), ("whole", pyarrow.bool_()), ("text", pyarrow.string())])
+        types = {"string": pyarrow.string(), "long": pyarrow.int64(), "int": pyarrow.int32(), "boolean": pyarrow.bool_()}
+        schema = pyarrow.schema([(c.split()[0], types[c.split()[1]]) for c in (piece if cutting else last).split(", ")])
+
+        def written(out):
+            return pyarrow.RecordBatch.from_arrays(
+                [pyarrow.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+        fresh = 0, 0, 0, [None] * 5
+        doc, pid, (seq, quotes, depth, held) = None, None, fresh
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                frag, seq, depth = row["frag"] + "}" * row["closes"], row["seq"], row["depth"]
-                opened, record, entity = row["opened0"], row["record0"], row["entity0"]
-                inside, listed = (row["results0"] or 0) % 2 == 1, (row["entities0"] or 0) % 2 == 1
-
-                def kind():
-                    """What the text at this place belongs to."""
-                    if depth < 1:
-                        return None
-                    if not inside:
-                        return "report"
-                    if listed and depth >= 4:
-                        return "entity" if depth >= 5 else None
-                    return "file" if depth >= 3 else None
-
-                def put(what, a, b, whole):
-                    if what and b > a:
-                        out.append((row["doc"], what, opened, record, entity, seq, a, whole, frag[a:b]))
-                now, start, fresh = kind(), 0, False
-                for at, sign, after, key in steps(row["frag"], row["in_string"], row["depth"], row["closes"]):
-                    was, depth = depth, after
-                    if sign in "{[":
-                        before, was_inside, was_listed = now, inside, listed
-                        inside = inside or (after == 2 and key == results)
-                        listed = listed or (after == 4 and key == entities and inside)
-                        entered = (inside, listed) != (was_inside, was_listed)
-                        now = kind()
-                        if now != before or (sign == "{" and was == 0):
-                            # the bracket of an array belongs to what holds the array
-                            put(before, start, at + entered, False)
-                            start, fresh = at + entered, not entered
-                            if sign == "{" and not entered:
-                                opened = seq if after == 1 else opened
-                                record = seq if after == 3 else record
-                                entity = seq if after == 5 else entity
-                    else:
-                        left = (listed and after <= 3) or (inside and after <= 1)
-                        before = now
-                        listed = listed and after > 3
-                        inside = inside and after > 1
-                        now = kind()
-                        if now != before:
-                            end = at + 1 if not left else start
-                            put(before, start, end, fresh)
-                            start, fresh = (at + 1 if not left else at), False
-                put(now, start, len(frag), False)
-            yield pyarrow.RecordBatch.from_arrays([pyarrow.array([r[i] for r in out], f.type) for i, f in enumerate(schema)],
-                                                  schema=schema)
-    return marks, cut
+                if row["doc"] != doc:
+                    if doc is not None and not cutting:
+                        out.append((pid, doc, *held))
+                    seq, quotes, depth, held = carried.get(row["_pid"], fresh) if doc is None else fresh
+                    doc, pid = row["doc"], row["_pid"]
+                row["in_string"], row["seq"] = quotes % 2 == 1, seq
+                if cutting:
+                    cut(row, depth, held, out)
+                found = marks(row["frag"], row["in_string"], depth, row["closes"], seq)
+                held = [y if x is None else x for x, y in zip(found, held)]
+                depth += row["other" if row["in_string"] else "step"]
+                seq, quotes = seq + 1, quotes + row["quotes"]
+            if out:
+                yield written(out)
+        if doc is not None and not cutting:
+            yield written([(pid, doc, *held)])
+
+    def cut(row: dict, depth: int, marks0: list, out: list) -> None:
+        """Adds the pieces of a fragment."""
+        frag, seq = row["frag"] + "}" * row["closes"], row["seq"]
+        opened, record, entity, in_results, in_entities = marks0
+        inside, listed = (in_results or 0) % 2 == 1, (in_entities or 0) % 2 == 1
+
+        def kind():
+            """What the text at this place belongs to."""
+            if depth < 1:
+                return None
+            if not inside:
+                return "report"
+            if listed and depth >= 4:
+                return "entity" if depth >= 5 else None
+            return "file" if depth >= 3 else None
+
+        def put(what, a, b, whole):
+            if what and b > a:
+                out.append((row["doc"], what, opened, record, entity, seq, a, whole, frag[a:b]))
+        now, start, fresh = kind(), 0, False
+        for at, sign, after, key in steps(row["frag"], row["in_string"], depth, row["closes"]):
+            was, depth = depth, after
+            if sign in "{[":
+                before, was_inside, was_listed = now, inside, listed
+                inside = inside or (after == 2 and key == results)
+                listed = listed or (after == 4 and key == entities and inside)
+                entered = (inside, listed) != (was_inside, was_listed)
+                now = kind()
+                if now != before or (sign == "{" and was == 0):
+                    # the bracket of an array belongs to what holds the array
+                    put(before, start, at + entered, False)
+                    start, fresh = at + entered, not entered
+                    if sign == "{" and not entered:
+                        opened = seq if after == 1 else opened
+                        record = seq if after == 3 else record
+                        entity = seq if after == 5 else entity
+            else:
+                left = (listed and after <= 3) or (inside and after <= 1)
+                before = now
+                listed = listed and after > 3
+                inside = inside and after > 1
+                now = kind()
+                if now != before:
+                    end = at + 1 if not left else start
+                    put(before, start, end, fresh)
+                    start, fresh = (at + 1 if not left else at), False
+        put(now, start, len(frag), False)
+    return walk
 
 
 def _fragments(spark: SparkSession, path: str, joined: bool) -> DataFrame:
@@ -174,35 +226,35 @@ def report_pieces(spark: SparkSession, path: str, joined: bool = False, results:
                   plain: bool | None = None) -> DataFrame:
     """The report cut into pieces of text: kind (report, file, entity), the
     numbers of the report, record and entity they belong to, and their order."""
-    marks, cut = _walker(results, entities)
-    order, keys = ["file", "block", "mid"], ["doc"]
+    walk = _walker(results, entities, _PIECE, _LAST)
+    order = ["file", "block", "mid"]
     f = _fragments(spark, path, joined)
-    small = fits_one_task(f) if plain is None else plain
-    if not small:
-        f = split_for_scan(f, order, keys)
-
-    def scanned(df, **values):
-        run = _window_scan if small else scan_split
-        if small:
-            return run(df, order, keys, values.get("sums", {}), values.get("maxes", {}), False)
-        return run(df, order, keys, inclusive=False, **values)
     bare = F.regexp_replace("frag", r"(?s)\\.", "")
-    f = f.withColumn("one", F.lit(1).cast("long")).withColumn("quotes", F.length(F.regexp_replace(bare, '[^"]', "")).cast("long"))
-    f = scanned(f, sums={"one": "seq", "quotes": "before"})
-    f = f.withColumn("in_string", F.col("before") % 2 == 1)
-    signs = F.regexp_replace(F.concat(F.when(F.col("in_string"), F.lit('"')).otherwise(F.lit("")), bare), r'"[^"]*+("|\z)', "")
-    closed = F.col("closes") & ((F.col("before") + F.col("quotes")) % 2 == 0)
-    opens, ends = (F.length(F.regexp_replace(signs, p, "")) for p in (r"[^{\[]", r"[^}\]]"))
-    f = f.withColumn("step", (opens - ends - closed.cast("int")).cast("long"))
-    f = scanned(f, sums={"step": "depth"})
-    kept = [c.split()[0] for c in _MARKS.split(", ")]
-    schema, names = _MARKS, kept
-    if not small:
-        schema, names = _MARKS + ", _pid int", [*kept, "_pid"]
-    needed = [c for c in names if c not in _CARRIED]
-    f = f.select(*needed).mapInArrow(lambda batches, names=tuple(names): marks(batches, names), schema)
-    f = scanned(f, maxes=_CARRIED)
-    return f.select("doc", "frag", "closes", "seq", "in_string", "depth", *_CARRIED.values()).mapInArrow(cut, _PIECE)
+
+    def count(text: Column, *signs: str) -> Column:
+        """How often one of the signs stands in a text."""
+        return sum(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in signs).cast("long")
+
+    def step(inside: bool) -> Column:
+        """What a fragment adds to the depth, if it starts inside a string."""
+        signs = F.regexp_replace(F.concat(F.lit('"'), F.col("bare")) if inside else F.col("bare"), r'"[^"]*+("|\z)', "")
+        closed = F.col("closes") & ((F.col("quotes") + int(inside)) % 2 == 0)
+        return count(signs, "{", "[") - count(signs, "}", "]") - closed.cast("long")
+    small = fits_one_task(f) if plain is None else plain
+    f = f.withColumn("bare", bare).withColumn("quotes", count(F.col("bare"), '"'))
+    # counted once, before the rows are stored
+    f = f.withColumn("step", step(False)).withColumn("other", step(True)).drop("bare")
+    if small:
+        f = f.repartition(1).withColumn("_pid", F.lit(0)).sortWithinPartitions("doc", *order)
+    else:
+        f = split_for_scan(f, order, ["doc"], ordered=True)
+    f = f.select("_pid", "doc", "frag", "closes", "quotes", "step", "other")
+    starts, w = _starts(f), _earlier()
+    known = {p: (*start, [None] * 5) for p, start in starts.items()}
+    last = f.mapInArrow(lambda batches: walk(batches, known, False), _LAST)
+    held = last.select("_pid", F.count(F.lit(1)).over(w).alias("n"), *(F.max(c).over(w).alias(c) for c in _MARKS))
+    held = {r["_pid"]: (*starts[r["_pid"]], [r[c] for c in _MARKS]) for r in held.where("n > 0").collect()}
+    return f.mapInArrow(lambda batches: walk(batches, held, True), _PIECE)
 
 
 class LargeReport:

@@ -104,3 +104,11 @@ def test_write_and_read_back(spark, tmp_path):
     none = files.limit(0)
     B.write_large_report(head, none, spans.limit(0), str(tmp_path / "none"))
     assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "none").glob("part-*"))))["results"] == []
+
+
+def test_running_values_without_shuffles(spark, tmp_path):
+    """The stored parts are read in place: their texts are not joined or sorted again."""
+    path = tmp_path / "report.json"
+    path.write_text(json.dumps(doc(1, 20, TRICKY)))
+    plan = B.report_pieces(spark, str(path), plain=False)._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Join", "Window", "Exchange", "Sort"))
