@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import recognizers as R
 from ..functions.spans import scan
+from .parallel import spread
 
 #: scripts without spaces between words
 UNSPACED = "".join(f"\\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
@@ -145,7 +146,7 @@ def detect_terms(df: DataFrame, terms: DataFrame, text_col: str = "text", id_col
     t = t.select("entity_type", "phrase").distinct()
     if automaton is None:
         automaton = (t.agg(F.sum(F.length("phrase"))).first()[0] or 0) <= AUTOMATON_CHARS
-    d = _words(df, text_col, id_cols)
+    d = _words(spread(df, id_cols), text_col, id_cols)
     rows = _by_automaton(d, t, id_cols) if automaton else _by_join(d, t, id_cols)
     found = F.expr("substr(_t, start + 1, end - start)") if automaton else F.col("_t")
     return rows.select(*id_cols, "entity_type", "start", "end", F.lit(float(score)).alias("score"), found.alias("text"))

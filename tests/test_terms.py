@@ -84,3 +84,14 @@ def test_same_ids_are_rows_of_their_own(spark):
     docs = [(1, "a b"), (1, "a b"), (1, "b"), (None, "a")]
     got = both(spark, [(i or 0, t) for i, t in docs], [("X", "a b"), ("X", "b"), ("X", "a")])
     assert [g[4] for g in got] == ["a", "a b", "a b", "b"] or sorted(g[4] for g in got) == ["a", "a b", "a b", "b"]
+
+
+def test_one_file_is_spread(spark, tmp_path):
+    """The rows of one small file are the work of all slots, not of one task."""
+    spark.createDataFrame([(i, f"in Oslo {i}") for i in range(20)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    terms = spark.createDataFrame([("LOCATION", "oslo")], "entity_type string, term string")
+    for automaton in (True, False):
+        rows = T.detect_terms(docs, terms, automaton=automaton)
+        assert "REPARTITION_BY_NUM" in rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() == 20
