@@ -238,3 +238,40 @@ def test_extension_over_inserted_and_deleted_words():
     x = np.arange(1, 61)
     y = np.concatenate((x[:10], [100], x[10:30], x[32:]))
     assert substring._extend(x, y) == (60, 59, 58)
+
+
+def test_copies_are_stored_as_chains_not_as_matches(spark, monkeypatch):
+    text = prose(31, 400)
+    seen, real = [], substring.stored
+    monkeypatch.setattr(substring, "stored", lambda df, name: seen.append(real(df, name)) or seen[-1])
+    monkeypatch.setattr(substring, "drop", lambda table: None)
+    found = substring.repeated_passages(spark.createDataFrame([(i, text) for i in range(20)], "doc_id long, text string"))
+    assert {(x.doc_id, x.source_id, x.end_word) for x in found.collect()} == {(i, 0, 400) for i in range(1, 20)}
+    assert max(t.count() for t in seen) <= 5 * 20
+
+
+def test_chains_and_extensions_of_many_at_once():
+    r = np.random.default_rng(4)
+    xs, ys = [], []
+    for _ in range(400):
+        x = r.integers(0, 30, int(r.integers(0, 64)))
+        y = np.delete(np.where(r.random(len(x)) < 0.15, r.integers(0, 30, len(x)), x), r.integers(0, max(len(x), 1), len(x) // 20))
+        xs.append(x)
+        ys.append(np.concatenate((r.integers(0, 30, int(r.integers(0, 3))), y))[:64])
+    xs.append(np.arange(200))
+    ys.append(np.arange(1, 201))
+    assert substring._extensions(xs, ys).tolist() == [list(substring._extend(x, y)) for x, y in zip(xs, ys)]
+    pairs = [(np.cumsum(r.integers(0 if g % 4 == 0 else 1, 3 + 7 * (g % 9), n)), np.cumsum(r.integers(1, 3 + 7 * (g % 9), n)))
+             for g, n in enumerate(r.integers(1, 30, 600))]
+    tails = np.cumsum([len(x) for x, _ in pairs])
+    heads = np.concatenate(([0], tails[:-1]))
+    x, y = (np.concatenate(z) for z in zip(*pairs))
+    plain, (at, lo, size) = substring._plain_chains(heads, tails, x, y)
+    got = {}
+    for first, rows in zip(lo, np.split(at, np.cumsum(size)[:-1])):
+        got.setdefault(int(np.searchsorted(tails, first, "right")), []).append((x[rows].tolist(), y[rows].tolist()))
+    assert 100 < plain.sum() < 600
+    for g in np.flatnonzero(plain):
+        b, a = pairs[g]
+        want = [c[[0, -1]] if (a[c] - b[c] == a[c[0]] - b[c[0]]).all() else c for c in substring.best_chains(b, a)]
+        assert sorted(got.get(g, [])) == sorted((b[c].tolist(), a[c].tolist()) for c in want)
