@@ -275,3 +275,40 @@ def test_chains_and_extensions_of_many_at_once():
         b, a = pairs[g]
         want = [c[[0, -1]] if (a[c] - b[c] == a[c[0]] - b[c[0]]).all() else c for c in substring.best_chains(b, a)]
         assert sorted(got.get(g, [])) == sorted((b[c].tolist(), a[c].tolist()) for c in want)
+
+
+def test_words_of_regions_are_shuffled_once_they_are_stored_not_before(spark, monkeypatch):
+    text, plans, real = prose(32, 200), {}, substring.stored
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        return real(df, name)
+    monkeypatch.setattr(substring, "stored", seen)
+    rows = [(i, f"{prose(33 + i, 5)} {text}") for i in range(4)] + [(2, "another text under its id")]
+    found = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert {(x.doc_id, x.source_id, x.start_word, x.end_word) for x in found.collect()} >= {(i, 0, 5, 205) for i in (1, 3)}
+    kinds = [line.strip(" :+-").split(" ")[0] for line in plans["words"]]
+    above = kinds[:kinds.index("MapInArrow")]
+    assert "Aggregate" not in above and "RepartitionByExpression" not in above
+    assert "Join" not in kinds and kinds.count("RepartitionByExpression") == 1
+
+
+def test_words_of_regions_of_a_repeated_id():
+    import pyarrow as pa
+    texts = {1: [prose(41, 90)], 2: [prose(42, 90), prose(43, 40), prose(44, 90)], 5: [prose(45, 90)]}
+    wanted = {2: [{"lo": 0, "hi": 32}, {"lo": 32, "hi": 96}], 5: [{"lo": 64, "hi": 96}], 7: [{"lo": 0, "hi": 32}]}
+    rows = []
+    for i in (1, 2, 5, 7):
+        rows += [(i, None, wanted[i])] if i in wanted else []
+        rows += [(i, t, None) for t in texts.get(i, [])]
+    kinds = pa.int64(), pa.string(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+
+    def hashed(text, lo, hi):
+        w = substring.W.Words(*substring.W.flat(pa.array([text])))
+        return (w.hashes() >> np.uint64(32)).astype(np.uint32)[lo:hi].tobytes()
+    want = {(i, w["lo"]): min(hashed(t, w["lo"], w["hi"]) for t in texts[i]) for i in (2, 5) for w in wanted[i]}
+    for size in (1, 2, 3, len(rows)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at:at + size]), kinds)],
+                                              names=["doc_id", "text", "wanted"]) for at in range(0, len(rows), size)]
+        got = [x for b in substring._regions(iter(batches)) for x in b.to_pylist()]
+        assert len(got) == len(want) and {(x["doc_id"], x["lo"]): x["words"] for x in got} == want
